@@ -64,7 +64,7 @@ def permutation_shares(v: DataFrame, labels: DataFrame, n_perm: int, seed: int,
     packed = packed.withColumn("_own", F.pmod(F.xxhash64("entity"), F.col("_axes.e")).cast("int"))
     packed = packed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_axes.e") - 1)))
     packed = packed.withColumn("ib", F.explode(F.sequence(F.lit(0), F.col("_axes.i") - 1)))
-    packed = packed.select(F.least("_own", "_other").alias("bi"), F.greatest("_own", "_other").alias("bj"), "ib", "entity", "codes", "ws")
+    packed = packed.select(F.least("_own", "_other").alias("bi"), F.greatest("_own", "_other").alias("bj"), F.col("ib"), F.col("entity").alias("member"), "codes", "ws")
     tiles = pair_tiles(cells, [], entity_block, item_block)
 
     def per_tile(key: tuple, pdf: pd.DataFrame, drawn_pdf: pd.DataFrame) -> pd.DataFrame:
@@ -74,7 +74,7 @@ def permutation_shares(v: DataFrame, labels: DataFrame, n_perm: int, seed: int,
         na, nb, d, _ = tile_sums(pdf, key[0], key[1])
         if key[0] == key[1]:
             d = np.triu(d, 1)
-        by_name = drawn_pdf.set_index("entity")
+        by_name = drawn_pdf.set_index("member")
         codes_i, codes_j = (np.stack(by_name.loc[n, "codes"].to_list()) for n in (na, nb))
         weights = np.stack(by_name.loc[na, "ws"].to_list())
         within = [float((np.where(codes_i[:, p, None] == codes_j[None, :, p], d, 0.0).sum(1) * weights[:, p]).sum()) for p in range(codes_i.shape[1])]
