@@ -28,14 +28,15 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     opens = (F.col("_block") == 0) & (F.row_number().over(Window.partitionBy("file", "_block").orderBy("_order")) == 1)
     body = F.when(F.col("_rec").startswith(">"), F.substring(F.col("_rec"), F.lit(2), F.length("_rec"))).otherwise(F.col("_rec"))
     records = raw.withColumn("_junk", opens & ~F.col("_rec").startswith(">")).filter(~F.col("_junk"))
-    split = records.select("file", "_order", F.split(body, "\n", 2).alias("_p"))
+    split = records.select("file", "_block", "_order", F.split(body, "\n", 2).alias("_p"))
     parsed = split.select(
         "file",
+        "_block",
         "_order",
         F.trim(F.get("_p", F.lit(0))).alias("header"),
         F.regexp_replace(F.coalesce(F.get("_p", F.lit(1)), F.lit("")), r"\s", "").alias("seq"),
     )
-    numbered = ordered_rank(parsed, ["file"], [("_order", "asc")], "_r")
+    numbered = ordered_rank(parsed, ["file"], [("_block", "asc"), ("_order", "asc")], "_r")
     return numbered.select("file", (F.col("_r") - 1).alias("row_idx"), "header", "seq")
 
 
