@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from respmosaic.plans.quantiles import quantile_columns
+from respmosaic.plans.stable import materialise
 
 ENTITY_BLOCK = 1024
 ITEM_BLOCK = 4096
@@ -152,7 +153,7 @@ def with_pair_case(d: DataFrame, labels: DataFrame) -> DataFrame:
 
 def intra_inter_distance(d: DataFrame, labels: DataFrame) -> DataFrame:
     """Mean and median distance within each group and between groups, with between / within."""
-    cased = with_pair_case(d, labels)
+    cased = materialise(with_pair_case(d, labels))
     means = cased.groupBy("case").agg(F.count("d").alias("n_pairs"), F.avg("d").alias("mean_d"))
     medians = quantile_columns(cased, "d", {"median_d": 0.5}, ["case"])
     table = means.join(medians, "case")
@@ -165,7 +166,7 @@ def intra_inter_distance(d: DataFrame, labels: DataFrame) -> DataFrame:
 
 def structure_sensitivity(d: DataFrame, labels: DataFrame, drop: Sequence, ks: Sequence[int] = (5, 10)) -> dict[str, DataFrame]:
     """Distances and neighbour shares with and without listed outliers."""
-    out = {}
+    out, d = {}, materialise(d)
     for name, gone in (("all", []), ("without_outliers", list(drop))):
         kept_d = d.filter(~F.col("entity_i").isin(gone) & ~F.col("entity_j").isin(gone)) if gone else d
         kept_l = labels.filter(~F.col("entity").isin(gone)) if gone else labels

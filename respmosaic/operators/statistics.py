@@ -11,7 +11,8 @@ from respmosaic.operators.distance import pairwise_sq_distance
 from respmosaic.operators.matrix import CLIP_QUANTILE, fit_matrix
 from respmosaic.plans.correlation import safe_pearson, spearman
 from respmosaic.plans.quantiles import quantile_columns
-from respmosaic.plans.ranking import ordered_rank, value_ranks
+from respmosaic.plans.ranking import ordered_rank, with_average_rank
+from respmosaic.plans.stable import materialise, stable
 
 
 def stratum_value_stats(v: DataFrame, panel: DataFrame) -> DataFrame:
@@ -98,6 +99,7 @@ def metric_summary(metrics: DataFrame, keys: Sequence[str], values: Sequence[str
 def baseline_rows(metrics: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Median and mean of each metric over the "other" entities."""
     by = list(by)
+    metrics = materialise(metrics)
     out = metrics.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"{c}_mean") for c in columns])
     for c in columns:
         median = quantile_columns(metrics, c, {f"{c}_median": 0.5}, by)
@@ -162,6 +164,7 @@ def paired_correlation(pairs: DataFrame, min_pairs: int = 100) -> DataFrame:
 
 
 def correlation_summary(per_entity: DataFrame, column: str = "pearson") -> DataFrame:
+    per_entity = materialise(per_entity)
     moments = per_entity.agg(
         F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max")
     )
@@ -195,7 +198,7 @@ def geometry_preserved(v: DataFrame, branch: str = "branch", clip_q: float = CLI
     """Distances from a per-branch fit against those of the joint fit, inside each branch."""
     own = pairwise_sq_distance(fit_matrix(v, clip_q, [branch]).values, [branch]).withColumnRenamed("d", "own")
     joint = pairwise_sq_distance(fit_matrix(v, clip_q).values, [branch]).withColumnRenamed("d", "joint")
-    pairs = own.join(joint, [branch, "entity_i", "entity_j"])
+    pairs = materialise(own.join(joint, [branch, "entity_i", "entity_j"]))
     base = pairs.groupBy(branch).agg(
         F.count(F.lit(1)).alias("n_pairs"), F.corr("own", "joint").alias("pearson"), (F.avg("joint") / F.avg("own")).alias("mean_ratio")
     )
@@ -262,8 +265,8 @@ def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> Da
     """
     by = list(by)
     usable = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
-    positives = usable.groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("_p"))
-    ranked = value_ranks(usable, score, by).join(positives, [*by, score])
+    counted = usable.groupBy(*by, score).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("_p"))
+    ranked = with_average_rank(stable(counted, score), score, by)
     sums = ranked.groupBy(*by).agg(
         F.sum("n").alias("n"), F.sum("_p").alias("n_pos"), F.sum(F.col("avg_rank") * F.col("_p")).alias("_r")
     )

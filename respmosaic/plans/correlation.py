@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from respmosaic.plans.ranking import value_ranks
+from respmosaic.plans.stable import stable
 
 
 def safe_pearson(x: str, y: str, min_n: int = 3) -> Column:
@@ -30,10 +31,10 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), out: str = "
         .groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
         .agg(F.count(F.lit(1)).alias("_w"))
     )
+    pairs = stable(pairs, "_x", "_y")
 
     def ranks(side: str) -> DataFrame:
-        rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x if side == "_x" else y).alias(side))
-        return value_ranks(rows, side, by).select(*by, side, F.col("avg_rank").alias(side + "r"))
+        return value_ranks(pairs, side, by, "_w").select(*by, side, F.col("avg_rank").alias(side + "r"))
 
     ranked = pairs.join(ranks("_x"), [*by, "_x"]).join(ranks("_y"), [*by, "_y"])
     w, a, b = F.col("_w"), F.col("_xr"), F.col("_yr")

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 20_000
+# Groups up to this size are ordered whole; above it the margin spans several ranks.
+WHOLE = 50_000
 
 
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = (), accuracy: int = ACCURACY) -> DataFrame:
@@ -21,22 +23,26 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence
     present = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
     margin = 3.0 / accuracy
     probes = [min(max(q + s, 0.0), 1.0) for q in qs for s in (-margin, margin)]
+    # Widened a little: a recomputed float may differ from the sketched one in its last bits.
+    slack = lambda c: F.abs(c) * 1e-9 + 1e-300
+    low = lambda i: F.col("_p")[2 * i] - slack(F.col("_p")[2 * i])
+    high = lambda i: F.col("_p")[2 * i + 1] + slack(F.col("_p")[2 * i + 1])
     brackets = F.array(
         *[
             F.struct(
                 F.lit(float(q)).alias("q"),
-                (F.lit(float("-inf")) if q - margin <= 0 else F.col("_p")[2 * i]).alias("lo"),
-                (F.lit(float("inf")) if q + margin >= 1 else F.col("_p")[2 * i + 1]).alias("hi"),
+                (F.lit(float("-inf")) if q - margin <= 0 else F.when(F.col("_size") > WHOLE, low(i)).otherwise(F.lit(float("-inf")))).alias("lo"),
+                (F.lit(float("inf")) if q + margin >= 1 else F.when(F.col("_size") > WHOLE, high(i)).otherwise(F.lit(float("inf")))).alias("hi"),
             )
             for i, q in enumerate(qs)
         ]
     )
     sketch = F.percentile_approx("_v", F.array(*[F.lit(p) for p in probes]), accuracy)
     if by:
-        sketched = present.groupBy(*by).agg(sketch.alias("_p")).select(*by, brackets.alias("_k"))
+        sketched = present.groupBy(*by).agg(sketch.alias("_p"), F.count(F.lit(1)).alias("_size")).select(*by, brackets.alias("_k"))
         joined = present.join(sketched, by)
     else:
-        sketched = present.agg(sketch.alias("_p")).select(brackets.alias("_k"))
+        sketched = present.agg(sketch.alias("_p"), F.count(F.lit(1)).alias("_size")).select(brackets.alias("_k"))
         joined = present.withColumn("_k", sketched.scalar())
     marked = joined.select(*by, "_v", F.explode("_k").alias("_k")).select(
         *by,
@@ -56,9 +62,9 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence
         .withColumn("_upto", F.sum("_n").over(running))
         .withColumn("_at", F.col("q") * (F.col("n") - 1))
     )
-    low = F.min(F.when((F.col("_side") == "in") & (F.col("_upto") > F.floor("_at")), F.col("_v")))
-    high = F.min(F.when((F.col("_side") == "in") & (F.col("_upto") > F.ceil("_at")), F.col("_v")))
-    picked = placed.groupBy(*by, "q", "n", "_at").agg(low.alias("_lo"), high.alias("_hi"))
+    at_low = F.min(F.when((F.col("_side") == "in") & (F.col("_upto") > F.floor("_at")), F.col("_v")))
+    at_high = F.min(F.when((F.col("_side") == "in") & (F.col("_upto") > F.ceil("_at")), F.col("_v")))
+    picked = placed.groupBy(*by, "q", "n", "_at").agg(at_low.alias("_lo"), at_high.alias("_hi"))
     part = F.col("_at") - F.floor("_at")
     return picked.select(*by, "q", "n", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * part).alias("quantile"))
 

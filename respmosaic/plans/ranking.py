@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from respmosaic.plans.stable import stable
+
 BOUNDS = 64
 TIE_SLICES = 64
 
@@ -64,7 +66,8 @@ def _bucket_of(value: Column, bounds: Column) -> Column:
     """Even = strictly between two bounds, odd = equal to a bound, last = null."""
     below = F.size(F.filter(bounds, lambda b: b < value))
     on_bound = F.exists(bounds, lambda b: b == value).cast("int")
-    return F.when(value.isNull(), F.lit(2 * BOUNDS + 2)).otherwise(2 * below + on_bound)
+    # Never null, so joins on the bucket push no "is not null" copy of it into the scan.
+    return F.coalesce(F.when(value.isNull(), F.lit(2 * BOUNDS + 2)).otherwise(2 * below + on_bound), F.lit(0))
 
 
 def _with_bounds(df: DataFrame, by: Sequence[str], proxy: str) -> DataFrame:
@@ -82,25 +85,26 @@ def ordered_rank(df: DataFrame, by: Sequence[str], order: Sequence[tuple[str, st
     """
     by = list(by)
     first, direction = order[0]
-    proxied = df.withColumn("_x", _numeric_proxy(df, first) * (1 if direction == "asc" else -1))
+    df = stable(df, first)
+    proxied = df.withColumn("_ord", _numeric_proxy(df, first) * (1 if direction == "asc" else -1))
     if len(order) > 1:
         tie, tie_direction = order[1]
-        proxied = proxied.withColumn("_t", _numeric_proxy(df, tie) * (1 if tie_direction == "asc" else -1))
+        proxied = proxied.withColumn("_tie", _numeric_proxy(df, tie) * (1 if tie_direction == "asc" else -1))
     else:
-        proxied = proxied.withColumn("_t", F.lit(0.0))
-    spread = F.struct(F.min("_t").alias("lo"), F.max("_t").alias("hi")).alias("_span")
+        proxied = proxied.withColumn("_tie", F.lit(0.0))
+    spread = F.struct(F.min("_tie").alias("lo"), F.max("_tie").alias("hi")).alias("_span")
     if by:
         spanned = proxied.join(proxied.groupBy(*by).agg(spread), by)
     else:
         spanned = proxied.withColumn("_span", proxied.agg(spread).scalar())
     cut = F.when(
         F.col("_span.hi") > F.col("_span.lo"),
-        F.floor((F.col("_t") - F.col("_span.lo")) / (F.col("_span.hi") - F.col("_span.lo")) * TIE_SLICES).cast("int"),
+        F.floor((F.col("_tie") - F.col("_span.lo")) / (F.col("_span.hi") - F.col("_span.lo")) * TIE_SLICES).cast("int"),
     )
-    bucketed = _with_bounds(spanned, by, "_x").withColumn("_b", _bucket_of(F.col("_x"), F.col("_bounds")))
-    tied = (F.col("_b") % 2 == 1) | F.col("_x").isNull()
+    bucketed = _with_bounds(spanned, by, "_ord").withColumn("_b", _bucket_of(F.col("_ord"), F.col("_bounds")))
+    tied = (F.col("_b") % 2 == 1) | F.col("_ord").isNull()
     bucketed = bucketed.withColumn("_c", F.when(tied, F.coalesce(cut, F.lit(0))).otherwise(F.lit(0)))
-    bucketed = bucketed.drop("_x", "_t", "_span", "_bounds")
+    bucketed = bucketed.drop("_ord", "_tie", "_span", "_bounds")
     ordering = [F.col(c).asc_nulls_last() if d == "asc" else F.col(c).desc_nulls_last() for c, d in order]
     return _number_in_buckets(bucketed, by, ["_b", "_c"], ordering, out)
 
@@ -108,11 +112,11 @@ def ordered_rank(df: DataFrame, by: Sequence[str], order: Sequence[tuple[str, st
 def running_total(df: DataFrame, by: Sequence[str], value: str, amount: str, out: str = "before") -> DataFrame:
     """Sum of ``amount`` over rows with a smaller ``value`` in the group.
 
-    ``value`` must be distinct inside a group (pre-aggregate first).
+    ``value`` must be distinct inside a group (pre-aggregate first) and stored when float.
     """
     by = list(by)
-    proxied = df.withColumn("_x", _numeric_proxy(df, value))
-    bucketed = _with_bounds(proxied, by, "_x").withColumn("_b", _bucket_of(F.col("_x"), F.col("_bounds"))).drop("_x", "_bounds")
+    proxied = df.withColumn("_ord", _numeric_proxy(df, value))
+    bucketed = _with_bounds(proxied, by, "_ord").withColumn("_b", _bucket_of(F.col("_ord"), F.col("_bounds"))).drop("_ord", "_bounds")
     inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -125,17 +129,24 @@ def running_total(df: DataFrame, by: Sequence[str], value: str, amount: str, out
     return summed.join(offsets, [*by, "_b"]).withColumn(out, F.col("_in") + F.col("_off")).drop("_in", "_off", "_b")
 
 
-def value_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """One row per distinct value: ``n``, number of smaller rows, tie-averaged rank.
 
     Counting values first folds any hot value into one row before the ordering.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    amount = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(amount.alias("n"))
+    return with_average_rank(stable(counted, value), value, by)
+
+
+def with_average_rank(counted: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Adds ``n_below, avg_rank`` to one row per distinct value with its count ``n``."""
     ranked = running_total(counted, by, value, "n", "n_below")
     return ranked.withColumn("avg_rank", F.col("n_below") + (F.col("n") + 1) / 2)
 
 
 def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "rank") -> DataFrame:
     """Tie-averaged rank of every row (rows with a null value are dropped)."""
+    df = stable(df, value)
     ranks = value_ranks(df, value, by).select(*by, value, F.col("avg_rank").alias(out))
     return df.join(ranks, [*by, value])
