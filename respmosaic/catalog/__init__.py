@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("matrix_queries", "stat_queries")
+MODULES = ("matrix_queries", "stat_queries", "text_queries")
 
 
 def load():

@@ -87,10 +87,9 @@ def kmer_count_array(c: Column | str, k: int) -> Column:
 
 def kmer_vector(c: Column | str, k: int) -> Column:
     """Word frequencies; the zero vector when no valid word exists."""
-    counts = kmer_count_array(c, k)
-    scaled = F.transform(F.array(F.struct(counts.alias("n"))), lambda s: F.struct(s["n"].alias("n"), F.aggregate(s["n"], F.lit(0), lambda a, x: a + x).alias("t")))
-    pack = F.element_at(scaled, 1)
-    return F.when(pack["t"] > 0, F.transform(pack["n"], lambda x: x / pack["t"])).otherwise(F.array_repeat(F.lit(0.0), 4**k))
+    total = F.regexp_count(_col(c), F.lit(f"(?=[{BASES}]{{{k}}})"))
+    paired = F.array_repeat(total, 4**k)
+    return F.zip_with(kmer_count_array(c, k), paired, lambda n, t: F.when(t > 0, n / t).otherwise(0.0))
 
 
 def dinuc_vec(c: Column | str) -> Column:
