@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("matrix_queries", "stat_queries", "text_queries")
+MODULES = ("matrix_queries", "stat_queries", "text_queries", "panel_queries", "gate_queries", "learn_queries")
 
 
 def load():

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from respmosaic.functions import vocab
 from respmosaic.operators.filters import item_columns
 from respmosaic.plans.ranking import hash_rank, ordered_rank
+from respmosaic.plans.stable import materialise
 
 PER_DIGEST = 8
 
@@ -208,6 +209,8 @@ def control_manifest(control: DataFrame) -> DataFrame:
     """Count and describe(length), describe(GC) per subset."""
     from respmosaic.operators.panel import describe
 
+    # Generated texts are costly and the summaries read them several times.
+    control = materialise(control.select("functional_element", "length_bp", "GC_content"))
     out = None
     for column, name in (("length_bp", "length"), ("GC_content", "gc")):
         d = describe(control, column, ["functional_element"])
