@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from respmosaic.plans.stable import materialise
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -59,7 +61,7 @@ def fx_big(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     month = (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("long")
     revenue = F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / 1e6
-    return li.groupBy(F.col("l_suppkey").alias("entity"), month.alias("item")).agg(revenue.alias("value"))
+    return materialise(li.groupBy(F.col("l_suppkey").alias("entity"), month.alias("item")).agg(revenue.alias("value")))
 
 
 def fx_seq(spark: SparkSession, sf: str) -> DataFrame:

@@ -274,7 +274,7 @@ def s6(spark, sf):
     s = table(spark, sf, "supplier")
     member = F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
     docs = s.groupBy("s_nationkey").agg(F.collect_list(member).alias("models")).select("models")
-    docs.write.json(path)
+    docs.write.option("maxRecordsPerFile", 1).json(path)
     return readers.read_entity_json(spark, path).select("id", "name", "nation")
 
 

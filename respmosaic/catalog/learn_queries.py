@@ -115,7 +115,7 @@ def l5(spark, sf):
     e = table(spark, sf, "embeddings").withColumn("content", F.col("vec_id") % 4 != 0)
     tokens = e.select("label", F.col("embedding").cast("array<double>").alias("vec"), "content")
     pooled = scoring.mean_pool(tokens, ["label"], mask="content")
-    return pooled.select("label", F.posexplode("features").alias("pos", "value")).select("label", "pos", r("value").alias("value"))
+    return pooled.select("label", F.posexplode_outer("features").alias("pos", "value")).select("label", "pos", r("value").alias("value"))
 
 
 @query(
@@ -125,7 +125,7 @@ def l5(spark, sf):
 def l5_layers(spark, sf):
     e = table(spark, sf, "embeddings").select("label", (F.col("vec_id") % 2).alias("layer"), F.col("embedding").cast("array<double>").alias("vec"))
     both = scoring.concat_layers(scoring.mean_pool(e, ["label", "layer"]), ["label"], "layer")
-    return both.select("label", F.posexplode("features").alias("pos", "value")).select("label", "pos", r("value").alias("value"))
+    return both.select("label", F.posexplode_outer("features").alias("pos", "value")).select("label", "pos", r("value").alias("value"))
 
 
 @query(
@@ -138,7 +138,7 @@ def l6(spark, sf):
     lab = fx_lab(spark, sf)
     vector = F.when(F.length("seq") >= 100, text.dinuc_vec("seq"))
     out = scoring.embed_split(lab, vector, "item", "quality")
-    return out.select("item", "label", F.posexplode("features").alias("pos", "value")).select("item", "label", "pos", r("value").alias("value"))
+    return out.select("item", "label", F.posexplode_outer("features").alias("pos", "value")).select("item", "label", "pos", r("value").alias("value"))
 
 
 def _labelled_vectors(spark, sf):
@@ -157,7 +157,7 @@ def l7(spark, sf):
 @query("l8_predict_metric")
 def l8(spark, sf):
     """Mean G/C of each source's documents predicted from its 2-letter profile."""
-    items = fx_items(spark, sf).select("dataset", "gc", F.posexplode(text.dinuc_vec("seq")).alias("pos", "x"))
+    items = fx_items(spark, sf).select("dataset", "gc", F.posexplode_outer(text.dinuc_vec("seq")).alias("pos", "x"))
     means = items.groupBy("dataset", "pos").agg(F.avg("x").alias("x"))
     rows = means.groupBy("dataset").agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("_l"))
     features = rows.select(F.lit("profile").alias("feature_set"), F.col("dataset").alias("entity"), F.col("_l.x").alias("features"))
@@ -170,11 +170,11 @@ def l8(spark, sf):
 @query("l9_loo_classify")
 def l9(spark, sf):
     """Held-out separation of even and odd sources by their mean 2-letter profile."""
-    items = fx_items(spark, sf).select("dataset", F.posexplode(text.dinuc_vec("seq")).alias("pos", "x"))
+    items = fx_items(spark, sf).select("dataset", F.posexplode_outer(text.dinuc_vec("seq")).alias("pos", "x"))
     means = items.groupBy("dataset", "pos").agg(F.avg("x").alias("x"))
     rows = means.groupBy("dataset").agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("_l"))
     rows = rows.select(F.col("dataset").alias("row"), F.col("_l.x").alias("features"), (F.regexp_extract("dataset", r"(\d+)", 1).cast("int") % 2).alias("label"))
-    rec = learning.loo_classify(rows, (1.0,))
+    rec = learning.loo_classify(rows, (1.0,), "logistic")
     return spark.createDataFrame([(rec["n"], round(rec["auc"], 6), rec["best_C"])], "n int, auc double, best_c double")
 
 

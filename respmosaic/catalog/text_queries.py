@@ -41,7 +41,7 @@ def vec_sql(k: int, words: list[str]) -> str:
 
 
 def _vector_rows(df, column, words):
-    rows = df.select("item", F.posexplode(column).alias("_i", "x"))
+    rows = df.select("item", F.posexplode_outer(column).alias("_i", "x"))
     return rows.select("item", F.element_at(F.array(*[F.lit(w) for w in words]), F.col("_i") + 1).alias("feature"), r("x").alias("x"))
 
 

@@ -102,7 +102,8 @@ def trinuc_vec(c: Column | str) -> Column:
 
 def kmer_table(df: DataFrame, key: Sequence[str], seq: str, k: int) -> DataFrame:
     """Sparse ``(*key, kmer, n)`` for any k; partial sums shrink it before the shuffle."""
-    words = df.select(*key, F.explode(windows(chars(seq), k)).alias("kmer"))
+    # The outer form: a plain explode makes the optimiser test the array in a second evaluation.
+    words = df.select(*key, F.explode_outer(windows(chars(seq), k)).alias("kmer"))
     return words.filter(F.col("kmer").rlike(f"^[ACGT]{{{k}}}$")).groupBy(*key, "kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -117,7 +118,7 @@ def kmer_features(df: DataFrame, key: str, seq: str, k_min: int = 2, k_max: int
         raise ValueError(f"unknown transform {transform!r}")
     names = [w for k in range(k_min, k_max + 1) for w in kmer_names(k)]
     stacked = F.concat(*[kmer_vector(seq, k) for k in range(k_min, k_max + 1)])
-    long = df.select(key, F.posexplode(stacked).alias("_i", "x"))
+    long = df.select(key, F.posexplode_outer(stacked).alias("_i", "x"))
     long = long.select(key, F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_i") + 1).alias("feature"), "x")
     if transform == "hellinger":
         return long.withColumn("x", F.sqrt(F.greatest(F.col("x"), F.lit(0.0))))

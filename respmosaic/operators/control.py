@@ -23,17 +23,18 @@ def random_letters(seed: Column, length: Column, gc: Column) -> Column:
     Each digest yields eight 16-bit draws, so a text costs length / 8 digests.
     """
 
-    def letter(digest: Column, j: int) -> Column:
-        u = F.conv(F.substring(digest, 4 * j + 1, 4), 16, 10).cast("double") / 65536.0
+    def draws(digest: Column) -> Column:
+        return F.array(*[F.conv(F.substring(digest, 4 * j + 1, 4), 16, 10).cast("double") / 65536.0 for j in range(PER_DIGEST)])
+
+    def letter(u: Column) -> Column:
         at = (1 - gc) / 2
         return F.when(u < at, "A").when(u < at + gc / 2, "C").when(u < at + gc, "G").otherwise("T")
 
-    def eight(block: Column) -> Column:
-        digest = F.md5(F.concat_ws("|", seed, block.cast("string")))
-        return F.concat(*[letter(digest, j) for j in range(PER_DIGEST)])
-
+    # Chained transforms: a value bound by a lambda is computed once, a repeated expression is not.
     blocks = F.sequence(F.lit(0), F.floor((length - 1) / PER_DIGEST).cast("int"))
-    return F.substring(F.array_join(F.transform(blocks, eight), ""), F.lit(1), length)
+    digests = F.transform(blocks, lambda b: F.md5(F.concat_ws("|", seed, b.cast("string"))))
+    letters = F.transform(F.flatten(F.transform(digests, draws)), letter)
+    return F.substring(F.array_join(letters, ""), F.lit(1), length)
 
 
 def _pick(values: Sequence, index: Column) -> Column:

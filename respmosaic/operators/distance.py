@@ -62,13 +62,18 @@ def tile_sums(pdf: pd.DataFrame, bi: int, bj: int):
     return na, nb, np.maximum(ss, 0.0), common
 
 
-def pairwise_sums(v: DataFrame, by: Sequence[str] = (), entity_block: int = ENTITY_BLOCK, item_block: int = ITEM_BLOCK) -> DataFrame:
+def pairwise_sums(v: DataFrame, by: Sequence[str] = (), entity_block: int = ENTITY_BLOCK, item_block: int = ITEM_BLOCK, stored: bool = False) -> DataFrame:
     """``(*by, entity_i < entity_j, ss, n_common)``.
 
+    The matrix is read for its axis sizes and again for its cells, so it is stored first
+    unless the caller says it is ``stored`` already.
+
     Cells are never paired row by row in Spark: a tile is multiplied as two small matrices,
     and only per-pair partial sums are shuffled (with map-side combine).
     """
     by = list(by)
+    v = v.select(*by, "entity", "item", "value")
+    v = v if stored else materialise(v)
     tiles = pair_tiles(v, by, entity_block, item_block)
     kind = v.schema["entity"].dataType
     schema = T.StructType(
@@ -93,10 +98,12 @@ def pairwise_sums(v: DataFrame, by: Sequence[str] = (), entity_block: int = ENTI
     return partial.groupBy(*by, "entity_i", "entity_j").agg(F.sum("ss").alias("ss"), F.sum("n_common").alias("n_common"))
 
 
-def pairwise_sq_distance(v: DataFrame, by: Sequence[str] = (), entity_block: int = ENTITY_BLOCK, item_block: int = ITEM_BLOCK) -> DataFrame:
+def pairwise_sq_distance(v: DataFrame, by: Sequence[str] = (), entity_block: int = ENTITY_BLOCK, item_block: int = ITEM_BLOCK, stored: bool = False) -> DataFrame:
     """Squared Euclidean distance over common items, scaled by N / n_common; null if none."""
     by = list(by)
-    sums = pairwise_sums(v, by, entity_block, item_block)
+    v = v.select(*by, "entity", "item", "value")
+    v = v if stored else materialise(v)
+    sums = pairwise_sums(v, by, entity_block, item_block, stored=True)
     if by:
         totals = v.groupBy(*by).agg(F.count_distinct("item").alias("_total"))
         sums = sums.join(totals, by)

@@ -1,4 +1,8 @@
-"""Linear probes and ridge prediction with MLlib, on folds that are table columns."""
+"""Linear probes and ridge prediction with MLlib, on folds that are table columns.
+
+Cross-validation is MLlib's own ``CrossValidator`` with a fold column, so fits of different
+folds and parameters run side by side. Feature tables are stored once before the fits.
+"""
 
 from __future__ import annotations
 
@@ -7,73 +11,92 @@ from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression
+from pyspark.ml.evaluation import Evaluator, RegressionEvaluator
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from respmosaic.operators.integrity import class_gate, finite_rows
 from respmosaic.operators.splits import group_kfold, kfold, stratified_kfold
 from respmosaic.operators.statistics import ovr_weighted_auc, roc_auc
+from respmosaic.plans.ranking import ordered_rank
+from respmosaic.plans.stable import materialise
 
 C_GRID = (0.01, 0.1, 1.0, 10.0)
+PARALLEL_FITS = 4
 
 
 def _vectors(df: DataFrame) -> DataFrame:
     return df.withColumn("_x", array_to_vector(F.col("features").cast("array<double>")))
 
 
-def _logistic(c: float, n: int, weight: str | None = None) -> Pipeline:
-    scaler = StandardScaler(inputCol="_x", outputCol="_z", withMean=True, withStd=True)
-    model = LogisticRegression(featuresCol="_z", labelCol="label", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=200)
-    if weight:
-        model = model.setWeightCol(weight)
-    return Pipeline(stages=[scaler, model])
-
-
-def _held_out_auc(scored: DataFrame, n_classes: int) -> float | None:
-    """AUC of class-1 probability, or class-weighted one-vs-rest for more classes."""
+def held_out_auc(scored: DataFrame, n_classes: int) -> float:
+    """AUC of the class-1 probability, or class-weighted one-vs-rest beyond two classes."""
     p = vector_to_array("probability")
     if n_classes == 2:
-        return roc_auc(scored.withColumn("_s", p[1]), "_s", "label").first()["auc"]
+        return roc_auc(scored.select("label", p[1].alias("_s")), "_s", "label").first()["auc"] or 0.0
     long = scored.select("row", "label", F.posexplode(p).alias("class", "score"))
-    return ovr_weighted_auc(long).first()["auc"]
+    return ovr_weighted_auc(long).first()["auc"] or 0.0
+
+
+class RankAuc(Evaluator):
+    """Exact rank AUC as a cross-validation metric."""
+
+    def __init__(self, n_classes: int = 2):
+        super().__init__()
+        self.n_classes = n_classes
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        return held_out_auc(dataset, self.n_classes)
+
+    def isLargerBetter(self) -> bool:
+        return True
+
+
+class NoMetric(Evaluator):
+    """Placeholder where only the per-fold models are wanted."""
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        return 0.0
+
+
+def _scaler() -> StandardScaler:
+    return StandardScaler(inputCol="_x", outputCol="_z", withMean=True, withStd=True)
 
 
 def linear_probe(train: DataFrame, test: DataFrame, c_grid: Sequence[float] = C_GRID, n_cv: int = 5, seed: int = 0) -> dict:
     """L2 logistic probe: C by mean fold AUC (first on ties), refit, test AUC.
 
     ``train``/``test``: row, features array, integer label. The scaler is fitted inside each
-    fold. Fold AUCs use exact ranks. Returns the result record, or a skip record.
+    fold. MLlib averages the loss over rows, so a strength C becomes regParam = 1 / (C n).
+    Returns the result record, or a skip record when a gate fails.
     """
-    train, test = finite_rows(train), finite_rows(test)
+    train, test = materialise(_vectors(finite_rows(train))), materialise(_vectors(finite_rows(test)))
     both = train.select(F.lit("train").alias("split"), "label").unionByName(test.select(F.lit("test").alias("split"), "label"))
     gate = class_gate(both, n_cv).first()
     if gate is None or gate["reason"] is not None:
-        reason = "tiny" if gate is None else gate["reason"]
-        return {"skip_reason": reason, "error_type": "tiny" if gate is None else gate["error_type"]}
-    classes = gate["classes_train"]
-    folds = stratified_kfold(train, "row", "label", n_cv, seed)
-    data = _vectors(train.join(folds.select("row", "fold"), "row"))
-    per_c = {}
-    for c in c_grid:
-        aucs = []
-        for f in range(n_cv):
-            fit_on = data.filter(F.col("fold") != f)
-            model = _logistic(c, fit_on.count()).fit(fit_on)
-            aucs.append(_held_out_auc(model.transform(data.filter(F.col("fold") == f)), classes))
-        mean = sum(aucs) / n_cv
-        per_c[c] = (mean, (sum((a - mean) ** 2 for a in aucs) / n_cv) ** 0.5)
-    best = max(c_grid, key=lambda c: (round(per_c[c][0], 12), -list(c_grid).index(c)))
-    final = _logistic(best, gate["n_train"]).fit(data)
-    auc = _held_out_auc(final.transform(_vectors(test)), classes)
+        return {"skip_reason": "tiny" if gate is None else gate["reason"], "error_type": "tiny" if gate is None else gate["error_type"]}
+    classes, n = gate["classes_train"], gate["n_train"]
+    folds = stratified_kfold(train, "row", "label", n_cv, seed).select("row", "fold")
+    data = materialise(train.join(folds, "row"))
+    model = LogisticRegression(featuresCol="_z", labelCol="label", elasticNetParam=0.0, standardization=False)
+    pipeline = Pipeline(stages=[_scaler(), model])
+    in_fold = n * (n_cv - 1) / n_cv
+    grid = ParamGridBuilder().addGrid(model.regParam, [1.0 / (c * in_fold) for c in c_grid]).build()
+    search = CrossValidator(
+        estimator=pipeline, estimatorParamMaps=grid, evaluator=RankAuc(classes), numFolds=n_cv, foldCol="fold", parallelism=PARALLEL_FITS
+    ).fit(data)
+    best = max(range(len(c_grid)), key=lambda i: (round(search.avgMetrics[i], 12), -i))
+    final = pipeline.copy({model.regParam: 1.0 / (c_grid[best] * n)}).fit(data)
     return {
-        "auc_test": auc,
-        "auc_cv_mean": per_c[best][0],
-        "auc_cv_std": per_c[best][1],
-        "best_C": best,
-        "n_train": gate["n_train"],
+        "auc_test": held_out_auc(final.transform(test), classes),
+        "auc_cv_mean": search.avgMetrics[best],
+        "auc_cv_std": search.stdMetrics[best],
+        "best_C": c_grid[best],
+        "n_train": n,
         "n_test": gate["n_test"],
         "n_classes": classes,
         "multiclass": classes > 2,
@@ -81,28 +104,20 @@ def linear_probe(train: DataFrame, test: DataFrame, c_grid: Sequence[float] = C_
     }
 
 
-def _ridge(alpha: float, n: int) -> LinearRegression:
-    # MLlib minimises SSE / (2 n) + regParam / 2 * |w|^2, so regParam = alpha / n.
-    return LinearRegression(featuresCol="_x", labelCol="y", regParam=alpha / n, elasticNetParam=0.0, standardization=False, solver="auto")
-
-
-def ridge_fit_predict(train: DataFrame, test: DataFrame, alphas: Sequence[float], inner: int, seed: int) -> tuple[DataFrame, float]:
-    """Alpha by inner cross-validated squared error, then predictions clipped to [0, 1]."""
-    folds = kfold(train, "entity", inner, seed)
-    data = train.join(folds, "entity")
-    losses = []
-    for alpha in alphas:
-        sse = 0.0
-        for f in range(inner):
-            fit_on = data.filter(F.col("fold") != f)
-            model = _ridge(alpha, fit_on.count()).fit(fit_on)
-            gap = F.col("y") - F.col("prediction")
-            sse += model.transform(data.filter(F.col("fold") == f)).agg(F.sum(gap * gap)).first()[0] or 0.0
-        losses.append(sse)
-    alpha = alphas[losses.index(min(losses))]
-    model = _ridge(alpha, train.count()).fit(train)
+def ridge_fit_predict(train: DataFrame, test: DataFrame, alphas: Sequence[float], inner: int) -> tuple[DataFrame, float]:
+    """Alpha by mean inner-fold R^2 (column ``inner``), predictions clipped to [0, 1].
+
+    MLlib minimises SSE / (2 n) + regParam / 2 * |w|^2, so regParam = alpha / n.
+    """
+    n = train.count()
+    model = LinearRegression(featuresCol="_x", labelCol="y", elasticNetParam=0.0, standardization=False, solver="auto")
+    grid = ParamGridBuilder().addGrid(model.regParam, [a * inner / (n * (inner - 1)) for a in alphas]).build()
+    score = RegressionEvaluator(labelCol="y", metricName="r2")
+    search = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=score, numFolds=inner, foldCol="inner", parallelism=PARALLEL_FITS).fit(train)
+    alpha = alphas[max(range(len(alphas)), key=lambda i: (search.avgMetrics[i], -i))]
+    final = model.copy({model.regParam: alpha / n}).fit(train)
     pred = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction")))
-    return model.transform(test).select("entity", F.col("y").alias("y_true"), pred.alias("y_pred")), alpha
+    return final.transform(test).select("entity", F.col("y").alias("y_true"), pred.alias("y_pred")), alpha
 
 
 def predict_metric(
@@ -120,60 +135,58 @@ def predict_metric(
     ``features``: feature_set, entity, features; ``targets``: entity, task, y; ``groups``:
     entity, label. The loops run over the experiment design, never over data rows.
     """
-    spark = features.sparkSession
-    sets = [r[0] for r in features.select("feature_set").distinct().orderBy("feature_set").collect()]
-    tasks = [r[0] for r in targets.select("task").distinct().orderBy("task").collect()]
-    ids = targets.select("entity").distinct()
+    rows = materialise(_vectors(features).select("feature_set", "entity", "_x").join(targets.select("entity", "task", "y"), "entity"))
+    design = [tuple(r) for r in rows.select("feature_set", "task").distinct().orderBy("feature_set", "task").collect()]
+    ids = rows.select("entity").distinct()
     parts = []
     for split in splits:
         for seed in seeds:
             if split == "kfold":
-                folds = kfold(ids, "entity", n_folds, seed)
+                outer = kfold(ids, "entity", n_folds, seed)
             else:
-                folds = group_kfold(ids.join(groups, "entity"), "entity", "label", n_folds, seed).select("entity", "fold")
-            for name in sets:
-                x = _vectors(features.filter(F.col("feature_set") == name)).select("entity", "_x")
-                for task in tasks:
-                    rows = x.join(targets.filter(F.col("task") == task), "entity").join(folds.withColumnRenamed("fold", "outer"), "entity").cache()
-                    for f in range(n_folds):
-                        train, test = rows.filter(F.col("outer") != f).drop("outer"), rows.filter(F.col("outer") == f)
-                        pred, alpha = ridge_fit_predict(train, test, list(alphas), inner, seed)
-                        parts.append(
-                            pred.select(
-                                F.lit(split).alias("split"), F.lit(seed).alias("seed"), F.lit(name).alias("feature_set"), F.lit(f).alias("fold"), "entity", F.lit(task).alias("task"), "y_true", "y_pred", F.lit(float(alpha)).alias("alpha")
-                            )
-                        )
+                outer = group_kfold(ids.join(groups, "entity"), "entity", "label", n_folds, seed).select("entity", "fold")
+            nested = kfold(ids, "entity", inner, seed + 1).withColumnRenamed("fold", "inner")
+            folded = materialise(rows.join(outer, "entity").join(nested, "entity"))
+            for name, task in design:
+                cell = folded.filter((F.col("feature_set") == name) & (F.col("task") == task))
+                for f in range(n_folds):
+                    pred, alpha = ridge_fit_predict(cell.filter(F.col("fold") != f), cell.filter(F.col("fold") == f), list(alphas), inner)
+                    keys = [F.lit(split).alias("split"), F.lit(seed).alias("seed"), F.lit(name).alias("feature_set"), F.lit(f).alias("fold")]
+                    parts.append(pred.select(*keys, "entity", F.lit(task).alias("task"), "y_true", "y_pred", F.lit(float(alpha)).alias("alpha")))
     if not parts:
-        return spark.createDataFrame([], "split string, seed int, feature_set string, fold int, entity long, task string, y_true double, y_pred double, alpha double")
+        raise ValueError("no feature set shares an entity with the targets")
     return reduce(DataFrame.unionByName, parts)
 
 
 def loo_classify(rows: DataFrame, c_grid: Sequence[float] = (0.1, 1.0, 10.0), kind: str = "svc", max_rows: int = 500) -> dict:
     """Leave-one-out linear classifier with scaling inside each fold; AUC of held-out scores.
 
-    ``rows``: row, features, label 0/1. One model per row and C is meant for small pair
-    tables, so larger inputs are refused in favour of k-fold.
+    ``rows``: row, features, label 0/1. One model per row is meant for small pair tables, so
+    larger inputs are refused in favour of k-fold. Classes are weighted to equal mass.
     """
-    data = _vectors(rows).cache()
-    ids = [r["row"] for r in data.select("row").limit(max_rows + 1).collect()]
-    if len(ids) > max_rows:
-        raise ValueError(f"leave-one-out fits one model per row; {max_rows} rows at most, use stratified_kfold")
+    data = ordered_rank(rows.select("row", "features", "label"), [], [("row", "asc")], "_r")
+    data = materialise(_vectors(data.withColumn("fold", (F.col("_r") - 1).cast("int"))))
     counts = {r["label"]: r["count"] for r in data.groupBy("label").count().collect()}
-    weight = F.when(F.col("label") == 1, len(ids) / (2.0 * counts.get(1, 1))).otherwise(len(ids) / (2.0 * counts.get(0, 1)))
-    data = data.withColumn("_w", weight)
+    n = sum(counts.values())
+    if n > max_rows:
+        raise ValueError(f"leave-one-out fits one model per row; {max_rows} rows at most, use stratified_kfold")
+    if len(counts) < 2:
+        raise ValueError("leave-one-out needs both classes")
+    # At most ``max_rows`` rows: one partition keeps every solver step a single task.
+    data = data.coalesce(1).withColumn("_w", F.when(F.col("label") == 1, n / (2.0 * counts[1])).otherwise(n / (2.0 * counts[0])))
+    maker = LinearSVC if kind == "svc" else LogisticRegression
+    clf = maker(featuresCol="_z", labelCol="label", weightCol="_w", standardization=False)
+    column = "rawPrediction" if kind == "svc" else "probability"
+    grid = ParamGridBuilder().addGrid(clf.regParam, [1.0 / (c * max(n - 1, 1)) for c in c_grid]).build()
+    search = CrossValidator(
+        estimator=Pipeline(stages=[_scaler(), clf]), estimatorParamMaps=grid, evaluator=NoMetric(), numFolds=n, foldCol="fold", parallelism=PARALLEL_FITS, collectSubModels=True
+    ).fit(data)
     best: dict = {}
-    for c in c_grid:
-        parts = []
-        for i in ids:
-            train, test = data.filter(F.col("row") != F.lit(i)), data.filter(F.col("row") == F.lit(i))
-            if kind == "svc":
-                scaler = StandardScaler(inputCol="_x", outputCol="_z", withMean=True, withStd=True)
-                clf = LinearSVC(featuresCol="_z", labelCol="label", regParam=1.0 / (c * max(len(ids) - 1, 1)), standardization=False, weightCol="_w")
-                model, score = Pipeline(stages=[scaler, clf]).fit(train), vector_to_array("rawPrediction")[1]
-            else:
-                model, score = _logistic(c, len(ids) - 1, "_w").fit(train), vector_to_array("probability")[1]
-            parts.append(model.transform(test).select("row", "label", score.alias("score")))
-        auc = roc_auc(reduce(DataFrame.unionByName, parts), "score", "label").first()["auc"]
-        if not best or (auc or 0) > best["auc"]:
-            best = {"auc": auc or 0.0, "best_C": c, "n": len(ids)}
+    for j, c in enumerate(c_grid):
+        scored = [
+            search.subModels[f][j].transform(data.filter(F.col("fold") == f)).select("row", "label", vector_to_array(column)[1].alias("score")) for f in range(n)
+        ]
+        auc = roc_auc(reduce(DataFrame.unionByName, scored), "score", "label").first()["auc"] or 0.0
+        if not best or auc > best["auc"]:
+            best = {"auc": auc, "best_C": c, "n": n}
     return best

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from respmosaic.operators.distance import ENTITY_BLOCK, ITEM_BLOCK, block_axes, pair_tiles, tile_sums
 from respmosaic.operators.matrix import impute_item_mean
 from respmosaic.plans.ranking import hash_rank, ordered_rank
+from respmosaic.plans.stable import materialise
 
 
 def between_group_share(v: DataFrame, labels: DataFrame) -> DataFrame:
@@ -54,7 +55,8 @@ def permutation_shares(v: DataFrame, labels: DataFrame, n_perm: int, seed: int,
     so only ``n_perm`` sums per tile are shuffled and no distance table is built.
     """
     members = labels.select("entity", "label")
-    cells = impute_item_mean(v.select("entity", "item", "value").join(members.select("entity"), "entity", "left_semi")).filter(F.col("value").isNotNull())
+    cells = impute_item_mean(v.select("entity", "item", "value").join(members.select("entity"), "entity", "left_semi"))
+    cells = materialise(cells.filter(F.col("value").isNotNull()))
     sizes = members.groupBy("label").agg((1.0 / F.count(F.lit(1))).alias("w"))
     coded = ordered_rank(sizes, [], [("label", "asc")], "code")
     drawn = permuted_labels(members, n_perm, seed).join(coded, "label")

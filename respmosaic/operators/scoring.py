@@ -26,8 +26,8 @@ def fit_markov(seqs: DataFrame, k: int = 2, alpha: float = 1.0) -> DataFrame:
 
     Every context of the alphabet is present, so unseen words get their smoothed value.
     """
-    words = seqs.select("entity", F.explode(windows(chars("seq"), k + 1)).alias("w"))
-    counts = words.groupBy("entity", "w").agg(F.count(F.lit(1)).alias("n"))
+    words = seqs.select("entity", F.explode_outer(windows(chars("seq"), k + 1)).alias("w"))
+    counts = words.filter(F.col("w").isNotNull()).groupBy("entity", "w").agg(F.count(F.lit(1)).alias("n"))
     alphabet = F.array(*[F.lit(w) for w in kmer_names(k + 1)])
     grid = seqs.select("entity").distinct().select("entity", F.explode(alphabet).alias("w"))
     full = grid.join(counts, ["entity", "w"], "left").fillna(0, ["n"])
@@ -45,7 +45,8 @@ def _dense(counts: DataFrame, keys: Sequence[str], names: Sequence[str], word: s
 
 
 def word_vectors(panel: DataFrame, letters: Column, k: int, names: Sequence[str]) -> DataFrame:
-    counts = panel.select("item", F.explode(windows(letters, k)).alias("w")).groupBy("item", "w").agg(F.count(F.lit(1)).alias("n"))
+    words = panel.select("item", F.explode_outer(windows(letters, k)).alias("w")).filter(F.col("w").isNotNull())
+    counts = words.groupBy("item", "w").agg(F.count(F.lit(1)).alias("n"))
     return _dense(counts, ["item"], names, "w", "n")
 
 
@@ -77,7 +78,7 @@ def score_ar(model: DataFrame, panel: DataFrame, k: int = 2, length_override: st
 
 def ar_positions(model: DataFrame, panel: DataFrame, k: int = 2) -> DataFrame:
     """Per-position log-probabilities in long form: ``entity, item, pos, logp``."""
-    words = panel.select("item", F.posexplode(windows(chars("seq"), k + 1)).alias("_i", "w"))
+    words = panel.select("item", F.posexplode_outer(windows(chars("seq"), k + 1)).alias("_i", "w"))
     keyed = model.select("entity", F.concat("ctx", "next").alias("w"), "logp")
     return words.join(keyed, "w").select("entity", "item", (F.col("_i") + k).alias("pos"), "logp")
 
@@ -93,7 +94,7 @@ def triple_names() -> list[str]:
 def fit_masked(seqs: DataFrame, alpha: float = 1.0) -> DataFrame:
     """``entity, lft, mid, rgt, n, logp``: smoothed log p(mid | left, right) per entity."""
     usable = seqs.filter(F.length("seq") > 0)
-    counts = usable.select("entity", F.explode(windows(_edged("seq"), 3)).alias("w")).groupBy("entity", "w").agg(F.count(F.lit(1)).alias("n"))
+    counts = usable.select("entity", F.explode_outer(windows(_edged("seq"), 3)).alias("w")).groupBy("entity", "w").agg(F.count(F.lit(1)).alias("n"))
     alphabet = F.array(*[F.lit(w) for w in triple_names()])
     grid = usable.select("entity").distinct().select("entity", F.explode(alphabet).alias("w"))
     full = grid.join(counts, ["entity", "w"], "left").fillna(0, ["n"])
@@ -121,7 +122,7 @@ def score_pll(model: DataFrame, panel: DataFrame, stride: int = 6, content_lengt
     size = F.length("seq")
     n = F.least(F.col(content_length), size) if content_length else size
     words = F.slice(windows(_edged("seq"), 3), F.lit(1), n)
-    counted = usable.select("item", n.alias("_n"), F.explode(words).alias("w")).groupBy("item", "w").agg(F.count(F.lit(1)).alias("n"))
+    counted = usable.select("item", n.alias("_n"), F.explode_outer(words).alias("w")).groupBy("item", "w").agg(F.count(F.lit(1)).alias("n"))
     items = _dense(counted, ["item"], names, "w", "n")
     weights = _dense(model.withColumn("w", F.concat("lft", "mid", "rgt")), ["entity"], names, "w", "logp")
     scored = dot_products(items.withColumnRenamed("item", "l"), weights.withColumnRenamed("entity", "r"))
@@ -185,10 +186,11 @@ def embed_split(df: DataFrame, vector: Column, key: str, label: str) -> DataFram
     The size is the one every successful row has; differing sizes or no success raise.
     """
     rows = df.select(key, F.col(label).alias("label"), vector.alias("features"))
-    size = F.when(F.col("features").isNotNull(), F.size("features"))
+    size = F.array_size("features")
     bounds = rows.agg(F.struct(F.min(size).alias("lo"), F.max(size).alias("hi")).alias("s"))
-    checked = rows.withColumn("_s", bounds.scalar())
-    bad = F.coalesce(F.col("_s.lo") != F.col("_s.hi"), F.lit(True))
-    dim = F.when(bad, F.raise_error(F.lit("vectors of one split must share one size")).cast("int")).otherwise(F.col("_s.lo"))
-    filled = F.coalesce("features", F.array_repeat(F.lit(None).cast("double"), dim))
-    return checked.select(key, "label", F.when(bad, F.raise_error(F.lit("vectors of one split must share one size")).cast("array<double>")).otherwise(filled).alias("features"))
+    same = F.coalesce(F.col("_s.lo") == F.col("_s.hi"), F.lit(False))
+    message = F.lit("vectors of one split must share one size")
+    dim = F.when(same, F.col("_s.lo")).otherwise(F.raise_error(message).cast("int"))
+    filled = F.coalesce("features", F.array_repeat(F.lit(None).cast("double"), F.col("_dim")))
+    sized = rows.withColumn("_s", bounds.scalar()).withColumn("_dim", dim)
+    return sized.select(key, "label", F.when(F.col("_dim") > 0, filled).alias("features"))

@@ -17,7 +17,7 @@ def score_stream(spark: SparkSession, path: str, schema: str = SCORE_SCHEMA) ->
 def entity_states(seen: DataFrame, items: DataFrame) -> DataFrame:
     """DONE when the gate passes, else PARTIAL with its reason."""
     gate = coverage_gate(seen, items)
-    return gate.select("entity", F.when("ok", "DONE").otherwise("PARTIAL").alias("state"), "reason", "n_finite", "n_panel")
+    return gate.select("entity", F.when(F.col("ok"), "DONE").otherwise("PARTIAL").alias("state"), "reason", "n_finite", "n_panel")
 
 
 def run_stream_coverage(spark: SparkSession, source: str, store: str, checkpoint: str, schema: str = SCORE_SCHEMA):
