@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from respmosaic.plans.correlation import correlation
+
 
 def require_empty(bad: DataFrame, message: str, show: int = 5) -> None:
     """Raise with at most ``show`` offending rows when ``bad`` has any."""
@@ -227,7 +229,7 @@ def rerun_stability(run1: DataFrame, run2: DataFrame, by: Sequence[str] = ("enti
         F.count(gap).alias("n_finite"),
         F.max(gap).alias("max_abs_diff"),
         F.avg(gap).alias("mean_abs_diff"),
-        F.corr(F.when(both, F.col("_a")), F.when(both, F.col("_b"))).alias("_r"),
+        correlation("_a", "_b").alias("_r"),
         F.stddev_pop(F.when(both, F.col("_a"))).alias("_sa"),
         F.stddev_pop(F.when(both, F.col("_b"))).alias("_sb"),
         F.bool_and(F.when(both, gap <= near)).alias("_same"),

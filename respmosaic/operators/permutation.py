@@ -74,6 +74,8 @@ def permutation_shares(v: DataFrame, labels: DataFrame, n_perm: int, seed: int,
         if pdf.empty:
             return empty
         na, nb, d, _ = tile_sums(pdf, key[0], key[1])
+        if not len(na) or not len(nb):
+            return empty
         if key[0] == key[1]:
             d = np.triu(d, 1)
         by_name = drawn_pdf.set_index("member")

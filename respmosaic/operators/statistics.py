@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from respmosaic.operators.distance import pairwise_sq_distance
 from respmosaic.operators.matrix import CLIP_QUANTILE, fit_matrix
-from respmosaic.plans.correlation import safe_pearson, spearman
+from respmosaic.plans.correlation import correlation, intercept, safe_pearson, slope, spearman
 from respmosaic.plans.quantiles import quantile_columns
 from respmosaic.plans.ranking import ordered_rank, with_average_rank
 from respmosaic.plans.stable import materialise, stable
@@ -188,9 +188,9 @@ def compare_distances(d: DataFrame, side: str, first, second, by: Sequence[str]
     ).dropna(subset=["x", "y"])
     return pairs.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_pairs"),
-        F.corr("x", "y").alias("pearson"),
-        F.regr_slope("y", "x").alias("slope"),
-        F.regr_intercept("y", "x").alias("intercept"),
+        correlation("x", "y").alias("pearson"),
+        slope("y", "x").alias("slope"),
+        intercept("y", "x").alias("intercept"),
     )
 
 
@@ -200,7 +200,7 @@ def geometry_preserved(v: DataFrame, branch: str = "branch", clip_q: float = CLI
     joint = pairwise_sq_distance(fit_matrix(v, clip_q).values, [branch]).withColumnRenamed("d", "joint")
     pairs = materialise(own.join(joint, [branch, "entity_i", "entity_j"]))
     base = pairs.groupBy(branch).agg(
-        F.count(F.lit(1)).alias("n_pairs"), F.corr("own", "joint").alias("pearson"), (F.avg("joint") / F.avg("own")).alias("mean_ratio")
+        F.count(F.lit(1)).alias("n_pairs"), correlation("own", "joint").alias("pearson"), (F.avg("joint") / F.avg("own")).alias("mean_ratio")
     )
     rho = spearman(pairs, "own", "joint", [branch]).select(branch, "spearman")
     medians = quantile_columns(pairs, "own", {"_a": 0.5}, [branch]).join(quantile_columns(pairs, "joint", {"_b": 0.5}, [branch]), branch)
@@ -321,8 +321,7 @@ def gc_axis(loadings: DataFrame, attrs: DataFrame, threshold: float = 0.7) -> Da
     r = (
         loadings.join(attrs, "item")
         .groupBy("pc")
-        .agg(F.corr("loading", "attr").alias("_r"), F.stddev_pop("loading").alias("_s"), F.stddev_pop("attr").alias("_a"))
-        .select("pc", F.when((F.col("_s") > 0) & (F.col("_a") > 0), F.col("_r")).otherwise(0.0).alias("r"))
+        .agg(F.coalesce(correlation("loading", "attr"), F.lit(0.0)).alias("r"))
         .withColumn("dominated", F.abs("r") > threshold)
     )
     first = r.agg(F.coalesce(F.min(F.when(~F.col("dominated"), F.col("pc"))), F.lit(-1)).alias("f"))

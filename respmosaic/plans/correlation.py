@@ -11,12 +11,34 @@ from respmosaic.plans.ranking import value_ranks
 from respmosaic.plans.stable import stable
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson r over rows where both are present; null when either side is constant.
+
+    Spark's own ``corr`` raises on a constant side under ANSI arithmetic.
+    """
+    cx, cy = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    both = cx.isNotNull() & cy.isNotNull()
+    gx, gy = F.when(both, cx), F.when(both, cy)
+    sx, sy = F.stddev_pop(gx), F.stddev_pop(gy)
+    return F.when((sx > 0) & (sy > 0), F.covar_pop(gx, gy) / (sx * sy))
+
+
+def slope(y: str, x: str) -> Column:
+    """Least-squares slope over complete pairs; null for a constant x."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    gx, gy = F.when(both, F.col(x)), F.when(both, F.col(y))
+    return F.when(F.var_pop(gx) > 0, F.covar_pop(gx, gy) / F.var_pop(gx))
+
+
+def intercept(y: str, x: str) -> Column:
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    return F.avg(F.when(both, F.col(y))) - slope(y, x) * F.avg(F.when(both, F.col(x)))
+
+
 def safe_pearson(x: str, y: str, min_n: int = 3) -> Column:
     """Null when fewer than ``min_n`` pairs or either side is constant."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    gx, gy = F.when(both, F.col(x)), F.when(both, F.col(y))
-    usable = (F.count(gx) >= min_n) & (F.stddev_pop(gx) > 0) & (F.stddev_pop(gy) > 0)
-    return F.when(usable, F.corr(gx, gy))
+    return F.when(F.count_if(both) >= min_n, correlation(x, y))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), out: str = "spearman", min_n: int = 3) -> DataFrame:
