@@ -293,8 +293,9 @@ def filename_label(files: DataFrame) -> DataFrame:
 
 
 def format_range(lo: Column, hi: Column) -> Column:
-    return F.when(lo == hi, F.format_string("%d", lo)).otherwise(F.format_string("%d–%d", lo, hi))
+    text = F.when(lo == hi, F.format_string("%d", lo)).otherwise(F.format_string("%d–%d", lo, hi))
+    return F.when(lo.isNotNull() & hi.isNotNull(), text)
 
 
 def format_median_iqr(median: Column, q25: Column, q75: Column, digits: int = 2) -> Column:
-    return F.format_string(f"%.{digits}f (%.{digits}f–%.{digits}f)", median, q25, q75)
+    return F.when(median.isNotNull(), F.format_string(f"%.{digits}f (%.{digits}f–%.{digits}f)", median, q25, q75))

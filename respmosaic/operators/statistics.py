@@ -240,8 +240,8 @@ def average_predictions(pred: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def format_mean_std(mean, std, digits: int = 3):
-    """``m ± s`` cells."""
-    return F.format_string(f"%.{digits}f ± %.{digits}f", mean, std)
+    """``m ± s`` cells, null when either part is."""
+    return F.when(mean.isNotNull() & std.isNotNull(), F.format_string(f"%.{digits}f ± %.{digits}f", mean, std))
 
 
 def metric_table(summary: DataFrame, keys: Sequence[str], tasks: Sequence[str], metrics: Sequence[str] = ("pearson", "spearman")) -> DataFrame:
