@@ -1,7 +1,7 @@
 """Sequence functions as column expressions (no Python per row).
 
-Long texts: characters are split once and windows are built with ``zip_with``, which is
-linear in the text; repeated ``substr`` would rescan it from the start for every window.
+Long texts: overlapping words come from a look-ahead pattern in one pass; repeated ``substr``
+would rescan the text from its start for every word.
 """
 
 from __future__ import annotations
@@ -61,18 +61,13 @@ def gc_bin(gc: Column | str) -> Column:
     return out.otherwise(GC_LABELS[-1])
 
 
-def chars(c: Column | str) -> Column:
-    """Letters of a string as an array (empty array for an empty string)."""
-    return F.when(F.length(_col(c)) > 0, F.split(_col(c), "")).otherwise(F.array().cast("array<string>"))
+def windows(c: Column | str, k: int, letters: str = ".") -> Column:
+    """All overlapping k-letter words of a text, in order, from one pattern pass.
 
-
-def windows(letters: Column, k: int) -> Column:
-    """All overlapping k-letter words of a letter array, in order."""
-    out = letters
-    for j in range(1, k):
-        left = F.greatest(F.size(letters) - j, F.lit(0))
-        out = F.zip_with(F.slice(out, F.lit(1), left), F.slice(letters, F.lit(j + 1), left), lambda a, b: F.concat(a, b))
-    return out
+    The capture sits in a look-ahead, so every start position matches. ``letters`` is a
+    pattern for one letter; words with other letters are skipped.
+    """
+    return F.regexp_extract_all(_col(c), F.lit(f"(?s)(?=({letters}{{{k}}}))"), F.lit(1))
 
 
 def kmer_count_array(c: Column | str, k: int) -> Column:
@@ -103,8 +98,8 @@ def trinuc_vec(c: Column | str) -> Column:
 def kmer_table(df: DataFrame, key: Sequence[str], seq: str, k: int) -> DataFrame:
     """Sparse ``(*key, kmer, n)`` for any k; partial sums shrink it before the shuffle."""
     # The outer form: a plain explode makes the optimiser test the array in a second evaluation.
-    words = df.select(*key, F.explode_outer(windows(chars(seq), k)).alias("kmer"))
-    return words.filter(F.col("kmer").rlike(f"^[ACGT]{{{k}}}$")).groupBy(*key, "kmer").agg(F.count(F.lit(1)).alias("n"))
+    words = df.select(*key, F.explode_outer(windows(seq, k, f"[{BASES}]")).alias("kmer"))
+    return words.filter(F.col("kmer").isNotNull()).groupBy(*key, "kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
 def kmer_features(df: DataFrame, key: str, seq: str, k_min: int = 2, k_max: int = 3, transform: str = "zscore") -> DataFrame:
@@ -138,7 +133,7 @@ def overlapping_kmers(c: Column | str, k: int) -> Column:
     """Space-joined overlapping words; raises on a sequence shorter than k."""
     s = _col(c)
     short = F.raise_error(F.concat(F.lit(f"sequence shorter than {k}: "), s))
-    return F.when(F.length(s) < k, short.cast("string")).otherwise(F.array_join(windows(chars(s), k), " "))
+    return F.when(F.length(s) < k, short.cast("string")).otherwise(F.array_join(windows(s, k), " "))
 
 
 def codons(c: Column | str) -> Column:

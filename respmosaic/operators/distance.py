@@ -14,7 +14,7 @@ from respmosaic.plans.quantiles import quantile_columns
 from respmosaic.plans.stable import materialise
 
 ENTITY_BLOCK = 1024
-ITEM_BLOCK = 4096
+ITEM_BLOCK = 2048
 
 
 def block_axes(v: DataFrame, entity_block: int, item_block: int) -> DataFrame:

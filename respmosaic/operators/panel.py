@@ -11,6 +11,7 @@ from respmosaic.functions.names import assign_species
 from respmosaic.operators.filters import make_item_rows, usable_items
 from respmosaic.plans.quantiles import quantile_columns
 from respmosaic.plans.ranking import hash_rank, ordered_rank
+from respmosaic.plans.stable import materialise
 
 
 def sample_quota(df: DataFrame, by: Sequence[str], key: str, n, seed: int) -> DataFrame:
@@ -67,11 +68,16 @@ def build_panel(records: DataFrame, spec: DataFrame, seed: int = 42, lo: int = 1
     Validation precedes sampling, so no oversampling round is needed to reach a quota.
     """
     pool = panel_pool(records, spec, lo, hi).withColumn("_key", F.concat_ws("#", "dataset", F.col("row_idx").cast("string")))
-    picked = balanced_rank(pool, ["dataset"], "label", "per_label", "_key", seed).filter(F.col("rank") <= F.col("target_n"))
+    # Only keys are ranked; texts are read once to validate and once to emit the chosen rows.
+    keys = materialise(pool.select("dataset", "label", "per_label", "target_n", "stratum", "position", "_key"))
+    ranked = balanced_rank(keys, ["dataset"], "label", "per_label", "_key", seed).filter(F.col("rank") <= F.col("target_n"))
+    chosen = materialise(ranked.select("dataset", "_key", "stratum", "position", "rank"))
+    numbered = number_items(chosen, "stratum", [("position", "asc"), ("rank", "asc")]).select("dataset", "_key", "probe_id")
+    picked = pool.join(numbered, ["dataset", "_key"])
     species = assign_species("species", "stratum_species", "stratum", "label")
     rows = picked.withColumn("species", species).withColumn("label_source", F.col("policy"))
     rows = rows.withColumn("source", F.concat(F.col("dataset"), F.lit("#row_"), F.col("row_idx").cast("string")))
-    return make_item_rows(number_items(rows, "stratum", [("position", "asc"), ("rank", "asc")]).drop("crop_to"), lo, hi)
+    return make_item_rows(rows.drop("crop_to"), lo, hi)
 
 
 def scale_spec(spec: DataFrame, factor: float) -> DataFrame:

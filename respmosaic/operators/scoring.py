@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from respmosaic.functions.text import BASES, chars, kmer_names, windows
+from respmosaic.functions.text import BASES, kmer_names, windows
 from respmosaic.plans.products import dot_products
 
 EDGE_LEFT, EDGE_RIGHT = "^", "$"
@@ -26,7 +26,7 @@ def fit_markov(seqs: DataFrame, k: int = 2, alpha: float = 1.0) -> DataFrame:
 
     Every context of the alphabet is present, so unseen words get their smoothed value.
     """
-    words = seqs.select("entity", F.explode_outer(windows(chars("seq"), k + 1)).alias("w"))
+    words = seqs.select("entity", F.explode_outer(windows("seq", k + 1)).alias("w"))
     counts = words.filter(F.col("w").isNotNull()).groupBy("entity", "w").agg(F.count(F.lit(1)).alias("n"))
     alphabet = F.array(*[F.lit(w) for w in kmer_names(k + 1)])
     grid = seqs.select("entity").distinct().select("entity", F.explode(alphabet).alias("w"))
@@ -44,8 +44,8 @@ def _dense(counts: DataFrame, keys: Sequence[str], names: Sequence[str], word: s
     return packed.select(*keys, F.transform(order, lambda n: F.coalesce(F.col("_m")[n], F.lit(0.0))).alias("vec"))
 
 
-def word_vectors(panel: DataFrame, letters: Column, k: int, names: Sequence[str]) -> DataFrame:
-    words = panel.select("item", F.explode_outer(windows(letters, k)).alias("w")).filter(F.col("w").isNotNull())
+def word_vectors(panel: DataFrame, k: int, names: Sequence[str]) -> DataFrame:
+    words = panel.select("item", F.explode_outer(windows("seq", k)).alias("w")).filter(F.col("w").isNotNull())
     counts = words.groupBy("item", "w").agg(F.count(F.lit(1)).alias("n"))
     return _dense(counts, ["item"], names, "w", "n")
 
@@ -65,7 +65,7 @@ def score_ar(model: DataFrame, panel: DataFrame, k: int = 2, length_override: st
     usable = panel.filter(F.length("seq") > 0)
     names = kmer_names(k + 1)
     weights = _dense(model.withColumn("w", F.concat("ctx", "next")), ["entity"], names, "w", "logp")
-    items = usable.select("item").join(word_vectors(usable, chars("seq"), k + 1, names), "item", "left")
+    items = usable.select("item").join(word_vectors(usable, k + 1, names), "item", "left")
     items = items.withColumn("vec", F.coalesce("vec", F.array_repeat(F.lit(0.0), len(names))))
     scored = dot_products(items.withColumnRenamed("item", "l"), weights.withColumnRenamed("entity", "r"))
     scored = scored.select(F.col("r").alias("entity"), F.col("l").alias("item"), F.col("value").alias("sum_log_p"))
@@ -78,13 +78,13 @@ def score_ar(model: DataFrame, panel: DataFrame, k: int = 2, length_override: st
 
 def ar_positions(model: DataFrame, panel: DataFrame, k: int = 2) -> DataFrame:
     """Per-position log-probabilities in long form: ``entity, item, pos, logp``."""
-    words = panel.select("item", F.posexplode_outer(windows(chars("seq"), k + 1)).alias("_i", "w"))
+    words = panel.select("item", F.posexplode_outer(windows("seq", k + 1)).alias("_i", "w"))
     keyed = model.select("entity", F.concat("ctx", "next").alias("w"), "logp")
     return words.join(keyed, "w").select("entity", "item", (F.col("_i") + k).alias("pos"), "logp")
 
 
 def _edged(seq: str) -> Column:
-    return F.concat(F.array(F.lit(EDGE_LEFT)), chars(seq), F.array(F.lit(EDGE_RIGHT)))
+    return F.concat(F.lit(EDGE_LEFT), F.col(seq), F.lit(EDGE_RIGHT))
 
 
 def triple_names() -> list[str]:

@@ -11,6 +11,7 @@ from respmosaic.operators.distance import pairwise_sq_distance
 from respmosaic.operators.matrix import CLIP_QUANTILE, fit_matrix
 from respmosaic.operators.statistics import compare_distances
 from respmosaic.plans.ranking import hash_rank, seeded_key
+from respmosaic.plans.stable import materialise
 
 
 def with_seeds(df: DataFrame, seeds: Sequence[int]) -> DataFrame:
@@ -58,7 +59,9 @@ def disjoint_halves(panel: DataFrame, seeds: Sequence[int]) -> DataFrame:
 
 def split_half(v: DataFrame, halves: DataFrame, clip_q: float = CLIP_QUANTILE, pipeline: bool = True) -> DataFrame:
     """Agreement of half-panel distances per seed; all seeds and halves are one plan."""
-    keyed = v.join(halves.select("seed", "half", "item"), "item")
+    # The halves are one short row per item and seed; V itself is joined, not copied.
+    halves = materialise(halves.select("seed", "half", "item"))
+    keyed = v.join(halves, "item")
     key = ["seed", "half"]
     values = fit_matrix(keyed, clip_q, key).values if pipeline else keyed
     return compare_distances(pairwise_sq_distance(values, key), "half", "a", "b", ["seed"])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from respmosaic.operators.distance import pairwise_sq_distance
-from respmosaic.operators.matrix import CLIP_QUANTILE, fit_matrix
+from respmosaic.operators.matrix import CLIP_QUANTILE, complete_grid, fit_matrix
 from respmosaic.plans.correlation import correlation, intercept, safe_pearson, slope, spearman
 from respmosaic.plans.quantiles import quantile_columns
 from respmosaic.plans.ranking import ordered_rank, with_average_rank
@@ -294,10 +294,8 @@ def valid_auc():
 def auc_matrix(results: DataFrame) -> DataFrame:
     """Long ``entity, task, auc`` over every axis value any result names; null elsewhere.
 
-    The task axis is a spec-sized list; each entity row is expanded over it.
     """
-    axis = results.agg(F.collect_set("task").alias("t"))
-    grid = results.select("entity").distinct().withColumn("task", F.explode(axis.scalar()))
+    grid = complete_grid(results.select("entity"), results.select(F.col("task").alias("item"))).withColumnRenamed("item", "task")
     valid = results.withColumn("auc", valid_auc()).groupBy("entity", "task").agg(F.max("auc").alias("auc"))
     return grid.join(valid, ["entity", "task"], "left")
 

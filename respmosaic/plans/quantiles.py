@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 20_000
+ACCURACY = 50_000
 # Groups up to this size are ordered whole; above it the margin spans several ranks.
 WHOLE = 50_000
 
