@@ -53,13 +53,22 @@ def hash_rank(df: DataFrame, by: Sequence[str], seed: int | str, keys: Sequence[
     return _number_in_buckets(keyed, list(by), ["_b"], order, out).drop("_h")
 
 
-def _numeric_proxy(df: DataFrame, name: str) -> Column:
-    """A double that never decreases when ``name`` increases (strings: first six bytes)."""
-    dtype = df.schema[name].dataType
+def _order_proxy(df: DataFrame, name: str) -> tuple[Column, bool]:
+    """A number that never decreases when ``name`` increases, and whether it is one-to-one.
+
+    Text is represented by its first six bytes, so different texts may share a number.
+    """
+    dtype, c = df.schema[name].dataType, F.col(name)
     if isinstance(dtype, T.StringType):
-        padded = F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 6)), 12, "0")
-        return F.conv(padded, 16, 10).cast("double")
-    return F.col(name).cast("double")
+        padded = F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0")
+        return F.conv(padded, 16, 10).cast("long"), False
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(c), True
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(c), True
+    if isinstance(dtype, T.BooleanType):
+        return c.cast("int"), True
+    return c, True
 
 
 def _bucket_of(value: Column, bounds: Column) -> Column:
@@ -86,10 +95,12 @@ def ordered_rank(df: DataFrame, by: Sequence[str], order: Sequence[tuple[str, st
     by = list(by)
     first, direction = order[0]
     df = stable(df, first)
-    proxied = df.withColumn("_ord", _numeric_proxy(df, first) * (1 if direction == "asc" else -1))
-    if len(order) > 1:
+    proxy, exact = _order_proxy(df, first)
+    proxied = df.withColumn("_ord", proxy if direction == "asc" else -proxy)
+    if len(order) > 1 and exact:
         tie, tie_direction = order[1]
-        proxied = proxied.withColumn("_tie", _numeric_proxy(df, tie) * (1 if tie_direction == "asc" else -1))
+        second = _order_proxy(df, tie)[0].cast("double")
+        proxied = proxied.withColumn("_tie", second if tie_direction == "asc" else -second)
     else:
         proxied = proxied.withColumn("_tie", F.lit(0.0))
     spread = F.struct(F.min("_tie").alias("lo"), F.max("_tie").alias("hi")).alias("_span")
@@ -115,7 +126,7 @@ def running_total(df: DataFrame, by: Sequence[str], value: str, amount: str, out
     ``value`` must be distinct inside a group (pre-aggregate first) and stored when float.
     """
     by = list(by)
-    proxied = df.withColumn("_ord", _numeric_proxy(df, value))
+    proxied = df.withColumn("_ord", _order_proxy(df, value)[0])
     bucketed = _with_bounds(proxied, by, "_ord").withColumn("_b", _bucket_of(F.col("_ord"), F.col("_bounds"))).drop("_ord", "_bounds")
     inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

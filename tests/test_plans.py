@@ -47,6 +47,20 @@ def test_ordered_rank_text_and_nulls(spark):
     assert got == ["", "abcdefga", "abcdefgh", "b", "ü", None]
 
 
+def test_ordered_rank_text_first_with_a_shared_prefix(spark):
+    rows = [(f"Customer#{i % 50:06d}", (i * 7) % 13, i) for i in range(200)]
+    df = spark.createDataFrame(rows, "s string, t int, k int")
+    got = [r["k"] for r in ordered_rank(df, [], [("s", "asc"), ("t", "desc"), ("k", "asc")]).orderBy("rank").collect()]
+    assert got == [k for _, _, k in sorted(rows, key=lambda r: (r[0], -r[1], r[2]))]
+
+
+def test_ordered_rank_long_values_beyond_double_precision(spark):
+    base = 2**60
+    rows = [(base + i, -i) for i in range(150)]
+    df = spark.createDataFrame(rows, "a long, b long").repartition(3)
+    assert [r["a"] - base for r in ordered_rank(df, [], [("a", "asc"), ("b", "asc")]).orderBy("rank").collect()] == list(range(150))
+
+
 def test_hash_rank_is_a_permutation_per_group(hot):
     pdf, df = hot
     ranked = hash_rank(df, ["g"], 1, ["k"]).toPandas()
