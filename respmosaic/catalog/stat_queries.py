@@ -200,7 +200,7 @@ def g20(spark, sf):
 
 @query(
     "t15_metric_table",
-    f"""WITH {LAB}, {PRED}, {METRICS}, {SUMMARY}, c AS (SELECT split, task, 'pearson' AS metric, printf('%.3f ± %.3f', pearson_mean, pearson_std) AS cell FROM sm UNION ALL SELECT split, task, 'spearman', printf('%.3f ± %.3f', spearman_mean, spearman_std) FROM sm)
+    f"""WITH {LAB}, {PRED}, {METRICS}, {SUMMARY}, c AS (SELECT split, task, 'pearson' AS metric, printf('%.3f ± %.3f', round(pearson_mean,3)+0.0, pearson_std) AS cell FROM sm UNION ALL SELECT split, task, 'spearman', printf('%.3f ± %.3f', round(spearman_mean,3)+0.0, spearman_std) FROM sm)
  SELECT split, metric, max(cell) FILTER (task = 'q') AS q, max(cell) FILTER (task = 't') AS t, max(cell) FILTER (task = '__mean_auc__') AS __mean_auc__ FROM c GROUP BY 1,2""",
 )
 def t15(spark, sf):

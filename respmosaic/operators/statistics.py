@@ -240,8 +240,8 @@ def average_predictions(pred: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def format_mean_std(mean, std, digits: int = 3):
-    """``m ± s`` cells, null when either part is; float noise around zero has no sign."""
-    mean = F.when(F.abs(mean) < 1e-9, 0.0).otherwise(mean)
+    """``m ± s`` cells, null when either part is; a mean that rounds to zero has no sign."""
+    mean = F.round(mean, digits) + F.lit(0.0)
     return F.when(mean.isNotNull() & std.isNotNull(), F.format_string(f"%.{digits}f ± %.{digits}f", mean, std))
 
 
