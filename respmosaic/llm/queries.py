@@ -55,3 +55,19 @@ def op10(spark, sf):
     from respmosaic.llm import bpe
 
     return bpe.digest(table(spark, sf, "documents"))
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, ''))::BIGINT AS n FROM pages),
+g AS (SELECT h, max(page_id) AS best FROM p WHERE n >= 1000 GROUP BY h)
+SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest,
+ CASE WHEN best IS NOT NULL AND coalesce(page_id < best, true) THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN best IS NOT NULL AND coalesce(page_id < best, true) THEN best END AS refers_to
+FROM p LEFT JOIN g USING (h)"""
+
+
+@query("op2_warc", OP2_SQL)
+def op2(spark, sf):
+    from respmosaic.llm import warc
+
+    return warc.digest(table(spark, sf, "pages"))
