@@ -71,3 +71,10 @@ def op2(spark, sf):
     from respmosaic.llm import warc
 
     return warc.digest(table(spark, sf, "pages"))
+
+
+@query("op4_toxicity")
+def op4(spark, sf):
+    from respmosaic.llm import toxicity
+
+    return toxicity.digest(table(spark, sf, "documents"), table(spark, sf, "labels"))
