@@ -78,3 +78,10 @@ def op4(spark, sf):
     from respmosaic.llm import toxicity
 
     return toxicity.digest(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op3_language")
+def op3(spark, sf):
+    from respmosaic.llm import language
+
+    return language.digest(table(spark, sf, "documents"))
