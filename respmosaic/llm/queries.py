@@ -85,3 +85,10 @@ def op3(spark, sf):
     from respmosaic.llm import language
 
     return language.digest(table(spark, sf, "documents"))
+
+
+@query("op5_quality")
+def op5(spark, sf):
+    from respmosaic.llm import quality
+
+    return quality.digest(table(spark, sf, "documents"), table(spark, sf, "labels"))
