@@ -92,3 +92,10 @@ def op5(spark, sf):
     from respmosaic.llm import quality
 
     return quality.digest(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op6_secrets")
+def op6(spark, sf):
+    from respmosaic.llm import secret_scan
+
+    return secret_scan.digest(table(spark, sf, "documents"))
