@@ -119,3 +119,34 @@ def op1(spark, sf):
     from respmosaic.llm import ngram_join
 
     return ngram_join.digest(table(spark, sf, "documents"))
+
+
+@query("op9_outliers")
+def op9(spark, sf):
+    from respmosaic.llm import outliers
+
+    return outliers.digest(table(spark, sf, "documents"))
+
+
+#: Two hex digits a byte; texts are cut into all their 100-byte strings.
+OP7_SQL = """
+WITH t AS (SELECT doc_id, row_number() OVER () AS r, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+s AS (SELECT doc_id, r, i, substr(x, (2 * i + 1)::INT, 200) AS g FROM (SELECT doc_id, r, x, unnest(range(0, length(x) // 2 - 99)) AS i FROM t WHERE length(x) >= 200)),
+f AS (SELECT md5(g) AS k, min((doc_id, i)) AS head FROM s GROUP BY k),
+d AS (SELECT r, i FROM s JOIN f ON md5(g) = k WHERE (doc_id, i) > head),
+b AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM d),
+n AS (SELECT r, sum(least(100, coalesce(i - p, 100))) AS n_removed, count(*) FILTER (WHERE p IS NULL OR i - p > 100) AS n_spans FROM b GROUP BY r),
+g AS (SELECT r, i, sum(CASE WHEN p IS NULL OR i - p > 100 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS k FROM b),
+e AS (SELECT r, k, min(i) AS lo, max(i) + 100 AS hi FROM g GROUP BY r, k),
+z AS (SELECT r, list(lo ORDER BY lo) AS los, list(hi ORDER BY lo) AS his FROM e GROUP BY r),
+kept AS (SELECT r, string_agg(substr(x, (2 * a + 1)::INT, (2 * (c - a))::INT), '' ORDER BY a) AS rest FROM
+ (SELECT r, x, unnest(list_concat([0], his)) AS a, unnest(list_concat(los, [length(x) // 2])) AS c FROM t JOIN z USING (r)) GROUP BY r)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+ sha256(unhex(coalesce(rest, x))) AS kept_sha256 FROM t LEFT JOIN n USING (r) LEFT JOIN kept USING (r)"""
+
+
+@query("op7_repeats", OP7_SQL)
+def op7(spark, sf):
+    from respmosaic.llm import repeats
+
+    return repeats.digest(table(spark, sf, "documents"))
