@@ -17,7 +17,7 @@ from respmosaic.llm.storage import store
 #: Fixed: words of a repeated window; the rules that fail a text outright.
 RUN, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 #: Concentration steps; rows a group needs to have an estimate of its own; squared distance beyond which a text is rejected.
-STEPS, LEAST_ROWS, CUTOFF = 3, 100, 80.0
+STEPS, LEAST_ROWS, CUTOFF = 3, 100, 60.0
 #: Coordinates: name, value, and the least standard deviation that is told from none (most texts have no symbols or repeats at all).
 VECTOR = (
     ("x0", lambda: F.log(F.col("n_words")), 0.8),
@@ -26,6 +26,7 @@ VECTOR = (
     ("x3", lambda: F.log1p(F.col("n_dup_lines")), 0.4),
     ("x4", lambda: F.log1p(100.0 * F.col("n_repeat_words") / F.col("n_words")), 0.6),
 )
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _P = len(VECTOR)
 #: Median of a chi-squared variable with as many degrees of freedom as there are coordinates.
 CHI_MEDIAN = {1: 0.4549, 2: 1.3863, 3: 2.3660, 4: 3.3567, 5: 4.3515}[_P]
@@ -34,8 +35,7 @@ _BLANK = r"\x20\x09-\x0D"
 
 def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` (long) appended; a null text has no words."""
-    new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    kept = [docs[f"`{c}`"] for c in docs.columns if c not in new]
+    kept = [docs[f"`{c}`"] for c in docs.columns if c not in STATISTICS]
     base = docs.select(*kept, F.coalesce(docs[text_col], F.lit("")).alias("__t"))
     lines = rf"filter(split(__t, '\n'), l -> l RLIKE r'[^{_BLANK}]')"
     step = base.withColumns(
@@ -131,11 +131,14 @@ def judge(docs: DataFrame, text_col: str = "text", group_cols: tuple[str, str] =
     own. Rows of groups below ``least_rows`` are judged with their language's other sparse rows, then with all sparse rows; a pool that
     is still too small rejects nothing. Repeated rows are judged alike.
     """
-    stats = text_statistics(docs, text_col).drop(text_col)
+    names = [c for c in docs.columns if c != text_col and c not in (*STATISTICS, "base_failed", "distance", "kept")]
+    row = F.struct(*[docs[f"`{c}`"] for c in names]) if names else F.struct(F.lit(None).cast("string").alias("none"))
+    packed = docs.select(row.alias("row"), docs[text_col].alias("body"), *(docs[c].cast("string").alias(f"site{i}") for i, c in enumerate(group_cols)))
+    stats = text_statistics(packed, "body").drop("body")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     stats = store(stats.withColumn("base_failed", failed), "mcd-statistics")
     good = stats.where(~F.col("base_failed")).withColumns({name: F.round(value(), 6) for name, value, _ in VECTOR})
-    rows = store(_keys(good, group_cols, least_rows), "mcd-rows")
+    rows = store(_keys(good, ("site0", "site1"), least_rows), "mcd-rows")
     slim = rows.where("key is not null").select("key", *(v[0] for v in VECTOR))
 
     # start: distance to the medians, by the scale of the median deviation
@@ -163,9 +166,9 @@ def judge(docs: DataFrame, text_col: str = "text", group_cols: tuple[str, str] =
     # the chosen half is narrower than the whole: scale distances so that their median is that of a normal sample
     middle = _bound(near, _bin(F.col("d")), 0.5, "middle").select("key", F.greatest(F.expm1((F.col("middle") + 1) / 50) / CHI_MEDIAN, F.lit(1.0)).alias("factor"))
     scored = _distances(rows, estimates).join(store(middle, "mcd-scale"), "key", "left").withColumn("distance", F.round(F.col("d") / F.col("factor"), 6))
-    names = stats.columns
-    judged = scored.select(*names, "distance", (F.coalesce("distance", F.lit(0.0)) <= cutoff).alias("kept"))
-    return judged.unionByName(stats.where("base_failed").select(*names, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept")))
+    judged = scored.select(*stats.columns, "distance", (F.coalesce("distance", F.lit(0.0)) <= cutoff).alias("kept"))
+    both = judged.unionByName(stats.where("base_failed").select("*", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept")))
+    return both.select(*(F.col("row").getField(c).alias(c) for c in names), *STATISTICS, "base_failed", "distance", "kept")
 
 
 def digest(docs: DataFrame) -> DataFrame:
