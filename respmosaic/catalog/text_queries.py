@@ -223,17 +223,18 @@ def c14(spark, sf):
 
 @query("c15_json_find_keys", "SELECT event_id, 'k' AS path, (props->>'$.k')::BIGINT AS found FROM events WHERE (props->>'$.k')::BIGINT > 0")
 def c15(spark, sf):
-    return names.json_find_keys(table(spark, sf, "events").select("event_id", "props"), "props", ["k"], 2).select("event_id", "path", "found")
+    return names.json_find_keys(table(spark, sf, "events").select("event_id", "props"), "props", ["k"]).select("event_id", "path", "found")
 
 
 @query(
     "c15_json_find_keys_nested",
     """SELECT event_id, 'model.text[0].max_seq_len' AS path, user_id AS found FROM events WHERE user_id > 0
- UNION ALL SELECT event_id, 'n_positions', event_id FROM events WHERE event_id > 0 AND event_id < 10000000""",
+ UNION ALL SELECT event_id, 'n_positions', event_id FROM events WHERE event_id > 0 AND event_id < 10000000
+ UNION ALL SELECT event_id, 'a.b.c.d.e.f.g.seq_length', event_id + 1 FROM events WHERE event_id + 1 < 10000000""",
 )
 def c15_nested(spark, sf):
     e = table(spark, sf, "events")
-    doc = F.format_string('{"n_positions": %d, "model": {"text": [{"max_seq_len": %d, "n_positions": true}], "max_seq_len": "x"}}', "event_id", "user_id")
+    doc = F.format_string('{"n_positions": %d, "model": {"text": [{"max_seq_len": %d, "n_positions": true}], "max_seq_len": "x"}, "a": {"b": {"c": {"d": {"e": {"f": {"g": {"seq_length": %d}}}}}}}}', "event_id", "user_id", F.col("event_id") + 1)
     return names.json_find_keys(e.select("event_id", doc.alias("doc")), "doc").select("event_id", "path", "found")
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -167,31 +169,36 @@ def estimate_params(config: Column | str) -> Column:
     return (12 * first_key(vocab.LAYER_KEYS) * first_key(vocab.HIDDEN_KEYS) * first_key(vocab.HIDDEN_KEYS)).cast("long")
 
 
-def json_find_keys(df: DataFrame, json: str, keys: Sequence[str] = vocab.CONTEXT_KEYS, depth: int = 4) -> DataFrame:
-    """Every wanted numeric key in nested JSON: ``*df.columns, path, found`` (one row each).
+def _walk(text: str | None, keys: frozenset[str]):
+    """``(path, number)`` of wanted keys at any depth, in document order; nothing for text that is not JSON."""
+    try:
+        root = json.loads(text, parse_constant=lambda name: None) if text is not None else None
+    except ValueError:
+        return
+    stack = [("", None, root)]
+    while stack:
+        path, key, value = stack.pop()
+        if isinstance(value, dict):
+            stack += [(f"{path}.{k}" if path else k, k, v) for k, v in reversed(value.items())]
+        elif isinstance(value, list):
+            stack += [(f"{path}[{i}]", None, v) for i, v in reversed(list(enumerate(value)))]
+        elif key in keys and isinstance(value, (int, float)) and not isinstance(value, bool) and 0 < value < 10_000_000:
+            yield path, int(value)
 
-    Values must be numbers in (0, 1e7), booleans excluded. Each level is one
-    ``variant_explode``; ``depth`` bounds the nesting that is walked.
+
+def json_find_keys(df: DataFrame, json: str, keys: Sequence[str] = vocab.CONTEXT_KEYS) -> DataFrame:
+    """Every wanted numeric key in nested JSON, at any depth: ``*df.columns, path, found`` (one row each).
+
+    Values must be numbers in (0, 1e7), booleans excluded. A document is parsed once.
     """
-    from functools import reduce
-
-    spark = df.sparkSession
-    base = df.columns
-    level = df.withColumn("_v", F.try_parse_json(json)).withColumn("_path", F.lit(""))
-    found = []
-    for _ in range(depth):
-        exploded = level.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer())).select(*base, "_path", "pos", "key", F.col("value").alias("_v"))
-        step = F.when(F.col("key").isNull(), F.format_string("%s[%d]", F.col("_path"), F.col("pos"))).otherwise(
-            F.when(F.col("_path") == "", F.col("key")).otherwise(F.concat_ws(".", "_path", "key"))
-        )
-        exploded = exploded.withColumn("_path", step)
-        kind = F.schema_of_variant("_v")
-        number = F.try_variant_get("_v", "$", "double")
-        numeric = kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
-        hit = F.col("key").isin(list(keys)) & numeric & (number > 0) & (number < 10_000_000)
-        found.append(exploded.filter(hit).select(*base, F.col("_path").alias("path"), number.cast("long").alias("found")))
-        level = exploded.filter(kind.startswith("OBJECT") | kind.startswith("ARRAY")).drop("pos", "key")
-    return reduce(DataFrame.unionByName, found)
+    wanted = frozenset(keys)
+
+    @F.pandas_udf("array<struct<path:string,found:bigint>>")
+    def find(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"path": p, "found": n} for p, n in _walk(t, wanted)] for t in texts])
+
+    hits = df.select(*df.columns, F.explode_outer(find(F.col(json).cast("string"))).alias("_hit"))
+    return hits.filter(F.col("_hit").isNotNull()).select(*df.columns, "_hit.path", "_hit.found")
 
 
 def file_stem(path: Column | str) -> Column:

@@ -12,6 +12,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from respmosaic.functions.words import vector_counts, vector_shares, word_counts
+
 BASES = "ACGT"
 # GC bin edges and their labels.
 GC_EDGES = (0.2, 0.4, 0.5, 0.6, 0.8)
@@ -71,20 +73,16 @@ def windows(c: Column | str, k: int, letters: str = ".") -> Column:
 
 
 def kmer_count_array(c: Column | str, k: int) -> Column:
-    """Counts of the 4^k words in lexicographic order, for k <= 3, without a shuffle.
+    """Counts of the 4^k words in lexicographic order, in one pass and without a shuffle.
 
-    A look-ahead pattern matches at every start, so overlapping words are all counted.
+    The vector is dense, so its length is the memory a text needs; use :func:`kmer_table` for long words.
     """
-    if k > 3:
-        raise ValueError("use kmer_table for k > 3")
-    return F.array(*[F.regexp_count(_col(c), F.lit(f"(?={w})")) for w in kmer_names(k)])
+    return vector_counts(_col(c), k, BASES)
 
 
 def kmer_vector(c: Column | str, k: int) -> Column:
     """Word frequencies; the zero vector when no valid word exists."""
-    total = F.regexp_count(_col(c), F.lit(f"(?=[{BASES}]{{{k}}})"))
-    paired = F.array_repeat(total, 4**k)
-    return F.zip_with(kmer_count_array(c, k), paired, lambda n, t: F.when(t > 0, n / t).otherwise(0.0))
+    return vector_shares(_col(c), k, BASES)
 
 
 def dinuc_vec(c: Column | str) -> Column:
@@ -97,9 +95,10 @@ def trinuc_vec(c: Column | str) -> Column:
 
 def kmer_table(df: DataFrame, key: Sequence[str], seq: str, k: int) -> DataFrame:
     """Sparse ``(*key, kmer, n)`` for any k; partial sums shrink it before the shuffle."""
+    usable = F.regexp_replace(F.col(seq), f"[^{BASES}]+", "N")
     # The outer form: a plain explode makes the optimiser test the array in a second evaluation.
-    words = df.select(*key, F.explode_outer(windows(seq, k, f"[{BASES}]")).alias("kmer"))
-    return words.filter(F.col("kmer").isNotNull()).groupBy(*key, "kmer").agg(F.count(F.lit(1)).alias("n"))
+    words = df.select(*key, F.explode_outer(word_counts(usable, k)).alias("_w")).select(*key, F.col("_w.w").alias("kmer"), F.col("_w.n").alias("_n"))
+    return words.filter(F.col("kmer").isNotNull() & ~F.col("kmer").contains("N")).groupBy(*key, "kmer").agg(F.sum("_n").alias("n"))
 
 
 def kmer_features(df: DataFrame, key: str, seq: str, k_min: int = 2, k_max: int = 3, transform: str = "zscore") -> DataFrame:
@@ -107,8 +106,8 @@ def kmer_features(df: DataFrame, key: str, seq: str, k_min: int = 2, k_max: int
 
     Feature moments are one small aggregation; a constant feature is scaled by 1.
     """
-    if not 1 <= k_min <= k_max <= 3:
-        raise ValueError("need 1 <= k_min <= k_max <= 3")
+    if not 1 <= k_min <= k_max:
+        raise ValueError("need 1 <= k_min <= k_max")
     if transform not in ("zscore", "hellinger"):
         raise ValueError(f"unknown transform {transform!r}")
     names = [w for k in range(k_min, k_max + 1) for w in kmer_names(k)]

@@ -27,6 +27,15 @@ FAMILY_RULES = (
     ("caduceus", "Caduceus"),
     ("plantbimoe", "PlantBiMoE"),
     ("evo2", "Evo2"),
+    ("evo-2", "Evo2"),
+    ("evo-1", "Evo1"),
+    ("evo-1.5", "Evo1"),
+    ("megadna", "MegaDNA"),
+    ("generator-v2", "GENERator"),
+    ("generator", "GENERator"),
+    ("generanno", "GENERanno"),
+    ("carbon", "Carbon"),
+    ("plasmidgpt", "PlasmidGPT"),
     ("genomeocean", "GenomeOcean"),
     ("genos", "Genos"),
     ("onegenome", "OneGenome"),

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from respmosaic.functions.text import BASES, kmer_names, windows
+from respmosaic.functions.words import word_counts
 from respmosaic.plans.products import dot_products
 
 EDGE_LEFT, EDGE_RIGHT = "^", "$"
@@ -26,8 +27,7 @@ def fit_markov(seqs: DataFrame, k: int = 2, alpha: float = 1.0) -> DataFrame:
 
     Every context of the alphabet is present, so unseen words get their smoothed value.
     """
-    words = seqs.select("entity", F.explode_outer(windows("seq", k + 1)).alias("w"))
-    counts = words.filter(F.col("w").isNotNull()).groupBy("entity", "w").agg(F.count(F.lit(1)).alias("n"))
+    counts = _counted(seqs, "entity", word_counts("seq", k + 1))
     alphabet = F.array(*[F.lit(w) for w in kmer_names(k + 1)])
     grid = seqs.select("entity").distinct().select("entity", F.explode(alphabet).alias("w"))
     full = grid.join(counts, ["entity", "w"], "left").fillna(0, ["n"])
@@ -36,6 +36,12 @@ def fit_markov(seqs: DataFrame, k: int = 2, alpha: float = 1.0) -> DataFrame:
     return full.withColumn("logp", F.log((F.col("n") + alpha) / (total + alpha * len(BASES))))
 
 
+def _counted(rows: DataFrame, key: str, words: Column) -> DataFrame:
+    """``key, w, n``: word counts of each key, summed up per text before the shuffle."""
+    found = rows.select(key, F.explode_outer(words).alias("_w")).select(key, "_w.w", "_w.n")
+    return found.filter(F.col("w").isNotNull()).groupBy(key, "w").agg(F.sum("n").alias("n"))
+
+
 def _dense(counts: DataFrame, keys: Sequence[str], names: Sequence[str], word: str, value: str) -> DataFrame:
     """Sparse (keys, word, value) -> one fixed-length vector per key in ``names`` order."""
     found = F.map_from_entries(F.collect_list(F.struct(F.col(word), F.col(value).cast("double"))))
@@ -45,9 +51,7 @@ def _dense(counts: DataFrame, keys: Sequence[str], names: Sequence[str], word: s
 
 
 def word_vectors(panel: DataFrame, k: int, names: Sequence[str]) -> DataFrame:
-    words = panel.select("item", F.explode_outer(windows("seq", k)).alias("w")).filter(F.col("w").isNotNull())
-    counts = words.groupBy("item", "w").agg(F.count(F.lit(1)).alias("n"))
-    return _dense(counts, ["item"], names, "w", "n")
+    return _dense(_counted(panel, "item", word_counts("seq", k)), ["item"], names, "w", "n")
 
 
 def with_likelihood_fields(scores: DataFrame, lengths: DataFrame, tokens: Column, base: Column) -> DataFrame:
@@ -94,7 +98,7 @@ def triple_names() -> list[str]:
 def fit_masked(seqs: DataFrame, alpha: float = 1.0) -> DataFrame:
     """``entity, lft, mid, rgt, n, logp``: smoothed log p(mid | left, right) per entity."""
     usable = seqs.filter(F.length("seq") > 0)
-    counts = usable.select("entity", F.explode_outer(windows(_edged("seq"), 3)).alias("w")).groupBy("entity", "w").agg(F.count(F.lit(1)).alias("n"))
+    counts = _counted(usable, "entity", word_counts(_edged("seq"), 3))
     alphabet = F.array(*[F.lit(w) for w in triple_names()])
     grid = usable.select("entity").distinct().select("entity", F.explode(alphabet).alias("w"))
     full = grid.join(counts, ["entity", "w"], "left").fillna(0, ["n"])
@@ -121,8 +125,7 @@ def score_pll(model: DataFrame, panel: DataFrame, stride: int = 6, content_lengt
     names = triple_names()
     size = F.length("seq")
     n = F.least(F.col(content_length), size) if content_length else size
-    words = F.slice(windows(_edged("seq"), 3), F.lit(1), n)
-    counted = usable.select("item", n.alias("_n"), F.explode_outer(words).alias("w")).groupBy("item", "w").agg(F.count(F.lit(1)).alias("n"))
+    counted = _counted(usable, "item", word_counts(F.substring(_edged("seq"), F.lit(1), n + 2), 3))
     items = _dense(counted, ["item"], names, "w", "n")
     weights = _dense(model.withColumn("w", F.concat("lft", "mid", "rgt")), ["entity"], names, "w", "logp")
     scored = dot_products(items.withColumnRenamed("item", "l"), weights.withColumnRenamed("entity", "r"))
