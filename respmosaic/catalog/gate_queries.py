@@ -259,10 +259,10 @@ def s4(spark, sf):
     return readers.read_task_split(spark, path, "train")
 
 
-@query("s5_read_scores", f"WITH {VN} SELECT grp AS entity, entity AS item, round(avg(value),6)+0.0 AS value FROM vn GROUP BY 1,2")
+@query("s5_read_scores", f"WITH {VN} SELECT '00' || grp AS entity, entity AS item, round(avg(value),6)+0.0 AS value FROM vn GROUP BY 1,2")
 def s5(spark, sf):
     path = scratch(spark)
-    scores = fx_vn(spark, sf).groupBy(F.col("grp").alias("entity"), F.col("entity").alias("item")).agg(F.avg("value").alias("value"))
+    scores = fx_vn(spark, sf).groupBy(F.concat(F.lit("00"), F.col("grp").cast("string")).alias("entity"), F.col("entity").alias("item")).agg(F.avg("value").alias("value"))
     sinks.write_scores(scores, path)
     return rounded(readers.read_scores(spark, path), "value")
 

@@ -41,6 +41,9 @@ def pair_tiles(v: DataFrame, by: Sequence[str], entity_block: int, item_block: i
 
 def _dense(pdf: pd.DataFrame, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     names, row = np.unique(pdf["entity"].to_numpy(), return_inverse=True)
+    if pdf.duplicated(["entity", "item"]).any():
+        again = pdf[pdf.duplicated(["entity", "item"])].iloc[0]
+        raise ValueError(f"entity {again['entity']!r} has item {again['item']!r} twice")
     x = np.full((len(names), len(items)), np.nan)
     x[row, np.searchsorted(items, pdf["item"].to_numpy())] = pdf["value"].to_numpy(dtype=float)
     seen = ~np.isnan(x)
@@ -53,12 +56,21 @@ def tile_sums(pdf: pd.DataFrame, bi: int, bj: int):
     left = _dense(pdf[pdf["_own"] == bi], items)
     right = left if bi == bj else _dense(pdf[pdf["_own"] == bj], items)
     (na, a, ma), (nb, b, mb) = left, right
+    # Distances do not change when an item's mean is taken out, and the products below lose far fewer digits.
+    mean = (a.sum(0) + b.sum(0)) / np.maximum(ma.sum(0) + mb.sum(0), 1.0)
+    a, b = (a - mean) * ma, (b - mean) * mb
     if ma.all() and mb.all():
         common = np.full((len(na), len(nb)), float(len(items)))
         ss = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
     else:
         common = ma @ mb.T
         ss = (a * a) @ mb.T + ma @ (b * b).T - 2.0 * (a @ b.T)
+    # What is small against the norms has lost its digits to cancellation: take those gaps directly.
+    near_i, near_j = np.nonzero(ss <= 1e-4 * ((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :]))
+    for part in np.array_split(np.arange(len(near_i)), max(1, len(near_i) * len(items) // (1 << 22))):
+        i, j = near_i[part], near_j[part]
+        gap = (a[i] - b[j]) * (ma[i] * mb[j])
+        ss[i, j] = (gap * gap).sum(1)
     return na, nb, np.maximum(ss, 0.0), common
 
 

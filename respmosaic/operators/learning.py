@@ -33,13 +33,13 @@ def _vectors(df: DataFrame) -> DataFrame:
     return df.withColumn("_x", array_to_vector(F.col("features").cast("array<double>")))
 
 
-def held_out_auc(scored: DataFrame, n_classes: int) -> float:
-    """AUC of the class-1 probability, or class-weighted one-vs-rest beyond two classes."""
+def held_out_auc(scored: DataFrame, n_classes: int) -> float | None:
+    """AUC of the class-1 probability, or class-weighted one-vs-rest beyond two classes; None where it is not defined."""
     p = vector_to_array("probability")
     if n_classes == 2:
-        return roc_auc(scored.select("label", p[1].alias("_s")), "_s", "label").first()["auc"] or 0.0
+        return roc_auc(scored.select("label", p[1].alias("_s")), "_s", "label").first()["auc"]
     long = scored.select("row", "label", F.posexplode(p).alias("class", "score"))
-    return ovr_weighted_auc(long).first()["auc"] or 0.0
+    return ovr_weighted_auc(long).first()["auc"]
 
 
 class RankAuc(Evaluator):
@@ -50,7 +50,8 @@ class RankAuc(Evaluator):
         self.n_classes = n_classes
 
     def _evaluate(self, dataset: DataFrame) -> float:
-        return held_out_auc(dataset, self.n_classes)
+        auc = held_out_auc(dataset, self.n_classes)
+        return float("nan") if auc is None else auc
 
     def isLargerBetter(self) -> bool:
         return True
@@ -63,6 +64,10 @@ class NoMetric(Evaluator):
         return 0.0
 
 
+def _defined(x: float) -> float | None:
+    return None if x != x else float(x)
+
+
 def _scaler() -> StandardScaler:
     return StandardScaler(inputCol="_x", outputCol="_z", withMean=True, withStd=True)
 
@@ -89,12 +94,12 @@ def linear_probe(train: DataFrame, test: DataFrame, c_grid: Sequence[float] = C_
     search = CrossValidator(
         estimator=pipeline, estimatorParamMaps=grid, evaluator=RankAuc(classes), numFolds=n_cv, foldCol="fold", parallelism=PARALLEL_FITS
     ).fit(data)
-    best = max(range(len(c_grid)), key=lambda i: (round(search.avgMetrics[i], 12), -i))
+    best = max(range(len(c_grid)), key=lambda i: (round(_defined(search.avgMetrics[i]) or 0.0, 12), -i))
     final = pipeline.copy({model.regParam: 1.0 / (c_grid[best] * n)}).fit(data)
     return {
         "auc_test": held_out_auc(final.transform(test), classes),
-        "auc_cv_mean": search.avgMetrics[best],
-        "auc_cv_std": search.stdMetrics[best],
+        "auc_cv_mean": _defined(search.avgMetrics[best]),
+        "auc_cv_std": _defined(search.stdMetrics[best]),
         "best_C": c_grid[best],
         "n_train": n,
         "n_test": gate["n_test"],
@@ -186,7 +191,7 @@ def loo_classify(rows: DataFrame, c_grid: Sequence[float] = (0.1, 1.0, 10.0), ki
         scored = [
             search.subModels[f][j].transform(data.filter(F.col("fold") == f)).select("row", "label", vector_to_array(column)[1].alias("score")) for f in range(n)
         ]
-        auc = roc_auc(reduce(DataFrame.unionByName, scored), "score", "label").first()["auc"] or 0.0
-        if not best or auc > best["auc"]:
+        auc = roc_auc(reduce(DataFrame.unionByName, scored), "score", "label").first()["auc"]
+        if not best or (auc is not None and (best["auc"] is None or auc > best["auc"])):
             best = {"auc": auc, "best_C": c, "n": n}
     return best

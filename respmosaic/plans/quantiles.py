@@ -64,8 +64,13 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence
     )
     at_low = F.min(F.when((F.col("_side") == "in") & (F.col("_upto") > F.floor("_at")), F.col("_v")))
     at_high = F.min(F.when((F.col("_side") == "in") & (F.col("_upto") > F.ceil("_at")), F.col("_v")))
-    picked = placed.groupBy(*by, "q", "n", "_at").agg(at_low.alias("_lo"), at_high.alias("_hi"))
+    below = F.coalesce(F.sum(F.when(F.col("_side") == "below", F.col("_n"))), F.lit(0))
+    picked = placed.groupBy(*by, "q", "n", "_at").agg(at_low.alias("_lo"), at_high.alias("_hi"), below.alias("_below"))
     part = F.col("_at") - F.floor("_at")
+    # Ranks that fall below the bracket would pick its first value, ranks beyond it none.
+    missed = F.col("_lo").isNull() | F.col("_hi").isNull() | (F.col("_below") > F.floor("_at"))
+    told = F.raise_error(F.concat(F.lit("quantile bracket missed its rank at q = "), F.col("q").cast("string"), F.lit("; raise the accuracy")))
+    picked = picked.withColumn("_lo", F.when(missed, told.cast("double")).otherwise(F.col("_lo")))
     return picked.select(*by, "q", "n", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * part).alias("quantile"))
 
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from respmosaic.functions import vocab
 from respmosaic.operators.integrity import require_empty
@@ -66,9 +67,12 @@ def resolve_columns(df: DataFrame, candidates: dict[str, Sequence[str]], ignore_
     return df
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV/TSV (plain or gz), all columns as text, multi-line safe quoting."""
-    return spark.read.option("header", True).option("sep", delimiter(path)).option("escape", '"').csv(path)
+def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Header CSV/TSV (plain or gz), all columns as text.
+
+    ``multi_line`` allows line breaks inside quotes; each file is then read by one task.
+    """
+    return spark.read.option("header", True).option("sep", delimiter(path)).option("escape", '"').option("multiLine", multi_line).csv(path)
 
 
 def read_labelled_csv(spark: SparkSession, path: str, seq_col: str = "sequence", label_col: str = "label") -> DataFrame:
@@ -89,7 +93,10 @@ def read_task_split(spark: SparkSession, folder: str, split: str) -> DataFrame:
 
 def read_scores(spark: SparkSession, folder: str, item: str = "probe_id", value: str = "sum_log_p") -> DataFrame:
     """Long scores from a folder partitioned by ``entity=``; only two columns are read."""
-    df = spark.read.parquet(folder)
+    # Declared as text: inferred from folder names, "007" and "7" would be one number.
+    found = spark.read.parquet(folder).schema
+    fields = [T.StructField(f.name, T.StringType()) if f.name == "entity" else f for f in found]
+    df = spark.read.schema(T.StructType(fields)).parquet(folder)
     return df.select(F.col("entity"), F.col(item).alias("item"), F.col(value).cast("double").alias("value"))
 
 

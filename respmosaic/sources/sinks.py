@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
@@ -19,6 +20,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
     writer.format(fmt).save(path)
 
 
-def write_scores(scores: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One folder per entity, rows of an entity spread over files by item."""
+def write_scores(scores: DataFrame, path: str, mode: str = "overwrite", files: int = 16) -> None:
+    """One folder per entity. Rows meet by entity and a slice of its items, so a folder has at most ``files`` files."""
+    scores = scores.repartition("entity", F.pmod(F.xxhash64("item"), F.lit(files)))
     write_table(scores.withColumnRenamed("item", "probe_id").withColumnRenamed("value", "sum_log_p"), path, "parquet", ["entity"], mode)

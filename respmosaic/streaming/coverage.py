@@ -24,19 +24,24 @@ def run_stream_coverage(spark: SparkSession, source: str, store: str, checkpoint
     """Appends each micro-batch to ``store``, one folder per batch id.
 
     Rewriting a folder makes a replayed batch idempotent. Nothing is re-read per batch; the
-    (entity, item) dedupe happens when :func:`stored_scores` is asked for the state.
+    latest rows of a cell are chosen when :func:`stored_scores` is asked for the state.
     """
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.dropDuplicates(["entity", "item"]).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
 
     return score_stream(spark, source, schema).writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stored_scores(spark: SparkSession, store: str) -> DataFrame:
-    """The latest value of every (entity, item) over all batches."""
+    """The values that the latest batch has for every (entity, item).
+
+    One row each, unless that batch repeats a cell: all of its rows stay, so the gate names the duplicates.
+    """
     rows = spark.read.parquet(store)
-    return rows.groupBy("entity", "item").agg(F.max_by("value", "batch").alias("value"))
+    per_batch = rows.groupBy("entity", "item", "batch").agg(F.collect_list(F.struct("value")).alias("_v"))
+    latest = per_batch.groupBy("entity", "item").agg(F.max_by("_v", "batch").alias("_v"))
+    return latest.select("entity", "item", F.explode("_v").alias("_v")).select("entity", "item", "_v.value")
 
 
 def stream_coverage(spark: SparkSession, store: str, items: DataFrame) -> DataFrame:
