@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from respmosaic.plans.stable import stable
 
-BOUNDS = 64
+#: Cuts of a group, comparisons of one search step, sampled texts per cut, and slices of rows that tie.
+BOUNDS, STEP, SAMPLED = 256, 16, 8
 TIE_SLICES = 64
 
 
@@ -53,38 +54,64 @@ def hash_rank(df: DataFrame, by: Sequence[str], seed: int | str, keys: Sequence[
     return _number_in_buckets(keyed, list(by), ["_b"], order, out).drop("_h")
 
 
-def _order_proxy(df: DataFrame, name: str) -> tuple[Column, bool]:
-    """A number that never decreases when ``name`` increases, and whether it is one-to-one.
-
-    Text is represented by its first six bytes, so different texts may share a number.
-    """
+def _order_proxy(df: DataFrame, name: str) -> Column:
+    """What rows are bucketed by: texts as they are, everything else as a number in the same order."""
     dtype, c = df.schema[name].dataType, F.col(name)
-    if isinstance(dtype, T.StringType):
-        padded = F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0")
-        return F.conv(padded, 16, 10).cast("long"), False
     if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(c), True
+        return F.unix_micros(c)
     if isinstance(dtype, T.DateType):
-        return F.unix_date(c), True
+        return F.unix_date(c)
     if isinstance(dtype, T.BooleanType):
-        return c.cast("int"), True
-    return c, True
+        return c.cast("int")
+    return c
+
+
+def _tie_proxy(df: DataFrame, name: str) -> Column:
+    """A double that never decreases when ``name`` increases; texts by the six bytes after what all of them start with."""
+    if not isinstance(df.schema[name].dataType, T.StringType):
+        return _order_proxy(df, name).cast("double")
+    ends = df.agg(F.struct(F.min(name).alias("lo"), F.max(name).alias("hi"))).scalar()
+    same = F.aggregate(
+        F.sequence(F.lit(1), F.greatest(F.least(F.length(ends["lo"]), F.length(ends["hi"])), F.lit(1))),
+        F.lit(0),
+        lambda a, i: F.when((a == i - 1) & (F.substring(ends["lo"], i, F.lit(1)) == F.substring(ends["hi"], i, F.lit(1))), i).otherwise(a),
+    )
+    rest = F.substring(F.col(name), same + 1, F.lit(6)).cast("binary")
+    padded = F.rpad(F.hex(F.substring(rest, F.lit(1), F.lit(6))), 12, "0")
+    return F.conv(padded, 16, 10).cast("double")
 
 
 def _bucket_of(value: Column, bounds: Column) -> Column:
-    """Even = strictly between two bounds, odd = equal to a bound, last = null."""
-    below = F.size(F.filter(bounds, lambda b: b < value))
-    on_bound = F.exists(bounds, lambda b: b == value).cast("int")
+    """Even = strictly between two bounds, odd = equal to a bound, last = null. Found in two steps of ``STEP`` comparisons."""
+    coarse = F.filter(bounds, lambda b, i: (i + 1) % STEP == 0)
+    skipped = F.size(F.filter(coarse, lambda b: b < value)) * STEP
+    near = F.slice(bounds, skipped + 1, F.lit(STEP))
+    below = skipped + F.size(F.filter(near, lambda b: b < value))
+    on_bound = F.exists(near, lambda b: b == value).cast("int")
     # Never null, so joins on the bucket push no "is not null" copy of it into the scan.
     return F.coalesce(F.when(value.isNull(), F.lit(2 * BOUNDS + 2)).otherwise(2 * below + on_bound), F.lit(0))
 
 
-def _with_bounds(df: DataFrame, by: Sequence[str], proxy: str) -> DataFrame:
-    steps = F.array(*[F.lit(i / BOUNDS) for i in range(1, BOUNDS)])
-    pick = F.array_distinct(F.percentile_approx(proxy, steps, 1000)).alias("_bounds")
+def _with_bounds(df: DataFrame, by: Sequence[str], proxy: str, spread: Sequence[str] = ()) -> DataFrame:
+    """Adds ``_bounds``: values that cut each group into parts of about equal rows.
+
+    Numbers take them from a mergeable sketch. Texts take them from a sample of a few values per bound, chosen by a hash of the value and
+    of the ``spread`` columns, so that a frequent text is in it as often as it should be.
+    """
+    if isinstance(df.schema[proxy].dataType, T.StringType):
+        size = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
+        sized = df.join(size, list(by)) if by else df.withColumn("_size", size.select("_size").scalar())
+        chosen = F.pmod(F.xxhash64(proxy, *spread), F.greatest(F.lit(1).cast("long"), F.floor(F.col("_size") / (SAMPLED * BOUNDS)))) == 0
+        ordered = F.array_sort(F.collect_list(F.when(chosen, F.col(proxy))))
+        every = F.transform(F.sequence(F.lit(1), F.lit(BOUNDS - 1)), lambda i: F.get(F.col("_s"), F.floor(i * F.size("_s") / BOUNDS).cast("int")))
+        pick = F.array_compact(F.array_distinct(every)).alias("_bounds")
+        bounds = sized.groupBy(*by).agg(ordered.alias("_s")).select(*by, pick)
+    else:
+        steps = F.array(*[F.lit(i / BOUNDS) for i in range(1, BOUNDS)])
+        bounds = df.groupBy(*by).agg(F.array_distinct(F.percentile_approx(proxy, steps, 4 * BOUNDS)).alias("_bounds"))
     if by:
-        return df.join(df.groupBy(*by).agg(pick), list(by))
-    return df.withColumn("_bounds", df.agg(pick).scalar())
+        return df.join(bounds, list(by))
+    return df.withColumn("_bounds", bounds.scalar())
 
 
 def ordered_rank(df: DataFrame, by: Sequence[str], order: Sequence[tuple[str, str]], out: str = "rank") -> DataFrame:
@@ -95,11 +122,10 @@ def ordered_rank(df: DataFrame, by: Sequence[str], order: Sequence[tuple[str, st
     by = list(by)
     first, direction = order[0]
     df = stable(df, first)
-    proxy, exact = _order_proxy(df, first)
-    proxied = df.withColumn("_ord", proxy if direction == "asc" else -proxy)
-    if len(order) > 1 and exact:
+    proxied = df.withColumn("_ord", _order_proxy(df, first))
+    if len(order) > 1:
         tie, tie_direction = order[1]
-        second = _order_proxy(df, tie)[0].cast("double")
+        second = _tie_proxy(df, tie)
         proxied = proxied.withColumn("_tie", second if tie_direction == "asc" else -second)
     else:
         proxied = proxied.withColumn("_tie", F.lit(0.0))
@@ -112,7 +138,10 @@ def ordered_rank(df: DataFrame, by: Sequence[str], order: Sequence[tuple[str, st
         F.col("_span.hi") > F.col("_span.lo"),
         F.floor((F.col("_tie") - F.col("_span.lo")) / (F.col("_span.hi") - F.col("_span.lo")) * TIE_SLICES).cast("int"),
     )
-    bucketed = _with_bounds(spanned, by, "_ord").withColumn("_b", _bucket_of(F.col("_ord"), F.col("_bounds")))
+    bucket = _bucket_of(F.col("_ord"), F.col("_bounds"))
+    if direction != "asc":
+        bucket = F.when(F.col("_ord").isNull(), bucket).otherwise(2 * BOUNDS - bucket)
+    bucketed = _with_bounds(spanned, by, "_ord", [c for c, _ in order[1:2]]).withColumn("_b", bucket)
     tied = (F.col("_b") % 2 == 1) | F.col("_ord").isNull()
     bucketed = bucketed.withColumn("_c", F.when(tied, F.coalesce(cut, F.lit(0))).otherwise(F.lit(0)))
     bucketed = bucketed.drop("_ord", "_tie", "_span", "_bounds")
@@ -126,7 +155,7 @@ def running_total(df: DataFrame, by: Sequence[str], value: str, amount: str, out
     ``value`` must be distinct inside a group (pre-aggregate first) and stored when float.
     """
     by = list(by)
-    proxied = df.withColumn("_ord", _order_proxy(df, value)[0])
+    proxied = df.withColumn("_ord", _order_proxy(df, value))
     bucketed = _with_bounds(proxied, by, "_ord").withColumn("_b", _bucket_of(F.col("_ord"), F.col("_bounds"))).drop("_ord", "_bounds")
     inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

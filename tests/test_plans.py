@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from respmosaic.operators.statistics import roc_auc
-from respmosaic.plans import quantiles
+from respmosaic.plans import quantiles, ranking
 from respmosaic.plans.correlation import spearman
 from respmosaic.plans.ranking import average_rank, hash_rank, ordered_rank
 
@@ -95,3 +95,18 @@ def test_filters_and_columns_reach_the_scan(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").filter("l_suppkey = 3").select("l_suppkey", "l_quantity")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_suppkey), EqualTo(l_suppkey,3)]" in plan and "l_comment" not in plan
+
+
+@pytest.mark.parametrize("direction", ["asc", "desc"])
+def test_text_ranks_spread_over_buckets(spark, direction):
+    """Texts that share a long prefix, and one text that holds a third of the rows, are cut into many buckets."""
+    rows = [(f"chromosome_promoter_{i:06d}" if i % 3 else "chromosome_promoter_hot", i) for i in range(6000)] + [(None, 7), ("", 8)]
+    df = spark.createDataFrame(rows, "name string, i long")
+    ranked = ranking.ordered_rank(df, [], [("name", direction), ("i", "asc")], "r").collect()
+    given = [r for r in rows if r[0] is not None]
+    want = sorted(sorted(given, key=lambda r: r[1]), key=lambda r: r[0], reverse=direction == "desc") + [(None, 7)]
+    assert [(r["name"], r["i"]) for r in sorted(ranked, key=lambda r: r["r"])] == want
+    cut = ranking._with_bounds(df.withColumn("_ord", df["name"]), [], "_ord", ["i"]).withColumn("b", ranking._bucket_of(F.col("_ord"), F.col("_bounds")))
+    sizes = {r["b"]: r["count"] for r in cut.groupBy("b").count().collect()}
+    hot = max(sizes.values())
+    assert len(sizes) > 100 and hot == 2000 and sorted(sizes.values())[-2] < 100  # the hot text has a bucket of its own, cut by the tie
