@@ -157,7 +157,7 @@ KNN = """sym AS (SELECT entity_i AS entity, entity_j AS other, d FROM {d} UNION
 
 @query("m12_nearest_neighbours", f"WITH {VN}, {DIST}, {KNN.format(d='d')} SELECT entity, other, rank, round(d,6)+0.0 AS d FROM near WHERE rank <= 5")
 def m12_near(spark, sf):
-    return rounded(distance.nearest(_d(spark, sf), 5).select("entity", "other", F.col("rank").cast("long").alias("rank"), "d"), "d")
+    return rounded(distance.nearest_entities(_vd(spark, sf), 5).select("entity", "other", F.col("rank").cast("long").alias("rank"), "d"), "d")
 
 
 def knn_share_sql(labels: str) -> str:
@@ -175,7 +175,7 @@ def knn_share_sql(labels: str) -> str:
 )
 def m12(spark, sf):
     labels = entity_labels(fx_v(spark, sf), "grp")
-    return rounded(distance.knn_same_group(_d(spark, sf), labels), "observed", "expected", "excess")
+    return rounded(distance.nearest_same_group(_vd(spark, sf), labels), "observed", "expected", "excess")
 
 
 OUTLIERS = [3, 17, 42]

@@ -15,6 +15,8 @@ from respmosaic.plans.stable import materialise
 
 ENTITY_BLOCK = 1024
 ITEM_BLOCK = 2048
+#: Neighbours kept beyond k, for distances that differ in the last bit only before they are scaled.
+SPARE = 4
 
 
 def block_axes(v: DataFrame, entity_block: int, item_block: int) -> DataFrame:
@@ -74,40 +76,104 @@ def tile_sums(pdf: pd.DataFrame, bi: int, bj: int):
     return na, nb, np.maximum(ss, 0.0), common
 
 
+class BlockPair:
+    """Sums of one pair of entity blocks, added up over its item blocks: two bounded matrices, whatever the number of items."""
+
+    def __init__(self) -> None:
+        self.left = self.right = np.array([], dtype=object)
+        self.ss = self.common = np.zeros((0, 0))
+
+    def add(self, na: np.ndarray, nb: np.ndarray, ss: np.ndarray, common: np.ndarray) -> None:
+        if not len(self.left) and not len(self.right):
+            self.left, self.right, self.ss, self.common = na, nb, ss, common
+            return
+        left, right = np.union1d(self.left, na), np.union1d(self.right, nb)
+        if len(left) > len(self.left) or len(right) > len(self.right):
+            at = np.ix_(np.searchsorted(left, self.left), np.searchsorted(right, self.right))
+            grown = np.zeros((2, len(left), len(right)))
+            grown[0][at], grown[1][at] = self.ss, self.common
+            self.left, self.right, (self.ss, self.common) = left, right, grown
+        at = np.ix_(np.searchsorted(self.left, na), np.searchsorted(self.right, nb))
+        self.ss[at] += ss
+        self.common[at] += common
+
+
+def block_pairs(frames, by: Sequence[str]):
+    """``(group, bi, bj, BlockPair)`` from rows sorted by group, block pair and item block; one tile's rows are held at a time."""
+    keys = [*by, "bi", "bj", "ib"]
+    held: list[pd.DataFrame] = []
+    open_tile, pair = None, BlockPair()
+
+    def tile_done():
+        pdf = pd.concat(held) if len(held) > 1 else held[0]
+        pair.add(*tile_sums(pdf, open_tile[-3], open_tile[-2]))
+
+    for frame in frames:
+        if frame.empty:
+            continue
+        code = frame[keys].ne(frame[keys].shift()).any(axis=1).to_numpy()
+        edges = [*np.flatnonzero(code), len(frame)]
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            tile = tuple(frame[k].iloc[lo] for k in keys)
+            if open_tile is not None and tile != open_tile:
+                tile_done()
+                held = []
+                if tile[:-1] != open_tile[:-1]:
+                    yield open_tile[: len(by)], open_tile[-3], open_tile[-2], pair
+                    pair = BlockPair()
+            open_tile = tile
+            held.append(frame.iloc[lo:hi])
+    if held:
+        tile_done()
+        yield open_tile[: len(by)], open_tile[-3], open_tile[-2], pair
+
+
+def _by_block_pair(v: DataFrame, by: Sequence[str], entity_block: int, item_block: int) -> DataFrame:
+    """Cells of each block pair in one task, by item block. Only cells are shuffled, never pairs."""
+    tiles = pair_tiles(v, by, entity_block, item_block)
+    return tiles.repartition(*by, "bi", "bj").sortWithinPartitions(*by, "bi", "bj", "ib")
+
+
 def pairwise_sums(v: DataFrame, by: Sequence[str] = (), entity_block: int = ENTITY_BLOCK, item_block: int = ITEM_BLOCK, stored: bool = False) -> DataFrame:
     """``(*by, entity_i < entity_j, ss, n_common)``.
 
-    The matrix is read for its axis sizes and again for its cells, so it is stored first
-    unless the caller says it is ``stored`` already.
-
-    Cells are never paired row by row in Spark: a tile is multiplied as two small matrices,
-    and only per-pair partial sums are shuffled (with map-side combine).
+    The matrix is read for its axis sizes and again for its cells, so it is stored first unless the caller says it is
+    ``stored`` already. A task multiplies the tiles of one block pair and adds them up; each pair leaves it once, finished.
     """
     by = list(by)
     v = v.select(*by, "entity", "item", "value")
     v = v if stored else materialise(v)
-    tiles = pair_tiles(v, by, entity_block, item_block)
     kind = v.schema["entity"].dataType
     schema = T.StructType(
         [*[v.schema[c] for c in by]]
         + [T.StructField("entity_i", kind), T.StructField("entity_j", kind), T.StructField("ss", T.DoubleType()), T.StructField("n_common", T.LongType())]
     )
 
-    def per_tile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        *group, bi, bj, _ = key
-        na, nb, ss, common = tile_sums(pdf, bi, bj)
-        rows, cols = np.triu_indices(len(na), 1) if bi == bj else (a.ravel() for a in np.indices(ss.shape))
-        first, second = na[rows], nb[cols]
-        swap = first > second
-        out = {c: np.repeat(np.array([g]), len(rows)) for c, g in zip(by, group)}
-        out["entity_i"] = np.where(swap, second, first)
-        out["entity_j"] = np.where(swap, first, second)
-        out["ss"] = ss[rows, cols]
-        out["n_common"] = common[rows, cols].round().astype("int64")
-        return pd.DataFrame(out)
-
-    partial = tiles.groupBy(*by, "bi", "bj", "ib").applyInPandas(per_tile, schema)
-    return partial.groupBy(*by, "entity_i", "entity_j").agg(F.sum("ss").alias("ss"), F.sum("n_common").alias("n_common"))
+    def finished(frames):
+        for group, bi, bj, pair in block_pairs(frames, by):
+            step = max(1, 200_000 // max(len(pair.right), 1))
+            for lo in range(0, len(pair.left), step):
+                rows, cols = (a.ravel() for a in np.indices((min(step, len(pair.left) - lo), len(pair.right))))
+                rows += lo
+                if bi == bj:
+                    rows, cols = rows[rows < cols], cols[rows < cols]
+                first, second = pair.left[rows], pair.right[cols]
+                swap = first > second
+                out = {c: np.repeat(np.array([g]), len(rows)) for c, g in zip(by, group)}
+                out["entity_i"], out["entity_j"] = np.where(swap, second, first), np.where(swap, first, second)
+                out["ss"], out["n_common"] = pair.ss[rows, cols], pair.common[rows, cols].round().astype("int64")
+                yield pd.DataFrame(out)
+
+    return _by_block_pair(v, by, entity_block, item_block).mapInPandas(finished, schema)
+
+
+def _scaled(sums: DataFrame, v: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Adds ``d``: squared gaps scaled from the common items to all items; null without a common one."""
+    if by:
+        sums = sums.join(v.groupBy(*by).agg(F.count_distinct("item").alias("_total")), list(by))
+    else:
+        sums = sums.withColumn("_total", v.agg(F.count_distinct("item").alias("n")).scalar())
+    return sums.withColumn("d", F.when(F.col("n_common") > 0, F.col("ss") * F.col("_total") / F.col("n_common"))).drop("_total")
 
 
 def pairwise_sq_distance(v: DataFrame, by: Sequence[str] = (), entity_block: int = ENTITY_BLOCK, item_block: int = ITEM_BLOCK, stored: bool = False) -> DataFrame:
@@ -115,14 +181,39 @@ def pairwise_sq_distance(v: DataFrame, by: Sequence[str] = (), entity_block: int
     by = list(by)
     v = v.select(*by, "entity", "item", "value")
     v = v if stored else materialise(v)
-    sums = pairwise_sums(v, by, entity_block, item_block, stored=True)
-    if by:
-        totals = v.groupBy(*by).agg(F.count_distinct("item").alias("_total"))
-        sums = sums.join(totals, by)
-    else:
-        sums = sums.withColumn("_total", v.agg(F.count_distinct("item").alias("n")).scalar())
-    d = F.when(F.col("n_common") > 0, F.col("ss") * F.col("_total") / F.col("n_common"))
-    return sums.select(*by, "entity_i", "entity_j", d.alias("d"))
+    return _scaled(pairwise_sums(v, by, entity_block, item_block, stored=True), v, by).select(*by, "entity_i", "entity_j", "d")
+
+
+def nearest_entities(v: DataFrame, k: int, by: Sequence[str] = (), entity_block: int = ENTITY_BLOCK, item_block: int = ITEM_BLOCK, stored: bool = False) -> DataFrame:
+    """``(*by, entity, other, rank, d)``: the k nearest others of every entity, ties by id.
+
+    Each block pair keeps the k best of its own for every entity, so entities x blocks x k rows are shuffled instead of all pairs.
+    """
+    by = list(by)
+    v = v.select(*by, "entity", "item", "value")
+    v = v if stored else materialise(v)
+    kind = v.schema["entity"].dataType
+    schema = T.StructType(
+        [*[v.schema[c] for c in by]] + [T.StructField("entity", kind), T.StructField("other", kind), T.StructField("ss", T.DoubleType()), T.StructField("n_common", T.LongType())]
+    )
+
+    def best(frames):
+        for group, bi, bj, pair in block_pairs(frames, by):
+            for own, other, ss, common in ((pair.left, pair.right, pair.ss, pair.common), (pair.right, pair.left, pair.ss.T, pair.common.T))[: 1 if bi == bj else 2]:
+                d = np.where(common > 0, ss / np.maximum(common, 1.0), np.inf)
+                if bi == bj:
+                    np.fill_diagonal(d, np.inf)
+                keep = np.argsort(d, axis=1, kind="stable")[:, : k + SPARE]  # names are sorted, so a stable order breaks ties by id
+                rows, cols = np.repeat(np.arange(len(own)), keep.shape[1]), keep.ravel()
+                real = np.isfinite(d[rows, cols])
+                rows, cols = rows[real], cols[real]
+                out = {c: np.repeat(np.array([g]), len(rows)) for c, g in zip(by, group)}
+                out |= {"entity": own[rows], "other": other[cols], "ss": ss[rows, cols], "n_common": common[rows, cols].round().astype("int64")}
+                yield pd.DataFrame(out)
+
+    close = _scaled(_by_block_pair(v, by, entity_block, item_block).mapInPandas(best, schema), v, by)
+    w = Window.partitionBy(*by, "entity").orderBy("d", "other")
+    return close.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(*by, "entity", "other", "rank", "d")
 
 
 def entity_pairs(v: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -148,8 +239,16 @@ def knn_same_group(d: DataFrame, labels: DataFrame, ks: Sequence[int] = (5, 10),
 
     ``labels``: entity, label. Expected = mean over entities of (own group - 1) / (M - 1).
     """
+    return _same_group(nearest(d, max(ks)), labels, ks, tolerance)
+
+
+def nearest_same_group(v: DataFrame, labels: DataFrame, ks: Sequence[int] = (5, 10), tolerance: float = 0.10) -> DataFrame:
+    """:func:`knn_same_group` from the matrix itself, without a table of all pairs."""
+    return _same_group(nearest_entities(v, max(ks)), labels, ks, tolerance)
+
+
+def _same_group(close: DataFrame, labels: DataFrame, ks: Sequence[int], tolerance: float) -> DataFrame:
     same = (F.col("_l") == F.col("_m")).cast("int")
-    close = nearest(d, max(ks))
     own = labels.select("entity", F.col("label").alias("_l"))
     other = labels.select(F.col("entity").alias("other"), F.col("label").alias("_m"))
     marked = close.join(own, "entity").join(other, "other").withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).filter("rank <= k")
