@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from respmosaic.operators.integrity import class_gate, finite_rows
 from respmosaic.operators.splits import group_kfold, kfold, stratified_kfold
 from respmosaic.operators.statistics import ovr_weighted_auc, roc_auc
-from respmosaic.plans.ranking import ordered_rank
+from respmosaic.plans.ranking import hash_rank
 from respmosaic.plans.stable import materialise
 
 C_GRID = (0.01, 0.1, 1.0, 10.0)
@@ -164,21 +164,18 @@ def predict_metric(
 
 
 def loo_classify(rows: DataFrame, c_grid: Sequence[float] = (0.1, 1.0, 10.0), kind: str = "svc", max_rows: int = 500) -> dict:
-    """Leave-one-out linear classifier with scaling inside each fold; AUC of held-out scores.
+    """Leave-one-out linear classifier with scaling inside each fold; AUC of held-out scores (None where it is not defined).
 
-    ``rows``: row, features, label 0/1. One model per row is meant for small pair tables, so
-    larger inputs are refused in favour of k-fold. Classes are weighted to equal mass.
+    ``rows``: row, features, label 0/1. One model per row is fitted, so of larger tables the ``max_rows`` rows with the smallest
+    md5 of their id are used (``n`` in the record says how many). Classes are weighted to equal mass.
     """
-    data = ordered_rank(rows.select("row", "features", "label"), [], [("row", "asc")], "_r")
+    data = hash_rank(rows.select("row", "features", "label"), [], "loo", ["row"], "_r").filter(F.col("_r") <= max_rows)
     data = materialise(_vectors(data.withColumn("fold", (F.col("_r") - 1).cast("int"))))
     counts = {r["label"]: r["count"] for r in data.groupBy("label").count().collect()}
     n = sum(counts.values())
-    if n > max_rows:
-        raise ValueError(f"leave-one-out fits one model per row; {max_rows} rows at most, use stratified_kfold")
     if len(counts) < 2:
         raise ValueError("leave-one-out needs both classes")
-    # At most ``max_rows`` rows: one partition keeps every solver step a single task.
-    data = data.coalesce(1).withColumn("_w", F.when(F.col("label") == 1, n / (2.0 * counts[1])).otherwise(n / (2.0 * counts[0])))
+    data = data.withColumn("_w", F.when(F.col("label") == 1, n / (2.0 * counts[1])).otherwise(n / (2.0 * counts[0])))
     maker = LinearSVC if kind == "svc" else LogisticRegression
     clf = maker(featuresCol="_z", labelCol="label", weightCol="_w", standardization=False)
     column = "rawPrediction" if kind == "svc" else "probability"
