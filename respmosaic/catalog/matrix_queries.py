@@ -208,6 +208,34 @@ def g15(spark, sf):
     return rounded(distance.intra_inter_distance(_d(spark, sf), labels), "mean_d", "median_d", "mean_ratio")
 
 
+def case_table_sql(cases: str, out: str) -> str:
+    return f"""{out} AS (SELECT "case", count(d) AS n_pairs, avg(d) AS mean_d, median(d) AS median_d FROM {cases} GROUP BY 1)"""
+
+
+@query(
+    "m13_distances",
+    f"""WITH {VN}, {DIST}, lab AS (SELECT DISTINCT entity, branch AS label FROM v), {CASES},
+ c2 AS (SELECT CASE WHEN a.label = b.label THEN 'within_' || a.label ELSE 'between' END AS "case", d FROM d JOIN lab a ON a.entity = entity_i JOIN lab b ON b.entity = entity_j
+ WHERE entity_i NOT IN (3,17,42) AND entity_j NOT IN (3,17,42)), {case_table_sql('c', 't1')}, {case_table_sql('c2', 't2')},
+ u AS (SELECT 'all' AS rows_kept, t1.*, (SELECT mean_d FROM t1 WHERE "case" = 'between') AS b FROM t1 UNION ALL SELECT 'without_outliers', t2.*, (SELECT mean_d FROM t2 WHERE "case" = 'between') FROM t2)
+ SELECT rows_kept, "case", n_pairs, round(mean_d,6)+0.0 AS mean_d, round(median_d,6)+0.0 AS median_d, round(b/mean_d,6)+0.0 AS mean_ratio FROM u""",
+)
+def m13_distances(spark, sf):
+    tables = distance.structure_sensitivity(_d(spark, sf), entity_labels(fx_v(spark, sf), "branch"), OUTLIERS)
+    named = [tables[f"{n}_distance"].withColumn("rows_kept", F.lit(n)) for n in ("all", "without_outliers")]
+    return rounded(named[0].unionByName(named[1]), "mean_d", "median_d", "mean_ratio")
+
+
+@query(
+    "m13_all_neighbours",
+    f"""WITH {VN}, {DIST}, {KNN.format(d='d')}, lab AS (SELECT DISTINCT entity, branch AS label FROM v), {knn_share_sql('lab')}
+ SELECT k, round(observed,6)+0.0 AS observed, round(expected,6)+0.0 AS expected, round(observed-expected,6)+0.0 AS excess, abs(observed-expected) <= 0.10 AS passed FROM share""",
+)
+def m13_all(spark, sf):
+    tables = distance.structure_sensitivity(_d(spark, sf), entity_labels(fx_v(spark, sf), "branch"), OUTLIERS)
+    return rounded(tables["all_knn"], "observed", "expected", "excess")
+
+
 @query(
     "m14_winsor_limits",
     f"""WITH {VN}, {FIT}, q AS (SELECT quantile_cont(value,0.02) AS lo, quantile_cont(value,0.98) AS hi FROM vd)

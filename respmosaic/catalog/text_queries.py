@@ -200,6 +200,41 @@ def c13(spark, sf):
     return p.select(k.alias("id"), picked["value"].alias("value"), picked["source"].alias("source"))
 
 
+@query(
+    "c13_choose_context",
+    """SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 0 THEN p_size WHEN p_partkey % 7 = 1 THEN p_size + 100 WHEN p_partkey % 7 = 2 THEN p_size + 200
+ WHEN p_partkey % 7 = 3 THEN p_size + 300 WHEN p_partkey % 7 = 4 THEN 8192 WHEN p_partkey % 7 = 5 THEN 450000 END::BIGINT AS value,
+ CASE p_partkey % 7 WHEN 0 THEN 'override:card' WHEN 1 THEN 'config:text.n_positions' WHEN 2 THEN 'config:inner[0].model_max_length' WHEN 3 THEN 'tokenizer_config:model_max_length'
+ WHEN 4 THEN 'model_name_power_of_two' WHEN 5 THEN 'model_name' ELSE '' END AS source FROM part""",
+)
+def c13_choose(spark, sf):
+    p, size = table(spark, sf, "part"), F.col("p_size")
+    case = F.col("p_partkey") % 7
+    config = (
+        F.when(case == 1, F.format_string('{"seq_length": 5, "model_max_length": 9, "text": {"n_positions": %d}}', size + 100))
+        .when(case == 2, F.format_string('{"inner": [{"model_max_length": %d}], "max_seq_len": true}', size + 200))
+        .when(case == 3, "{broken")
+    )
+    tokenizer = F.when(case.isin(1, 2, 3), F.format_string('{"model_max_length": %d}', size + 300))
+    name = F.when(case == 4, "x/evo-8k").when(case == 5, "x/evo-450k").when(case == 6, "x/plain").otherwise("x/evo-8k")
+    hits = p.select("p_partkey", "p_size", case.alias("k"), names.context_hits(config).alias("config"), names.context_hits(tokenizer).alias("tokenizer"), name.alias("name"))
+    picked = names.choose_context(F.when(F.col("k") == 0, F.col("p_size")), F.lit("card"), F.col("config"), F.col("tokenizer"), "name")
+    chosen = hits.select(F.col("p_partkey").alias("id"), picked.alias("c"))
+    return chosen.select("id", "c.value", "c.source")
+
+
+@query(
+    "c10_tokenizer_by_config",
+    """SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'wordpiece_or_bpe' WHEN 1 THEN 'bpe_or_byte' WHEN 2 THEN 'bpe_or_byte' WHEN 3 THEN 'manual_unknown'
+ ELSE 'single_nucleotide_or_byte' END AS tokenizer FROM part""",
+)
+def c10_tokenizer(spark, sf):
+    case = F.col("p_partkey") % 5
+    kind = F.when(case == 0, "RoBERTa").when(case == 1, "gpt_neox").when(case == 2, "mixtral").when(case == 4, "bert")
+    name = F.when(case == 4, F.concat(F.lit("x/hyenadna-"), "p_name")).otherwise("x/unlisted")
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), names.tokenizer_type(name, kind).alias("tokenizer"))
+
+
 KINDS = ["overlapping_6mer", "non_overlapping_6mer", "non_overlapping_3mer_or_codon", "single_nucleotide_or_byte", "bpe_or_wordpiece", "manual_unknown"]
 FAMILIES = ["GENA-LM", "GROVER", "GenomeOcean", "Other"]
 

@@ -80,11 +80,13 @@ def architecture(c: Column | str, model_type: Column | str | None = None, class_
     return priority_coalesce(sources, "unknown", "unknown")
 
 
-def tokenizer_type(c: Column | str) -> Column:
+def tokenizer_type(c: Column | str, model_type: Column | str | None = None) -> Column:
+    """Tokenizer kind by name, else by the config's model type, else ``manual_unknown``."""
     text = F.lower(_col(c))
+    by_type = first_match_rules(model_type, vocab.TOKENIZER_BY_MODEL_TYPE, "manual_unknown") if model_type is not None else F.lit("manual_unknown")
     k = F.regexp_extract(text, r"dna_bert_(\d+)", 1)
     overlapping = F.concat(F.lit("overlapping_"), k, F.lit("mer"))
-    return F.when(k != "", overlapping).otherwise(first_match_rules(text, vocab.TOKENIZER_RULES, "manual_unknown"))
+    return F.when(k != "", overlapping).otherwise(first_match_rules(text, vocab.TOKENIZER_RULES, by_type))
 
 
 def priority_coalesce(sources: Sequence[tuple[Column, str]], default=None, default_source: str = "") -> Column:
@@ -123,6 +125,57 @@ def infer_context(c: Column | str) -> Column:
     return out.cast("long")
 
 
+def context_from_name(c: Column | str) -> Column:
+    """Struct (value, source) of :func:`infer_context`; the source tells shorthands of powers of two from other numbers."""
+    text = F.lower(_col(c))
+    marked = F.lit(False)
+    for m in vocab.CONTEXT_MARKERS:
+        marked = marked | text.contains(m)
+    rounded = F.lit(False)
+    for token, value in vocab.CONTEXT_TOKENS:
+        if value & (value - 1) == 0:
+            rounded = rounded | text.contains(token)
+    value = infer_context(c)
+    source = F.when(value.isNull(), "").when(marked & rounded, "model_name_power_of_two").otherwise("model_name")
+    return F.struct(value.alias("value"), source.alias("source"))
+
+
+def context_hits(config: Column | str, keys: Sequence[str] = vocab.CONTEXT_KEYS) -> Column:
+    """``array<struct<path, found>>``: every wanted number of a JSON text, at any depth, in document order."""
+    wanted = frozenset(keys)
+
+    @F.pandas_udf("array<struct<path:string,found:bigint>>")
+    def find(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"path": p, "found": n} for p, n in _walk(t, wanted)] for t in texts])
+
+    return find(_col(config).cast("string"))
+
+
+def _ends_with(key: str):
+    return lambda hit: (hit["path"] == key) | hit["path"].endswith(f".{key}")
+
+
+def choose_context(override: Column, override_source: Column, config: Column, tokenizer: Column, name: Column | str) -> Column:
+    """Struct (value, source): an override, a config number (listed keys in their order, then any), a tokenizer number, the name.
+
+    ``config`` and ``tokenizer`` are columns of :func:`context_hits`. Empty or null hits pass on to the next.
+    """
+    listed = [F.get(F.filter(config, _ends_with(key)), F.lit(0)) for key in vocab.CONTEXT_PRIORITY]
+    from_config = F.coalesce(*listed, F.get(config, F.lit(0)))
+    from_tokenizer = F.get(tokenizer, F.lit(0))
+    from_name = context_from_name(name)
+    tagged = [
+        (override.cast("long"), F.concat(F.lit("override:"), override_source)),
+        (from_config["found"], F.concat(F.lit("config:"), from_config["path"])),
+        (from_tokenizer["found"], F.concat(F.lit("tokenizer_config:"), from_tokenizer["path"])),
+        (from_name["value"], from_name["source"]),
+    ]
+    source = F.lit("")
+    for value, tag in reversed(tagged):
+        source = F.when(value.isNotNull(), tag).otherwise(source)
+    return F.struct(F.coalesce(*[v for v, _ in tagged]).alias("value"), source.alias("source"))
+
+
 def context_bp(tokens: Column | str, kind: Column | str, fam: Column | str) -> Column:
     """Letters a context covers, by tokenizer kind; null when the ratio is unknown."""
     t, k = _col(tokens), _col(kind)
@@ -191,13 +244,7 @@ def json_find_keys(df: DataFrame, json: str, keys: Sequence[str] = vocab.CONTEXT
 
     Values must be numbers in (0, 1e7), booleans excluded. A document is parsed once.
     """
-    wanted = frozenset(keys)
-
-    @F.pandas_udf("array<struct<path:string,found:bigint>>")
-    def find(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"path": p, "found": n} for p, n in _walk(t, wanted)] for t in texts])
-
-    hits = df.select(*df.columns, F.explode_outer(find(F.col(json).cast("string"))).alias("_hit"))
+    hits = df.select(*df.columns, F.explode_outer(context_hits(json, keys)).alias("_hit"))
     return hits.filter(F.col("_hit").isNotNull()).select(*df.columns, "_hit.path", "_hit.found")
 
 

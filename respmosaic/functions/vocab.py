@@ -234,6 +234,27 @@ CONTEXT_KEYS = (
     "max_context_length",
 )
 
+# Context keys that come before the others of a config, in this order.
+CONTEXT_PRIORITY = (
+    "max_position_embeddings",
+    "n_positions",
+    "max_seq_len",
+    "max_sequence_length",
+    "max_seq_length",
+    "seq_length",
+)
+
+# Needles in a config's model type to tokenizer kind, first match wins.
+TOKENIZER_BY_MODEL_TYPE = (
+    ("bert", "wordpiece_or_bpe"),
+    ("gpt", "bpe_or_byte"),
+    ("llama", "bpe_or_byte"),
+    ("mistral", "bpe_or_byte"),
+    ("mixtral", "bpe_or_byte"),
+    ("mamba", "bpe_or_byte"),
+    ("jamba", "bpe_or_byte"),
+)
+
 # Config keys for the parameter estimate.
 LAYER_KEYS = ("num_hidden_layers", "n_layer", "n_layers", "num_layers")
 HIDDEN_KEYS = ("hidden_size", "d_model", "n_embd", "n_embed")
