@@ -5,8 +5,8 @@ Texts with equal shingle sets are one class. Two classes can only link when they
 such a shingle, sorted by set size: only sizes within 4 : 5 meet. Bitmap signatures bound the overlap of a pair from
 above (a bit that one has and the other lacks is a shingle not shared); pairs that pass are decided by intersecting the exact sets.
 
-Tiles of up to ``SMALL`` classes give all their pairs. A larger tile gives each member's pairs with the tile's leader and with its
-predecessor only; most such tiles are then one component and need no more. Those that are not are cut into bounded blocks,
+Tiles of up to ``SMALL`` classes give all their pairs. A larger tile gives each member's pairs with the leader of its size band and with
+its neighbours in a few orders only; most such tiles are then one component and need no more. Those that are not are cut into bounded blocks,
 and only pairs across components are tested. No link is lost: every pair that could link is tested, or already connected.
 """
 
@@ -27,6 +27,10 @@ from respmosaic.llm.storage import store
 WIDTH, PERCENT = 5, 80
 #: Classes of a tile that give all pairs; classes of a block of a larger tile.
 SMALL, BLOCK = 8, 2048
+#: Orders besides that of sizes in which neighbours in a large tile are tested at once.
+SHUFFLES = 3
+#: Ids (8 bytes each) that are broadcast to pick texts; beyond that the texts are joined by shuffles.
+FEW = 1_000_000
 #: Shingles ordered last because many texts share them (any list gives right results; 16 bytes each are broadcast).
 COMMON = 200_000
 
@@ -66,8 +70,8 @@ def _class_ids(shingle: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 
 def signature_bits(n):
-    """Bits of the signature of a set of ``n``: a power of two near ``n``."""
-    return 1 << np.clip(np.ceil(np.log2(np.maximum(n, 1))), 6, 16).astype(np.int64)
+    """Bits of the signature of a set of ``n``: a power of two from ``4 n`` to ``8 n``, so that few shingles share a bit."""
+    return 1 << (2 + np.clip(np.ceil(np.log2(np.maximum(n, 1))), 4, 18)).astype(np.int64)
 
 
 def signatures(shingle: np.ndarray, edges: np.ndarray) -> list[bytes]:
@@ -167,7 +171,7 @@ def _sets(docs: DataFrame, text_col: str, id_col: str, common) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).mapInArrow(scan, schema)
 
 
-_RUNS = "big boolean, key long, a long, na long, b long, nb long"
+_RUNS = "big boolean, key long, a long, na long, b long, nb long, place int"
 #: Rows of tiles handled at once.
 ROWS = 200_000
 
@@ -182,15 +186,15 @@ def _tiles(batches):
 
     def work(final: bool):
         nonlocal held, rows, open_key
-        key, n, node = (np.concatenate(x) for x in zip(*held))
+        key, n, node, place = (np.concatenate(x) for x in zip(*held))
         last = len(key) if final else int(np.searchsorted(key, key[-1]))
         if last:
-            yield from _emit(key[:last], n[:last], node[:last], open_key)
-            held = [(key[last:], n[last:], node[last:])]
+            yield from _emit(key[:last], n[:last], node[:last], place[:last], open_key)
+            held = [(key[last:], n[last:], node[last:], place[last:])]
         else:
             open_key = key[-1]
-            yield from _emit(key, n, node, open_key)
-            held = [(key[-1:], n[-1:], node[-1:])]
+            yield from _emit(key, n, node, place, open_key)
+            held = [(key[-1:], n[-1:], node[-1:], place[-1:])]
         rows = len(held[0][0])
 
     for batch in batches:
@@ -202,10 +206,15 @@ def _tiles(batches):
         yield from work(True)
 
 
-def _emit(key: np.ndarray, n: np.ndarray, node: np.ndarray, open_key):
+def _room(na, pa_, nb, pb):
+    """Whether two sets can still link if the shingle at these places is the first that they share (if an earlier one is, its tile has the pair)."""
+    return np.minimum(na - pa_, nb - pb) >= needed(na, nb)
+
+
+def _emit(key: np.ndarray, n: np.ndarray, node: np.ndarray, place: np.ndarray, open_key):
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-    key, n, node = key[new], n[new], node[new]
+    key, n, node, place = key[new], n[new], node[new], place[new]
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(starts, len(key)))
     big = np.repeat((size > SMALL) | (key[starts] == open_key if open_key is not None else False), size)
@@ -218,16 +227,22 @@ def _emit(key: np.ndarray, n: np.ndarray, node: np.ndarray, open_key):
     leads = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (band[1:] != band[:-1])]))
     lead = np.repeat(leads, np.diff(np.append(leads, len(key))))
     member = np.flatnonzero(big)
+    for salt in range(1, SHUFFLES + 1):  # neighbours in other orders of the same size band
+        turned = member[np.lexsort((chunks.mix(node[member].view(np.uint64) + np.uint64(salt)), band[member], key[member]))]
+        near = (key[turned[1:]] == key[turned[:-1]]) & (band[turned[1:]] == band[turned[:-1]])
+        a.append(np.minimum(turned[1:], turned[:-1])[near])
+        b.append(np.maximum(turned[1:], turned[:-1])[near])
     a, b = np.concatenate([*a, lead[member]]), np.concatenate([*b, member])
-    fits = (node[a] != node[b]) & (n[a] * 100 >= n[b] * PERCENT)
+    fits = (node[a] != node[b]) & _room(n[a], place[a], n[b], place[b])
     a, b = a[fits], b[fits]
     low, high = np.where(node[a] < node[b], a, b), np.where(node[a] < node[b], b, a)
     pairs = np.unique(np.stack([node[low], n[low], node[high], n[high]]), axis=1)
     k, m = pairs.shape[1], len(member)
     if k + m:
         none = lambda x: pa.nulls(x, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, bool)), none(k), *map(pa.array, pairs)], names=["big", "key", "a", "na", "b", "nb"])
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, bool)), pa.array(key[member]), pa.array(node[member]), pa.array(n[member]), none(m), none(m)], names=["big", "key", "a", "na", "b", "nb"])
+        names = ["big", "key", "a", "na", "b", "nb", "place"]
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, bool)), none(k), *map(pa.array, pairs), pa.nulls(k, pa.int32())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, bool)), pa.array(key[member]), pa.array(node[member]), pa.array(n[member]), none(m), none(m), pa.array(place[member].astype(np.int32))], names=names)
 
 
 def _bound(na: int, nb: int, x: np.ndarray, y: np.ndarray) -> int:
@@ -275,7 +290,9 @@ def _links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, text_col: str, id
                 edges = np.searchsorted(text, np.arange(rows.num_rows + 1))
                 yield pa.RecordBatch.from_arrays([pa.array(_class_ids(shingle, edges)), pa.array([shingle[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:])], pa.binary())], ["node", "set"])
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).join(holders.select("id").distinct(), "id", "left_semi")
+    ids = holders.select("id").distinct()
+    ids = F.broadcast(ids) if holders.count() <= FEW else ids  # few enough to send to every task; else both sides are dealt by id
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).join(ids, "id", "left_semi")
     arrays = texts.select("body").mapInArrow(exact, "node long, set binary").join(holders.select("node"), "node", "left_semi")
     arrays = store(arrays.dropDuplicates(["node"]), "join-arrays")
     one = lambda c: arrays.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}"))
@@ -284,7 +301,7 @@ def _links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, text_col: str, id
 
 def _across(members: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame | None:
     """Candidate pairs across components in large tiles, from bounded blocks; None where no large tile spans two."""
-    named = members.join(roots.withColumnRenamed("node", "a"), "a", "left").select("key", F.col("a").alias("node"), F.col("na").alias("n"), F.coalesce("root", "a").alias("root"))
+    named = members.join(roots.withColumnRenamed("node", "a"), "a", "left").select("key", F.col("a").alias("node"), F.col("na").alias("n"), "place", F.coalesce("root", "a").alias("root"))
     named = store(named, "join-members")
     open_tiles = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
     open_tiles = store(open_tiles.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "join-open")
@@ -293,20 +310,20 @@ def _across(members: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame
     bits = sets.where("bits is not null").groupBy("node").agg(F.min("bits").alias("bits"))
     rows = named.join(open_tiles, "key").join(bits, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "root", "bits"
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "place", "root", "bits"
     )
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("node").sort_values(["n", "node"])
         own = pdf["own"].to_numpy()
         i, j = own == own.min(), own == own.max()
-        n, node, root = (pdf[c].to_numpy() for c in ("n", "node", "root"))
+        n, node, root, place = (pdf[c].to_numpy() for c in ("n", "node", "root", "place"))
         raw = [np.frombuffer(x, np.uint8) for x in pdf["bits"]]
         size = min(map(len, raw))
         board = np.concatenate([fold(x[None], size) for x in raw])
         found = []
         for x in np.flatnonzero(i):
-            other = np.flatnonzero(j & (root != root[x]) & (n[x] * 100 >= n * PERCENT) & (n * 100 >= n[x] * PERCENT))
+            other = np.flatnonzero(j & (root != root[x]) & _room(n[x], place[x], n, place))
             most = np.minimum(n[x] - np.bitwise_count(board[x] & ~board[other]).sum(1), n[other] - np.bitwise_count(board[other] & ~board[x]).sum(1))
             other = other[most >= needed(n[x], n[other])]
             found.append(pd.DataFrame({"a": node[x], "na": n[x], "b": node[other], "nb": n[other]}))
@@ -328,11 +345,11 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tup
     sets are 64-bit hashes.
     """
     sets = store(_sets(docs, text_col, id_col, _common(docs, text_col, COMMON)), "join-sets")
-    tokens = sets.where("prefix is not null").select(F.explode("prefix").alias("key"), "n", "node")
+    tokens = sets.where("prefix is not null").select(F.posexplode("prefix").alias("place", "key"), "n", "node").select("key", "n", "node", F.col("place").cast("long").alias("place"))
     runs = store(tokens.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_tiles, _RUNS), "join-tiles")
     links = _links(runs.where("not big").select("a", "na", "b", "nb").distinct(), docs, sets, text_col, id_col)
     roots = components(links)
-    more = _across(runs.where("big").select("key", "a", "na"), roots, sets)
+    more = _across(runs.where("big").select("key", "a", "na", "place"), roots, sets)
     if more is not None:
         links = links.unionAll(_links(more, docs, sets, text_col, id_col))
         roots = components(links)
