@@ -210,7 +210,8 @@ def r1(spark, sf):
 def r2(spark, sf):
     base = _folder(spark)
     v = fx_vn(spark, sf).select("entity", "item", "value")
-    fit = matrix.fit_matrix(v.filter("entity % 10 <> 0"))
+    matrix.save_fit(matrix.fit_matrix(v.filter("entity % 10 <> 0")), f"{base}/fit")
+    fit = matrix.load_fit(spark, f"{base}/fit")  # read by every micro-batch, fitted once
     matrix.to_row_form(v.filter("entity % 10 = 0")).write.parquet(f"{base}/in")
     projection.run_stream_project(spark, f"{base}/in", fit.thresholds, fit.col_means, f"{base}/out", f"{base}/cp").awaitTermination()
     return rounded(spark.read.parquet(f"{base}/out"), "value")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from heapq import heapreplace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,23 +30,26 @@ def stratified_halves(panel: DataFrame, seeds: Sequence[int]) -> DataFrame:
 
 
 def _greedy(counts: Column, folds: int) -> Column:
-    """Fold over an ordered array of (key, n): each goes to the lightest bin, lowest first.
+    """``array<struct<key, fold>>``: members of an ordered array of (key, n), each put into the lightest bin, lowest first.
 
-    Only one struct per stratum or group is folded, never one per row.
+    One struct per stratum or group, never one per row; time grows with the array, not with its square.
     """
-    empty = F.struct(
-        F.array_repeat(F.lit(0).cast("long"), folds).alias("loads"),
-        F.array().cast("array<struct<key:string,fold:int>>").alias("placed"),
-    )
-
-    def step(acc: Column, x: Column) -> Column:
-        at = F.array_position(acc["loads"], F.array_min(acc["loads"])).cast("int")
-        loads = F.transform(acc["loads"], lambda v, i: F.when(i == at - 1, v + x["n"]).otherwise(v))
-        return F.struct(
-            loads.alias("loads"), F.concat(acc["placed"], F.array(F.struct(x["key"].alias("key"), (at - 1).alias("fold")))).alias("placed")
-        )
 
-    return F.aggregate(counts, empty, step, lambda acc: acc["placed"])
+    @F.pandas_udf("array<int>")
+    def place(lists: pd.Series) -> pd.Series:
+        out = []
+        for sizes in lists:
+            loads = [(0, i) for i in range(folds)]
+            bins = []
+            for n in sizes:
+                load, at = loads[0]
+                bins.append(at)
+                heapreplace(loads, (load + int(n), at))
+            out.append(bins)
+        return pd.Series(out)
+
+    bins = place(F.transform(counts, lambda x: x["n"].cast("long")))
+    return F.zip_with(counts, bins, lambda x, f: F.struct(x["key"].alias("key"), f.alias("fold")))
 
 
 def disjoint_halves(panel: DataFrame, seeds: Sequence[int]) -> DataFrame:
