@@ -308,7 +308,39 @@ def m18_auc(spark, sf):
     return out.select("pc", "n", "n_pos", r("separation").alias("separation"))
 
 
-@query("m19_procrustes_residual")
+def moments_sql(cells: str) -> str:
+    """Sums of the singular values' second and fourth powers, from the cells alone."""
+    return f"""gram AS (SELECT a.item AS i, b.item AS j, sum(a.value * b.value) AS s FROM {cells} a JOIN {cells} b ON a.entity = b.entity GROUP BY 1, 2)
+ SELECT round((SELECT sum(value * value) FROM {cells}), 6) + 0.0 AS second, round((SELECT sum(s * s) FROM gram), 4) + 0.0 AS fourth"""
+
+
+def _moments(spectrum):
+    out = spectrum.agg(F.sum(F.col("sigma") ** 2).alias("second"), F.sum(F.col("sigma") ** 4).alias("fourth"))
+    return out.select(r("second").alias("second"), r("fourth", 4).alias("fourth"))
+
+
+@query("m17_spectrum_moments", f"WITH {V}, {fit_sql('v', 'x', clip=None)}, {moments_sql('x')}")
+def m17_moments(spark, sf):
+    """All singular values of the double-centred matrix, against sums over its cells."""
+    v = fx_v(spark, sf).select("entity", "item", "value")
+    return _moments(factor.pca_entities(v, 64).spectrum)
+
+
+@query(
+    "m18_spectrum_moments",
+    f"""WITH {V}, m AS (SELECT item, avg(value) AS m, stddev_pop(value) AS s FROM v GROUP BY 1), z AS (SELECT entity, item, (value - m) / CASE WHEN s > 0 THEN s ELSE 1 END AS value FROM v JOIN m USING (item)),
+ {moments_sql('z')}""",
+)
+def m18_moments(spark, sf):
+    """All singular values of the z-scored matrix, against sums over its cells."""
+    return _moments(factor.pca_scores(fx_v(spark, sf).select("entity", "item", "value"), 64, zscore=True).spectrum)
+
+
+@query(
+    "m19_procrustes_residual",
+    f"""WITH {V}, m AS (SELECT item, avg(value) AS m FROM v GROUP BY 1), c AS (SELECT value - m AS a, 2 * (value - m) AS b FROM v JOIN m USING (item))
+ SELECT round(sqrt(sum((b - a) * (b - a))) / sqrt(sum(b * b)), 6) + 0.0 AS residual FROM c""",
+)
 def m19(spark, sf):
     v = fx_v(spark, sf)
     a = v.select(F.col("entity").alias("key"), F.col("item").alias("dim"), F.col("value").alias("x"))
