@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from respmosaic.catalog.base import SEQ, VN, entity_labels, fit_sql, fx_items, fx_lab, fx_seq, fx_v, fx_vn, query, r, rounded, table
+from respmosaic.catalog.base import ITEMS, SEQ, VN, entity_labels, fit_sql, fx_items, fx_lab, fx_seq, fx_v, fx_vn, query, r, rounded, table
 from respmosaic.functions import text
 from respmosaic.operators import learning, matrix, scoring
 from respmosaic.session import ensure_checkpoint_dir
@@ -167,6 +167,22 @@ def l8(spark, sf):
     return rounded(pred, "y_true", "y_pred")
 
 
+@query(
+    "l8_ridge_one_feature",
+    f"""WITH {ITEMS}, d AS (SELECT item AS entity, length / 1000.0::DOUBLE AS x, gc AS y, (ntile(3) OVER (ORDER BY md5('0|' || item), item) - 1)::INT AS fold FROM i),
+ f AS (SELECT DISTINCT fold FROM d), m AS (SELECT f.fold, avg(x) AS mx, avg(y) AS my FROM f JOIN d ON d.fold <> f.fold GROUP BY 1),
+ w AS (SELECT m.fold, any_value(mx) AS mx, any_value(my) AS my, sum((x - mx) * (y - my)) / (sum((x - mx) * (x - mx)) + 2.0) AS w FROM m JOIN d ON d.fold <> m.fold GROUP BY 1)
+ SELECT entity, fold, round(y, 6) + 0.0 AS y_true, round(greatest(0.0, least(1.0, my + w * (x - mx))), 6) + 0.0 AS y_pred FROM d JOIN w USING (fold)""",
+)
+def l8_one(spark, sf):
+    """G/C of every document from its length alone: the closed form of ridge with one feature."""
+    items = fx_items(spark, sf)
+    features = items.select(F.lit("length").alias("feature_set"), F.col("item").alias("entity"), F.array(F.col("length") / 1000.0).alias("features"))
+    targets = items.select(F.col("item").alias("entity"), F.lit("gc").alias("task"), F.col("gc").alias("y"))
+    pred = learning.predict_metric(features, targets, splits=("kfold",), alphas=(2.0,), n_folds=3, inner=2)
+    return rounded(pred.select("entity", "fold", "y_true", "y_pred"), "y_true", "y_pred")
+
+
 @query("l9_loo_classify")
 def l9(spark, sf):
     """Held-out separation of even and odd sources by their mean 2-letter profile."""

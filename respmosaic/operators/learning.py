@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.evaluation import Evaluator, RegressionEvaluator
+from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -109,20 +110,38 @@ def linear_probe(train: DataFrame, test: DataFrame, c_grid: Sequence[float] = C_
     }
 
 
-def ridge_fit_predict(train: DataFrame, test: DataFrame, alphas: Sequence[float], inner: int) -> tuple[DataFrame, float]:
-    """Alpha by mean inner-fold R^2 (column ``inner``), predictions clipped to [0, 1].
+#: Columns that name a cell of the design, and parts into which the sums of a cell are first merged.
+CELL, PARTS = ["split", "seed", "feature_set", "task", "fold", "inner"], 64
 
-    MLlib minimises SSE / (2 n) + regParam / 2 * |w|^2, so regParam = alpha / n.
-    """
-    n = train.count()
-    model = LinearRegression(featuresCol="_x", labelCol="y", elasticNetParam=0.0, standardization=False, solver="auto")
-    grid = ParamGridBuilder().addGrid(model.regParam, [a * inner / (n * (inner - 1)) for a in alphas]).build()
-    score = RegressionEvaluator(labelCol="y", metricName="r2")
-    search = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=score, numFolds=inner, foldCol="inner", parallelism=PARALLEL_FITS).fit(train)
-    alpha = alphas[max(range(len(alphas)), key=lambda i: (search.avgMetrics[i], -i))]
-    final = model.copy({model.regParam: alpha / n}).fit(train)
-    pred = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction")))
-    return final.transform(test).select("entity", F.col("y").alias("y_true"), pred.alias("y_pred")), alpha
+
+def _merge(n: np.ndarray, mean: np.ndarray, scatter: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Count, mean and centred scatter of the union of several sets of rows."""
+    total = n.sum()
+    if not total:
+        return 0.0, mean.sum(0) * 0.0, scatter.sum(0) * 0.0
+    middle = (n[:, None] * mean).sum(0) / total
+    gap = mean - middle
+    return float(total), middle, scatter.sum(0) + (n[:, None, None] * gap[:, :, None] * gap[:, None, :]).sum(0)
+
+
+def _unpack(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    mean = np.stack(pdf["mean"].to_list())
+    return pdf["n"].to_numpy(float), mean, np.stack(pdf["scatter"].to_list()).reshape(len(pdf), mean.shape[1], mean.shape[1])
+
+
+def _ridge(n: float, mean: np.ndarray, scatter: np.ndarray, alpha: float) -> tuple[np.ndarray, float]:
+    """Weights and intercept from the sums of ``(x, y)``; the intercept is not penalised."""
+    d = len(mean) - 1
+    w = np.linalg.lstsq(scatter[:d, :d] + alpha * np.eye(d), scatter[:d, d], rcond=None)[0]
+    return w, float(mean[d] - w @ mean[:d])
+
+
+def _r2(n: float, mean: np.ndarray, scatter: np.ndarray, w: np.ndarray, b: float) -> float:
+    """R squared of a fitted line on the rows behind the sums."""
+    d = len(mean) - 1
+    v = np.append(-w, 1.0)
+    miss = float(v @ mean) - b
+    return 1.0 - (float(v @ scatter @ v) + n * miss * miss) / max(scatter[d, d], 1e-300)
 
 
 def predict_metric(
@@ -135,32 +154,64 @@ def predict_metric(
     n_folds: int = 5,
     inner: int = 3,
 ) -> DataFrame:
-    """Out-of-fold ridge predictions per (split, seed, feature set, fold, task).
+    """Out-of-fold ridge predictions per (split, seed, feature set, fold, task), clipped to [0, 1].
 
-    ``features``: feature_set, entity, features; ``targets``: entity, task, y; ``groups``:
-    entity, label. The loops run over the experiment design, never over data rows.
+    ``features``: feature_set, entity, features; ``targets``: entity, task, y; ``groups``: entity, label. Ridge needs sums over
+    rows only: one pass gives them for every (outer, inner) fold, and all fits of all alphas follow from these. Alpha is
+    the first with the best mean R squared over the inner folds. Rows without target or with a null feature are left out.
     """
-    rows = materialise(_vectors(features).select("feature_set", "entity", "_x").join(targets.select("entity", "task", "y"), "entity"))
-    design = [tuple(r) for r in rows.select("feature_set", "task").distinct().orderBy("feature_set", "task").collect()]
-    ids = rows.select("entity").distinct()
-    parts = []
+    ids = features.select("entity").distinct()
+    folds = None
     for split in splits:
         for seed in seeds:
-            if split == "kfold":
-                outer = kfold(ids, "entity", n_folds, seed)
-            else:
-                outer = group_kfold(ids.join(groups, "entity"), "entity", "label", n_folds, seed).select("entity", "fold")
-            nested = kfold(ids, "entity", inner, seed + 1).withColumnRenamed("fold", "inner")
-            folded = materialise(rows.join(outer, "entity").join(nested, "entity"))
-            for name, task in design:
-                cell = folded.filter((F.col("feature_set") == name) & (F.col("task") == task))
-                for f in range(n_folds):
-                    pred, alpha = ridge_fit_predict(cell.filter(F.col("fold") != f), cell.filter(F.col("fold") == f), list(alphas), inner)
-                    keys = [F.lit(split).alias("split"), F.lit(seed).alias("seed"), F.lit(name).alias("feature_set"), F.lit(f).alias("fold")]
-                    parts.append(pred.select(*keys, "entity", F.lit(task).alias("task"), "y_true", "y_pred", F.lit(float(alpha)).alias("alpha")))
-    if not parts:
+            outer = kfold(ids, "entity", n_folds, seed) if split == "kfold" else group_kfold(ids.join(groups, "entity"), "entity", "label", n_folds, seed).select("entity", "fold")
+            one = outer.join(kfold(ids, "entity", inner, seed + 1).withColumnRenamed("fold", "inner"), "entity").select(F.lit(split).alias("split"), F.lit(seed).alias("seed"), "entity", "fold", "inner")
+            folds = one if folds is None else folds.unionByName(one)
+    x = F.col("features").cast("array<double>")
+    usable = features.select("feature_set", "entity", x.alias("x")).where(~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
+    rows = usable.join(targets.select("entity", "task", F.col("y").cast("double").alias("y")).where("y is not null"), "entity").join(folds, "entity")
+    rows = materialise(rows.select(*CELL, "entity", "x", "y"))
+    if rows.isEmpty():
         raise ValueError("no feature set shares an entity with the targets")
-    return reduce(DataFrame.unionByName, parts)
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in CELL)
+
+    def partial(frames):
+        for pdf in frames:
+            out = []
+            for key, part in pdf.groupby(CELL, sort=False, dropna=False):
+                z = np.column_stack([np.stack(part["x"].to_list()), part["y"].to_numpy()])
+                gap = z - z.mean(0)
+                out.append((*key, float(len(z)), z.mean(0), (gap.T @ gap).ravel()))
+            yield pd.DataFrame(out, columns=[*CELL, "n", "mean", "scatter"])
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, mean, scatter = _merge(*_unpack(pdf))
+        return pd.DataFrame([(*pdf.iloc[0][CELL], n, mean, scatter.ravel())], columns=[*CELL, "n", "mean", "scatter"])
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        fold, part = pdf["fold"].to_numpy(), pdf["inner"].to_numpy()
+        n, mean, scatter = _unpack(pdf)
+        pick = lambda mask: _merge(n[mask], mean[mask], scatter[mask])
+        for f in np.unique(fold):
+            rest = fold != f
+            if not rest.any():
+                continue
+            tests = [(pick(rest & (part != i)), pick(rest & (part == i))) for i in np.unique(part[rest])]
+            score = [np.mean([_r2(*test, *_ridge(*train, a)) for train, test in tests if train[0] and test[0]] or [0.0]) for a in alphas]
+            best = alphas[int(np.argmax(np.round(score, 12)))]
+            w, b = _ridge(*pick(rest), best)
+            out.append((*pdf.iloc[0][["split", "seed", "feature_set", "task"]], int(f), float(best), w, b))
+        return pd.DataFrame(out, columns=["split", "seed", "feature_set", "task", "fold", "alpha", "w", "b"])
+
+    sums = f"{kinds}, n double, mean array<double>, scatter array<double>"
+    parts = rows.mapInPandas(partial, sums).withColumn("_part", F.spark_partition_id() % PARTS)
+    cells = parts.groupBy(*CELL, "_part").applyInPandas(merged, sums).groupBy(*CELL).applyInPandas(merged, sums)
+    keys = ["split", "seed", "feature_set", "task"]
+    model = cells.groupBy(*keys).applyInPandas(fit, ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [*keys, "fold"]) + ", alpha double, w array<double>, b double")
+    line = F.aggregate(F.zip_with("x", "w", lambda a, c: a * c), F.col("b"), lambda acc, v: acc + v)
+    predicted = rows.join(model, [*keys, "fold"]).withColumn("y_pred", F.greatest(F.lit(0.0), F.least(F.lit(1.0), line)))
+    return predicted.select("split", "seed", "feature_set", "fold", "entity", "task", F.col("y").alias("y_true"), "y_pred", "alpha")
 
 
 def loo_classify(rows: DataFrame, c_grid: Sequence[float] = (0.1, 1.0, 10.0), kind: str = "svc", max_rows: int = 500) -> dict:
