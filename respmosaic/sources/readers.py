@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 from respmosaic.functions import vocab
 from respmosaic.operators.integrity import require_empty
-from respmosaic.plans.ranking import ordered_rank
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -25,20 +24,22 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("_order"),
         F.regexp_replace("value", "\r", "").alias("_rec"),
     )
-    # Only the record that opens a file still has its '>' (or is junk before the first one).
-    opens = (F.col("_block") == 0) & (F.row_number().over(Window.partitionBy("file", "_block").orderBy("_order")) == 1)
+    # Ids count up within a block, so a block's records are numbered from its first id and the records of the blocks before it.
+    # Only these small sums are shuffled, never a text. Only the record that opens a file still has its '>' (or is junk).
+    blocks = raw.groupBy("file", "_block").agg(F.min("_order").alias("_first"), F.count(F.lit(1)).alias("_n"), F.min_by(F.col("_rec").startswith(">"), "_order").alias("_opened"))
+    junk = ((F.col("_block") == 0) & ~F.col("_opened")).cast("long")
+    earlier = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "_block", (F.col("_first") + junk).alias("_first"), (F.col("_n") - junk).alias("_n"))
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    records = raw.join(blocks, ["file", "_block"]).filter(F.col("_order") >= F.col("_first"))
     body = F.when(F.col("_rec").startswith(">"), F.substring(F.col("_rec"), F.lit(2), F.length("_rec"))).otherwise(F.col("_rec"))
-    records = raw.withColumn("_junk", opens & ~F.col("_rec").startswith(">")).filter(~F.col("_junk"))
-    split = records.select("file", "_block", "_order", F.split(body, "\n", 2).alias("_p"))
-    parsed = split.select(
+    split = records.select("file", (F.col("_before") + F.col("_order") - F.col("_first")).alias("row_idx"), F.split(body, "\n", 2).alias("_p"))
+    return split.select(
         "file",
-        "_block",
-        "_order",
+        "row_idx",
         F.trim(F.get("_p", F.lit(0))).alias("header"),
         F.regexp_replace(F.coalesce(F.get("_p", F.lit(1)), F.lit("")), r"\s", "").alias("seq"),
     )
-    numbered = ordered_rank(parsed, ["file"], [("_block", "asc"), ("_order", "asc")], "_r")
-    return numbered.select("file", (F.col("_r") - 1).alias("row_idx"), "header", "seq")
 
 
 def fasta_lengths(records: DataFrame) -> DataFrame:

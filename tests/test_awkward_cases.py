@@ -102,3 +102,17 @@ def test_a_batch_that_repeats_a_cell_stays_visible(spark, tmp_path):
     assert rows == [(1, 1.0), (1, 2.0), (2, 0.5)]
     items = spark.createDataFrame([(1,), (2,)], "item long").select(F.col("item"))
     assert coverage.stream_coverage(spark, str(tmp_path), items).first()["state"] == "PARTIAL"
+
+
+@pytest.mark.parametrize("head", ["", "junk before the first record\n"])
+def test_fasta_records_are_numbered_across_blocks(spark, tmp_path, head):
+    records = [(f"id{i}|x", "ACGT" * (i % 7 + 1)) for i in range(200)]
+    (tmp_path / "a.fa").write_text(head + "".join(f">{h}\n{s}\n" for h, s in records))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        rows = readers.read_fasta(spark, str(tmp_path / "a.fa")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r["header"], r["seq"]) for r in sorted(rows, key=lambda r: r["row_idx"])] == records
+    assert sorted(r["row_idx"] for r in rows) == list(range(200))
