@@ -72,9 +72,12 @@ def merge(x: Transform, y: Transform, rounds: int | None = None) -> tuple[Transf
         symbols = np.empty(ends + n, np.int32)
         symbols[~side], symbols[side] = x.symbols, y.symbols
         entries = np.flatnonzero(symbols >= 0)
-        order = entries[np.argsort(symbols[entries], kind="stable")]
+        # symbol and place in one number: a plain sort is then stable, and much faster than sorting places
+        keys = np.sort((symbols[entries].astype(np.int64) << 32) | entries)
+        order = keys & 0xFFFFFFFF
+        symbol, own = keys >> 32, block[order]
         fresh = np.ones(n, bool)
-        fresh[1:] = (symbols[order][1:] != symbols[order][:-1]) | (block[order][1:] != block[order][:-1])
+        fresh[1:] = (symbol[1:] != symbol[:-1]) | (own[1:] != own[:-1])
         common[fresh & (common == np.iinfo(np.int16).max)] = done
         moved = side[order]
         steady = rounds is None and done and np.array_equal(moved, side[ends:]) and int(block[-1]) - ends + 1 == int(fresh.sum())

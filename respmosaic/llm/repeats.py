@@ -21,8 +21,8 @@ from respmosaic.llm.storage import store
 
 #: Bytes of a repeated string and of the grams that name it.
 LENGTH, GRAM = 100, 32
-#: Different segments of a name that one bucket takes; bytes of a bucket, and of a shard in it.
-HOT, BUCKET, SHARD = 4096, 2 << 20, 1 << 20
+#: Different segments of a name that one bucket takes; bytes of a bucket, on average.
+HOT, BUCKET = 4096, 1 << 20
 #: Rows of the sorted stream handled at once.
 ROWS = 200_000
 
@@ -185,7 +185,7 @@ def _interval_spans(table: pa.Table) -> pa.Table:
     first = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
     total = chunks.prefix_hash(data, _VALUES)
     codes = bwt.block_codes(lambda a, b: chunks.span_hash(total, a, b), first)
-    bounds = np.unique(np.append(np.searchsorted(first, np.arange(0, first[-1], SHARD)), len(raw)))
+    bounds = np.unique([0, np.searchsorted(first, first[-1] // 2), len(raw)])  # two shards of about equal bytes
     suffixes, common = bwt.merged(codes, first, list(zip(bounds[:-1], bounds[1:])), LENGTH // bwt.STRIDE)
     new = common < LENGTH // bwt.STRIDE
     group = np.cumsum(new)
