@@ -27,20 +27,21 @@ from respmosaic.llm.storage import store
 #: Characters of a chunk and of the part that it shares with the next.
 CHUNK, OVERLAP = 32_768, 512
 #: Distinct pieces whose ids a task remembers.
-CACHE = 400_000
+CACHE = 100_000
 
 
 class Vocabulary:
     """Ranks and pattern of a tiktoken file, loaded once per worker."""
 
-    _loaded: dict[str, "Vocabulary"] = {}
-
-    def __init__(self, path: str, pattern: str):
-        import tiktoken
+    _loaded: dict[tuple[str, bool], "Vocabulary"] = {}
 
+    def __init__(self, path: str, pattern: str, encodes: bool):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        if encodes:
+            import tiktoken
+
+            self.encoding = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pattern = regex.compile(pattern)
         by_id = {i: t for t, i in ranks.items()}
         tokens = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
@@ -50,10 +51,10 @@ class Vocabulary:
         self.known: dict[str, bytes] = {}
 
     @classmethod
-    def load(cls, path: str, pattern: str) -> "Vocabulary":
-        if path not in cls._loaded:
-            cls._loaded[path] = cls(path, pattern)
-        return cls._loaded[path]
+    def load(cls, path: str, pattern: str, encodes: bool = True) -> "Vocabulary":
+        if (path, encodes) not in cls._loaded:
+            cls._loaded[path, encodes] = cls(path, pattern, encodes)
+        return cls._loaded[path, encodes]
 
     def ids_of(self, pieces: list[str]) -> list[bytes]:
         """Little-endian int32 ids of every piece, packed."""
@@ -148,21 +149,23 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", vocabu
     """
     path, pattern = vocabulary or default_vocabulary()
     names = [c for c in docs.columns if c != ids_col]
-    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("row"), F.coalesce(docs[text_col], F.lit("")).alias("body"))
+    row = F.struct(*[docs[f"`{c}`"] for c in names]).alias("row")
+    body = F.coalesce(docs[text_col], F.lit(""))
 
     def whole(batches):
         voc = Vocabulary.load(path, pattern)
         for batch in batches:
-            for rows, data, offsets in chunks.slices(batch, "body"):
-                texts = rows.column(1).to_pylist()
+            for rows, data, offsets in chunks.slices(batch, f"row.{text_col}"):
+                texts = (data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:]))
                 ids = [b"".join(voc.ids_of(voc.pattern.findall(t))) for t in texts]
                 yield pa.RecordBatch.from_arrays([rows.column(0), _lists(ids)], ["row", "ids"])
 
-    short = packed.where(F.length("body") <= chunk).mapInArrow(whole, T.StructType([packed.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    rows = docs.where(F.length(body) <= chunk).select(row)
+    short = rows.mapInArrow(whole, T.StructType([rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
-    long = store(packed.where(F.length("body") > chunk).withColumn("at", F.monotonically_increasing_id()), "bpe-long")
+    long = store(docs.where(F.length(body) > chunk).select(row, F.monotonically_increasing_id().alias("at")), "bpe-long")
     size = F.length("body")
-    cuts = long.select("at", "body", F.posexplode(F.sequence(F.lit(1), size, F.lit(chunk))).alias("k", "start")).select(
+    cuts = long.select("at", F.col("row").getField(text_col).alias("body")).select("at", "body", F.posexplode(F.sequence(F.lit(1), size, F.lit(chunk))).alias("k", "start")).select(
         "at", "k", (F.col("start") - 1).alias("start"), F.col("body").substr(F.col("start"), F.lit(chunk + overlap)).alias("part"), (F.col("start") + chunk + overlap > size).alias("last")
     )
 
@@ -213,7 +216,7 @@ def decode(tokens: DataFrame, ids_col: str = "ids", bytes_col: str = "decoded",
     schema = T.StructType([*[tokens.schema[c] for c in names], T.StructField(bytes_col, T.BinaryType())])
 
     def back(batches):
-        voc = Vocabulary.load(path, pattern)
+        voc = Vocabulary.load(path, pattern, encodes=False)
         for batch in batches:
             step = 256
             for first in range(0, batch.num_rows, step):

@@ -12,26 +12,34 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once.
-SLICE = 2 << 20
+SLICE = 1 << 18
+
+# Workers live on between stages: memory that a stage has freed goes back to the system.
+pa.set_memory_pool(pa.system_memory_pool())
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def text_column(batch: pa.RecordBatch, column: str) -> pa.Array:
+    """A column by name, or a field of a struct column by ``column.field`` (so that a text need not be sent twice)."""
+    name, _, field = column.partition(".")
+    found = batch.column(batch.schema.get_field_index(name))
+    return found.field(field) if field else found
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """``(rows, bytes, offsets)`` of consecutive row ranges; a null text has no bytes."""
     if not batch.num_rows:
         return
-    text = batch.column(batch.schema.get_field_index(column))
+    text = text_column(batch, column)
+    if text.null_count:  # the bytes under a null are undefined
+        text = text.fill_null("")
     wide = pa.types.is_large_string(text.type) or pa.types.is_large_binary(text.type)
     buffers, n = text.buffers(), len(text)
     at = np.frombuffer(buffers[1], np.int64 if wide else np.int32)[text.offset : text.offset + n + 1].astype(np.int64)
     data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)
-    if text.null_count:  # the bytes under a null are undefined
-        if (np.diff(at)[np.asarray(text.is_null())] != 0).any():
-            yield from slices(batch.set_column(batch.schema.get_field_index(column), column, text.fill_null("")), column, limit)
-            return
     first = 0
     while first < n:
         last = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)

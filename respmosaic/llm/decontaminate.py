@@ -222,8 +222,8 @@ def remove_spans(hits: DataFrame, text_col: str = "text") -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, tests: DataFrame, text_col: str = "text", n: int = 13, percent: int = 5) -> DataFrame:
     """The documents that are not contaminated, with all their own columns, whatever their names."""
-    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[text_col].alias("scanned"))
-    return judged(find_hits(packed, tests, "scanned", n=n), percent).where(~F.col("contaminated")).select("row.*")
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    return judged(find_hits(packed, tests, f"row.{text_col}", n=n), percent).where(~F.col("contaminated")).select("row.*")
 
 
 def digest(docs: DataFrame, tests: DataFrame) -> DataFrame:

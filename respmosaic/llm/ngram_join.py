@@ -121,7 +121,7 @@ def _common(docs: DataFrame, text_col: str, limit: int) -> tuple[np.ndarray, np.
                 shingle = shingle_sets(data, offsets)[1]
                 held.append(shingle)
                 texts, total = texts + rows.num_rows, total + len(shingle)
-                if total > 3_000_000:
+                if total > 2_000_000:
                     yield flush()
         if held:
             yield flush()

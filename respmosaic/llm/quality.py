@@ -145,9 +145,9 @@ def classify(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col:
 
     flat_array = np.array(flat).reshape(len(EDGES), width)
     stats = list(range(len(EDGES)))
-    full = packed.select("row", "host", "path", "body")
+    full = packed.select("row", "host", "path")
     out_schema = T.StructType([*[full.schema[c] for c in ("row", "host", "path")], T.StructField("evidence", T.DoubleType())])
-    scored = _map(full, "body", out_schema, ["row", "host", "path"], lambda b: [pa.array(np.round(sum(flat_array[s][b[s]] for s in stats), 9))])
+    scored = _map(full, f"row.{text_col}", out_schema, ["row", "host", "path"], lambda b: [pa.array(np.round(sum(flat_array[s][b[s]] for s in stats), 9))])
     own = F.round(1 / (1 + F.exp(-(F.col("evidence") + base))), 9)
     host_mean = (F.col("hs") - own + k_host * share) / (F.col("hn") - 1 + k_host)
     path_mean = (F.col("ps") - own + k_path * host_mean) / (F.col("pn") - 1 + k_path)
