@@ -14,18 +14,26 @@ from respmosaic.llm.queries import table
 from respmosaic.llm.storage import store
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 rows: buffers of workers and executors follow them, and texts are long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier rejects."""
+    small_batches(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group of near duplicates (five-word shingles, similarity of 0.8 or more)."""
+    small_batches(spark)
     return ngram_join.keep_one(docs)
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which a twentieth of the words or more stands in benchmark windows."""
+    small_batches(spark)
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -36,6 +44,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and whether decoding them gives the text back."""
+    small_batches(spark)
     encoded = bpe.decode(bpe.encode(docs))
     whole = F.coalesce(F.col("text"), F.lit("")).cast("binary") == F.col("decoded")
     return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", whole.alias("round_trip"))
