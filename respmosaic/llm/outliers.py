@@ -16,8 +16,8 @@ from respmosaic.llm.storage import store
 
 #: Fixed: words of a repeated window; the rules that fail a text outright.
 RUN, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
-#: Concentration steps; rows a group needs to have an estimate of its own; squared distance beyond which a text is rejected.
-STEPS, LEAST_ROWS, CUTOFF = 3, 100, 60.0
+#: Concentration steps; rows a group needs to have an estimate of its own.
+STEPS, LEAST_ROWS = 3, 100
 #: Coordinates: name, value, and the least standard deviation that is told from none (most texts have no symbols or repeats at all).
 VECTOR = (
     ("x0", lambda: F.log(F.col("n_words")), 0.8),
@@ -30,6 +30,8 @@ STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_wor
 _P = len(VECTOR)
 #: Median of a chi-squared variable with as many degrees of freedom as there are coordinates.
 CHI_MEDIAN = {1: 0.4549, 2: 1.3863, 3: 2.3660, 4: 3.3567, 5: 4.3515}[_P]
+#: Squared distance beyond which a text is rejected: the 99.99 % quantile of that variable.
+CUTOFF = {1: 15.1367, 2: 18.4207, 3: 21.1075, 4: 23.5127, 5: 25.7448}[_P]
 _BLANK = r"\x20\x09-\x0D"
 
 

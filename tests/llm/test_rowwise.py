@@ -186,3 +186,23 @@ def test_outliers_stand_out_and_the_estimate_is_robust(spark):
     d = d / max(np.median(d) / outliers.CHI_MEDIAN, 1.0)
     mine = np.array([got[i][1] for i in range(600)])
     assert np.corrcoef(mine, d)[0, 1] > 0.999 and np.all((mine <= outliers.CUTOFF) == (d <= outliers.CUTOFF))
+
+
+def test_outliers_reject_labelled_rows(spark):
+    """Of the labelled texts that pass the base rules, nearly all bad ones are rejected and nearly all good ones kept."""
+    sf = "/root/testdata/sf0.01"
+    judged = outliers.judge(spark.read.parquet(f"{sf}/documents.parquet")).where("not base_failed")
+    counts = judged.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").groupBy("quality").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("kept"))
+    by = {r["quality"]: (r["n"], r["kept"]) for r in counts.where("quality is not null").collect()}
+    assert by[0][0] > 20 and by[0][1] <= 0.1 * by[0][0]
+    assert by[1][0] > 300 and by[1][1] >= 0.98 * by[1][0]
+
+
+def test_outliers_by_one_coordinate(spark):
+    """Repeated words alone, below the base rule, are enough to be rejected."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{rng.randrange(10_000):04d}" for _ in range(100)), "en", "s") for i in range(300)]
+    half = " ".join(f"v{k:04d}" for k in range(14))
+    rows += [(300, " ".join([half, *(f"u{k:04d}" for k in range(36)), half, *(f"t{k:04d}" for k in range(36))]), "en", "s")]
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in outliers.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[300] == (False, False) and all(got[i] == (False, True) for i in range(300))
