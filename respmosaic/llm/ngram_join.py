@@ -7,7 +7,8 @@ above (a bit that one has and the other lacks is a shingle not shared); pairs th
 
 Tiles of up to ``SMALL`` classes give all their pairs. A larger tile gives each member's pairs with the leader of its size band and with
 its neighbours in a few orders only; most such tiles are then one component and need no more. Those that are not are cut into bounded blocks,
-and only pairs across components are tested. No link is lost: every pair that could link is tested, or already connected.
+and only pairs across components are tested. That gives the components; the other pairs of large tiles lie inside them and are tested last,
+each once, by exact sets in bounded blocks of a component. No link is lost: every pair that could link is tested.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from respmosaic.llm.storage import store
 WIDTH, PERCENT = 5, 80
 #: Classes of a tile that give all pairs; classes of a block of a larger tile.
 SMALL, BLOCK = 8, 2048
+#: Shingles of a block of a component (8 bytes each; a task holds two blocks).
+SHINGLES = 500_000
 #: Orders besides that of sizes in which neighbours in a large tile are tested at once.
 SHUFFLES = 3
 #: Ids (8 bytes each) that are broadcast to pick texts; beyond that the texts are joined by shuffles.
@@ -274,8 +277,8 @@ def _linked(batches):
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
-def _links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """The pairs ``(a, na, b, nb)`` that link: bitmaps first, then the exact sets of what is left."""
+def _links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, text_col: str, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """The pairs ``(a, na, b, nb)`` that link: bitmaps first, then the exact sets of what is left; and those sets."""
     bits = sets.where("bits is not null").groupBy("node").agg(F.min("bits").alias("bits"))
     side = lambda c: bits.select(F.col("node").alias(c), F.col("bits").alias(f"bits_{c}"))
     left = store(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_possible, "a long, na long, b long, nb long"), "join-possible")
@@ -296,7 +299,7 @@ def _links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, text_col: str, id
     arrays = texts.select("body").mapInArrow(exact, "node long, set binary").join(holders.select("node"), "node", "left_semi")
     arrays = store(arrays.dropDuplicates(["node"]), "join-arrays")
     one = lambda c: arrays.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}"))
-    return store(left.select("a", "b").join(one("a"), "a").join(one("b"), "b").mapInArrow(_linked, "a long, b long"), "join-links")
+    return store(left.select("a", "b").join(one("a"), "a").join(one("b"), "b").mapInArrow(_linked, "a long, b long"), "join-links"), arrays
 
 
 def _across(members: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame | None:
@@ -335,28 +338,92 @@ def _across(members: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame
     return dealt.groupBy("key", "i", "j").applyInPandas(test, "a long, na long, b long, nb long").distinct()
 
 
-def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """``(members, links)``: per input row ``id``, ``n`` (set size), ``component_id``; and links between classes that span every component.
-
-    A text's set holds its distinct ``WIDTH``-word shingles, A-Z lower-cased, words cut at ASCII white space; a text with fewer words has
-    one shingle, its whole sequence. Null texts and texts without words have an empty set and stay alone, with their own id
-    as component. ``component_id`` is the smallest id of the component; rows that repeat an id each count with their own text; a row
-    with a null id has n and the component of its class, and a class with null ids only is not compared. Shingles and
-    sets are 64-bit hashes.
+def _block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links between blocks ``i`` and ``j`` of each component: per class those it is the first end of, and the documents at the other end of all."""
+    found = []
+    for _, part in pdf.drop_duplicates("node").groupby("root"):
+        part = part.assign(n=part["set"].map(len) // 8).sort_values(["n", "node"])
+        n, node, copies, own = (part[c].to_numpy() for c in ("n", "node", "copies", "own"))
+        i, j = part["i"].iloc[0], part["j"].iloc[0]
+        edges = np.concatenate([[0], np.cumsum(n)])
+        value, flat = np.unique(np.frombuffer(b"".join(part["set"]), np.uint64), return_inverse=True)
+        mark = np.zeros(len(value), bool)
+        others, linked = [node[:0]] * len(node), np.zeros(len(node), np.int64)
+        for x in np.flatnonzero(own == i):
+            low = x + 1 if i == j else np.searchsorted(n, -(-PERCENT * n[x] // 100))
+            high = np.searchsorted(n, 100 * n[x] // PERCENT, "right")
+            if low >= high:
+                continue
+            mark[flat[edges[x] : edges[x + 1]]] = True
+            shared = np.add.reduceat(mark[flat[edges[low] : edges[high]]], edges[low:high] - edges[low], dtype=np.int64)
+            mark[flat[edges[x] : edges[x + 1]]] = False
+            y = low + np.flatnonzero((own[low:high] == j) & (100 * shared >= PERCENT * (n[x] + n[low:high] - shared)))
+            others[x] = node[y]
+            linked[x] += copies[y].sum()
+            linked[y] += copies[x]
+        found.append(pd.DataFrame({"node": node, "others": others, "linked": linked}))
+    return pd.concat(found)
+
+
+def _within(large: DataFrame, links: DataFrame, roots: DataFrame, copies: DataFrame, arrays: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(node, others, linked)`` for the classes of large tiles in components that may have more links than the known ones, and those classes.
+
+    A pair that was not tested shares large tiles only, and lies in one component. Such components are cut into bounded blocks, and all pairs
+    of their classes that are in large tiles are decided by the exact sets.
     """
+    known = links.join(roots.withColumnRenamed("node", "a"), "a").groupBy("root").agg(F.count(F.lit(1)).alias("k"))
+    incomplete = roots.groupBy("root").agg(F.count(F.lit(1)).alias("m")).join(known, "root").where("k < m * (m - 1) / 2").select("root")
+    rows = large.distinct().join(roots, "node").join(incomplete, "root", "left_semi").join(copies, "node")
+    rows = store(rows, "join-within")
+    weight = rows.groupBy("root").agg(F.sum("n").alias("w"), F.count(F.lit(1)).alias("m"))
+    weight = weight.withColumn("blocks", F.ceil(F.greatest(F.col("w") / SHINGLES, F.col("m") / BLOCK)).cast("int"))
+    weight = store(weight, "join-weight")
+    packs = 1 + (weight.where("blocks = 1").agg(F.sum("w")).first()[0] or 0) // SHINGLES  # components of one block share tasks' groups
+    dealt = rows.join(weight, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("pack", F.when(F.col("blocks") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(packs))))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("pack", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "root", "own", "node", "copies").join(arrays, "node")
+    return store(dealt.groupBy("pack", "i", "j").applyInPandas(_block, "node long, others array<long>, linked long"), "join-others"), rows
+
+
+def _connected(docs: DataFrame, text_col: str, id_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Per row its component (``id, n, node, component_id``); sets, links that span all components, roots, classes of large tiles, exact sets."""
     sets = store(_sets(docs, text_col, id_col, _common(docs, text_col, COMMON)), "join-sets")
     tokens = sets.where("prefix is not null").select(F.posexplode("prefix").alias("place", "key"), "n", "node").select("key", "n", "node", F.col("place").cast("long").alias("place"))
     runs = store(tokens.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_tiles, _RUNS), "join-tiles")
-    links = _links(runs.where("not big").select("a", "na", "b", "nb").distinct(), docs, sets, text_col, id_col)
+    links, arrays = _links(runs.where("not big").select("a", "na", "b", "nb").distinct(), docs, sets, text_col, id_col)
     roots = components(links)
     more = _across(runs.where("big").select("key", "a", "na", "place"), roots, sets)
     if more is not None:
-        links = links.unionAll(_links(more, docs, sets, text_col, id_col))
+        extra, held = _links(more, docs, sets, text_col, id_col)
+        links, arrays = links.unionAll(extra), arrays.unionAll(held)
         roots = components(links)
     named = sets.select("id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))
     members = named.join(smallest, "root", "left").select("id", "n", "node", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
-    return members, links
+    return members, sets, links, roots, runs.where("big").select(F.col("a").alias("node"), F.col("na").alias("n")), arrays
+
+
+def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """``(members, links)``: per input row ``id``, ``n`` (set size), ``node`` (class), ``component_id``, ``n_links``; and all links between classes.
+
+    A text's set holds its distinct ``WIDTH``-word shingles, A-Z lower-cased, words cut at ASCII white space; a text with fewer words has
+    one shingle, its whole sequence. Null texts and texts without words have an empty set and stay alone, with their own id
+    as component. ``component_id`` is the smallest id of the component; ``n_links`` counts the other rows that a row links to, those of its own
+    class too; rows that repeat an id each count with their own text; a row with a null id has n and the component of its class, and a class with
+    null ids only is not compared. Each link ``a < b`` is listed once. Shingles and sets are 64-bit hashes.
+    """
+    members, sets, links, roots, large, arrays = _connected(docs, text_col, id_col)
+    copies = store(sets.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies")), "join-copies")
+    within, listed = _within(large, links, roots, copies, arrays)
+    flag = lambda c: listed.select(F.col("node").alias(c), F.lit(True).alias(f"in_{c}"))
+    rest = links.join(flag("a"), "a", "left").join(flag("b"), "b", "left").where("in_a is null or in_b is null").select("a", "b")
+    ends = rest.select(F.col("a").alias("one"), F.col("b").alias("node")).unionAll(rest.select("b", "a")).join(copies, "node")
+    linked = ends.select(F.col("one").alias("node"), F.col("copies").alias("linked")).unionAll(within.select("node", "linked")).groupBy("node").agg(F.sum("linked").alias("linked"))
+    total = store(copies.join(linked, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "join-degrees")
+    members = members.join(total, "node", "left").select("id", "n", "node", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    pairs = within.select("node", F.explode("others").alias("other")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+    return members, rest.unionAll(pairs)
 
 
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -364,7 +431,7 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
 
     Documents are told apart by id: rows that repeat an id stay or go together.
     """
-    members = join(docs, text_col, id_col)[0]
+    members = _connected(docs, text_col, id_col)[0]
     gone = store(members.where("id <> component_id").select(F.col("id").alias(id_col)).distinct(), "join-gone")
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)
 

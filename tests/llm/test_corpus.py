@@ -56,6 +56,32 @@ def test_join_in_large_tiles(spark):
     assert got == sorted(cases.components(rows))
 
 
+@pytest.mark.parametrize("block", [None, 2_000])
+def test_join_lists_every_link(spark, monkeypatch, block):
+    """Groups of many near copies, exact copies among them: all links and their number per document, in one block and in several."""
+    if block:
+        monkeypatch.setattr(ngram_join, "SHINGLES", block)
+    rng = random.Random(12)
+    rows = []
+    for g in range(3):
+        base = cases.prose(rng, 100, 5000).split()
+        for _ in range(40):
+            words = list(base)
+            for _ in range(rng.randrange(0, 3)):
+                words[rng.randrange(100)] = f"y{rng.randrange(1000)}"
+            rows.append((len(rows), " ".join(words[: rng.randrange(94, 101)])))
+    rows += [(len(rows) + k, rows[k][1]) for k in range(0, 120, 9)] + [(500, cases.prose(rng, 60)), (501, ""), (502, None)]
+    sets = [cases.shingles(t) for _, t in rows]
+    pairs = {(x, y) for x in range(len(rows)) for y in range(x) if sets[x] and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])}
+    assert len(pairs) > 1000
+    members, links = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    got = members.collect()
+    assert {r["id"]: r["n_links"] for r in got} == {d: sum(i in p for p in pairs) for i, (d, _) in enumerate(rows)}
+    node = {r["id"]: r["node"] for r in got}
+    want = {tuple(sorted((node[rows[x][0]], node[rows[y][0]]))) for x, y in pairs}
+    assert sorted(tuple(r) for r in links.collect()) == sorted(p for p in want if p[0] != p[1])
+
+
 def test_bitmaps_bound_overlaps_from_above():
     rng = np.random.default_rng(0)
     for _ in range(200):
