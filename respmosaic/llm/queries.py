@@ -150,3 +150,65 @@ def op7(spark, sf):
     from respmosaic.llm import repeats
 
     return repeats.digest(table(spark, sf, "documents"))
+
+
+def _op13_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Every round spelled out: all distances, the nearest entry, floors of means (the remainder is taken off first)."""
+    ctes = [
+        """v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS x, len(embedding) AS n
+ FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"p AS MATERIALIZED (SELECT r, k, list_slice(x, k * (n // {parts}) + 1, (k + 1) * (n // {parts})) AS x FROM v, range({parts}) t(k))",
+        f"c0 AS MATERIALIZED (SELECT k, r - 1 AS e, x AS c FROM p WHERE r <= {entries})",
+    ]
+    for i in range(rounds + 1):
+        ctes.append(
+            f"a{i} AS MATERIALIZED (SELECT r, k, min((d, e)) AS m FROM (SELECT r, k, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d"
+            f" FROM p JOIN c{i} USING (k)) GROUP BY r, k)"
+        )
+        if i < rounds:
+            ctes.append(
+                f"s{i} AS (SELECT k, e, w, sum(x[w])::HUGEINT AS s, count(*) AS n FROM (SELECT k, m[2] AS e, x, unnest(range(1, len(x) + 1)) AS w FROM a{i} JOIN p USING (r, k)) GROUP BY k, e, w),"
+                f" m{i} AS (SELECT k, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY w) AS c FROM s{i} GROUP BY k, e),"
+                f" c{i + 1} AS MATERIALIZED (SELECT k, e, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (k, e))"
+            )
+    return (
+        "WITH "
+        + ",\n".join(ctes)
+        + f""",
+o AS (SELECT r, string_agg(lower(printf('%02x', m[2])), '' ORDER BY k) AS code, sum(m[1])::BIGINT AS error FROM a{rounds} GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY k, e)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM v JOIN o USING (r), h"""
+    )
+
+
+@query("op13_vector_codes", _op13_sql())
+def op13(spark, sf):
+    from respmosaic.llm import vector_codes
+
+    return vector_codes.digest(table(spark, sf, "embeddings"))
+
+
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all({LOWER.format('text')}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS c FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+o AS (SELECT lang, source, term, count(*) AS c FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL),
+z AS (SELECT lang, sum(c)::HUGEINT AS n, count(*)::HUGEINT AS v FROM k GROUP BY lang),
+y AS (SELECT lang, source, sum(c)::HUGEINT AS n FROM o GROUP BY lang, source),
+q AS (SELECT lang, term, 1 + (1000000000 * (c + 1)::HUGEINT) // (n + v) AS q FROM k JOIN z USING (lang)),
+p AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(o.c, 0) AS c, 1 + (1000000000 * (coalesce(o.c, 0) + 1)::HUGEINT) // (coalesce(y.n, 0) + z.v) AS p
+ FROM g JOIN k ON k.lang = g.lang JOIN z ON z.lang = g.lang LEFT JOIN y ON y.lang = g.lang AND y.source = g.source LEFT JOIN o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+ FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+u AS (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM u QUALIFY part = 'pair' OR rank <= 200"""
+
+
+@query("op12_divergence", OP12_SQL)
+def op12(spark, sf):
+    from respmosaic.llm import divergence
+
+    return divergence.digest(table(spark, sf, "documents"))

@@ -16,9 +16,14 @@ def folder(spark: SparkSession, name: str) -> str:
 
 def store(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: lineage is cut, lost executors cost nothing."""
+    return store_at(df, name)[0]
+
+
+def store_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As :func:`store`, with the folder, for :func:`remove` once no later stage reads it."""
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def remove(spark: SparkSession, *paths: str) -> None:
