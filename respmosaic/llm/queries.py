@@ -212,3 +212,10 @@ def op12(spark, sf):
     from respmosaic.llm import divergence
 
     return divergence.digest(table(spark, sf, "documents"))
+
+
+@query("op11_html_text")
+def op11(spark, sf):
+    from respmosaic.llm import html_text
+
+    return html_text.digest(table(spark, sf, "pages"))
