@@ -24,9 +24,12 @@ _QUICK = {"assign": BASE[0][1], "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]
 #: Candidate strings and the window that slides over them.
 CANDIDATE, WINDOW = r"[A-Za-z0-9+/_=-]{20,}", 20
 #: Character classes from narrow to wide, each with the window entropy (bits a character) that makes a secret.
-CLASSES = (("decimal", r"[0-9]+", 9.0), ("hex", r"[0-9a-fA-F]+", 3.1), ("capital", r"[A-Z0-9]+", 3.7), ("token", r"[A-Za-z0-9+/_=-]+", 3.9))
-#: Candidates that are no secrets: without a digit, words or numbers joined by signs, UUIDs, dates and times, paths of plain words.
-ALLOW = (r"[^0-9]+", r"([A-Za-z]+|[0-9]+)([-_/=+]+([A-Za-z]+|[0-9]+))*", r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"[0-9]{4}-[0-9]{2}-[0-9]{2}.*")
+CLASSES = (("hex", r"[0-9a-fA-F]+", 3.1), ("capital", r"[A-Z0-9]+", 3.7), ("token", r"[A-Za-z0-9+/_=-]+", 3.9))
+#: Candidates that are no secrets: without a digit; words and numbers joined by signs (no letter beside a digit, none of the signs at an end), so
+#: all plain numbers; UUIDs, dates and times. No pattern repeats a group: Java's regular expressions would nest one call per repeat.
+ALLOW = (r"[^0-9]+", r"(?!.*([A-Za-z][0-9]|[0-9][A-Za-z]))[A-Za-z0-9].*[A-Za-z0-9]", r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"[0-9]{4}-[0-9]{2}-[0-9]{2}.*")
+#: Matches that one fold goes through; longer lists are folded in parts, as a fold copies what it has gathered.
+FOLD = 256
 
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
@@ -39,13 +42,15 @@ def _spans(text: str, kind: str, rank: int, pattern: str, group: int, least: int
     """Spans of all leftmost non-overlapping matches that pass; ``extra`` is a condition on the match ``x.m``."""
     p = _quoted(pattern)
     return F.expr(
-        f"""CASE WHEN {text} RLIKE {_quoted(quick)} THEN transform(
-          array(named_struct('p', split({text}, {p}, -1), 'm', regexp_extract_all({text}, {p}, 0), 'g', regexp_extract_all({text}, {p}, {group}))),
-          v -> aggregate(zip_with(zip_with(slice(v.p, 1, size(v.m)), v.m, (p, m) -> named_struct('p', p, 'm', m)), v.g, (y, g) -> named_struct('p', y.p, 'm', y.m, 'g', g)),
-            named_struct('at', 0, 'out', cast(array() AS {_SPAN})),
-            (a, x) -> named_struct('at', a.at + length(x.p) + length(x.m), 'out',
-              CASE WHEN length(x.g) >= {least} AND ({extra}) THEN concat(a.out, array(named_struct('start', a.at + length(x.p), 'rank', {rank}, 'end', a.at + length(x.p) + length(x.m), 'kind', '{kind}'))) ELSE a.out END),
-            a -> a.out))[0]
+        f"""CASE WHEN {text} RLIKE {_quoted(quick)} THEN transform(array(transform(
+            array(named_struct('p', split({text}, {p}, -1), 'm', regexp_extract_all({text}, {p}, 0), 'g', regexp_extract_all({text}, {p}, {group}))),
+            v -> zip_with(zip_with(slice(v.p, 1, size(v.m)), v.m, (p, m) -> named_struct('p', p, 'm', m)), v.g, (y, g) -> named_struct('p', y.p, 'm', y.m, 'g', g)))[0]),
+          q -> transform(array(transform(sequence(0, greatest(size(q) - 1, 0) div {FOLD}), i -> aggregate(slice(q, i * {FOLD} + 1, {FOLD}),
+              named_struct('at', 0, 'out', cast(array() AS {_SPAN})),
+              (a, x) -> named_struct('at', a.at + length(x.p) + length(x.m), 'out',
+                CASE WHEN length(x.g) >= {least} AND ({extra}) THEN concat(a.out, array(named_struct('start', a.at + length(x.p), 'rank', {rank}, 'end', a.at + length(x.p) + length(x.m), 'kind', '{kind}'))) ELSE a.out END)))),
+            parts -> flatten(zip_with(parts, aggregate(parts, named_struct('at', 0, 'all', cast(array() AS array<int>)), (a, c) -> named_struct('at', a.at + c.at, 'all', concat(a.all, array(a.at))), a -> a.all),
+              (c, o) -> transform(c.out, y -> named_struct('start', y.start + o, 'rank', y.rank, 'end', y.end + o, 'kind', y.kind)))))[0])[0]
         ELSE cast(array() AS {_SPAN}) END"""
     )
 
@@ -78,8 +83,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", out_col: str = "secret
     base = docs.withColumn("__base", F.array_sort(F.concat(*fixed)))
     allowed = " OR ".join(f"x.m RLIKE {_quoted(f'^({a})$')}" for a in allow) or "false"
     limit = "CASE " + " ".join(f"WHEN x.m RLIKE {_quoted(f'^{p}$')} THEN {bits!r}D" for _, p, bits in CLASSES) + " END"
-    candidate = rf"(?=[A-Za-z+/_=-]*[0-9]){CANDIDATE}"
-    added = _spans(t, "entropy", len(BASE), CANDIDATE, 0, window, candidate, f"NOT ({allowed}) AND {window_entropy('x.m', window)} >= {limit}")
+    added = _spans(t, "entropy", len(BASE), CANDIDATE, 0, window, CANDIDATE.replace(",}", "}"), f"NOT ({allowed}) AND {window_entropy('x.m', window)} >= {limit}")
     with_added = base.withColumn("__added", added)
     free = F.filter("__added", lambda x: ~F.exists("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     none = F.array().cast(_SPAN)

@@ -131,6 +131,22 @@ def test_secret_spans_and_redaction(spark, docs, empty):
     assert secret_scan.redact(docs).columns == docs.columns and secret_scan.redact(empty).count() == 0
 
 
+def test_secrets_in_very_long_tokens(spark):
+    """Tokens of a million characters, and a text with thousands of spans: no deep recursion, no quadratic time."""
+    rng = random.Random(11)
+    mixed = "".join(rng.choice("ABCDEFGHJKabcdefghjk0123456789+/") for _ in range(300_000))
+    texts = {
+        0: "a-1-" * 250_000 + "2", 1: "x" * 1_000_000, 2: "0123456789abcdef" * 62_500, 3: "1" * 1_000_000, 4: "é " + "_-" * 400_000 + " end", 5: mixed,
+        6: " ".join("%030x" % rng.randrange(16**30) for _ in range(6000)), 7: "/usr/share" * 90_000, 8: "token=abcdef " * 9000,
+    }
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "at int, text string").repartition(9, "at")
+    got = {i: [tuple(s) for s in v[0]] for i, v in by_place(secret_scan.find_secrets(df), "secrets").items()}
+    assert got[0] == got[1] == got[4] == got[7] == []
+    assert got[2] == got[3] == [(0, 2, 1_000_000, "hex")] and got[5] == [(0, 3, 300_000, "entropy")]
+    assert got[6] == [(31 * k, 2, 31 * k + 30, "hex") for k in range(6000)] and got[8] == [(13 * k, 0, 13 * k + 12, "assign") for k in range(9000)]
+    assert by_place(secret_scan.redact(df.where("at in (2, 8)")), "text") == {2: ("[SECRET]",), 8: ("[SECRET] " * 9000,)}
+
+
 def test_sliding_entropy_equals_recount(spark):
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdef0123456789ABC+/") for _ in range(rng.randrange(20, 60))) for _ in range(50)]
