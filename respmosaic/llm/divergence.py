@@ -9,12 +9,13 @@ than 2 ** 24 terms, so single precision is exact. Level 0 has no column: its cel
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,8 +24,10 @@ from respmosaic.llm.storage import store
 
 #: Documents of a language that a kept term occurs in, and rows of part ``term`` in a group.
 MIN_DOCS, TOP = 3, 200
-#: Terms and sources of a block; columns of a strip; bytes of text counted at once.
-TERMS, SOURCES, STRIP, COUNTED = 4096, 32, 512, 1 << 21
+#: Terms and sources of a block; columns of a strip.
+TERMS, SOURCES, STRIP = 4096, 32, 512
+#: Bytes of text counted at once, counts that a task merges before it hands them on, and rows of a batch.
+COUNTED, MERGED, HANDED = 1 << 20, 1_000_000, 50_000
 #: Fixed by the contract: prices are counted in parts of a billion.
 UNIT = 1_000_000_000
 
@@ -44,44 +47,74 @@ def _gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return chunks.text_array(_LOWER[data[np.repeat(starts - offsets[:-1], size) + np.arange(offsets[-1])]], offsets)
 
 
+class _Tally:
+    """Counts of a task by group and term, merged when many have gathered and handed on when the merged ones are many."""
+
+    def __init__(self) -> None:
+        self.groups: dict[tuple[str, str], int] = {}
+        self.parts: list[tuple] = []
+        self.held = 0
+
+    def add(self, rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> None:
+        starts, ends, first = chunks.words(data, offsets, _TERM)
+        if not len(starts):
+            return
+        pairs = zip(rows.column("lang").to_pylist(), rows.column("source").to_pylist())
+        group = np.array([self.groups.setdefault(p, len(self.groups)) for p in pairs], np.uint64)
+        text = np.repeat(np.arange(rows.num_rows), np.diff(first))
+        h = chunks.span_hash(chunks.prefix_hash(data, _VALUES), starts, ends)
+        # once per text and term, then once per group and term
+        _, one, n = np.unique(chunks.mix(h + (text.astype(np.uint64) + np.uint64(1)) * _ODD), return_index=True, return_counts=True)
+        g = group[text[one]]
+        key, at, back = np.unique(chunks.mix(h[one] + (g + np.uint64(1)) * _ODD), return_index=True, return_inverse=True)
+        term = one[at]
+        self.parts.append((key, g[at], np.bincount(back, n, len(at)), np.bincount(back, minlength=len(at)).astype(float), _gather(data, starts[term], ends[term])))
+        self.held += len(key)
+
+    def merge(self) -> None:
+        if len(self.parts) < 2:
+            return
+        key, g, n, docs = (np.concatenate([p[k] for p in self.parts]) for k in range(4))
+        terms = pa.concat_arrays([p[4] for p in self.parts])
+        key, at, back = np.unique(key, return_index=True, return_inverse=True)
+        self.parts = [(key, g[at], np.bincount(back, n, len(at)), np.bincount(back, docs, len(at)), terms.take(pa.array(at)))]
+        self.held = len(key)
+
+    def hand_on(self) -> Iterator[pa.RecordBatch]:
+        self.merge()
+        names = [pa.array([p[k] for p in self.groups], pa.string()) for k in (0, 1)]
+        for _, g, n, docs, terms in self.parts:
+            index = pa.array(g.astype(np.int64))
+            full = [*(c.take(index) for c in names), terms, pa.array(n.astype(np.int64)), pa.array(docs.astype(np.int64))]
+            batch = pa.RecordBatch.from_arrays(full, names=["lang", "source", "term", "n", "docs"])
+            yield from (batch.slice(i, HANDED) for i in range(0, batch.num_rows, HANDED))
+        self.groups, self.parts, self.held = {}, [], 0
+
+
 def _counter(batches):
-    """Counts of terms by group in every slice of a batch; Spark adds up the slices."""
+    """Counts of terms by group, merged inside a task; Spark adds up the tasks."""
+    tally = _Tally()
     for batch in batches:
         for rows, data, offsets in chunks.slices(batch, "text", COUNTED):
-            starts, ends, first = chunks.words(data, offsets, _TERM)
-            if not len(starts):
-                continue
-            keys = [rows.column(c).dictionary_encode() for c in ("lang", "source")]
-            wide = np.uint64(len(keys[1].dictionary))
-            group = keys[0].indices.to_numpy().astype(np.uint64) * wide + keys[1].indices.to_numpy().astype(np.uint64)
-            text = np.repeat(np.arange(rows.num_rows), np.diff(first))
-            h = chunks.span_hash(chunks.prefix_hash(data, _VALUES), starts, ends)
-            # once per text and term, then once per group and term
-            _, one, n = np.unique(chunks.mix(h + (text.astype(np.uint64) + np.uint64(1)) * _ODD), return_index=True, return_counts=True)
-            g = group[text[one]]
-            _, at, back = np.unique(chunks.mix(h[one] + (g + np.uint64(1)) * _ODD), return_index=True, return_inverse=True)
-            term, g = one[at], g[at]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    keys[0].dictionary.take(pa.array((g // wide).astype(np.int64))).cast(pa.string()),
-                    keys[1].dictionary.take(pa.array((g % wide).astype(np.int64))).cast(pa.string()),
-                    _gather(data, starts[term], ends[term]),
-                    pa.array(np.bincount(back, n, len(at)).astype(np.int64)),
-                    pa.array(np.bincount(back, minlength=len(at)).astype(np.int64)),
-                ],
-                names=["lang", "source", "term", "n", "docs"],
-            )
+            tally.add(rows, data, offsets)
+            if tally.held > 2 * MERGED:
+                tally.merge()
+            if tally.held > MERGED:
+                yield from tally.hand_on()
+    yield from tally.hand_on()
 
 
 def kept_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = MIN_DOCS) -> DataFrame:
     """``(lang, source, term, n, total)``: positive counts of the terms that ``min_docs`` documents of the language hold; ``total`` is the language's.
 
-    Words are told apart by 64-bit hashes inside a slice of texts, and by their letters across slices.
+    Words are told apart by 64-bit hashes inside a task, and by their letters across tasks. The merged counts of the tasks are shuffled once, by
+    language and term: a term has one row per task and source there, however often it occurs.
     """
     named = docs.select(*[F.coalesce(docs[f"`{c}`"].cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
-    counts = store(named.mapInArrow(_counter, _COUNTS).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "term-counts")
-    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).drop("docs")
-    return counts.drop("docs").join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "total")
+    counts = named.mapInArrow(_counter, _COUNTS).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    term = Window.partitionBy("lang", "term")
+    summed = counts.withColumns({"total": F.sum("n").over(term), "docs": F.sum("docs").over(term)})
+    return summed.where(F.col("docs") >= min_docs).select("lang", "source", "term", "n", "total")
 
 
 def group_sizes(docs: DataFrame, kept: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -126,7 +159,9 @@ def joint_tables(kept: DataFrame, terms: int = TERMS, sources: int = SOURCES) ->
     height = lambda s: F.greatest(F.lit(64), F.lit(terms) / F.pow(F.lit(2.0), F.greatest(F.lit(0), s - 4)))
     rows = kept.select("lang", "source", "term", "n", scale)
     spread = rows.groupBy("lang", "scale", "term").agg(F.lit(1).alias("one")).groupBy("lang", "scale").agg(F.ceil(F.count(F.lit(1)) / height(F.col("scale"))).cast("int").alias("blocks"))
+    spread = store(spread, "term-blocks")  # a few rows a language; read from files, its size is known before the join is planned
     wide = rows.groupBy("lang", "source").agg(F.lit(1).alias("one")).groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / sources).cast("int").alias("sides"))
+    wide = store(wide, "source-blocks")
     dealt = rows.join(spread, ["lang", "scale"]).join(wide, "lang")
     dealt = dealt.select("lang", "scale", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int").alias("block"), "source", "term", "n", F.pmod(F.xxhash64("source"), F.col("sides")).cast("int").alias("side"), "sides")
     met = dealt.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))

@@ -402,7 +402,7 @@ def fit(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE, longest:
         arrays = [model.path, model.word, *model.forward, *model.backward, model.out]
         return pd.DataFrame({"at": range(len(arrays)), "weights": [a.astype(np.float32).tobytes() for a in arrays]})
 
-    rows = sorted(picked.groupBy(F.lit(1)).applyInPandas(one, "at int, weights binary").collect())
+    rows = sorted(picked.withColumn("fit", F.lit("one")).groupBy("fit").applyInPandas(one, "at int, weights binary").collect())
     if not rows:
         return None
     size = PATH_SIZE + WORD_SIZE + PLAIN
