@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from respmosaic.catalog.base import BIG, V, VN, cell_missing, dist_sql, entity_labels, fit_sql, fx_big, fx_v, fx_vn, query, r, rounded
-from respmosaic.operators import distance, factor, matrix, statistics
+from respmosaic.operators import distance, factor, matrix, pairs, statistics
 
 FIT = fit_sql("vn", "vd")
 DIST = FIT + ", " + dist_sql("vd", "d")
@@ -189,7 +189,7 @@ OUTLIERS = [3, 17, 42]
 )
 def m13(spark, sf):
     labels = entity_labels(fx_v(spark, sf), "branch")
-    tables = distance.structure_sensitivity(_d(spark, sf), labels, OUTLIERS)
+    tables = pairs.structure_sensitivity(_vd(spark, sf), labels, OUTLIERS, parts=["knn"])
     return rounded(tables["without_outliers_knn"], "observed", "expected", "excess")
 
 
@@ -205,7 +205,7 @@ CASES = """c AS (SELECT CASE WHEN a.label = b.label THEN 'within_' || a.label EL
 )
 def g15(spark, sf):
     labels = entity_labels(fx_v(spark, sf), "branch")
-    return rounded(distance.intra_inter_distance(_d(spark, sf), labels), "mean_d", "median_d", "mean_ratio")
+    return rounded(pairs.group_distances(_vd(spark, sf), labels), "mean_d", "median_d", "mean_ratio")
 
 
 def case_table_sql(cases: str, out: str) -> str:
@@ -221,7 +221,7 @@ def case_table_sql(cases: str, out: str) -> str:
  SELECT rows_kept, "case", n_pairs, round(mean_d,6)+0.0 AS mean_d, round(median_d,6)+0.0 AS median_d, round(b/mean_d,6)+0.0 AS mean_ratio FROM u""",
 )
 def m13_distances(spark, sf):
-    tables = distance.structure_sensitivity(_d(spark, sf), entity_labels(fx_v(spark, sf), "branch"), OUTLIERS)
+    tables = pairs.structure_sensitivity(_vd(spark, sf), entity_labels(fx_v(spark, sf), "branch"), OUTLIERS, parts=["distance"])
     named = [tables[f"{n}_distance"].withColumn("rows_kept", F.lit(n)) for n in ("all", "without_outliers")]
     return rounded(named[0].unionByName(named[1]), "mean_d", "median_d", "mean_ratio")
 
@@ -232,7 +232,7 @@ def m13_distances(spark, sf):
  SELECT k, round(observed,6)+0.0 AS observed, round(expected,6)+0.0 AS expected, round(observed-expected,6)+0.0 AS excess, abs(observed-expected) <= 0.10 AS passed FROM share""",
 )
 def m13_all(spark, sf):
-    tables = distance.structure_sensitivity(_d(spark, sf), entity_labels(fx_v(spark, sf), "branch"), OUTLIERS)
+    tables = pairs.structure_sensitivity(_vd(spark, sf), entity_labels(fx_v(spark, sf), "branch"), OUTLIERS, parts=["knn"])
     return rounded(tables["all_knn"], "observed", "expected", "excess")
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from respmosaic.plans.quantiles import quantile_columns
 from respmosaic.plans.stable import materialise
 
 ENTITY_BLOCK = 1024
@@ -26,18 +25,18 @@ def block_axes(v: DataFrame, entity_block: int, item_block: int) -> DataFrame:
     return entities.withColumn("_i", items.scalar()).select(F.struct(F.col("n").alias("e"), F.col("_i").alias("i")).alias("axes"))
 
 
-def pair_tiles(v: DataFrame, by: Sequence[str], entity_block: int, item_block: int) -> DataFrame:
-    """Cells keyed by (block_i <= block_j, item block).
+def pair_tiles(v: DataFrame, by: Sequence[str], entity_block: int, item_block: int, extra: Sequence[str] = ()) -> DataFrame:
+    """Cells keyed by (block_i <= block_j, item block), with ``extra`` columns.
 
     Blocks are hash buckets of the two axes sized by their distinct counts, so a tile holds
     at most about ``2 * entity_block * item_block`` cells whatever the matrix size.
     """
-    cells = v.select(*by, "entity", "item", "value").withColumn("_axes", block_axes(v, entity_block, item_block).scalar())
+    cells = v.select(*by, "entity", "item", "value", *extra).withColumn("_axes", block_axes(v, entity_block, item_block).scalar())
     cells = cells.withColumn("_own", F.pmod(F.xxhash64("entity"), F.col("_axes.e")).cast("int"))
     cells = cells.withColumn("ib", F.pmod(F.xxhash64("item"), F.col("_axes.i")).cast("int"))
     cells = cells.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_axes.e") - 1)))
     return cells.select(
-        *by, F.least("_own", "_other").alias("bi"), F.greatest("_own", "_other").alias("bj"), "ib", "_own", "entity", "item", "value"
+        *by, F.least("_own", "_other").alias("bi"), F.greatest("_own", "_other").alias("bj"), "ib", "_own", "entity", "item", "value", *extra
     )
 
 
@@ -82,6 +81,7 @@ class BlockPair:
     def __init__(self) -> None:
         self.left = self.right = np.array([], dtype=object)
         self.ss = self.common = np.zeros((0, 0))
+        self.carried: dict = {}
 
     def add(self, na: np.ndarray, nb: np.ndarray, ss: np.ndarray, common: np.ndarray) -> None:
         if not len(self.left) and not len(self.right):
@@ -98,8 +98,11 @@ class BlockPair:
         self.common[at] += common
 
 
-def block_pairs(frames, by: Sequence[str]):
-    """``(group, bi, bj, BlockPair)`` from rows sorted by group, block pair and item block; one tile's rows are held at a time."""
+def block_pairs(frames, by: Sequence[str], carry: str | None = None):
+    """``(group, bi, bj, BlockPair)`` from rows sorted by group, block pair and item block; one tile's rows are held at a time.
+
+    The pair's ``carried`` maps each entity to its value of the column ``carry``.
+    """
     keys = [*by, "bi", "bj", "ib"]
     held: list[pd.DataFrame] = []
     open_tile, pair = None, BlockPair()
@@ -107,6 +110,9 @@ def block_pairs(frames, by: Sequence[str]):
     def tile_done():
         pdf = pd.concat(held) if len(held) > 1 else held[0]
         pair.add(*tile_sums(pdf, open_tile[-3], open_tile[-2]))
+        if carry is not None:
+            each = pdf.drop_duplicates("entity")
+            pair.carried.update(zip(each["entity"], each[carry]))
 
     for frame in frames:
         if frame.empty:
@@ -259,35 +265,3 @@ def _same_group(close: DataFrame, labels: DataFrame, ks: Sequence[int], toleranc
     chance = sizes.agg((F.sum(F.col("n") * (F.col("n") - 1)) / (m * (m - 1))).alias("expected"))
     out = observed.withColumn("expected", chance.scalar())
     return out.withColumn("excess", F.col("observed") - F.col("expected")).withColumn("passed", F.abs("excess") <= tolerance)
-
-
-def with_pair_case(d: DataFrame, labels: DataFrame) -> DataFrame:
-    """Adds ``case``: ``within_<label>`` or ``between``."""
-    a = labels.select(F.col("entity").alias("entity_i"), F.col("label").alias("_a"))
-    b = labels.select(F.col("entity").alias("entity_j"), F.col("label").alias("_b"))
-    case = F.when(F.col("_a") == F.col("_b"), F.concat(F.lit("within_"), F.col("_a").cast("string"))).otherwise("between")
-    return d.join(a, "entity_i").join(b, "entity_j").withColumn("case", case).drop("_a", "_b")
-
-
-def intra_inter_distance(d: DataFrame, labels: DataFrame) -> DataFrame:
-    """Mean and median distance within each group and between groups, with between / within."""
-    cased = materialise(with_pair_case(d, labels))
-    means = cased.groupBy("case").agg(F.count("d").alias("n_pairs"), F.avg("d").alias("mean_d"))
-    medians = quantile_columns(cased, "d", {"median_d": 0.5}, ["case"])
-    table = means.join(medians, "case")
-    between = table.filter("case = 'between'").select(F.struct("mean_d", "median_d"))
-    table = table.withColumn("_b", between.scalar())
-    return table.select(
-        "case", "n_pairs", "mean_d", "median_d", (F.col("_b.mean_d") / F.col("mean_d")).alias("mean_ratio")
-    )
-
-
-def structure_sensitivity(d: DataFrame, labels: DataFrame, drop: Sequence, ks: Sequence[int] = (5, 10)) -> dict[str, DataFrame]:
-    """Distances and neighbour shares with and without listed outliers."""
-    out, d = {}, materialise(d)
-    for name, gone in (("all", []), ("without_outliers", list(drop))):
-        kept_d = d.filter(~F.col("entity_i").isin(gone) & ~F.col("entity_j").isin(gone)) if gone else d
-        kept_l = labels.filter(~F.col("entity").isin(gone)) if gone else labels
-        out[name + "_distance"] = intra_inter_distance(kept_d, kept_l)
-        out[name + "_knn"] = knn_same_group(kept_d, kept_l, ks)
-    return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from respmosaic.functions.names import assign_species
 from respmosaic.operators.filters import make_item_rows, usable_items
 from respmosaic.plans.quantiles import quantile_columns
-from respmosaic.plans.ranking import hash_rank, ordered_rank
+from respmosaic.plans.ranking import hash_rank, ordered_rank, running_total
 from respmosaic.plans.stable import materialise
 
 
@@ -235,13 +236,18 @@ def label_counts(records: DataFrame, by: Sequence[str] = ("file",)) -> DataFrame
 
 
 def nearest_rank_percentile(records: DataFrame, by: Sequence[str], value: str, qs: Sequence[float] = (0.0, 0.25, 0.5, 0.75, 0.95, 1.0)) -> DataFrame:
-    """Smallest value whose cumulative count reaches q * total, from value counts."""
+    """Smallest value whose cumulative count reaches q * total, from value counts cut into ranges; null values do not count."""
     by = list(by)
-    counts = records.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    whole = Window.partitionBy(*(by or [F.lit(0)]))
-    upto = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    cum = counts.withColumn("_c", F.sum("_n").over(upto)).withColumn("_t", F.sum("_n").over(whole))
-    marked = cum.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
+    counts = records.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    placed = running_total(counts, by, value, "_n", "_before")
+    placed = placed.withColumn("_c", F.col("_before") + F.col("_n"))
+    total = placed.groupBy(*by).agg(F.sum("_n").alias("_t"))
+    if by:
+        named = total.select("_t", *[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)])
+        placed = placed.join(named, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]))
+    else:
+        placed = placed.withColumn("_t", total.scalar())
+    marked = placed.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
     return marked.filter(F.col("_c") >= F.col("q") * F.col("_t")).groupBy(*by, "q").agg(F.min(value).alias("value"))
 
 

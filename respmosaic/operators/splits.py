@@ -9,9 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from respmosaic.operators.distance import pairwise_sq_distance
 from respmosaic.operators.matrix import CLIP_QUANTILE, fit_matrix
-from respmosaic.operators.statistics import compare_distances
+from respmosaic.operators.pairs import compare_sides
 from respmosaic.plans.ranking import hash_rank, seeded_key
 from respmosaic.plans.stable import materialise
 
@@ -69,7 +68,7 @@ def split_half(v: DataFrame, halves: DataFrame, clip_q: float = CLIP_QUANTILE, p
     keyed = v.join(halves, "item")
     key = ["seed", "half"]
     values = fit_matrix(keyed, clip_q, key).values if pipeline else keyed
-    return compare_distances(pairwise_sq_distance(values, key), "half", "a", "b", ["seed"])
+    return compare_sides(values, "half", "a", "b", ["seed"])
 
 
 def split_half_summary(per_seed: DataFrame) -> DataFrame:

@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from respmosaic.operators.distance import pairwise_sq_distance
 from respmosaic.operators.matrix import CLIP_QUANTILE, complete_grid, fit_matrix
-from respmosaic.plans.correlation import correlation, intercept, safe_pearson, slope, spearman
+from respmosaic.operators.pairs import compare_geometry, compare_sides
+from respmosaic.plans.correlation import correlation, safe_pearson, spearman
 from respmosaic.plans.quantiles import quantile_columns
 from respmosaic.plans.ranking import ordered_rank, with_average_rank
-from respmosaic.plans.stable import materialise, stable
+from respmosaic.plans.stable import materialise
 
 
 def stratum_value_stats(v: DataFrame, panel: DataFrame) -> DataFrame:
@@ -177,34 +177,16 @@ def mantel_two_tables(a: DataFrame, b: DataFrame, clip_q: float | None = CLIP_QU
     """Agreement of the distances two tables give over their common items and entities."""
     shared = a.join(b.select("entity", "item"), ["entity", "item"], "left_semi").select("entity", "item", F.col("value"), F.lit("a").alias("side"))
     other = b.join(a.select("entity", "item"), ["entity", "item"], "left_semi").select("entity", "item", F.col("value"), F.lit("b").alias("side"))
-    d = pairwise_sq_distance(fit_matrix(shared.unionByName(other), clip_q, ["side"]).values, ["side"])
-    return compare_distances(d, "side", "a", "b")
-
-
-def compare_distances(d: DataFrame, side: str, first, second, by: Sequence[str] = ()) -> DataFrame:
-    """Pearson, slope and intercept of the second side's distances on the first's."""
-    pairs = d.groupBy(*by, "entity_i", "entity_j").agg(
-        F.max(F.when(F.col(side) == F.lit(first), F.col("d"))).alias("x"), F.max(F.when(F.col(side) == F.lit(second), F.col("d"))).alias("y")
-    ).dropna(subset=["x", "y"])
-    return pairs.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_pairs"),
-        correlation("x", "y").alias("pearson"),
-        slope("y", "x").alias("slope"),
-        intercept("y", "x").alias("intercept"),
-    )
+    values = fit_matrix(shared.unionByName(other), clip_q, ["side"]).values
+    return compare_sides(values, "side", "a", "b")
 
 
 def geometry_preserved(v: DataFrame, branch: str = "branch", clip_q: float = CLIP_QUANTILE, threshold: float = 0.90) -> DataFrame:
     """Distances from a per-branch fit against those of the joint fit, inside each branch."""
-    own = pairwise_sq_distance(fit_matrix(v, clip_q, [branch]).values, [branch]).withColumnRenamed("d", "own")
-    joint = pairwise_sq_distance(fit_matrix(v, clip_q).values, [branch]).withColumnRenamed("d", "joint")
-    pairs = materialise(own.join(joint, [branch, "entity_i", "entity_j"]))
-    base = pairs.groupBy(branch).agg(
-        F.count(F.lit(1)).alias("n_pairs"), correlation("own", "joint").alias("pearson"), (F.avg("joint") / F.avg("own")).alias("mean_ratio")
-    )
-    rho = spearman(pairs, "own", "joint", [branch]).select(branch, "spearman")
-    medians = quantile_columns(pairs, "own", {"_a": 0.5}, [branch]).join(quantile_columns(pairs, "joint", {"_b": 0.5}, [branch]), branch)
-    out = base.join(rho, branch).join(medians.select(branch, (F.col("_b") / F.col("_a")).alias("median_ratio")), branch)
+    columns = [branch, "entity", "item", "value"]
+    own = fit_matrix(v, clip_q, [branch]).values.select(*columns, F.lit("own").alias("fit"))
+    joint = fit_matrix(v, clip_q).values.select(*columns, F.lit("joint").alias("fit"))
+    out = compare_geometry(own.unionByName(joint), "fit", "own", "joint", [branch])
     return out.withColumn("passed", (F.col("pearson") > threshold) & (F.col("spearman") > threshold))
 
 
@@ -267,7 +249,7 @@ def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> Da
     by = list(by)
     usable = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
     counted = usable.groupBy(*by, score).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("_p"))
-    ranked = with_average_rank(stable(counted, score), score, by)
+    ranked = with_average_rank(counted, score, by)
     sums = ranked.groupBy(*by).agg(
         F.sum("n").alias("n"), F.sum("_p").alias("n_pos"), F.sum(F.col("avg_rank") * F.col("_p")).alias("_r")
     )

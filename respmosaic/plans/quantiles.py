@@ -1,8 +1,9 @@
 """Exact linear-interpolated quantiles for value sets that fit no single buffer.
 
 A mergeable sketch brackets each wanted rank, then one aggregation counts what lies below
-the bracket and keeps only the distinct values inside it. The final window sees about
-``6 / accuracy`` of a group, so neither the values nor a hot group meet in one task.
+the bracket and keeps only the distinct values inside it, about ``6 / accuracy`` of a group.
+These are stored and added up by a window per group, or over ranges where a bracket holds
+more than a window should.
 """
 
 from __future__ import annotations
@@ -12,9 +13,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from respmosaic.plans.ranking import running_total
+from respmosaic.plans.stable import materialise
+
 ACCURACY = 50_000
 # Groups up to this size are ordered whole; above it the margin spans several ranks.
 WHOLE = 50_000
+# Distinct values of a bracket that one window adds up; more go over ranges.
+ONE_WINDOW = 1_000_000
 
 
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = (), accuracy: int = ACCURACY) -> DataFrame:
@@ -54,14 +60,18 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence
         "_v",
     )
     counted = marked.groupBy(*by, "q", "_side", F.when(F.col("_side") == "in", F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    whole = Window.partitionBy(*by, "q")
-    running = whole.orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    placed = (
-        counted.withColumn("n", F.sum("_n").over(whole))
-        .filter(F.col("_side") != "above")
-        .withColumn("_upto", F.sum("_n").over(running))
-        .withColumn("_at", F.col("q") * (F.col("n") - 1))
-    )
+    counted = materialise(counted)
+    key = [*by, "q"]
+    most = counted.groupBy(*key).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c").alias("c")).first()["c"] or 0
+    if most <= ONE_WINDOW:
+        whole = Window.partitionBy(*key)
+        running = whole.orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+        placed = counted.withColumn("n", F.sum("_n").over(whole)).filter(F.col("_side") != "above").withColumn("_upto", F.sum("_n").over(running))
+    else:
+        sizes = counted.groupBy(*key).agg(F.sum("_n").alias("n"))
+        placed = running_total(counted.withColumn("_o", F.when(F.col("_side") == "below", float("-inf")).when(F.col("_side") == "above", float("inf")).otherwise(F.col("_v"))), key, "_o", "_n", "_upto")
+        placed = placed.withColumn("_upto", F.col("_upto") + F.col("_n")).drop("_o").join(sizes, key).filter(F.col("_side") != "above")
+    placed = placed.withColumn("_at", F.col("q") * (F.col("n") - 1))
     at_low = F.min(F.when((F.col("_side") == "in") & (F.col("_upto") > F.floor("_at")), F.col("_v")))
     at_high = F.min(F.when((F.col("_side") == "in") & (F.col("_upto") > F.ceil("_at")), F.col("_v")))
     below = F.coalesce(F.sum(F.when(F.col("_side") == "below", F.col("_n"))), F.lit(0))

@@ -1,9 +1,10 @@
 """Exact ranks and running totals without a one-partition window.
 
 All helpers follow one scheme: put each row into an order-preserving bucket, number rows
-inside the bucket, and add the number of rows in earlier buckets. The bucket table is
-small (buckets x groups), so a group that holds most of the rows is still spread over
-many tasks.
+inside the bucket, and add the number of rows in earlier buckets. Ordered ranks take Spark's
+own range partitioning by all order columns; hashed ranks take the first digits of the hash.
+The bucket table is small (buckets x groups), so a group that holds most of the rows is
+still spread over many tasks.
 """
 
 from __future__ import annotations
@@ -14,11 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from respmosaic.plans.stable import stable
+from respmosaic.plans.stable import materialise, stable
 
-#: Cuts of a group, comparisons of one search step, sampled texts per cut, and slices of rows that tie.
-BOUNDS, STEP, SAMPLED = 256, 16, 8
-TIE_SLICES = 64
+#: Rows that one range may hold before all rows are cut anew, and how often that is tried.
+RANGE_ROWS, MOST_CUTS = 4_000_000, 4
 
 
 def seeded_key(seed: int | str, *cols: str) -> Column:
@@ -54,119 +54,65 @@ def hash_rank(df: DataFrame, by: Sequence[str], seed: int | str, keys: Sequence[
     return _number_in_buckets(keyed, list(by), ["_b"], order, out).drop("_h")
 
 
-def _order_proxy(df: DataFrame, name: str) -> Column:
-    """What rows are bucketed by: texts as they are, everything else as a number in the same order."""
-    dtype, c = df.schema[name].dataType, F.col(name)
-    if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(c)
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(c)
-    if isinstance(dtype, T.BooleanType):
-        return c.cast("int")
-    return c
-
-
-def _tie_proxy(df: DataFrame, name: str) -> Column:
-    """A double that never decreases when ``name`` increases; texts by the six bytes after what all of them start with."""
-    if not isinstance(df.schema[name].dataType, T.StringType):
-        return _order_proxy(df, name).cast("double")
-    ends = df.agg(F.struct(F.min(name).alias("lo"), F.max(name).alias("hi"))).scalar()
-    same = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.least(F.length(ends["lo"]), F.length(ends["hi"])), F.lit(1))),
-        F.lit(0),
-        lambda a, i: F.when((a == i - 1) & (F.substring(ends["lo"], i, F.lit(1)) == F.substring(ends["hi"], i, F.lit(1))), i).otherwise(a),
-    )
-    rest = F.substring(F.col(name), same + 1, F.lit(6)).cast("binary")
-    padded = F.rpad(F.hex(F.substring(rest, F.lit(1), F.lit(6))), 12, "0")
-    return F.conv(padded, 16, 10).cast("double")
-
-
-def _bucket_of(value: Column, bounds: Column) -> Column:
-    """Even = strictly between two bounds, odd = equal to a bound, last = null. Found in two steps of ``STEP`` comparisons."""
-    coarse = F.filter(bounds, lambda b, i: (i + 1) % STEP == 0)
-    skipped = F.size(F.filter(coarse, lambda b: b < value)) * STEP
-    near = F.slice(bounds, skipped + 1, F.lit(STEP))
-    below = skipped + F.size(F.filter(near, lambda b: b < value))
-    on_bound = F.exists(near, lambda b: b == value).cast("int")
-    # Never null, so joins on the bucket push no "is not null" copy of it into the scan.
-    return F.coalesce(F.when(value.isNull(), F.lit(2 * BOUNDS + 2)).otherwise(2 * below + on_bound), F.lit(0))
+def _ranged(df: DataFrame, keys: Sequence[Column], rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``df`` in the order of ``keys``, cut into ranges, stored with ``_part`` and ``_at``, and the sizes ``(_part, _n)`` of the ranges.
 
-
-def _with_bounds(df: DataFrame, by: Sequence[str], proxy: str, spread: Sequence[str] = ()) -> DataFrame:
-    """Adds ``_bounds``: values that cut each group into parts of about equal rows.
-
-    Numbers take them from a mergeable sketch. Texts take them from a sample of a few values per bound, chosen by a hash of the value and
-    of the ``spread`` columns, so that a frequent text is in it as often as it should be.
+    Spark draws the cuts from a sample of all keys, so rows that tie on the first are cut by the next ones; a hash of the whole row comes last and
+    cuts full ties. The sizes are counted on the stored rows: while a range holds more than ``rows``, all are cut anew into as many as the count asks for.
     """
-    if isinstance(df.schema[proxy].dataType, T.StringType):
-        size = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
-        sized = df.join(size, list(by)) if by else df.withColumn("_size", size.select("_size").scalar())
-        chosen = F.pmod(F.xxhash64(proxy, *spread), F.greatest(F.lit(1).cast("long"), F.floor(F.col("_size") / (SAMPLED * BOUNDS)))) == 0
-        ordered = F.array_sort(F.collect_list(F.when(chosen, F.col(proxy))))
-        every = F.transform(F.sequence(F.lit(1), F.lit(BOUNDS - 1)), lambda i: F.get(F.col("_s"), F.floor(i * F.size("_s") / BOUNDS).cast("int")))
-        pick = F.array_compact(F.array_distinct(every)).alias("_bounds")
-        bounds = sized.groupBy(*by).agg(ordered.alias("_s")).select(*by, pick)
-    else:
-        steps = F.array(*[F.lit(i / BOUNDS) for i in range(1, BOUNDS)])
-        bounds = df.groupBy(*by).agg(F.array_distinct(F.percentile_approx(proxy, steps, 4 * BOUNDS)).alias("_bounds"))
-    if by:
-        return df.join(bounds, list(by))
-    return df.withColumn("_bounds", bounds.scalar())
-
-
-def ordered_rank(df: DataFrame, by: Sequence[str], order: Sequence[tuple[str, str]], out: str = "rank") -> DataFrame:
+    limit = rows or RANGE_ROWS
+    hashable = [c.name for c in df.schema.fields if not isinstance(c.dataType, (T.MapType, T.VariantType))]
+    keys = [*keys, F.xxhash64(*[F.col(f"`{c}`") for c in hashable]).asc()]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for _ in range(MOST_CUTS):
+        placed = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
+        # The id is the number of the range, then the place inside it in the low 33 bits.
+        stored = materialise(placed).withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_id")
+        sizes = stored.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+        most = sizes.agg(F.max("_n").alias("most"), F.sum("_n").alias("total")).first()
+        if (most["most"] or 0) <= limit:
+            break
+        parts = max(2 * parts, -(-2 * most["total"] // limit))
+    return stored, sizes
+
+
+def _directed(name: str, direction: str) -> Column:
+    return F.col(name).asc_nulls_last() if direction == "asc" else F.col(name).desc_nulls_last()
+
+
+def ordered_rank(df: DataFrame, by: Sequence[str], order: Sequence[tuple[str, str]], out: str = "rank", rows: int | None = None) -> DataFrame:
     """1-based ``row_number`` by ``order`` (pairs of column and 'asc'/'desc'; nulls last).
 
-    Buckets come from the first column. Rows that tie on it are cut further by the second.
+    One sort by group and order over all ranges: a row's rank is its place less the place where its group starts in its range, plus
+    the group's rows in earlier ranges. ``rows`` bounds a range.
     """
     by = list(by)
-    first, direction = order[0]
-    df = stable(df, first)
-    proxied = df.withColumn("_ord", _order_proxy(df, first))
-    if len(order) > 1:
-        tie, tie_direction = order[1]
-        second = _tie_proxy(df, tie)
-        proxied = proxied.withColumn("_tie", second if tie_direction == "asc" else -second)
-    else:
-        proxied = proxied.withColumn("_tie", F.lit(0.0))
-    spread = F.struct(F.min("_tie").alias("lo"), F.max("_tie").alias("hi")).alias("_span")
-    if by:
-        spanned = proxied.join(proxied.groupBy(*by).agg(spread), by)
-    else:
-        spanned = proxied.withColumn("_span", proxied.agg(spread).scalar())
-    cut = F.when(
-        F.col("_span.hi") > F.col("_span.lo"),
-        F.floor((F.col("_tie") - F.col("_span.lo")) / (F.col("_span.hi") - F.col("_span.lo")) * TIE_SLICES).cast("int"),
-    )
-    bucket = _bucket_of(F.col("_ord"), F.col("_bounds"))
-    if direction != "asc":
-        bucket = F.when(F.col("_ord").isNull(), bucket).otherwise(2 * BOUNDS - bucket)
-    bucketed = _with_bounds(spanned, by, "_ord", [c for c, _ in order[1:2]]).withColumn("_b", bucket)
-    tied = (F.col("_b") % 2 == 1) | F.col("_ord").isNull()
-    bucketed = bucketed.withColumn("_c", F.when(tied, F.coalesce(cut, F.lit(0))).otherwise(F.lit(0)))
-    bucketed = bucketed.drop("_ord", "_tie", "_span", "_bounds")
-    ordering = [F.col(c).asc_nulls_last() if d == "asc" else F.col(c).desc_nulls_last() for c, d in order]
-    return _number_in_buckets(bucketed, by, ["_b", "_c"], ordering, out)
+    stored, _ = _ranged(df, [*[F.col(c).asc_nulls_last() for c in by], *[_directed(c, d) for c, d in order]], rows)
+    pieces = stored.groupBy(*by, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = pieces.select(*by, "_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return _with_pieces(stored, offsets, by).withColumn(out, F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
 
 
-def running_total(df: DataFrame, by: Sequence[str], value: str, amount: str, out: str = "before") -> DataFrame:
-    """Sum of ``amount`` over rows with a smaller ``value`` in the group.
+def _with_pieces(rows: DataFrame, pieces: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``rows`` with the columns of their group's piece in their range (null groups meet null groups)."""
+    named = pieces.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "_part"])], *[c for c in pieces.columns if c not in (*by, "_part")])
+    same = F.lit(True)
+    for i, c in enumerate([*by, "_part"]):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(named, same).drop(*[f"_k{i}" for i in range(len(by) + 1)])
 
-    ``value`` must be distinct inside a group (pre-aggregate first) and stored when float.
-    """
+
+def running_total(df: DataFrame, by: Sequence[str], value: str, amount: str, out: str = "before", rows: int | None = None) -> DataFrame:
+    """Sum of ``amount`` over rows with a smaller ``value`` in the group; ``value`` must be distinct inside a group (pre-aggregate first)."""
     by = list(by)
-    proxied = df.withColumn("_ord", _order_proxy(df, value))
-    bucketed = _with_bounds(proxied, by, "_ord").withColumn("_b", _bucket_of(F.col("_ord"), F.col("_bounds"))).drop("_ord", "_bounds")
-    inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        bucketed.groupBy(*by, "_b")
-        .agg(F.sum(amount).alias("_n"))
-        .withColumn("_off", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .drop("_n")
-    )
-    summed = bucketed.withColumn("_in", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
-    return summed.join(offsets, [*by, "_b"]).withColumn(out, F.col("_in") + F.col("_off")).drop("_in", "_off", "_b")
+    stored, _ = _ranged(df, [*[F.col(c).asc_nulls_last() for c in by], F.col(value).asc_nulls_last()], rows)
+    inside = Window.partitionBy(*by, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = stored.groupBy(*by, "_part").agg(F.sum(amount).alias("_n"))
+    offsets = pieces.select(*by, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
+    summed = stored.withColumn("_in", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+    return _with_pieces(summed, offsets, by).withColumn(out, F.col("_in") + F.col("_off")).drop("_in", "_off", "_part", "_at")
 
 
 def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
@@ -176,7 +122,7 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), weight: str |
     """
     amount = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(amount.alias("n"))
-    return with_average_rank(stable(counted, value), value, by)
+    return with_average_rank(counted, value, by)
 
 
 def with_average_rank(counted: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:

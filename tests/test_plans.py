@@ -84,11 +84,48 @@ def test_roc_auc_brute_force(hot):
     assert roc_auc(df.filter("y = 1"), "x", "y").first()["auc"] is None
 
 
-def test_ranks_use_no_single_partition_row_window(hot):
-    _, df = hot
-    plan = ordered_rank(df.select("k"), [], [("k", "asc")])._jdf.queryExecution().optimizedPlan().toString()
-    rows = [line for line in plan.splitlines() if "Window" in line and "row_number()" in line]
-    assert rows and all("_b" in line for line in rows)
+@pytest.mark.parametrize("n", [3_000, 24_000])
+@pytest.mark.parametrize("order", ["number", "day", "name", "flag"])
+def test_ranges_are_bounded_at_any_size(spark, n, order):
+    """The same bound holds at both sizes, for texts, dates, numbers and flags; a third of the rows tie on the first column, and rows repeat."""
+    rows = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 500).alias("number"),
+        F.when(F.col("id") % 3 == 0, F.lit("chromosome_hot")).otherwise(F.format_string("chromosome_%07d", F.col("id") % 500)).alias("name"),
+        F.date_add(F.lit("2020-01-01").cast("date"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 500).cast("int")).alias("day"),
+        (F.col("id") % 3 == 0).alias("flag"),
+        F.floor(F.col("id") / 2).alias("tie"),
+    )
+    stored, sizes = ranking._ranged(rows, [F.col(order), F.col("tie")], rows=500)
+    assert sizes.agg(F.max("_n")).first()[0] <= 500 and sizes.agg(F.sum("_n")).first()[0] == n
+    ranked = ordered_rank(rows, [], [(order, "desc"), ("tie", "asc")], "r", rows=500).toPandas().sort_values("r")
+    assert ranked["r"].tolist() == list(range(1, n + 1))
+    want = rows.toPandas().sort_values("tie", kind="stable").sort_values(order, ascending=False, kind="stable")
+    assert ranked[order].tolist() == want[order].tolist() and ranked["tie"].tolist() == want["tie"].tolist()
+
+
+@pytest.mark.parametrize("tie", ["lower(g)", "to_date('2020-01-01') + cast(k as int)", "k * 2", "cast(k as double)", "k % 2 = 0"])
+def test_rank_by_group_with_any_tie_break(hot, tie):
+    pdf, df = hot
+    got = ordered_rank(df.withColumn("t", F.expr(tie)), ["g"], [("y", "asc"), ("t", "desc"), ("k", "asc")], rows=200).toPandas()
+    for _, part in got.groupby("g"):
+        want = part.sort_values("k").sort_values("t", ascending=False, kind="stable").sort_values("y", kind="stable")
+        assert want["rank"].tolist() == list(range(1, len(part) + 1))
+
+
+def test_null_groups_are_ranked(spark):
+    df = spark.createDataFrame([(None, 2), (None, 1), ("a", 5), ("a", None)], "g string, x int")
+    got = {(r["g"], r["x"]): r["rank"] for r in ordered_rank(df, ["g"], [("x", "asc")]).collect()}
+    assert got == {(None, 1): 1, (None, 2): 2, ("a", 5): 1, ("a", None): 2}
+    assert ordered_rank(df.where("false"), ["g"], [("x", "asc")]).count() == 0
+
+
+def test_quantiles_over_ranges(hot, monkeypatch):
+    monkeypatch.setattr(quantiles, "ONE_WINDOW", 10)
+    pdf, df = hot
+    got = {(r["g"], r["q"]): r["quantile"] for r in quantiles.exact_quantiles(df, "x", [0.0, 0.3, 0.5, 1.0], ["g"]).collect()}
+    for g, part in pdf.groupby("g"):
+        for q in (0.0, 0.3, 0.5, 1.0):
+            assert got[(g, q)] == pytest.approx(np.quantile(part["x"], q), abs=1e-12)
 
 
 def test_filters_and_columns_reach_the_scan(spark):
@@ -98,15 +135,11 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 
 @pytest.mark.parametrize("direction", ["asc", "desc"])
-def test_text_ranks_spread_over_buckets(spark, direction):
-    """Texts that share a long prefix, and one text that holds a third of the rows, are cut into many buckets."""
+def test_text_ranks_with_a_hot_text(spark, direction):
+    """Texts that share a long prefix, and one text that holds a third of the rows."""
     rows = [(f"chromosome_promoter_{i:06d}" if i % 3 else "chromosome_promoter_hot", i) for i in range(6000)] + [(None, 7), ("", 8)]
     df = spark.createDataFrame(rows, "name string, i long")
     ranked = ranking.ordered_rank(df, [], [("name", direction), ("i", "asc")], "r").collect()
     given = [r for r in rows if r[0] is not None]
     want = sorted(sorted(given, key=lambda r: r[1]), key=lambda r: r[0], reverse=direction == "desc") + [(None, 7)]
     assert [(r["name"], r["i"]) for r in sorted(ranked, key=lambda r: r["r"])] == want
-    cut = ranking._with_bounds(df.withColumn("_ord", df["name"]), [], "_ord", ["i"]).withColumn("b", ranking._bucket_of(F.col("_ord"), F.col("_bounds")))
-    sizes = {r["b"]: r["count"] for r in cut.groupBy("b").count().collect()}
-    hot = max(sizes.values())
-    assert len(sizes) > 100 and hot == 2000 and sorted(sizes.values())[-2] < 100  # the hot text has a bucket of its own, cut by the tie
