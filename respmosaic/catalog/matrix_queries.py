@@ -336,6 +336,25 @@ def m18_moments(spark, sf):
     return _moments(factor.pca_scores(fx_v(spark, sf).select("entity", "item", "value"), 64, zscore=True).spectrum)
 
 
+@query("m17_scores_by_entity", f"WITH {V}, {fit_sql('v', 'x', clip=None)} SELECT entity, round(sum(value * value), 6) + 0.0 AS squares FROM x GROUP BY 1")
+def m17_by_entity(spark, sf):
+    """Squares of all scores of an entity, whatever their signs, against its cells."""
+    scores = factor.pca_entities(fx_v(spark, sf).select("entity", "item", "value"), 64).scores
+    return rounded(scores.groupBy("entity").agg(F.sum(F.col("score") ** 2).alias("squares")), "squares")
+
+
+@query(
+    "m18_cells_from_factors",
+    f"""WITH {V}, m AS (SELECT item, avg(value) AS m, stddev_pop(value) AS s FROM v GROUP BY 1)
+ SELECT entity, item, round((value - m) / CASE WHEN s > 0 THEN s ELSE 1 END, 6) + 0.0 AS value FROM v JOIN m USING (item)""",
+)
+def m18_cells(spark, sf):
+    """All scores times all loadings give the z-scored matrix back."""
+    f = factor.pca_scores(fx_v(spark, sf).select("entity", "item", "value"), 64, zscore=True)
+    cells = f.scores.join(f.loadings, "pc").groupBy("entity", "item").agg(F.sum(F.col("score") * F.col("loading")).alias("value"))
+    return rounded(cells, "value")
+
+
 @query(
     "m19_procrustes_residual",
     f"""WITH {V}, m AS (SELECT item, avg(value) AS m FROM v GROUP BY 1), c AS (SELECT value - m AS a, 2 * (value - m) AS b FROM v JOIN m USING (item))

@@ -5,17 +5,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.mllib.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from respmosaic.operators.matrix import double_center
-from respmosaic.plans.ranking import ordered_rank
+from respmosaic.plans import blocked
+from respmosaic.plans.stable import materialise
 
-# The solver keeps vectors along the shorter axis on the driver, so that axis must be known
-# to be small; beyond this the call is refused with advice instead of risking the driver.
-MAX_SHORT_AXIS = 1_000_000
+#: Columns of the sampled subspace beyond k, rounds at most, change of a singular value that ends them, and the share of the first below which one is 0.
+SPARE, ROUNDS, CHANGE, RANK = 32, 60, 1e-12, 1e-9
 
 
 @dataclass
@@ -27,42 +26,64 @@ class Factors:
     spectrum: DataFrame
 
 
-def truncated_svd(x: DataFrame, k: int) -> Factors:
-    """Leading k singular triples of a complete matrix X(entity, item, value).
+def _orthonormal(tall: DataFrame, width: int) -> tuple[DataFrame, int]:
+    """Row blocks with an orthonormal basis of the column space and their width, by the triangular factor taken twice."""
+    for _ in range(2):
+        _, s, vt = np.linalg.svd(blocked.triangle(tall, width))
+        kept = s > s[0] * 1e-13 if len(s) and s[0] > 0 else s > 0
+        tall = materialise(blocked.times(tall, width, vt[: len(s)][kept].T / s[kept]))
+        width = int(kept.sum())
+        if not width:
+            break
+    return tall, width
 
-    Rows of the distributed matrix run along the longer axis. Explained shares are taken
-    over the whole sum of squares, not over the k kept components.
+
+def truncated_svd(x: DataFrame, k: int, block: int = blocked.BLOCK) -> Factors:
+    """Leading k singular triples of a complete matrix X(entity, item, value), by distributed subspace iteration.
+
+    A sampled subspace of ``k + SPARE`` columns is multiplied by X and its transpose in blocks and made orthonormal by a tree of triangular
+    factors, until the singular values stand still; a subspace as wide as the shorter axis is exact at once. The bases stay tables; the
+    driver sees matrices of that many columns and rows only. Explained shares are taken over the whole sum of squares. Triples whose singular value is
+    0 (below ``RANK`` of the first) are left out. Signs follow a fixed projection of the loadings.
     """
     spark = x.sparkSession
-    n_ent = x.select("entity").distinct().count()
-    n_item = x.select("item").distinct().count()
-    short, long, n_short = ("entity", "item", n_ent) if n_ent <= n_item else ("item", "entity", n_item)
-    if n_short > MAX_SHORT_AXIS:
-        raise ValueError(f"shorter axis has {n_short} members, above {MAX_SHORT_AXIS}; reduce items with a panel subset first")
-    if not 1 <= k <= n_short:
-        raise ValueError(f"k must lie in 1..{n_short}")
-    axis = ordered_rank(x.select(short).distinct(), [], [(short, "asc")], "_o")
-    packed = x.join(axis, short).groupBy(long).agg(F.collect_list(F.struct(F.col("_o"), F.col("value").cast("double"))).alias("_c"))
-    rows = packed.select("_c").rdd.map(lambda r: Vectors.sparse(n_short, {int(c[0]) - 1: c[1] for c in r["_c"]}))
-    svd = RowMatrix(rows, 0, n_short).computeSVD(k)
-    sigma = svd.s.toArray()
-    v = svd.V.toArray()
-    total = x.agg(F.sum(F.col("value") * F.col("value"))).first()[0] or 0.0
-    spectrum = spark.createDataFrame(
-        [(i, float(s), float(s * s / total) if total else 0.0) for i, s in enumerate(sigma)], "pc int, sigma double, explained double"
-    )
-    basis = spark.createDataFrame([(i + 1, v[i].tolist()) for i in range(v.shape[0])], "_o long, w array<double>")
-    short_side = axis.join(basis, "_o").select(short, F.posexplode("w").alias("pc", "u"))
-    weighted = x.join(axis.join(basis, "_o").select(short, "w"), short).select(long, F.posexplode("w").alias("pc", "w"), "value")
-    long_side = weighted.groupBy(long, "pc").agg(F.sum(F.col("w") * F.col("value")).alias("p"))
-    sig = spectrum.select("pc", "sigma")
-    if short == "entity":
-        scores = short_side.join(sig, "pc").select("entity", "pc", (F.col("u") * F.col("sigma")).alias("score"))
-        loadings = long_side.join(sig, "pc").select("item", "pc", F.when(F.col("sigma") > 0, F.col("p") / F.col("sigma")).otherwise(0.0).alias("loading"))
-    else:
-        scores = long_side.select("entity", "pc", F.col("p").alias("score"))
-        loadings = short_side.select("item", "pc", F.col("u").alias("loading"))
-    return Factors(scores, loadings, spectrum)
+    x = materialise(x.select("entity", "item", "value"))
+    axes = {name: materialise(blocked.axis(x, name)) for name in ("entity", "item")}
+    size = {name: a.count() for name, a in axes.items()}
+    short, long = ("entity", "item") if size["entity"] <= size["item"] else ("item", "entity")
+    if not 1 <= k <= size[short]:
+        raise ValueError(f"k must lie in 1..{size[short]}")
+    matrix = blocked.pack(x, axes[long], long, axes[short], short, size[long], size[short], block)
+    width = min(size[short], max(2 * k, k + SPARE))
+    whole = width == size[short]
+
+    def start(b: int, rows: int) -> np.ndarray:
+        return np.eye(width)[b * block : b * block + rows] if whole else np.random.default_rng([17, b]).standard_normal((rows, width))
+
+    right, last = blocked.thin(spark, size[short], width, start, block), None
+    for _ in range(1 if whole else ROUNDS):
+        basis, rank = _orthonormal(blocked.product(matrix, right, width), width)
+        if not rank:
+            break
+        image = blocked.product(matrix, basis, rank, transposed=True)  # X.T @ basis: X is about basis @ image.T
+        _, sigma, vt = np.linalg.svd(blocked.triangle(image, rank))
+        if last is not None and len(last) == len(sigma) and np.all(np.abs(sigma[:k] - last[:k]) <= CHANGE * sigma[0]):
+            break
+        last = sigma
+        if not whole:
+            right, width = _orthonormal(image, rank)
+    if not rank:
+        empty = [spark.createDataFrame([], T.StructType([x.schema[n], T.StructField("pc", T.IntegerType()), T.StructField(v, T.DoubleType())])) for n, v in (("entity", "score"), ("item", "loading"))]
+        return Factors(*empty, spark.createDataFrame([], "pc int, sigma double, explained double"))
+    total = x.agg(F.sum(F.col("value") * F.col("value"))).first()[0]
+    k = min(k, int((sigma > RANK * sigma[0]).sum()))
+    sigma, turn = sigma[:k], vt[:k].T
+    spectrum = spark.createDataFrame([(i, float(s), float(s * s / total)) for i, s in enumerate(sigma)], "pc int, sigma double, explained double")
+    loaded, by = (image, turn / sigma) if long == "entity" else (basis, turn)
+    sign = np.where(blocked.projection(loaded, rank) @ by < 0, -1.0, 1.0)
+    loadings = blocked.times(loaded, rank, by * sign)
+    scores = blocked.times(basis, rank, turn * sigma * sign) if long == "entity" else blocked.times(image, rank, turn * sign)
+    return Factors(blocked.cells(scores, k, axes["entity"], "entity", "pc", "score", block), blocked.cells(loadings, k, axes["item"], "item", "pc", "loading", block), spectrum)
 
 
 def pca_entities(v: DataFrame, k: int) -> Factors:
@@ -107,8 +128,8 @@ def procrustes_residual(a: DataFrame, b: DataFrame) -> float:
     if nb == 0.0:
         return 0.0
     cross = ca.join(cb, "key").groupBy("da", "db").agg(F.sum(F.col("a") * F.col("b")).alias("s")).collect()
-    dims = sorted({r["da"] for r in cross} | {r["db"] for r in cross})
+    dims = {d: i for i, d in enumerate(sorted({r["da"] for r in cross} | {r["db"] for r in cross}))}
     m = np.zeros((len(dims), len(dims)))
     for r in cross:
-        m[dims.index(r["da"]), dims.index(r["db"])] = r["s"]
+        m[dims[r["da"]], dims[r["db"]]] = r["s"]
     return float(np.sqrt(max(na + nb - 2.0 * np.linalg.svd(m, compute_uv=False).sum(), 0.0)) / np.sqrt(nb))
