@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from respmosaic.catalog.base import ITEMS, SEQ, VN, entity_labels, fit_sql, fx_items, fx_lab, fx_seq, fx_v, fx_vn, query, r, rounded, table
+from respmosaic.catalog.base import ITEMS, LAB, SEQ, VN, entity_labels, fit_sql, fx_items, fx_lab, fx_seq, fx_v, fx_vn, query, r, rounded, table
 from respmosaic.functions import text
 from respmosaic.operators import learning, matrix, scoring
 from respmosaic.session import ensure_checkpoint_dir
@@ -154,6 +154,42 @@ def l7(spark, sf):
     return spark.createDataFrame(keep, "field string, value string")
 
 
+AUC_SQL = """(SELECT (sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))) FROM
+ (SELECT y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS r FROM te))"""
+
+
+@query(
+    "l7_one_feature",
+    f"""WITH {LAB}, d AS (SELECT item, CASE WHEN length > 0 THEN gc END AS x, quality AS y FROM lab), tr AS (SELECT * FROM d WHERE item % 3 <> 0 AND x IS NOT NULL), te AS (SELECT * FROM d WHERE item % 3 = 0 AND x IS NOT NULL)
+ SELECT round(CASE WHEN (SELECT covar_pop(x, y) FROM tr) > 0 THEN a ELSE 1 - a END, 6) + 0.0 AS auc_test, (SELECT count(*) FROM tr) AS n_train, (SELECT count(*) FROM te) AS n_test, (SELECT count(*) FROM d WHERE item % 3 <> 0) AS n_train_raw,
+ (SELECT count(*) FROM d WHERE item % 3 <> 0 AND x IS NULL) AS n_train_dropped, (SELECT count(*) FROM d WHERE item % 3 = 0) AS n_test_raw, (SELECT count(*) FROM d WHERE item % 3 = 0 AND x IS NULL) AS n_test_dropped, 1::BIGINT AS embed_dim
+ FROM (SELECT {AUC_SQL} AS a)""",
+)
+def l7_one(spark, sf):
+    """With one feature the test AUC is that of the feature itself, or of its negative; empty sequences count as dropped rows."""
+    lab = fx_lab(spark, sf)
+    rows = lab.select(F.col("item").alias("row"), F.array(F.when(F.col("length") > 0, F.col("gc"))).alias("features"), F.col("quality").alias("label"))
+    rec = learning.linear_probe(rows.filter("row % 3 <> 0"), rows.filter("row % 3 = 0"), (0.1, 1.0), 3, 1)
+    names = ["auc_test", "n_train", "n_test", "n_train_raw", "n_train_dropped", "n_test_raw", "n_test_dropped", "embed_dim"]
+    return rounded(spark.createDataFrame([tuple(rec[n] for n in names)], "auc_test double, " + ", ".join(f"{n} long" for n in names[1:])), "auc_test")
+
+
+@query(
+    "l8_class_features",
+    f"""WITH {ITEMS}, d AS (SELECT dataset AS entity, avg(gc) AS y, regexp_extract(dataset, '([0-9]+)', 1)::INT % 4 AS cls FROM i GROUP BY 1),
+ k AS (SELECT *, (ntile(3) OVER (ORDER BY md5('0|' || entity), entity) - 1)::INT AS fold FROM d), f AS (SELECT DISTINCT fold FROM k),
+ m AS (SELECT f.fold, cls, count(*) AS n, avg(y) AS y FROM f JOIN k ON k.fold <> f.fold GROUP BY 1, 2), b AS (SELECT fold, sum(n / (n + 2.0) * y) / sum(n / (n + 2.0)) AS b FROM m GROUP BY 1)
+ SELECT k.entity, k.fold, round(k.y, 6) + 0.0 AS y_true, round(greatest(0.0, least(1.0, b + coalesce(n * (m.y - b) / (n + 2.0), 0.0))), 6) + 0.0 AS y_pred FROM k JOIN b USING (fold) LEFT JOIN m ON m.fold = k.fold AND m.cls = k.cls""",
+)
+def l8_classes(spark, sf):
+    """Mean G/C of each source from 64 features of which one marks its class: ridge has a closed form, and the Gram matrix is the smaller side."""
+    targets = fx_items(spark, sf).groupBy(F.col("dataset").alias("entity")).agg(F.avg("gc").alias("y")).withColumn("task", F.lit("gc"))
+    mark = F.regexp_extract("entity", r"(\d+)", 1).cast("int") % 4
+    features = targets.select(F.lit("class").alias("feature_set"), "entity", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (i == mark).cast("double")).alias("features"))
+    pred = learning.predict_metric(features, targets, splits=("kfold",), alphas=(2.0,), n_folds=3, inner=2)
+    return rounded(pred.select("entity", "fold", "y_true", "y_pred"), "y_true", "y_pred")
+
+
 @query("l8_predict_metric")
 def l8(spark, sf):
     """Mean G/C of each source's documents predicted from its 2-letter profile."""
@@ -191,7 +227,15 @@ def l9(spark, sf):
     rows = means.groupBy("dataset").agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("_l"))
     rows = rows.select(F.col("dataset").alias("row"), F.col("_l.x").alias("features"), (F.regexp_extract("dataset", r"(\d+)", 1).cast("int") % 2).alias("label"))
     rec = learning.loo_classify(rows, (1.0,), "logistic")
-    return spark.createDataFrame([(rec["n"], round(rec["auc"], 6), rec["best_C"])], "n int, auc double, best_c double")
+    return spark.createDataFrame([(rec["n"], round(rec["auc"], 6), rec["best_C"])], "n long, auc double, best_c double")
+
+
+@query("l9_every_row", f"WITH {ITEMS} SELECT count(*) AS n, least(count(*), 200) AS n_fitted, 1.0::DOUBLE AS auc FROM i")
+def l9_every_row(spark, sf):
+    """Long and short documents told apart by their length: every row gets a held-out score, the fitted ones and the others."""
+    rows = fx_items(spark, sf).select(F.col("item").alias("row"), F.array(F.when(F.col("length") > 200, 1.0).otherwise(-1.0) + F.col("gc") / 100).alias("features"), (F.col("length") > 200).cast("int").alias("label"))
+    rec = learning.loo_classify(rows, (1.0,), max_rows=200)
+    return spark.createDataFrame([(rec["n"], rec["n_fitted"], round(rec["auc"], 6))], "n long, n_fitted long, auc double")
 
 
 # ---------------------------------------------------------------- streaming

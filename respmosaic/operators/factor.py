@@ -14,7 +14,9 @@ from respmosaic.plans import blocked
 from respmosaic.plans.stable import materialise
 
 #: Columns of the sampled subspace beyond k, rounds at most, change of a singular value that ends them, and the share of the first below which one is 0.
-SPARE, ROUNDS, CHANGE, RANK = 32, 60, 1e-12, 1e-9
+SPARE, ROUNDS, CHANGE, RANK = 32, 60, 1e-11, 1e-9
+#: A shorter axis of so many members is taken whole: one round, exact.
+WHOLE = 1024
 
 
 @dataclass
@@ -42,7 +44,7 @@ def truncated_svd(x: DataFrame, k: int, block: int = blocked.BLOCK) -> Factors:
     """Leading k singular triples of a complete matrix X(entity, item, value), by distributed subspace iteration.
 
     A sampled subspace of ``k + SPARE`` columns is multiplied by X and its transpose in blocks and made orthonormal by a tree of triangular
-    factors, until the singular values stand still; a subspace as wide as the shorter axis is exact at once. The bases stay tables; the
+    factors, until the singular values stand still; a subspace as wide as the shorter axis (always, up to ``WHOLE`` members) is exact at once. The bases stay tables; the
     driver sees matrices of that many columns and rows only. Explained shares are taken over the whole sum of squares. Triples whose singular value is
     0 (below ``RANK`` of the first) are left out. Signs follow a fixed projection of the loadings.
     """
@@ -54,7 +56,7 @@ def truncated_svd(x: DataFrame, k: int, block: int = blocked.BLOCK) -> Factors:
     if not 1 <= k <= size[short]:
         raise ValueError(f"k must lie in 1..{size[short]}")
     matrix = blocked.pack(x, axes[long], long, axes[short], short, size[long], size[short], block)
-    width = min(size[short], max(2 * k, k + SPARE))
+    width = size[short] if size[short] <= WHOLE else min(size[short], max(2 * k, k + SPARE))
     whole = width == size[short]
 
     def start(b: int, rows: int) -> np.ndarray:

@@ -48,17 +48,8 @@ def thin(spark: SparkSession, n: int, width: int, make, block: int = BLOCK) -> D
     return spark.range(-(-n // block)).mapInPandas(run, "b long, m binary")
 
 
-def product(blocks: DataFrame, right: DataFrame, width: int, transposed: bool = False) -> DataFrame:
-    """Row blocks of ``A @ right`` (or ``A.T @ right``), stored. Thin partial products are shuffled, and added up as they come."""
-    own, other = ("cb", "rb") if transposed else ("rb", "cb")
-    met = blocks.join(right.select(F.col("b").alias(other), F.col("m").alias("q")), other).select(F.col(own).alias("b"), "m", "q")
-
-    def multiply(frames):
-        for pdf in frames:
-            for b, m, q in zip(pdf["b"], pdf["m"], pdf["q"]):
-                q, m = np.frombuffer(q).reshape(-1, width), np.frombuffer(m)
-                part = m.reshape(len(q), -1).T @ q if transposed else m.reshape(-1, len(q)) @ q
-                yield pd.DataFrame({"b": [b], "m": [np.ascontiguousarray(part).tobytes()]})
+def summed(parts: DataFrame) -> DataFrame:
+    """Packed vectors ``(b, m)`` added up by ``b``, one at a time in memory."""
 
     def add(frames):
         at, total = None, None
@@ -71,7 +62,22 @@ def product(blocks: DataFrame, right: DataFrame, width: int, transposed: bool =
         if at is not None:
             yield pd.DataFrame({"b": [at], "m": [total.tobytes()]})
 
-    return materialise(met.mapInPandas(multiply, "b long, m binary").repartition("b").sortWithinPartitions("b").mapInPandas(add, "b long, m binary"))
+    return parts.repartition("b").sortWithinPartitions("b").mapInPandas(add, "b long, m binary")
+
+
+def product(blocks: DataFrame, right: DataFrame, width: int, transposed: bool = False) -> DataFrame:
+    """Row blocks of ``A @ right`` (or ``A.T @ right``), stored. Thin partial products are shuffled, and added up as they come."""
+    own, other = ("cb", "rb") if transposed else ("rb", "cb")
+    met = blocks.join(right.select(F.col("b").alias(other), F.col("m").alias("q")), other).select(F.col(own).alias("b"), "m", "q")
+
+    def multiply(frames):
+        for pdf in frames:
+            for b, m, q in zip(pdf["b"], pdf["m"], pdf["q"]):
+                q, m = np.frombuffer(q).reshape(-1, width), np.frombuffer(m)
+                part = m.reshape(len(q), -1).T @ q if transposed else m.reshape(-1, len(q)) @ q
+                yield pd.DataFrame({"b": [b], "m": [np.ascontiguousarray(part).tobytes()]})
+
+    return materialise(summed(met.mapInPandas(multiply, "b long, m binary")))
 
 
 def triangle(tall: DataFrame, width: int) -> np.ndarray:
