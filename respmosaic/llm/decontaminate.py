@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,17 +28,26 @@ _LOWER[65:91] += 32
 
 @dataclass
 class TestSet:
-    """Windows of a block of test items: sorted hashes, where each occurrence stands, and the words behind them."""
+    """Windows of one length of a block of test items: sorted hashes, one place per hash where the words stand, and the items that hold it.
+
+    ``more`` has the further ``(place, items)`` of the few hashes that different windows share.
+    """
 
     length: int
     hashes: np.ndarray
-    first: np.ndarray
-    size: np.ndarray
-    item: np.ndarray
+    place: np.ndarray
+    items: list[frozenset]
+    more: dict[int, list[tuple[int, frozenset]]]
     data: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
-    short: np.ndarray
+
+    def words(self, place: int) -> list[bytes]:
+        return _words(self.data, self.starts, self.ends, place, self.length)
+
+
+def _words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, place: int, n: int) -> list[bytes]:
+    return [_LOWER[data[a:b]].tobytes() for a, b in zip(starts[place : place + n], ends[place : place + n])]
 
 
 def _table(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -71,13 +81,23 @@ def build(rows: list[tuple], n: int) -> list[TestSet]:
         keep = np.isin(owner, pick)
         at, got, owner = at[keep], got[keep], owner[keep]
         order = np.lexsort((at, got))
+        at, owner = at[order], owner[order]
         hashes, begin, size = np.unique(got[order], return_index=True, return_counts=True)
-        out.append(TestSet(length, hashes, begin, size, np.array([ids[o] for o in owner[order]], dtype=object), data, starts, ends, at[order]))
+        items, more = [frozenset((ids[owner[k]],)) for k in begin], {}
+        for s in np.flatnonzero(size > 1):
+            found: dict[tuple, tuple[int, set]] = {}
+            for k in range(begin[s], begin[s] + size[s]):
+                found.setdefault(tuple(_words(data, starts, ends, at[k], length)), (at[k], set()))[1].add(ids[owner[k]])
+            (_, mine), *others = found.values()
+            items[s] = frozenset(mine)
+            if others:
+                more[s] = [(place, frozenset(names)) for place, names in others]
+        out.append(TestSet(length, hashes, at[begin], items, more, data, starts, ends))
     return out
 
 
 def _hits(tests: list[TestSet], data, starts, ends, h, first):
-    """Word mask of verified hits and ``{document: set of items}``."""
+    """Word mask of verified hits and ``{document: set of items}`` (None for items without an id)."""
     mask, items = np.zeros(len(starts) + 1, np.int32), {}
     doc_of = None
     for t in tests:
@@ -85,37 +105,55 @@ def _hits(tests: list[TestSet], data, starts, ends, h, first):
         slot = np.searchsorted(t.hashes, got)
         slot[slot == len(t.hashes)] = 0
         found = np.flatnonzero(t.hashes[slot] == got) if len(t.hashes) else np.zeros(0, np.int64)
+        seen: set[tuple[int, int]] = set()
         for p, s in zip(at[found], slot[found]):
-            mine = [_LOWER[data[a:b]].tobytes() for a, b in zip(starts[p : p + t.length], ends[p : p + t.length])]
-            true = []
-            for k in range(t.first[s], t.first[s] + t.size[s]):
-                q = t.short[k]
-                if mine == [_LOWER[t.data[a:b]].tobytes() for a, b in zip(t.starts[q : q + t.length], t.ends[q : q + t.length])]:
-                    true.append(t.item[k])
-            if true:
-                mask[p] += 1
-                mask[p + t.length] -= 1
-                if doc_of is None:
-                    doc_of = np.searchsorted(first, np.arange(len(starts)), "right") - 1
-                items.setdefault(int(doc_of[p]), set()).update(true)
+            mine = _words(data, starts, ends, p, t.length)
+            place = next((k for k, (q, _) in enumerate([(t.place[s], None), *t.more.get(s, ())]) if mine == t.words(q)), None)
+            if place is None:
+                continue
+            mask[p] += 1
+            mask[p + t.length] -= 1
+            if doc_of is None:
+                doc_of = np.searchsorted(first, np.arange(len(starts)), "right") - 1
+            d = int(doc_of[p])
+            if (d, s) not in seen or place:
+                seen.add((d, s))
+                items.setdefault(d, set()).update(t.more[s][place - 1][1] if place else t.items[s])
     return np.cumsum(mask[:-1]) > 0, items
 
 
-def _blocks(tests: DataFrame, item_col: str, text_col: str, max_words: int) -> list[list[int]]:
-    """Bins of hashed test texts whose words stay under the bound, by one bounded aggregate."""
-    bins = 4096
-    load = F.greatest(F.lit(1), F.length(text_col))
-    rows = tests.where(F.col(text_col).isNotNull()).groupBy(F.pmod(F.xxhash64(item_col, text_col), F.lit(bins)).alias("bin")).agg(F.sum(load).alias("n"), F.count(F.lit(1)).alias("c")).collect()
-    out, total = [[]], 0
+def _pieces(tests: DataFrame, n: int, max_words: int) -> DataFrame:
+    """Each ``(i, t)`` once; texts of many words in pieces that share ``n - 1`` words, so that every window stands in one piece."""
+    step = max(1, max_words // 4)
+
+    def cut(frames):
+        for pdf in frames:
+            out = []
+            for i, t in zip(pdf["i"], pdf["t"]):
+                data, _, starts, ends, _ = _table([t])
+                for k in range(0, max(1, len(starts) - n + 1), step):
+                    last = min(len(starts), k + step + n - 1)
+                    out.append((i, data[starts[k] : ends[last - 1]].tobytes().decode()) if last > k else (i, ""))
+            yield pd.DataFrame(out, columns=["i", "t"])
+
+    long = F.length("t") > 4 * step  # shorter ones cannot have more words than a piece
+    return tests.where(~long).unionAll(tests.where(long).mapInPandas(cut, "i string, t string")).distinct()
+
+
+def _blocks(pieces: DataFrame, limit: int) -> tuple[int, list[list[int]]]:
+    """Number of hash bins, and groups of bins whose texts stay under ``limit`` characters, but for one bin that alone holds more."""
+    load = F.greatest(F.lit(1), F.length("t")).cast("long")
+    total = pieces.agg(F.sum(load).alias("n")).first()["n"] or 0
+    bins = 16 * (1 + total // limit)
+    rows = pieces.groupBy(F.pmod(F.xxhash64("i", "t"), F.lit(bins)).alias("bin")).agg(F.sum(load).alias("n")).collect()  # one number a bin
+    out, held = [[]], 0
     for r in sorted(rows):
-        if r["n"] > 8 * max_words:
-            raise ValueError("one hash bin of test texts exceeds the broadcast bound; raise MAX_WORDS")
-        if total + r["n"] > 8 * max_words:
+        if out[-1] and held + r["n"] > limit:
             out.append([])
-            total = 0
+            held = 0
         out[-1].append(r["bin"])
-        total += r["n"]
-    return [b for b in out if b]
+        held += r["n"]
+    return bins, [b for b in out if b]
 
 
 def find_hits(docs: DataFrame, tests: DataFrame, text_col: str = "text", item_col: str = "item_id", test_text_col: str = "text", n: int = 13, max_words: int = MAX_WORDS) -> DataFrame:
@@ -124,17 +162,19 @@ def find_hits(docs: DataFrame, tests: DataFrame, text_col: str = "text", item_co
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. A window is ``n`` consecutive
     words of a test item, or the whole item when it has fewer. A word inside any verified window is hit. ``items`` holds the
     ids (as text, sorted) of test items with a window in the text. Null or empty texts have no words; null test texts
-    have no window; repeated rows are judged alike; columns of ``docs`` with the new names are replaced.
+    have no window; test items without an id hit like others and stand in ``items`` as one null, last; repeated test rows count once, and
+    long test texts are cut into pieces that share windows. Repeated rows are judged alike; columns of ``docs`` with the new names are replaced.
     """
     spark = docs.sparkSession
     new = ("n_words", "n_hit", "items", "hit_spans")
     kept = docs.select(*[c for c in docs.columns if c not in new])
-    src = tests.select(F.col(item_col).cast("string").alias("i"), F.col(test_text_col).alias("t")).where("i is not null and t is not null")
+    src = tests.select(F.col(item_col).cast("string").alias("i"), F.col(test_text_col).alias("t")).where("t is not null")
+    src = _pieces(src, n, max_words)
     schema = T.StructType([*kept.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("hit_words", T.ArrayType(T.LongType())), T.StructField("hit_spans", T.ArrayType(T.ArrayType(T.LongType())))])
-    blocks = _blocks(src, "i", "t", max_words) or [[]]
+    bins, blocks = _blocks(src, 8 * max_words)
     out = None
-    for block in blocks:
-        rows = src.where(F.pmod(F.xxhash64("i", "t"), F.lit(4096)).isin(block)).collect() if block else []
+    for block in blocks or [[]]:
+        rows = src.where(F.pmod(F.xxhash64("i", "t"), F.lit(bins)).isin(block)).collect() if block else []
         shared = spark.sparkContext.broadcast(build([(r["i"], r["t"]) for r in rows], n))
         one = kept.mapInArrow(_scanner(text_col, shared, schema, previous=out is not None), schema)
         out = one
@@ -171,7 +211,7 @@ def _scanner(text_col: str, shared, schema: T.StructType, previous: bool):
                         runs = _union(runs, old["hit_spans"][d] or [], text)
                         names |= set(old["items"][d] or [])
                     spans[d], sizes[d] = [[s, e] for s, e, _ in runs], [k for *_, k in runs]
-                    found[d] = sorted(names)
+                    found[d] = sorted(names, key=lambda x: (x is None, x or ""))
                 base = rows.select([f.name for f in target if f.name not in ("n_words", "items", "hit_words", "hit_spans")])
                 columns = [*base.columns, pa.array(np.diff(first), pa.int64()), *(pa.array(x, target.field(c).type) for c, x in (("items", found), ("hit_words", sizes), ("hit_spans", spans)))]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target)], schema=target)

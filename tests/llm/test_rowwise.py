@@ -27,10 +27,10 @@ def test_words_hits_and_items(spark, docs, empty):
     windows = {}
     for i, t in tests:
         w = cases.ALNUM.findall(cases.lower(t))
-        if i is not None and w:
+        if w:
             n = min(13, len(w))
             for k in range(len(w) - n + 1):
-                windows.setdefault(tuple(w[k : k + n]), set()).add(str(i))
+                windows.setdefault(tuple(w[k : k + n]), set()).add(None if i is None else str(i))
     sizes = {len(g) for g in windows}
     want = {}
     for at, t in enumerate(TEXTS):
@@ -41,11 +41,14 @@ def test_words_hits_and_items(spark, docs, empty):
                 if found := windows.get(tuple(w[k : k + n])):
                     hit.update(range(k, k + n))
                     items |= found
-        want[at] = (len(w), len(hit), sorted(items))
+        want[at] = (len(w), len(hit), sorted(items, key=lambda x: (x is None, x or "")))
     plain = docs.drop("n_words", "items")
     assert by_place(decontaminate.find_hits(plain, table), "n_words", "n_hit", "items") == want
-    blocks = decontaminate.find_hits(plain, table, max_words=30)
+    assert any(None in items for *_, items in want.values())
+    blocks = decontaminate.find_hits(plain, table, max_words=30)  # items are cut into pieces and dealt over many blocks
     assert by_place(blocks, "n_words", "n_hit", "items") == want
+    again = decontaminate.find_hits(plain, table.unionAll(table))
+    assert by_place(again, "n_words", "n_hit", "items") == want
     kept = decontaminate.drop_contaminated(docs, table)
     assert kept.columns == docs.columns
     assert {r["at"] for r in kept.collect()} == {a for a, (n, h, _) in want.items() if not (h and 20 * h >= n)}
