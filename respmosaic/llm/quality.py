@@ -32,7 +32,7 @@ EDGES = {
 #: Pseudo-count of every bin; share of the summed evidence that counts, since the statistics overlap; bounds of a site's strength.
 SMOOTH, WEIGHT, STRENGTH = 4.0, 0.7, (2.0, 1000.0)
 #: Documents below this posterior are rejected.
-REJECT = 0.05
+REJECT = 0.25
 
 _VALUES = chunks.byte_values(fold_case=True)
 _SYMBOL = ~chunks.class_table("".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:'\"?-()"))
@@ -81,9 +81,9 @@ def _map(docs: DataFrame, text_col: str, schema: T.StructType, names: list[str],
 def ratios(binned: DataFrame, labels: DataFrame, label_col: str = "quality") -> tuple[dict[tuple[int, int], float], float]:
     """Log likelihood ratio of every (statistic, bin) and the smoothed global share of label 1.
 
-    Grouped counts over all labelled rows; a null id or label counts nowhere; without labels every ratio is 0 and the share 1.
+    Grouped counts over all labelled rows; a null id or label counts nowhere; an id that is labelled more than once has its lowest label; without labels every ratio is 0 and the share 1.
     """
-    marked = labels.select(F.col("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
+    marked = labels.select(F.col("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.min("y").alias("y"))
     rows = binned.join(marked, "id").select("y", F.posexplode("bins").alias("stat", "bin")).groupBy("stat", "bin", "y").count().collect()
     total = {y: sum(r["count"] for r in rows if r["stat"] == 0 and r["y"] == y) for y in (0, 1)}
     if not rows or not all(total.values()):
