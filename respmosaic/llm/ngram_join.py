@@ -365,8 +365,12 @@ def _block(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(found)
 
 
-def _within(large: DataFrame, links: DataFrame, roots: DataFrame, copies: DataFrame, arrays: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(node, others, linked)`` for the classes of large tiles in components that may have more links than the known ones, and those classes.
+def _counted(pdf: pd.DataFrame) -> pd.DataFrame:
+    return _block(pdf).drop(columns="others")
+
+
+def _within(large: DataFrame, links: DataFrame, roots: DataFrame, copies: DataFrame, arrays: DataFrame, listed: bool) -> tuple[DataFrame, DataFrame]:
+    """``(node, others, linked)``, or without ``others`` unless ``listed``, for the classes of large tiles in components that may have more links than the known ones, and those classes.
 
     A pair that was not tested shares large tiles only, and lies in one component. Such components are cut into bounded blocks, and all pairs
     of their classes that are in large tiles are decided by the exact sets.
@@ -383,7 +387,9 @@ def _within(large: DataFrame, links: DataFrame, roots: DataFrame, copies: DataFr
     dealt = dealt.withColumn("pack", F.when(F.col("blocks") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(packs))))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("pack", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "root", "own", "node", "copies").join(arrays, "node")
-    return store(dealt.groupBy("pack", "i", "j").applyInPandas(_block, "node long, others array<long>, linked long"), "join-others"), rows
+    groups = dealt.groupBy("pack", "i", "j")
+    decided = groups.applyInPandas(_block, "node long, others array<long>, linked long") if listed else groups.applyInPandas(_counted, "node long, linked long")
+    return store(decided, "join-others"), rows
 
 
 def _connected(docs: DataFrame, text_col: str, id_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -399,29 +405,32 @@ def _connected(docs: DataFrame, text_col: str, id_col: str) -> tuple[DataFrame,
         links, arrays = links.unionAll(extra), arrays.unionAll(held)
         roots = components(links)
     named = sets.select("id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = named.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))
+    smallest = store(named.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id")), "join-smallest")
     members = named.join(smallest, "root", "left").select("id", "n", "node", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
     return members, sets, links, roots, runs.where("big").select(F.col("a").alias("node"), F.col("na").alias("n")), arrays
 
 
-def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", listed: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """``(members, links)``: per input row ``id``, ``n`` (set size), ``node`` (class), ``component_id``, ``n_links``; and all links between classes.
 
     A text's set holds its distinct ``WIDTH``-word shingles, A-Z lower-cased, words cut at ASCII white space; a text with fewer words has
     one shingle, its whole sequence. Null texts and texts without words have an empty set and stay alone, with their own id
     as component. ``component_id`` is the smallest id of the component; ``n_links`` counts the other rows that a row links to, those of its own
     class too; rows that repeat an id each count with their own text; a row with a null id has n and the component of its class, and a class with
-    null ids only is not compared. Each link ``a < b`` is listed once. Shingles and sets are 64-bit hashes.
+    null ids only is not compared. Each link ``a < b`` is listed once; unless ``listed``, links inside large tiles are only counted, and the second
+    result is None. Shingles and sets are 64-bit hashes.
     """
     members, sets, links, roots, large, arrays = _connected(docs, text_col, id_col)
     copies = store(sets.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies")), "join-copies")
-    within, listed = _within(large, links, roots, copies, arrays)
-    flag = lambda c: listed.select(F.col("node").alias(c), F.lit(True).alias(f"in_{c}"))
+    within, whole = _within(large, links, roots, copies, arrays, listed)
+    flag = lambda c: whole.select(F.col("node").alias(c), F.lit(True).alias(f"in_{c}"))
     rest = links.join(flag("a"), "a", "left").join(flag("b"), "b", "left").where("in_a is null or in_b is null").select("a", "b")
     ends = rest.select(F.col("a").alias("one"), F.col("b").alias("node")).unionAll(rest.select("b", "a")).join(copies, "node")
     linked = ends.select(F.col("one").alias("node"), F.col("copies").alias("linked")).unionAll(within.select("node", "linked")).groupBy("node").agg(F.sum("linked").alias("linked"))
     total = store(copies.join(linked, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "join-degrees")
     members = members.join(total, "node", "left").select("id", "n", "node", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    if not listed:
+        return members, None
     pairs = within.select("node", F.explode("others").alias("other")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
     return members, rest.unionAll(pairs)
 
@@ -437,5 +446,5 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Contract columns: a row per document with its set size and component."""
-    return join(docs.select("doc_id", "text"))[0].select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+    """Contract columns: a row per document with its set size, its component, and the number of documents that it links to."""
+    return join(docs.select("doc_id", "text"), listed=False)[0].select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "n_links")

@@ -110,8 +110,10 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
 u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+l AS (SELECT a AS doc_id, count(*) AS n_links FROM u GROUP BY a),
 r(node, reach) AS (SELECT doc_id, doc_id FROM t UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.reach)
-SELECT t.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(reach) AS component_id FROM t LEFT JOIN n USING (doc_id) JOIN r ON r.node = t.doc_id GROUP BY ALL"""
+SELECT t.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(reach) AS component_id, coalesce(n_links, 0)::BIGINT AS n_links
+FROM t LEFT JOIN n USING (doc_id) LEFT JOIN l USING (doc_id) JOIN r ON r.node = t.doc_id GROUP BY ALL"""
 
 
 @query("op1_ngram_join", OP1_SQL)
