@@ -7,11 +7,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from respmosaic.operators.distance import ENTITY_BLOCK, ITEM_BLOCK, block_axes, pair_tiles, tile_sums
 from respmosaic.operators.matrix import impute_item_mean
+from respmosaic.plans import blocked
 from respmosaic.plans.ranking import hash_rank, ordered_rank
 from respmosaic.plans.stable import materialise
 
+#: Numbers of the group sums of one block: permutations x groups x items; and sums that a task holds before it hands them on.
+GROUP_SUMS, HELD = 1 << 20, 8
+
 
 def between_group_share(v: DataFrame, labels: DataFrame) -> DataFrame:
     """One row ``share`` = sum n_g |C_g - G|^2 / sum |x - G|^2; 0 when nothing varies.
@@ -47,52 +50,78 @@ def permuted_labels(labels: DataFrame, n_perm: int, seed: int) -> DataFrame:
     return labels.select(F.lit(0).alias("perm"), "entity", "label").unionByName(shuffled)
 
 
-def permutation_shares(v: DataFrame, labels: DataFrame, n_perm: int, seed: int, entity_block: int = ENTITY_BLOCK, item_block: int = ITEM_BLOCK) -> DataFrame:
+def permutation_shares(v: DataFrame, labels: DataFrame, n_perm: int, seed: int, block: int = blocked.BLOCK) -> DataFrame:
     """``perm, share`` for the observed labels (perm 0) and each permutation.
 
-    Uses SS_within = sum_g sum_{i<j in g} d_ij / n_g, which is additive over items: each
-    tile of :func:`pair_tiles` turns its partial distances into one number per permutation,
-    so only ``n_perm`` sums per tile are shuffled and no distance table is built.
+    With items centred, the between-group sum of squares is sum_g |sum of g's rows|^2 / n_g. Group sums of many permutations at once are one
+    product of a block of one-hot labels with a block of the matrix, so neither pairs nor copies of labels per item block are
+    needed: work follows cells x permutations, and each task holds one block of each and the group sums of a few items.
     """
-    members = labels.select("entity", "label")
-    cells = impute_item_mean(v.select("entity", "item", "value").join(members.select("entity"), "entity", "left_semi"))
-    cells = materialise(cells.filter(F.col("value").isNotNull()))
-    sizes = members.groupBy("label").agg((1.0 / F.count(F.lit(1))).alias("w"))
-    coded = ordered_rank(sizes, [], [("label", "asc")], "code")
-    drawn = permuted_labels(members, n_perm, seed).join(coded, "label")
-    packed = drawn.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("perm", "code", "w"))).alias("_d"))
-    packed = packed.select("entity", F.col("_d.code").alias("codes"), F.col("_d.w").alias("ws"))
-    packed = packed.withColumn("_axes", block_axes(cells, entity_block, item_block).scalar())
-    packed = packed.withColumn("_own", F.pmod(F.xxhash64("entity"), F.col("_axes.e")).cast("int"))
-    packed = packed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_axes.e") - 1)))
-    packed = packed.withColumn("ib", F.explode(F.sequence(F.lit(0), F.col("_axes.i") - 1)))
-    packed = packed.select(F.least("_own", "_other").alias("bi"), F.greatest("_own", "_other").alias("bj"), F.col("ib"), F.col("entity").alias("member"), "codes", "ws")
-    tiles = pair_tiles(cells, [], entity_block, item_block)
-
-    def per_tile(key: tuple, pdf: pd.DataFrame, drawn_pdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"perm": np.array([], "int32"), "within": np.array([], "float64")})
-        if pdf.empty:
-            return empty
-        na, nb, d, _ = tile_sums(pdf, key[0], key[1])
-        if not len(na) or not len(nb):
-            return empty
-        if key[0] == key[1]:
-            d = np.triu(d, 1)
-        by_name = drawn_pdf.set_index("member")
-        codes_i, codes_j = (np.stack(by_name.loc[n, "codes"].to_list()) for n in (na, nb))
-        weights = np.stack(by_name.loc[na, "ws"].to_list())
-        within = [float((np.where(codes_i[:, p, None] == codes_j[None, :, p], d, 0.0).sum(1) * weights[:, p]).sum()) for p in range(codes_i.shape[1])]
-        perms = np.arange(-1, len(within), dtype="int32")
-        return pd.DataFrame({"perm": perms, "within": [float(d.sum()), *within]})
-
-    key = ["bi", "bj", "ib"]
-    sums = tiles.groupBy(*key).cogroup(packed.groupBy(*key)).applyInPandas(per_tile, "perm int, within double")
-    totals = sums.groupBy("perm").agg(F.sum("within").alias("within"))
-    count = cells.agg(F.count_distinct("entity").alias("n"))
-    whole = totals.filter("perm = -1").select("within")
-    shares = totals.filter("perm >= 0").withColumn("_t", whole.scalar()).withColumn("_m", count.scalar())
-    total = F.col("_t") / F.col("_m")
-    return shares.select("perm", F.when(total > 0, 1.0 - F.col("within") / total).otherwise(0.0).alias("share"))
+    members = materialise(labels.select("entity", "label"))
+    cells = impute_item_mean(v.select("entity", "item", "value").join(members.select("entity"), "entity", "left_semi")).filter(F.col("value").isNotNull())
+    means = cells.groupBy("item").agg(F.avg("value").alias("_g"))
+    cells = materialise(cells.join(means, "item").select("entity", "item", (F.col("value") - F.col("_g")).alias("value")))
+    sizes = materialise(members.groupBy("label").agg(F.count(F.lit(1)).alias("n")))
+    coded = ordered_rank(sizes, [], [("label", "asc")], "code").select("label", (F.col("code") - 1).cast("int").alias("code"), "n")
+    counts = np.array([r["n"] for r in coded.orderBy("code").collect()], float)  # one number per label
+    groups = len(counts)
+    items_at_once = max(1, min(block, GROUP_SUMS // max(1, groups)))
+    perms_at_once = max(1, min(n_perm + 1, GROUP_SUMS // (max(1, groups) * items_at_once)))
+    chunks = -(-(n_perm + 1) // perms_at_once)
+    rows, columns = materialise(blocked.axis(members, "entity")), materialise(blocked.axis(cells, "item"))
+    n_rows, n_columns = rows.count(), columns.count()
+    matrix = _cut(blocked.pack(cells, rows, "entity", columns, "item", n_rows, n_columns, block), n_rows, block, items_at_once)
+    drawn = permuted_labels(members, n_perm, seed).join(coded.select("label", "code"), "label").join(rows, "entity")
+    keyed = drawn.select((F.col("ord") / block).cast("long").alias("rb"), (F.col("perm") / perms_at_once).cast("long").alias("chunk"), (F.col("ord") % block).alias("i"), (F.col("perm") % perms_at_once).alias("p"), "code")
+
+    def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        codes = np.full((min(block, n_rows - key[0] * block), perms_at_once), -1, np.int32)
+        codes[pdf["i"].to_numpy(), pdf["p"].to_numpy()] = pdf["code"].to_numpy()
+        return pd.DataFrame({"rb": [key[0]], "chunk": [key[1]], "codes": [codes.tobytes()]})
+
+    draws = keyed.groupBy("rb", "chunk").applyInPandas(fill, "rb long, chunk long, codes binary")
+
+    def group_sums(frames):
+        total: dict[int, np.ndarray] = {}
+        for pdf in frames:
+            for cb, chunk, m, c in zip(pdf["cb"], pdf["chunk"], pdf["m"], pdf["codes"]):
+                codes = np.frombuffer(c, np.int32).reshape(-1, perms_at_once)
+                hot = np.zeros((len(codes), perms_at_once * groups))
+                i, p = np.nonzero(codes >= 0)
+                hot[i, p * groups + codes[i, p]] = 1.0
+                b = int(cb) * chunks + int(chunk)
+                total[b] = total.get(b, 0.0) + hot.T @ np.frombuffer(m).reshape(len(codes), -1)
+                if len(total) > HELD:
+                    yield pd.DataFrame({"b": list(total), "m": [t.tobytes() for t in total.values()]})
+                    total = {}
+        yield pd.DataFrame({"b": list(total), "m": [t.tobytes() for t in total.values()]})
+
+    def between(frames):
+        for pdf in frames:
+            for b, m in zip(pdf["b"], pdf["m"]):
+                sums = np.frombuffer(m).reshape(perms_at_once, groups, -1)
+                yield pd.DataFrame({"perm": (b % chunks) * perms_at_once + np.arange(perms_at_once, dtype="int32"), "between": ((sums**2).sum(2) / counts).sum(1)})
+
+    summed = blocked.summed(matrix.join(draws, "rb").select("cb", "chunk", "m", "codes").mapInPandas(group_sums, "b long, m binary"))
+    total = cells.agg(F.coalesce(F.sum(F.col("value") * F.col("value")), F.lit(0.0)).alias("t"))
+    out = summed.mapInPandas(between, "perm int, between double").filter(F.col("perm") <= n_perm).groupBy("perm").agg(F.sum("between").alias("_b")).withColumn("_t", total.scalar())
+    return out.select("perm", F.when(F.col("_t") > 0, F.col("_b") / F.col("_t")).otherwise(0.0).alias("share"))
+
+
+def _cut(blocks: DataFrame, n_rows: int, block: int, width: int) -> DataFrame:
+    """Blocks cut into strips of ``width`` columns, numbered on."""
+    if width >= block:
+        return blocks
+
+    def run(frames):
+        for pdf in frames:
+            for rb, cb, m in zip(pdf["rb"], pdf["cb"], pdf["m"]):
+                x = np.frombuffer(m).reshape(min(block, n_rows - rb * block), -1)
+                per = -(-block // width)
+                for k in range(0, x.shape[1], width):
+                    yield pd.DataFrame({"rb": [rb], "cb": [cb * per + k // width], "m": [np.ascontiguousarray(x[:, k : k + width]).tobytes()]})
+
+    return blocks.mapInPandas(run, "rb long, cb long, m binary")
 
 
 def summarise_permutations(shares: DataFrame) -> DataFrame:
