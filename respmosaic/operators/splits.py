@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from heapq import heapreplace
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from respmosaic.operators.matrix import CLIP_QUANTILE, fit_matrix
 from respmosaic.operators.pairs import compare_sides
-from respmosaic.plans.ranking import hash_rank, seeded_key
+from respmosaic.plans.ranking import hash_rank
 from respmosaic.plans.stable import materialise
 
 
@@ -28,37 +28,41 @@ def stratified_halves(panel: DataFrame, seeds: Sequence[int]) -> DataFrame:
     return drawn.join(sizes, "stratum").withColumn("half", half).filter(F.col("half").isNotNull()).select("seed", "item", "stratum", "half")
 
 
-def _greedy(counts: Column, folds: int) -> Column:
-    """``array<struct<key, fold>>``: members of an ordered array of (key, n), each put into the lightest bin, lowest first.
+def _place(lead: dict):
+    """Each stratum of a seed to the half that is not ahead, from the lead that the first half has."""
 
-    One struct per stratum or group, never one per row; time grows with the array, not with its square.
-    """
+    def place(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_r")
+        ahead, half = lead[key[0]], []
+        for n in pdf["n"].tolist():
+            half.append("a" if ahead <= 0 else "b")
+            ahead += n if ahead <= 0 else -n
+        return pdf[["seed", "stratum"]].assign(half=half, ahead=ahead)
+
+    return place
+
+
+#: Strata that one step of the halves places.
+CHUNK = 1_000_000
 
-    @F.pandas_udf("array<int>")
-    def place(lists: pd.Series) -> pd.Series:
-        out = []
-        for sizes in lists:
-            loads = [(0, i) for i in range(folds)]
-            bins = []
-            for n in sizes:
-                load, at = loads[0]
-                bins.append(at)
-                heapreplace(loads, (load + int(n), at))
-            out.append(bins)
-        return pd.Series(out)
-
-    bins = place(F.transform(counts, lambda x: x["n"].cast("long")))
-    return F.zip_with(counts, bins, lambda x, f: F.struct(x["key"].alias("key"), f.alias("fold")))
-
-
-def disjoint_halves(panel: DataFrame, seeds: Sequence[int]) -> DataFrame:
-    """``seed, item, stratum, half``: whole strata, shuffled, each to the smaller half."""
-    sizes = with_seeds(panel.groupBy(F.col("stratum").cast("string").alias("stratum")).agg(F.count(F.lit(1)).alias("n")), seeds)
-    keyed = sizes.withColumn("_h", seeded_key("strata", "seed", "stratum"))
-    listed = keyed.groupBy("seed").agg(F.sort_array(F.collect_list(F.struct("_h", F.col("stratum").alias("key"), "n"))).alias("_l"))
-    placed = listed.select("seed", F.explode(_greedy(F.col("_l"), 2)).alias("_p")).select("seed", F.col("_p.key").alias("stratum"), F.col("_p.fold").alias("_f"))
+
+def disjoint_halves(panel: DataFrame, seeds: Sequence[int], chunk: int | None = None) -> DataFrame:
+    """``seed, item, stratum, half``: whole strata, shuffled, each to the smaller half.
+
+    Strata are numbered by hash and placed ``CHUNK`` at a time, since each placing depends on those before it; only the difference of the halves goes on.
+    """
+    limit = chunk or CHUNK
+    sizes = panel.groupBy(F.col("stratum").cast("string").alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
+    ranked = hash_rank(with_seeds(sizes, seeds), ["seed"], "strata", ["stratum"], "_r", hashed=["seed", "stratum"])
+    ranked = materialise(ranked.withColumn("_c", ((F.col("_r") - 1) / limit).cast("long")))
+    last = ranked.agg(F.max("_c").alias("c")).first()["c"] or 0
+    lead, placed = dict.fromkeys(seeds, 0), None
+    for c in range(last + 1):
+        part = materialise(ranked.filter(F.col("_c") == c).groupBy("seed").applyInPandas(_place(dict(lead)), f"seed {ranked.schema['seed'].dataType.simpleString()}, stratum string, half string, ahead long"))
+        lead = lead | {r["seed"]: r["ahead"] for r in part.groupBy("seed").agg(F.first("ahead").alias("ahead")).collect()}
+        placed = part if placed is None else placed.unionAll(part)
     rows = panel.select("item", F.col("stratum").cast("string").alias("stratum"))
-    return rows.join(placed, "stratum").select("seed", "item", "stratum", F.when(F.col("_f") == 0, "a").otherwise("b").alias("half"))
+    return rows.join(placed.drop("ahead"), "stratum").select("seed", "item", "stratum", "half")
 
 
 def split_half(v: DataFrame, halves: DataFrame, clip_q: float = CLIP_QUANTILE, pipeline: bool = True) -> DataFrame:
@@ -118,16 +122,58 @@ def kfold(ids: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return t.withColumn("fold", fold.cast("int")).select(key, "fold")
 
 
+def _level(loads: np.ndarray, n: int, k: np.ndarray) -> np.ndarray:
+    """Number of the run's first ``k`` groups of size ``n`` that go to each bin, one row per ``k``.
+
+    The j-th group of a bin would find the load ``L + (j - 1) * n``; the greedy order takes these in ascending order, ties to the lower
+    bin. So the first ``k`` are all below some load, found by halving, and the lowest bins at it.
+    """
+    low, high = np.full(len(k), loads.min()), loads.max() + n * k + 1
+    below = lambda t: np.maximum(0, -(-(t[:, None] - loads) // n))  # noqa: E731  # elements under the load t
+    while (low < high).any():
+        mid = low + (high - low + 1) // 2
+        fits = below(mid).sum(1) <= k
+        low, high = np.where(fits, mid, low), np.where(fits, high, mid - 1)
+    count = below(low)
+    at = (low[:, None] >= loads) & ((low[:, None] - loads) % n == 0)  # bins that have an element at the load itself
+    left = (k - count.sum(1))[:, None]
+    return count + (at & (np.cumsum(at, axis=1) <= left))
+
+
+def size_runs(sizes: Sequence[tuple[int, int]], folds: int) -> list[tuple[int, list[int]]]:
+    """Loads of the bins before each run of equal size, from ``(size, groups)`` with the largest size first."""
+    loads, out = np.zeros(folds, np.int64), []
+    for n, m in sizes:
+        out.append((n, loads.tolist()))
+        loads = loads + n * _level(loads, n, np.array([m], np.int64))[0]
+    return out
+
+
 def group_kfold(ids: DataFrame, key: str, group: str, n: int, seed: int) -> DataFrame:
-    """No group in two folds: groups by size desc (ties seeded), each to the lightest fold."""
+    """No group in two folds: groups by size desc (ties seeded), each to the lightest fold.
+
+    Groups of one size form a run. Only the table of sizes is folded, whose length is at most the root of twice the rows; a
+    group's fold follows from its place in its run and the loads before the run.
+    """
     from respmosaic.operators.integrity import require_empty
 
     rows = ids.select(key, F.col(group).cast("string").alias(group))
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    sizes = materialise(rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")))
     require_empty(sizes.agg(F.count(F.lit(1)).alias("groups")).filter(F.col("groups") < n), f"need at least {n} groups")
-    keyed = sizes.select((-F.col("n")).alias("_s"), seeded_key(seed, group).alias("_h"), F.col(group).alias("key"), "n")
-    listed = keyed.agg(F.sort_array(F.collect_list(F.struct("_s", "_h", "key", "n"))).alias("_l"))
-    placed = listed.select(F.explode(_greedy(F.col("_l"), n)).alias("_p")).select(F.col("_p.key").alias(group), F.col("_p.fold").alias("fold"))
+    runs = [(r["n"], r["m"]) for r in sizes.groupBy("n").agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("n")).collect()]
+    table = ids.sparkSession.createDataFrame(size_runs(runs, n), "n long, loads array<long>")
+    ranked = hash_rank(sizes, ["n"], seed, [group], "_r").join(table, "n")
+
+    @F.pandas_udf("int")
+    def fold(size: pd.Series, rank: pd.Series, loads: pd.Series) -> pd.Series:
+        out = pd.Series(0, index=size.index)
+        for s, part in rank.groupby(size):
+            before = np.array(loads[part.index[0]], np.int64)
+            k = part.to_numpy()
+            out[part.index] = (_level(before, int(s), k) - _level(before, int(s), k - 1)).argmax(1)
+        return out
+
+    placed = ranked.select(group, fold("n", "_r", "loads").alias("fold"))
     return rows.join(placed, group).select(key, group, "fold")
 
 

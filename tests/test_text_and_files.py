@@ -181,6 +181,31 @@ def test_group_folds_are_disjoint(spark):
         splits.group_kfold(ids, "id", "grp", 20, 1).collect()
 
 
+def test_runs_of_equal_size_are_placed_as_one_by_one():
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        folds = int(rng.integers(2, 6))
+        sizes = sorted(set(rng.integers(1, 40, rng.integers(1, 6)).tolist()), reverse=True)
+        runs = [(n, int(rng.integers(1, 30))) for n in sizes]
+        loads, want = [0] * folds, []
+        for n, m in runs:
+            for _ in range(m):
+                at = min(range(folds), key=lambda i: (loads[i], i))
+                loads[at] += n
+                want.append(at)
+        got = []
+        for (n, before), (_, m) in zip(splits.size_runs(runs, folds), runs):
+            k, before = np.arange(1, m + 1), np.array(before)
+            got += (splits._level(before, n, k) - splits._level(before, n, k - 1)).argmax(1).tolist()
+        assert got == want
+
+
+def test_halves_in_steps_are_the_halves(spark):
+    panel = spark.createDataFrame([(i, f"s{i * i % 23}") for i in range(300)], "item long, stratum string")
+    whole, steps = (sorted(tuple(r) for r in splits.disjoint_halves(panel, [1, 2], chunk=c).collect()) for c in (None, 4))
+    assert whole == steps and len(whole) == 600
+
+
 def test_probe_finds_a_separable_class_and_reports_gates(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=3) + 2 * (i % 2)], i % 2) for i in range(80)]
