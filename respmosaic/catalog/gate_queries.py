@@ -90,14 +90,14 @@ def i6(spark, sf):
 
 
 # Result rows made from events: one stored result per (user, type), newest event as its time.
-RESULTS = """rs AS (SELECT user_id AS entity, event_type AS task, max(event_id) AS last, max(ts) AS mtime FROM events WHERE event_id % 2 = 0 GROUP BY 1,2),
+RESULTS = """rs AS (SELECT user_id AS entity, event_type AS task, max(event_id) AS last, max(ts) AS mtime FROM events GROUP BY 1,2),
  res AS (SELECT entity, task, last % 13 <> 0 AS readable, CASE last % 11 WHEN 0 THEN NULL WHEN 1 THEN 'abc' WHEN 2 THEN '1.5' WHEN 3 THEN NULL WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE '0.' || (last % 97 + 1) END AS auc,
   CASE last % 11 WHEN 3 THEN 'tiny' WHEN 4 THEN 'class_gate' WHEN 5 THEN 'fit_fail' END AS skip_reason, CASE last % 11 WHEN 3 THEN 'tiny' WHEN 4 THEN 'class_gate' WHEN 5 THEN 'fit_fail' END AS error_type,
   CASE last % 9 WHEN 0 THEN 'old' WHEN 1 THEN NULL ELSE 'now' END AS fit_params, mtime FROM rs)"""
 
 
 def fx_results(spark, sf):
-    e = table(spark, sf, "events").filter("event_id % 2 = 0")
+    e = table(spark, sf, "events")
     rows = e.groupBy(F.col("user_id").alias("entity"), F.col("event_type").alias("task")).agg(F.max("event_id").alias("last"), F.max("ts").alias("mtime"))
     k = F.col("last") % 11
     kind = F.when(k == 3, "tiny").when(k == 4, "class_gate").when(k == 5, "fit_fail")
@@ -108,24 +108,24 @@ def fx_results(spark, sf):
 
 @query(
     "i7_stale_results",
-    f"""WITH {RESULTS}, inp AS (SELECT user_id AS entity, event_type AS task, max(ts) AS newest FROM events WHERE event_id % 10 = 1 GROUP BY 1,2)
+    f"""WITH {RESULTS}, inp AS (SELECT user_id AS entity, event_type AS task, max(CASE WHEN value > 100 THEN ts + INTERVAL 1 DAY ELSE ts - INTERVAL 1 DAY END) AS newest FROM events GROUP BY 1,2)
  SELECT entity, task, CASE WHEN NOT readable THEN 'unreadable' WHEN auc IS NULL AND skip_reason IS NULL THEN 'no outcome' WHEN auc IS NOT NULL AND try_cast(auc AS DOUBLE) IS NULL THEN 'auc not numeric' WHEN try_cast(auc AS DOUBLE) > 1 THEN 'auc out of range'
  WHEN newest > mtime THEN 'input newer' WHEN fit_params <> 'now' THEN 'params changed' WHEN error_type IN ('load_fail','fit_fail') THEN 'retry error' END AS refit_reason FROM res LEFT JOIN inp USING (entity, task)""",
 )
 def i7(spark, sf):
-    inputs = table(spark, sf, "events").filter("event_id % 10 = 1").select(F.col("user_id").alias("entity"), F.col("event_type").alias("task"), F.col("ts").alias("mtime"))
+    later = F.expr("CASE WHEN value > 100 THEN ts + INTERVAL 1 DAY ELSE ts - INTERVAL 1 DAY END")  # inputs of large values were touched after the result
+    inputs = table(spark, sf, "events").select(F.col("user_id").alias("entity"), F.col("event_type").alias("task"), later.alias("mtime"))
     return integrity.stale_results(fx_results(spark, sf), inputs, ["entity", "task"], "now").select("entity", "task", "refit_reason")
 
 
 @query(
     "i8_pending_work",
-    """SELECT s_suppkey AS entity, t AS task, s AS split FROM supplier CROSS JOIN (SELECT unnest(['A','N','R']) AS t) CROSS JOIN (SELECT unnest(['F','O']) AS s)
- EXCEPT SELECT l_suppkey, l_returnflag, l_linestatus FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 45""",
+    """SELECT p_partkey AS entity, t AS task, s AS split FROM part CROSS JOIN (SELECT unnest(['A','N','R']) AS t) CROSS JOIN (SELECT unnest(['F','O']) AS s)
+ EXCEPT SELECT l_partkey, l_returnflag, l_linestatus FROM lineitem""",
 )
 def i8(spark, sf):
-    done = table(spark, sf, "lineitem").filter("l_linenumber = 1 and l_quantity > 45")
-    done = done.select(F.col("l_suppkey").alias("entity"), F.col("l_returnflag").alias("task"), F.col("l_linestatus").alias("split"))
-    entities = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("entity"))
+    done = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("entity"), F.col("l_returnflag").alias("task"), F.col("l_linestatus").alias("split"))
+    entities = table(spark, sf, "part").select(F.col("p_partkey").alias("entity"))
     return integrity.pending_work(entities, ["A", "N", "R"], ["F", "O"], done)
 
 
@@ -195,10 +195,10 @@ def j4(spark, sf):
 
 @query(
     "j5_check_same_keys",
-    "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'left' ELSE 'right' END AS missing_in FROM (SELECT doc_id FROM documents WHERE doc_id % 9 <> 0) a FULL JOIN labels b USING (doc_id) WHERE a.doc_id IS NULL OR b.doc_id IS NULL",
+    "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'left' ELSE 'right' END AS missing_in FROM documents a FULL JOIN labels b USING (doc_id) WHERE a.doc_id IS NULL OR b.doc_id IS NULL",
 )
 def j5(spark, sf):
-    return joins.key_differences(table(spark, sf, "documents").filter("doc_id % 9 <> 0"), table(spark, sf, "labels"), "doc_id")
+    return joins.key_differences(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id")
 
 
 @query(
@@ -278,10 +278,44 @@ def s6(spark, sf):
     return readers.read_entity_json(spark, path).select("id", "name", "nation")
 
 
-@query("s7_read_pairs_csv", "SELECT '0' AS anchor, c_custkey::VARCHAR AS partner, c_mktsegment AS label FROM customer WHERE c_custkey > 0")
+@query(
+    "s6_read_result_tree",
+    f"""WITH {RESULTS} SELECT 'e/' || entity AS entity, 't/' || task AS task, readable, CASE WHEN readable THEN auc END AS auc, CASE WHEN readable THEN skip_reason END AS skip_reason, CASE WHEN readable THEN error_type END AS error_type FROM res""",
+)
+def s6_tree(spark, sf):
+    """Results written as one JSON file per entity and task, unreadable ones as broken text, then read back with their ids from the path."""
+    path = scratch(spark)
+    rows = fx_results(spark, sf)
+    body = F.when(F.col("readable"), F.to_json(F.struct(F.col("auc").alias("auc_test"), "skip_reason", "error_type"))).otherwise(F.lit('{"auc_test": '))
+    files = rows.select(F.concat(F.lit("e__"), F.col("entity").cast("string")).alias("entity"), F.concat(F.lit("t__"), "task").alias("task"), body.alias("value"))
+    files.repartition("entity", "task").write.partitionBy("entity", "task").text(path)
+    return readers.read_results(spark, path, "part-*").select("entity", "task", "readable", "auc", "skip_reason", "error_type")
+
+
+@query("s8_list_data_files", "SELECT DISTINCT 'c_mktsegment=' || c_mktsegment AS folder, 'csv' AS kind FROM customer UNION ALL SELECT DISTINCT 'old/c_mktsegment=' || c_mktsegment, 'csv.gz' FROM customer")
+def s8(spark, sf):
+    """Data files of a tree: plain and gzipped ones count, other kinds and skipped folders do not."""
+    path = scratch(spark)
+    c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment").repartition("c_mktsegment")
+    c.write.partitionBy("c_mktsegment").csv(path)
+    c.write.partitionBy("c_mktsegment").option("compression", "gzip").csv(f"{path}/old")
+    c.write.partitionBy("c_mktsegment").json(f"{path}/notes")
+    c.write.partitionBy("c_mktsegment").csv(f"{path}/Figures/new")
+    listed = readers.list_data_files(spark, path)
+    return listed.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), F.regexp_extract("path", r"\.(csv(\.gz)?)$", 1).alias("kind")).distinct()
+
+
+@query("s3_sequence_by_content", f"WITH {SEQ} SELECT item, seq AS sequence, stratum AS label FROM s WHERE length(seq) >= 30")
+def s3_content(spark, sf):
+    """No header names the sequence, so the first column whose first value looks like DNA is it."""
+    d = fx_seq(spark, sf).filter(F.length("seq") >= 30).select("item", F.col("stratum").alias("Class"), F.col("seq").alias("field_7"))
+    return readers.name_columns(d).select("item", "sequence", "label")
+
+
+@query("s7_read_pairs_csv", "SELECT '0' AS anchor, c_custkey::VARCHAR AS partner, c_mktsegment AS label FROM customer")
 def s7(spark, sf):
     path = scratch(spark)
-    c = table(spark, sf, "customer").filter("c_custkey > 0").select(F.lit("0"), F.col("c_custkey").cast("string"), "c_mktsegment")
+    c = table(spark, sf, "customer").select(F.lit("0"), F.col("c_custkey").cast("string"), "c_mktsegment")
     c.write.csv(path)
     return readers.read_pairs_csv(spark, path)
 

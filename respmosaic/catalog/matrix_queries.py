@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from respmosaic.catalog.base import BIG, V, VN, cell_missing, dist_sql, entity_labels, fit_sql, fx_big, fx_v, fx_vn, query, r, rounded
+from respmosaic.catalog.base import BIG, V, VN, cell_missing, dist_sql, entity_labels, fit_sql, fx_big, fx_v, fx_vn, query, r, rounded, table
 from respmosaic.operators import distance, factor, matrix, pairs, statistics
 
 FIT = fit_sql("vn", "vd")
@@ -269,6 +269,25 @@ def m15_offsets(spark, sf):
     return blocks
 
 
+ELEMENTS = """e AS (SELECT doc_id AS item, CASE lang WHEN 'en' THEN 'polyA' WHEN 'de' THEN 'promoter' WHEN 'fr' THEN 'virus_species' ELSE source END AS element,
+ CASE lang WHEN 'en' THEN 'Plant' WHEN 'de' THEN 'Human' WHEN 'fr' THEN 'Virus' ELSE 'Other' END AS category, CASE lang WHEN 'en' THEN 2 WHEN 'de' THEN 1 WHEN 'fr' THEN 3 ELSE 4 END AS k FROM documents)"""
+
+
+def _elements(spark, sf):
+    element = F.when(F.col("lang") == "en", "polyA").when(F.col("lang") == "de", "promoter").when(F.col("lang") == "fr", "virus_species").otherwise(F.col("source"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("item"), element.alias("element"))
+
+
+@query("m15_item_order", f"WITH {ELEMENTS} SELECT item, element, category, row_number() OVER (ORDER BY k, element, item) - 1 AS position FROM e")
+def m15_items(spark, sf):
+    return matrix.item_order(_elements(spark, sf))[0]
+
+
+@query("m15_category_offsets", f"WITH {ELEMENTS} SELECT category, sum(n) OVER (ORDER BY k)::BIGINT - n AS block_start, sum(n) OVER (ORDER BY k)::BIGINT AS block_end FROM (SELECT category, k, count(*) AS n FROM e GROUP BY 1, 2)")
+def m15_categories(spark, sf):
+    return matrix.item_order(_elements(spark, sf))[1]
+
+
 DIMS = list(range(64))
 
 

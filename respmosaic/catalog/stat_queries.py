@@ -234,6 +234,29 @@ def g21(spark, sf):
     return rounded(statistics.baseline_rows(others, ["d"], ["branch"]), "d_mean", "d_median")
 
 
+COS = """{out} AS (SELECT b.entity, sum(a.value * b.value) / nullif(sqrt(sum(a.value * a.value) FILTER (b.value IS NOT NULL)) * sqrt(sum(b.value * b.value) FILTER (a.value IS NOT NULL)), 0) AS {out}
+ FROM {src} a JOIN {src} b USING (item) WHERE a.entity = 0 GROUP BY 1)"""
+
+
+@query(
+    "g21_baseline_cosines",
+    f"""WITH {VN}, {FIT}, lab AS (SELECT DISTINCT entity, branch FROM v), {COS.format(src='vn', out='cos_v')}, {COS.format(src='vd', out='cos_vd')},
+ k AS (SELECT * FROM cos_v JOIN cos_vd USING (entity) JOIN lab USING (entity) WHERE entity NOT IN (0, 3, 11, 250, 499))
+ SELECT branch, count(*) AS n, round(avg(cos_v),6)+0.0 AS cos_v_mean, round(median(cos_v),6)+0.0 AS cos_v_median, round(avg(cos_vd),6)+0.0 AS cos_vd_mean, round(median(cos_vd),6)+0.0 AS cos_vd_median FROM k GROUP BY 1""",
+)
+def g21_cosines(spark, sf):
+    """Cosines to the anchor on raw and centred values, over the entities that are not listed."""
+    from respmosaic.operators.joins import anti_members
+
+    v = fx_vn(spark, sf)
+    cells = v.select("entity", "item", "value")
+    listed = spark.createDataFrame([(0,), (3,), (11,), (250,), (499,)], "entity long")
+    raw = matrix.cosine_to_anchor(cells, 0).withColumnRenamed("cosine", "cos_v")
+    centred = matrix.cosine_to_anchor(matrix.fit_matrix(cells).values, 0).withColumnRenamed("cosine", "cos_vd")
+    others = anti_members(raw.join(centred, "entity"), listed).join(entity_labels(v, "branch").withColumnRenamed("label", "branch"), "entity")
+    return rounded(statistics.baseline_rows(others, ["cos_v", "cos_vd"], ["branch"]), "cos_v_mean", "cos_v_median", "cos_vd_mean", "cos_vd_median")
+
+
 @query(
     "j7_anti_members",
     f"WITH {V} SELECT DISTINCT entity, branch FROM v WHERE entity NOT IN (0, 3, 11, 250, 499) AND branch = 0",
@@ -377,6 +400,18 @@ def t5_big(spark, sf):
     return rounded(splits.split_half(v, splits.stratified_halves(panel, [1, 2])), "pearson", "slope", "intercept")
 
 
+@query(
+    "t5_split_half_raw",
+    f"""WITH {VN}, {PANEL}, {HALVES}, hv AS (SELECT seed, half, entity, item, value FROM vn JOIN halves USING (item)), {dist_sql('hv', 'd', ('seed', 'half'))},
+ pr AS (SELECT seed, entity_i, entity_j, max(d) FILTER (half='a') AS x, max(d) FILTER (half='b') AS y FROM d GROUP BY 1,2,3)
+ SELECT seed, count(*) AS n_pairs, round(corr(x,y),6)+0.0 AS pearson, round(regr_slope(y,x),6)+0.0 AS slope, round(regr_intercept(y,x),6)+0.0 AS intercept FROM pr WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1""",
+)
+def t5_raw(spark, sf):
+    """Halves compared on the values as they are, without clipping and centring."""
+    v = fx_vn(spark, sf).select("entity", "item", "value")
+    return rounded(splits.split_half(v, splits.stratified_halves(_panel(spark, sf), [1, 2]), pipeline=False), "pearson", "slope", "intercept")
+
+
 SIDES = "pa AS (SELECT entity, item, value FROM vn), pb AS (SELECT entity, item, value + 0.01 * ((entity*7+item*5)%11) AS value FROM v)"
 
 

@@ -200,6 +200,22 @@ def c13(spark, sf):
     return p.select(k.alias("id"), picked["value"].alias("value"), picked["source"].alias("source"))
 
 
+@query(
+    "c13_choose_size",
+    """SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN p_size WHEN 1 THEN p_size + 100 WHEN 2 THEN p_size + 200 WHEN 3 THEN p_size + 300 WHEN 4 THEN 117000000 WHEN 5 THEN 6600000 WHEN 6 THEN 12 * p_size * 64 * 64 END::BIGINT AS value,
+ CASE p_partkey % 8 WHEN 0 THEN 'override' WHEN 1 THEN 'weights_loaded' WHEN 2 THEN 'hf_safetensors_metadata' WHEN 3 THEN 'hf_weight_file_loaded' WHEN 4 THEN 'hf_id_name' WHEN 5 THEN 'hyenadna_preset' WHEN 6 THEN 'hf_config_estimate' ELSE 'unknown' END AS source FROM part""",
+)
+def c13_size(spark, sf):
+    """Each level wins where the ones before it are absent; later levels are present too."""
+    p, case, size = table(spark, sf, "part"), F.col("p_partkey") % 8, F.col("p_size")
+    name = F.when(case <= 4, "x/model-117m").when(case == 5, "x/hyenadna-small-32k").otherwise("x/plain")
+    config = F.when(case <= 6, F.format_string('{"num_hidden_layers": %d, "hidden_size": 64}', size))
+    given = [F.when(case == 0, size), F.when(case <= 1, size + 100), F.when(case <= 2, size + 200), F.when(case <= 3, size + 300)]
+    rows = p.select(F.col("p_partkey").alias("id"), name.alias("name"), config.alias("config"), *[g.alias(f"g{i}") for i, g in enumerate(given)])
+    picked = names.choose_size("name", "config", *[F.col(f"g{i}") for i in range(4)])
+    return rows.select("id", picked["value"].alias("value"), picked["source"].alias("source"))
+
+
 @query(
     "c13_choose_context",
     """SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 0 THEN p_size WHEN p_partkey % 7 = 1 THEN p_size + 100 WHEN p_partkey % 7 = 2 THEN p_size + 200

@@ -222,6 +222,26 @@ def estimate_params(config: Column | str) -> Column:
     return (12 * first_key(vocab.LAYER_KEYS) * first_key(vocab.HIDDEN_KEYS) * first_key(vocab.HIDDEN_KEYS)).cast("long")
 
 
+def preset_size(c: Column | str) -> Column:
+    """Size that a preset in a name stands for; null without one."""
+    text, out = F.lower(_col(c)), F.lit(None).cast("long")
+    for token, size in reversed(vocab.SIZE_PRESETS):
+        out = F.when(text.contains(token), F.lit(size).cast("long")).otherwise(out)
+    return out
+
+
+def choose_size(name: Column | str, config: Column | str, override: Column | None = None, weights: Column | None = None, metadata: Column | None = None, weight_file: Column | None = None) -> Column:
+    """Struct (value, source): the first known size of seven levels, counted ones before guesses.
+
+    An override, loaded weights, published metadata and a weight file's shapes are given as columns (or left out); then come the number in
+    the name, the preset in the name and the estimate from the config. Without any the value is null and the source ``unknown``.
+    """
+    given = [(override, "override"), (weights, "weights_loaded"), (metadata, "hf_safetensors_metadata"), (weight_file, "hf_weight_file_loaded")]
+    levels = [(c.cast("long"), tag) for c, tag in given if c is not None]
+    levels += [(extract_size(name), "hf_id_name"), (preset_size(name), "hyenadna_preset"), (estimate_params(config), "hf_config_estimate")]
+    return priority_coalesce(levels, default_source="unknown")
+
+
 def _walk(text: str | None, keys: frozenset[str]):
     """``(path, number)`` of wanted keys at any depth, in document order; nothing for text that is not JSON."""
     try:

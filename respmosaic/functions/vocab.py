@@ -276,7 +276,6 @@ FAMILY_SHORT_RULES = (
 )
 
 # Data files, split words and task words.
-DATA_SUFFIXES = (".csv", ".tsv", ".fa", ".fasta", ".fna")
 DATA_SUFFIX_PATTERN = r"(?i)\.(csv|tsv|fa|fasta|fna)(\.gz)?$"
 SKIP_DIRS = ("ISM_Tables", "Figures", ".git", "__pycache__")
 SPLIT_WORDS = ("train", "test", "dev", "val", "valid", "validation")
@@ -308,7 +307,16 @@ ELEMENT_ORDER = (
     "virus_variants",
     "virus_species",
 )
-GROUP_ORDER = ("Human", "Plant", "Fungi", "Virus")
+# How many of these belong to each category, one after the other.
+CATEGORY_SIZES = (("Human", 4), ("Plant", 6), ("Fungi", 2), ("Virus", 2))
+
+# Sizes of models whose name gives a preset instead of a number.
+SIZE_PRESETS = (
+    ("hyenadna-tiny", 1_700_000),
+    ("hyenadna-small", 6_600_000),
+    ("hyenadna-medium", 13_200_000),
+    ("hyenadna-large", 53_000_000),
+)
 
 # Control-table motifs, length tiers and GC levels.
 MOTIFS = ("TATAAAA", "CACGTG", "CCAAT", "GGGCGG", "CCCTC")

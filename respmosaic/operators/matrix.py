@@ -12,9 +12,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from respmosaic.functions import vocab
 from respmosaic.operators.integrity import coverage_gate, require_empty
 from respmosaic.plans.quantiles import exact_quantiles
 from respmosaic.plans.ranking import ordered_rank
+from respmosaic.plans.stable import materialise
 
 CLIP_QUANTILE = 0.02
 
@@ -256,6 +258,23 @@ def block_order(dim: DataFrame, branch: str, group: str, entity: str) -> tuple[D
     return placed.drop("_in", "size", "block_start", "block_end"), blocks
 
 
+def item_order(items: DataFrame, element: str = "element") -> tuple[DataFrame, DataFrame]:
+    """Items laid out by category and element in the display order (other elements after them, by name), with the offsets of the categories.
+
+    ``items``: item and its element. Returns ``(item, element, category, position)`` and ``(category, block_start, block_end)``.
+    """
+    listed = [(e, i + 1) for i, e in enumerate(vocab.ELEMENT_ORDER)]
+    named = [c for c, n in vocab.CATEGORY_SIZES for _ in range(n)]
+    category, place = F.lit("Other"), F.lit(len(listed) + 1)
+    for (e, i), c in zip(listed, named):
+        category = F.when(F.col(element) == e, c).otherwise(category)
+        place = F.when(F.col(element) == e, i).otherwise(place)
+    placed = items.select("item", F.col(element).alias("element")).withColumns({"category": category, "_p": place})
+    ranked = materialise(ordered_rank(placed, [], [("_p", "asc"), ("element", "asc"), ("item", "asc")], "_r").withColumn("position", F.col("_r") - 1).drop("_r", "_p"))
+    blocks = ranked.groupBy("category").agg(F.min("position").alias("block_start"), (F.max("position") + 1).alias("block_end"))
+    return ranked, blocks
+
+
 def matrix_to_wide(v: DataFrame, items: Sequence) -> DataFrame:
     """One row per entity with a column per listed item (a bounded axis)."""
     picks = [F.max(F.when(F.col("item") == F.lit(i), F.col("value"))).alias(f"item_{i}") for i in items]

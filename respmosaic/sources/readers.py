@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from respmosaic.functions import vocab
+from respmosaic.functions.text import looks_like_dna
 from respmosaic.operators.integrity import require_empty
 
 
@@ -68,6 +69,20 @@ def resolve_columns(df: DataFrame, candidates: dict[str, Sequence[str]], ignore_
     return df
 
 
+def name_columns(df: DataFrame, seq_names: Sequence[str] = vocab.SEQ_COLUMNS, label_names: Sequence[str] = vocab.LABEL_COLUMNS) -> DataFrame:
+    """Renames the sequence and label columns; without a header name for the sequence, the first text column whose first value looks like DNA is it.
+
+    A table without such a column keeps a null ``sequence`` (its records can still be counted), one without a label a null ``label``.
+    """
+    if not any(n in df.columns for n in seq_names):
+        texts = [c.name for c in df.schema.fields if isinstance(c.dataType, T.StringType)]
+        first = df.select(*[looks_like_dna(F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(texts)]).first() if texts else None
+        found = next((c for i, c in enumerate(texts) if first is not None and first[i]), None)
+        if found is not None:
+            df = df.withColumnRenamed(found, "sequence")
+    return resolve_columns(df, {"sequence": ("sequence", *seq_names), "label": ("label", *label_names)}, required=False)
+
+
 def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Header CSV/TSV (plain or gz), all columns as text.
 
@@ -108,14 +123,14 @@ RESULT_SCHEMA = (
 )
 
 
-def read_results(spark: SparkSession, root: str) -> DataFrame:
+def read_results(spark: SparkSession, root: str, pattern: str = "result.json") -> DataFrame:
     """A tree ``<root>/<entity>/<task>/result.json``; corrupt files stay as unreadable rows.
 
-    Ids come from the path, so a file that cannot be parsed still names its cell.
+    Ids come from the path, so a file that cannot be parsed still names its cell; folders may be written as ``key=id``.
     """
     raw = (
         spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "result.json")
+        .option("pathGlobFilter", pattern)
         .option("multiLine", True)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt")
@@ -133,7 +148,7 @@ def read_results(spark: SparkSession, root: str) -> DataFrame:
         F.to_json("fit_params").alias("fit_params"),
         "_corrupt",
     )
-    name = lambda c: F.replace(F.col(c), F.lit("__"), F.lit("/"))
+    name = lambda c: F.replace(F.regexp_replace(F.col(c), "^[a-z]+=", ""), F.lit("__"), F.lit("/"))
     return df.select(
         name("_e").alias("entity"), name("_t").alias("task"), F.col("_corrupt").isNull().alias("readable"), "auc", "skip_reason", "error_type", "fit_params", "mtime"
     )
