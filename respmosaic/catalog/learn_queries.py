@@ -55,8 +55,7 @@ def l2_positions(spark, sf):
     """Per-position values of every document under the model of its own source."""
     model = scoring.fit_markov(_seqs(spark, sf), 2, ALPHA)
     items = fx_seq(spark, sf).select("item", F.col("dataset").alias("_own"), "seq")
-    own = items.select("item", "_own")
-    rows = scoring.ar_positions(model, items.select("item", "seq"), 2).join(own, "item").filter(F.col("entity") == F.col("_own")).drop("_own")
+    rows = scoring.ar_positions(model, items.select("item", "seq"), 2, items.select("item", F.col("_own").alias("entity")))
     return rounded(rows.withColumn("pos", F.col("pos").cast("long")), "logp")
 
 
@@ -253,11 +252,12 @@ def r1(spark, sf):
     """Score files dropped in two waves, the second repeating part of the first."""
     base = _folder(spark)
     rows = fx_vn(spark, sf).select(F.concat(F.lit("e"), F.col("entity").cast("string")).alias("entity"), "item", "value")
+    items = fx_v(spark, sf).select("item").distinct()
     rows.filter("item < 40").write.parquet(f"{base}/in", mode="append")
-    coverage.run_stream_coverage(spark, f"{base}/in", f"{base}/store", f"{base}/cp").awaitTermination()
+    coverage.run_stream_coverage(spark, f"{base}/in", f"{base}/store", f"{base}/cp", items).awaitTermination()
     rows.filter("item >= 30").write.parquet(f"{base}/in", mode="append")
-    coverage.run_stream_coverage(spark, f"{base}/in", f"{base}/store", f"{base}/cp").awaitTermination()
-    states = coverage.stream_coverage(spark, f"{base}/store", fx_v(spark, sf).select("item"))
+    coverage.run_stream_coverage(spark, f"{base}/in", f"{base}/store", f"{base}/cp", items).awaitTermination()
+    states = coverage.stream_coverage(spark, f"{base}/store", items)
     return states.select("entity", "state", "n_finite")
 
 

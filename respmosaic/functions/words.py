@@ -7,6 +7,7 @@ no array of its windows.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -75,12 +76,13 @@ def word_counts(c: Column | str, k: int) -> Column:
     return counted(c)
 
 
-def vector_counts(c: Column | str, k: int, letters: str) -> Column:
-    """``array<bigint>`` of :func:`count_vector`; zeros for a null text. The vector has ``len(letters) ** k`` places."""
+def vector_counts(c: Column | str, k: int, letters: str, places: Sequence[int] | None = None) -> Column:
+    """``array<bigint>`` of :func:`count_vector`, or of some of its places; zeros for a null text. The vector has ``len(letters) ** k`` places."""
+    pick = slice(None) if places is None else list(places)
 
     @F.pandas_udf("array<bigint>")
     def counted(texts: pd.Series) -> pd.Series:
-        return pd.Series([count_vector(t or "", k, letters) for t in texts])
+        return pd.Series([count_vector(t or "", k, letters)[pick] for t in texts])
 
     return counted(c)
 

@@ -46,8 +46,13 @@ def coverage_gate(scores: DataFrame, items: DataFrame, entities: DataFrame | Non
     """``entity, ok, reason, counts``; the first failing test names the reason."""
     counts = coverage_counts(scores, items)
     listed = counts if entities is None else entities.select("entity").distinct().join(counts, "entity", "left")
+    return judge_counts(listed, items)
+
+
+def judge_counts(counts: DataFrame, items: DataFrame) -> DataFrame:
+    """The gate on counts at hand; absent counts are 0."""
     total = items.agg(F.count_distinct("item").alias("n"))
-    g = listed.withColumn("n_panel", total.scalar())
+    g = counts.withColumn("n_panel", total.scalar())
     for c in ("n_rows", "n_distinct", "n_extra", "n_on_panel", "n_finite"):
         g = g.withColumn(c, F.coalesce(F.col(c), F.lit(0)))
     g = g.withColumn("n_missing", F.col("n_panel") - F.col("n_on_panel"))

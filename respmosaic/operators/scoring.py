@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from itertools import product
 
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from respmosaic.functions.text import BASES, kmer_names, windows
-from respmosaic.functions.words import word_counts
+from respmosaic.functions.words import vector_counts, word_counts
 from respmosaic.plans.products import dot_products
 
 EDGE_LEFT, EDGE_RIGHT = "^", "$"
@@ -27,15 +30,40 @@ def fit_markov(seqs: DataFrame, k: int = 2, alpha: float = 1.0) -> DataFrame:
 
     Every context of the alphabet is present, so unseen words get their smoothed value.
     """
-    counts = _counted(seqs, "entity", word_counts("seq", k + 1))
-    alphabet = F.array(*[F.lit(w) for w in kmer_names(k + 1)])
-    grid = seqs.select("entity").distinct().select("entity", F.explode(alphabet).alias("w"))
-    full = grid.join(counts, ["entity", "w"], "left").fillna(0, ["n"])
+    full = _model_counts(seqs, F.col("seq"), kmer_names(k + 1), k + 1, BASES)
     full = full.select("entity", F.substring("w", 1, k).alias("ctx"), F.substring("w", k + 1, 1).alias("next"), "n")
     total = F.sum("n").over(Window.partitionBy("entity", "ctx"))
     return full.withColumn("logp", F.log((F.col("n") + alpha) / (total + alpha * len(BASES))))
 
 
+#: Longest vector of word counts; more words are counted as rows.
+WIDE = 4096
+
+
+def _vectors(text: Column, names: Sequence[str], k: int, letters: str) -> Column:
+    """``array<double>`` of a text's counts of the words ``names``."""
+    at = {"".join(w): i for i, w in enumerate(product(letters, repeat=k))}
+    places = [at[n] for n in names]
+    return vector_counts(text, k, letters, None if places == list(range(len(at))) else places).cast("array<double>")
+
+
+def _summed(rows: DataFrame, keys: Sequence[str], vec: str) -> DataFrame:
+    """Fixed-length vectors added up by key, as vectors: ``(*keys, vec)``."""
+    total = rows.withColumn("_x", array_to_vector(vec)).groupBy(*keys).agg(Summarizer.sum(F.col("_x")).alias("_s"))
+    return total.select(*keys, vector_to_array("_s").alias("vec"))
+
+
+def _model_counts(seqs: DataFrame, text: Column, names: Sequence[str], k: int, letters: str) -> DataFrame:
+    """``entity, w, n`` for every entity and word."""
+    alphabet = F.array(*[F.lit(w) for w in names])
+    if len(letters) ** k <= WIDE:
+        summed = _summed(seqs.select("entity", _vectors(text, names, k, letters).alias("v")), ["entity"], "v")
+        paired = summed.select("entity", F.explode(F.arrays_zip(alphabet.alias("w"), F.col("vec").alias("n"))).alias("p"))
+        return paired.select("entity", F.col("p.w").alias("w"), F.round("p.n").cast("long").alias("n"))
+    grid = seqs.select("entity").distinct().select("entity", F.explode(alphabet).alias("w"))
+    return grid.join(_counted(seqs.select("entity", text.alias("_t")), "entity", word_counts("_t", k)), ["entity", "w"], "left").fillna(0, ["n"])
+
+
 def _counted(rows: DataFrame, key: str, words: Column) -> DataFrame:
     """``key, w, n``: word counts of each key, summed up per text before the shuffle."""
     found = rows.select(key, F.explode_outer(words).alias("_w")).select(key, "_w.w", "_w.n")
@@ -51,6 +79,9 @@ def _dense(counts: DataFrame, keys: Sequence[str], names: Sequence[str], word: s
 
 
 def word_vectors(panel: DataFrame, k: int, names: Sequence[str]) -> DataFrame:
+    """``item, vec``: each item's counts of the words, straight from its text; one row per item."""
+    if len(BASES) ** k <= WIDE:
+        return panel.select("item", _vectors(F.col("seq"), names, k, BASES).alias("vec"))
     return _dense(_counted(panel, "item", word_counts("seq", k)), ["item"], names, "w", "n")
 
 
@@ -69,7 +100,7 @@ def score_ar(model: DataFrame, panel: DataFrame, k: int = 2, length_override: st
     usable = panel.filter(F.length("seq") > 0)
     names = kmer_names(k + 1)
     weights = _dense(model.withColumn("w", F.concat("ctx", "next")), ["entity"], names, "w", "logp")
-    items = usable.select("item").join(word_vectors(usable, k + 1, names), "item", "left")
+    items = usable.select("item").join(word_vectors(usable, k + 1, names), "item", "left") if len(names) > WIDE else word_vectors(usable, k + 1, names)
     items = items.withColumn("vec", F.coalesce("vec", F.array_repeat(F.lit(0.0), len(names))))
     scored = dot_products(items.withColumnRenamed("item", "l"), weights.withColumnRenamed("entity", "r"))
     scored = scored.select(F.col("r").alias("entity"), F.col("l").alias("item"), F.col("value").alias("sum_log_p"))
@@ -80,11 +111,12 @@ def score_ar(model: DataFrame, panel: DataFrame, k: int = 2, length_override: st
     return out.withColumn("ce_loss", -F.col("sum_log_p") / F.col("predictable_tokens")).drop("_t", "_b")
 
 
-def ar_positions(model: DataFrame, panel: DataFrame, k: int = 2) -> DataFrame:
-    """Per-position log-probabilities in long form: ``entity, item, pos, logp``."""
+def ar_positions(model: DataFrame, panel: DataFrame, k: int = 2, pairs: DataFrame | None = None) -> DataFrame:
+    """Per-position log-probabilities in long form: ``entity, item, pos, logp``; with ``pairs`` (entity, item) for these only."""
     words = panel.select("item", F.posexplode_outer(windows("seq", k + 1)).alias("_i", "w"))
     keyed = model.select("entity", F.concat("ctx", "next").alias("w"), "logp")
-    return words.join(keyed, "w").select("entity", "item", (F.col("_i") + k).alias("pos"), "logp")
+    met = words.join(keyed, "w") if pairs is None else words.join(pairs.select("entity", "item"), "item").join(keyed, ["entity", "w"])
+    return met.select("entity", "item", (F.col("_i") + k).alias("pos"), "logp")
 
 
 def _edged(seq: str) -> Column:
@@ -98,10 +130,7 @@ def triple_names() -> list[str]:
 def fit_masked(seqs: DataFrame, alpha: float = 1.0) -> DataFrame:
     """``entity, lft, mid, rgt, n, logp``: smoothed log p(mid | left, right) per entity."""
     usable = seqs.filter(F.length("seq") > 0)
-    counts = _counted(usable, "entity", word_counts(_edged("seq"), 3))
-    alphabet = F.array(*[F.lit(w) for w in triple_names()])
-    grid = usable.select("entity").distinct().select("entity", F.explode(alphabet).alias("w"))
-    full = grid.join(counts, ["entity", "w"], "left").fillna(0, ["n"])
+    full = _model_counts(usable, _edged("seq"), triple_names(), 3, BASES + EDGE_LEFT + EDGE_RIGHT)
     full = full.select("entity", F.substring("w", 1, 1).alias("lft"), F.substring("w", 2, 1).alias("mid"), F.substring("w", 3, 1).alias("rgt"), "n")
     total = F.sum("n").over(Window.partitionBy("entity", "lft", "rgt"))
     return full.withColumn("logp", F.log((F.col("n") + alpha) / (total + alpha * len(BASES))))
@@ -125,8 +154,8 @@ def score_pll(model: DataFrame, panel: DataFrame, stride: int = 6, content_lengt
     names = triple_names()
     size = F.length("seq")
     n = F.least(F.col(content_length), size) if content_length else size
-    counted = _counted(usable, "item", word_counts(F.substring(_edged("seq"), F.lit(1), n + 2), 3))
-    items = _dense(counted, ["item"], names, "w", "n")
+    edged = F.substring(_edged("seq"), F.lit(1), n + 2)
+    items = usable.select("item", _vectors(edged, names, 3, BASES + EDGE_LEFT + EDGE_RIGHT).alias("vec"))
     weights = _dense(model.withColumn("w", F.concat("lft", "mid", "rgt")), ["entity"], names, "w", "logp")
     scored = dot_products(items.withColumnRenamed("item", "l"), weights.withColumnRenamed("entity", "r"))
     scored = scored.select(F.col("r").alias("entity"), F.col("l").alias("item"), F.col("value").alias("sum_log_p"))
@@ -169,12 +198,14 @@ def score_panel(panel: DataFrame, scorer: Callable[[], Callable[[str], dict]], f
 
 
 def mean_pool(tokens: DataFrame, key: Sequence[str], vec: str = "vec", mask: str | None = None) -> DataFrame:
-    """Mean of token vectors over content tokens, one vector per key."""
+    """Mean of token vectors over content tokens, one vector per key; a null component does not count. Vectors of one table share a length."""
     rows = tokens.filter(F.col(mask)) if mask else tokens
-    long = rows.select(*key, F.posexplode(vec).alias("_d", "_x"))
-    means = long.groupBy(*key, "_d").agg(F.avg("_x").alias("_m"))
-    packed = F.sort_array(F.collect_list(F.struct("_d", "_m")))
-    return means.groupBy(*key).agg(packed.alias("_l")).select(*key, F.col("_l._m").alias("features"))
+    values = F.transform(vec, lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
+    there = F.transform(vec, lambda x: x.isNotNull().cast("double"))
+    total = _summed(rows.filter(F.col(vec).isNotNull()).select(*key, F.concat(values, there).alias("_v")), key, "_v")
+    half = F.size("vec") / 2
+    sums, counts = F.slice("vec", F.lit(1), half.cast("int")), F.slice("vec", (half + 1).cast("int"), half.cast("int"))
+    return total.select(*key, F.zip_with(sums, counts, lambda s, n: F.when(n > 0, s / n)).alias("features"))
 
 
 def concat_layers(pooled: DataFrame, key: Sequence[str], layer: str) -> DataFrame:

@@ -1,48 +1,74 @@
-"""Coverage of score files as they arrive (file source, foreachBatch)."""
+"""Coverage of score files as they arrive (file source, keyed state)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from respmosaic.operators.integrity import coverage_gate
+from respmosaic.operators.integrity import judge_counts
 
 SCORE_SCHEMA = "entity string, item long, value double"
+#: What is kept of an entity: its items in order, how often the latest batch of each had it, and whether the value is there and the item on the panel.
+STATE = "items array<long>, copies array<int>, finite array<boolean>, listed array<boolean>"
+COUNTS = "entity string, n_rows long, n_distinct long, n_extra long, n_on_panel long, n_finite long"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class SeenItems(StatefulProcessor):
+    """Keeps the items an entity has been scored on; a batch replaces what earlier ones said about its items, and gives the new counts."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", STATE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - names of the interface
+        new = pd.concat(rows)
+        new = new.assign(finite=new["value"].notna() & np.isfinite(new["value"].astype(float)))
+        batch = new.groupby("item").agg(copies=("finite", "size"), finite=("finite", "sum"), listed=("listed", "max"))
+        if self.seen.exists():
+            old = pd.DataFrame(dict(zip(("item", "copies", "finite", "listed"), self.seen.get()))).set_index("item")
+            old["finite"] = old["finite"].astype(int)
+            batch = pd.concat([old[~old.index.isin(batch.index)], batch])
+        batch = batch.sort_index()
+        self.seen.update(([int(i) for i in batch.index], [int(c) for c in batch["copies"]], [bool(f) for f in batch["finite"] > 0], [bool(x) for x in batch["listed"]]))
+        listed = batch["listed"].astype(bool)
+        yield pd.DataFrame({
+            "entity": [key[0]], "n_rows": [int(batch["copies"].sum())], "n_distinct": [len(batch)], "n_extra": [int((~listed).sum())],
+            "n_on_panel": [int(listed.sum())], "n_finite": [int((listed & (batch["finite"] > 0)).sum())],
+        })
+
+    def close(self) -> None:
+        pass
 
 
 def score_stream(spark: SparkSession, path: str, schema: str = SCORE_SCHEMA) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def entity_states(seen: DataFrame, items: DataFrame) -> DataFrame:
-    """DONE when the gate passes, else PARTIAL with its reason."""
-    gate = coverage_gate(seen, items)
-    return gate.select("entity", F.when(F.col("ok"), "DONE").otherwise("PARTIAL").alias("state"), "reason", "n_finite", "n_panel")
-
+def run_stream_coverage(spark: SparkSession, source: str, store: str, checkpoint: str, items: DataFrame, schema: str = SCORE_SCHEMA):
+    """Counts of every entity that a micro-batch touches, written to ``store``, one folder per batch id.
 
-def run_stream_coverage(spark: SparkSession, source: str, store: str, checkpoint: str, schema: str = SCORE_SCHEMA):
-    """Appends each micro-batch to ``store``, one folder per batch id.
-
-    Rewriting a folder makes a replayed batch idempotent. Nothing is re-read per batch; the
-    latest rows of a cell are chosen when :func:`stored_scores` is asked for the state.
+    What an entity has been scored on is kept as keyed state (RocksDB) in the checkpoint, so neither a batch nor a later question reads
+    earlier score files again. Rewriting a folder makes a replayed batch idempotent; files that come late or repeat cells replace those cells.
     """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    panel = items.select("item").distinct().withColumn("listed", F.lit(True))
+    marked = score_stream(spark, source, schema).join(panel, "item", "left").select("entity", "item", "value", F.coalesce("listed", F.lit(False)).alias("listed"))
+    changed = marked.groupBy("entity").transformWithStateInPandas(SeenItems(), COUNTS, "Update", "None")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
 
-    return score_stream(spark, source, schema).writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def stored_scores(spark: SparkSession, store: str) -> DataFrame:
-    """The values that the latest batch has for every (entity, item).
-
-    One row each, unless that batch repeats a cell: all of its rows stay, so the gate names the duplicates.
-    """
-    rows = spark.read.parquet(store)
-    per_batch = rows.groupBy("entity", "item", "batch").agg(F.collect_list(F.struct("value")).alias("_v"))
-    latest = per_batch.groupBy("entity", "item").agg(F.max_by("_v", "batch").alias("_v"))
-    return latest.select("entity", "item", F.explode("_v").alias("_v")).select("entity", "item", "_v.value")
+    return changed.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_coverage(spark: SparkSession, store: str, items: DataFrame) -> DataFrame:
-    return entity_states(stored_scores(spark, store), items)
+    """DONE when the gate passes, else PARTIAL with its reason, from the latest counts of each entity."""
+    names = ["n_rows", "n_distinct", "n_extra", "n_on_panel", "n_finite"]
+    latest = spark.read.parquet(store).groupBy("entity").agg(F.max_by(F.struct(*names), "batch").alias("c")).select("entity", "c.*")
+    gate = judge_counts(latest, items)
+    return gate.select("entity", F.when(F.col("ok"), "DONE").otherwise("PARTIAL").alias("state"), "reason", "n_finite", "n_panel")

@@ -94,14 +94,14 @@ def test_line_breaks_inside_quotes(spark, tmp_path):
 
 
 def test_a_batch_that_repeats_a_cell_stays_visible(spark, tmp_path):
-    first = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.5)], "entity string, item long, value double")
-    second = spark.createDataFrame([("a", 1, 1.0), ("a", 1, 2.0)], "entity string, item long, value double")
-    first.write.parquet(str(tmp_path / "batch=0"))
-    second.write.parquet(str(tmp_path / "batch=1"))
-    rows = sorted((r["item"], r["value"]) for r in coverage.stored_scores(spark, str(tmp_path)).collect())
-    assert rows == [(1, 1.0), (1, 2.0), (2, 0.5)]
     items = spark.createDataFrame([(1,), (2,)], "item long").select(F.col("item"))
-    assert coverage.stream_coverage(spark, str(tmp_path), items).first()["state"] == "PARTIAL"
+    folders = [str(tmp_path / p) for p in ("in", "store", "cp")]
+    for cells in ([("a", 1, 0.5), ("a", 2, 0.5)], [("a", 1, 1.0), ("a", 1, 2.0)]):
+        spark.createDataFrame(cells, "entity string, item long, value double").write.mode("append").parquet(folders[0])
+        coverage.run_stream_coverage(spark, *folders, items).awaitTermination()
+    last = spark.read.parquet(folders[1]).where("batch = 1").first()
+    assert (last["n_rows"], last["n_distinct"], last["n_finite"]) == (3, 2, 2)
+    assert tuple(coverage.stream_coverage(spark, folders[1], items).first())[1:3] == ("PARTIAL", "duplicate items")
 
 
 @pytest.mark.parametrize("head", ["", "junk before the first record\n"])

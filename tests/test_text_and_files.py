@@ -216,12 +216,17 @@ def test_probe_finds_a_separable_class_and_reports_gates(spark):
 
 
 def test_stream_state_only_moves_forward(spark, tmp_path):
+    """Three batches: parts of the items, a late file that repeats cells, and one with a foreign item and a cell given twice."""
     items = spark.createDataFrame([(i,) for i in range(4)], "item long")
-    rows = spark.createDataFrame([("a", i, 1.0) for i in range(4)] + [("b", 0, 1.0)], "entity string, item long, value double")
+    rows = spark.createDataFrame([("a", i, 1.0) for i in range(4)] + [("b", 0, None), ("b", 9, 1.0), ("b", 1, 1.0), ("b", 1, 2.0)], "entity string, item long, value double")
     args = [str(tmp_path / p) for p in ("in", "store", "cp")]
     seen = []
-    for part in ("item < 2", "item >= 1"):
+    for part in ("item < 2 and entity = 'a'", "item >= 1 and entity = 'a'", "entity = 'b'"):
         rows.filter(part).write.mode("append").parquet(args[0])
-        coverage.run_stream_coverage(spark, *args).awaitTermination()
-        seen.append({r["entity"]: (r["state"], r["n_finite"]) for r in coverage.stream_coverage(spark, args[1], items).collect()})
-    assert seen == [{"a": ("PARTIAL", 2), "b": ("PARTIAL", 1)}, {"a": ("DONE", 4), "b": ("PARTIAL", 1)}]
+        coverage.run_stream_coverage(spark, *args, items).awaitTermination()
+        seen.append({r["entity"]: (r["state"], r["reason"], r["n_finite"]) for r in coverage.stream_coverage(spark, args[1], items).collect()})
+    done = ("DONE", "", 4)
+    assert seen == [{"a": ("PARTIAL", "row count", 2)}, {"a": done}, {"a": done, "b": ("PARTIAL", "duplicate items", 1)}]
+    assert spark.read.parquet(args[1]).where("batch = 2").count() == 1  # only what a batch touched is written
+    coverage.run_stream_coverage(spark, *args, items).awaitTermination()  # nothing new
+    assert {r["entity"]: r["state"] for r in coverage.stream_coverage(spark, args[1], items).collect()} == {"a": "DONE", "b": "PARTIAL"}
