@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from respmosaic.llm import chunks
 from respmosaic.llm.components import components
-from respmosaic.llm.storage import store
+from respmosaic.llm.storage import remove, store, store_at
 
 #: Words of a shingle; the link is 100 * intersection >= PERCENT * union.
 WIDTH, PERCENT = 5, 80
@@ -277,14 +277,14 @@ def _linked(batches):
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
-def _links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, text_col: str, id_col: str) -> tuple[DataFrame, DataFrame]:
-    """The pairs ``(a, na, b, nb)`` that link: bitmaps first, then the exact sets of what is left; and those sets."""
+def _links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, text_col: str, id_col: str, used: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The pairs ``(a, na, b, nb)`` that link: bitmaps first, then the exact sets of what is left; and those sets, whose folder goes to ``used``."""
     bits = sets.where("bits is not null").groupBy("node").agg(F.min("bits").alias("bits"))
     side = lambda c: bits.select(F.col("node").alias(c), F.col("bits").alias(f"bits_{c}"))
-    left = store(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_possible, "a long, na long, b long, nb long"), "join-possible")
+    left, left_at = store_at(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_possible, "a long, na long, b long, nb long"), "join-possible")
     wanted = left.select(F.col("a").alias("node")).unionAll(left.select("b")).distinct()
     holders = sets.where("id is not null").join(wanted, "node").groupBy("node").agg(F.min("id").alias("id"))
-    holders = store(holders, "join-holders")
+    holders, holders_at = store_at(holders, "join-holders")
 
     def exact(batches):
         for batch in batches:
@@ -297,9 +297,12 @@ def _links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, text_col: str, id
     ids = F.broadcast(ids) if holders.count() <= FEW else ids  # few enough to send to every task; else both sides are dealt by id
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).join(ids, "id", "left_semi")
     arrays = texts.select("body").mapInArrow(exact, "node long, set binary").join(holders.select("node"), "node", "left_semi")
-    arrays = store(arrays.dropDuplicates(["node"]), "join-arrays")
+    arrays, arrays_at = store_at(arrays.dropDuplicates(["node"]), "join-arrays")
     one = lambda c: arrays.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}"))
-    return store(left.select("a", "b").join(one("a"), "a").join(one("b"), "b").mapInArrow(_linked, "a long, b long"), "join-links"), arrays
+    links = store(left.select("a", "b").join(one("a"), "a").join(one("b"), "b").mapInArrow(_linked, "a long, b long"), "join-links")
+    remove(docs.sparkSession, left_at, holders_at)
+    used.append(arrays_at)
+    return links, arrays
 
 
 def _across(members: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame | None:
@@ -369,7 +372,7 @@ def _counted(pdf: pd.DataFrame) -> pd.DataFrame:
     return _block(pdf).drop(columns="others")
 
 
-def _within(large: DataFrame, links: DataFrame, roots: DataFrame, copies: DataFrame, arrays: DataFrame, listed: bool) -> tuple[DataFrame, DataFrame]:
+def _within(large: DataFrame, links: DataFrame, roots: DataFrame, copies: DataFrame, arrays: DataFrame, listed: bool, used: list[str]) -> tuple[DataFrame, DataFrame]:
     """``(node, others, linked)``, or without ``others`` unless ``listed``, for the classes of large tiles in components that may have more links than the known ones, and those classes.
 
     A pair that was not tested shares large tiles only, and lies in one component. Such components are cut into bounded blocks, and all pairs
@@ -389,19 +392,24 @@ def _within(large: DataFrame, links: DataFrame, roots: DataFrame, copies: DataFr
     dealt = dealt.select("pack", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "root", "own", "node", "copies").join(arrays, "node")
     groups = dealt.groupBy("pack", "i", "j")
     decided = groups.applyInPandas(_block, "node long, others array<long>, linked long") if listed else groups.applyInPandas(_counted, "node long, linked long")
-    return store(decided, "join-others"), rows
+    decided, decided_at = store_at(decided, "join-others")
+    if not listed:
+        used.append(decided_at)
+    return decided, rows
 
 
-def _connected(docs: DataFrame, text_col: str, id_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+def _connected(docs: DataFrame, text_col: str, id_col: str, used: list[str]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """Per row its component (``id, n, node, component_id``); sets, links that span all components, roots, classes of large tiles, exact sets."""
     sets = store(_sets(docs, text_col, id_col, _common(docs, text_col, COMMON)), "join-sets")
     tokens = sets.where("prefix is not null").select(F.posexplode("prefix").alias("place", "key"), "n", "node").select("key", "n", "node", F.col("place").cast("long").alias("place"))
-    runs = store(tokens.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_tiles, _RUNS), "join-tiles")
-    links, arrays = _links(runs.where("not big").select("a", "na", "b", "nb").distinct(), docs, sets, text_col, id_col)
+    runs, runs_at = store_at(tokens.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_tiles, _RUNS), "join-tiles")
+    del tokens  # the tiles' shuffle can go
+    used.append(runs_at)
+    links, arrays = _links(runs.where("not big").select("a", "na", "b", "nb").distinct(), docs, sets, text_col, id_col, used)
     roots = components(links)
     more = _across(runs.where("big").select("key", "a", "na", "place"), roots, sets)
     if more is not None:
-        extra, held = _links(more, docs, sets, text_col, id_col)
+        extra, held = _links(more, docs, sets, text_col, id_col, used)
         links, arrays = links.unionAll(extra), arrays.unionAll(held)
         roots = components(links)
     named = sets.select("id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -420,14 +428,16 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", listed
     null ids only is not compared. Each link ``a < b`` is listed once; unless ``listed``, links inside large tiles are only counted, and the second
     result is None. Shingles and sets are 64-bit hashes.
     """
-    members, sets, links, roots, large, arrays = _connected(docs, text_col, id_col)
+    used: list[str] = []  # folders that nothing returned here reads
+    members, sets, links, roots, large, arrays = _connected(docs, text_col, id_col, used)
     copies = store(sets.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies")), "join-copies")
-    within, whole = _within(large, links, roots, copies, arrays, listed)
+    within, whole = _within(large, links, roots, copies, arrays, listed, used)
     flag = lambda c: whole.select(F.col("node").alias(c), F.lit(True).alias(f"in_{c}"))
     rest = links.join(flag("a"), "a", "left").join(flag("b"), "b", "left").where("in_a is null or in_b is null").select("a", "b")
     ends = rest.select(F.col("a").alias("one"), F.col("b").alias("node")).unionAll(rest.select("b", "a")).join(copies, "node")
     linked = ends.select(F.col("one").alias("node"), F.col("copies").alias("linked")).unionAll(within.select("node", "linked")).groupBy("node").agg(F.sum("linked").alias("linked"))
     total = store(copies.join(linked, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "join-degrees")
+    remove(docs.sparkSession, *used)
     members = members.join(total, "node", "left").select("id", "n", "node", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     if not listed:
         return members, None
@@ -440,8 +450,10 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
 
     Documents are told apart by id: rows that repeat an id stay or go together.
     """
-    members = _connected(docs, text_col, id_col)[0]
+    used: list[str] = []
+    members = _connected(docs, text_col, id_col, used)[0]
     gone = store(members.where("id <> component_id").select(F.col("id").alias(id_col)).distinct(), "join-gone")
+    remove(docs.sparkSession, *used)
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +28,10 @@ def store_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 
 def remove(spark: SparkSession, *paths: str) -> None:
-    """Deletes stored folders by Hadoop's file system, wherever they are."""
+    """Deletes stored folders by Hadoop's file system, wherever they are, and lets the driver drop the shuffle files of finished steps."""
     jvm = spark.sparkContext._jvm
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    gc.collect()  # plans that Python still holds keep their shuffles
+    jvm.System.gc()
