@@ -11,11 +11,11 @@ import base64
 import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,30 +64,31 @@ _RECORD = pa.schema([("piece", pa.int32()), ("seq", pa.int64()), ("record", pa.b
 
 
 def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "20260101000000") -> None:
-    """Writes ARC files, version 1 by even tasks and version 2 by odd ones. The id goes into the URL field as ``urn:page:<id>:<url>``."""
+    """Writes ARC files of both versions: a row's version follows from a hash of its id. The id goes into the URL field as ``urn:page:<id>:<url>``."""
     slim = pages.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
 
     def lines(batches):
-        version = 1 + TaskContext.get().partitionId() % 2
-        piece, total, seq = 0, 0, 0
+        open_files = {1: [1, 0, 0], 2: [2, 0, 0]}  # per version its piece, bytes and records
 
         def records():
-            nonlocal piece, total, seq
             for batch in batches:
                 ids, urls, payloads = batch.columns
                 for i, u, p in zip(ids.to_pylist(), urls.to_pylist(), payloads):
                     body = p.as_py()
-                    if total and total + len(body) > FILE_BYTES:
-                        piece, total, seq = piece + 1, 0, 0
-                    if not seq:
+                    version = 1 + zlib.crc32((i or "").encode()) % 2
+                    state = open_files[version]
+                    if state[1] and state[1] + len(body) > FILE_BYTES:
+                        state[:] = state[0] + 2, 0, 0
+                    piece = state[0]
+                    if not state[2]:
                         intro = f"{version} 0 respmosaic\n{' '.join(_TITLES[f] for f in FIELDS[version])}\n".encode()
                         extra = "200 - - 0 - " if version == 2 else ""
                         yield {"piece": piece, "seq": 0, "record": f"filedesc://{piece}.arc 0.0.0.0 {date} text/plain {extra}{len(intro)}\n".encode() + intro}
-                    seq += 1
-                    total += len(body) + 1
+                    state[1] += len(body) + 1
+                    state[2] += 1
                     uri = f"urn:page:{i or ''}:{quote(u, safe=_PLAIN) if u else '-'}"
-                    extra = f"200 {hashlib.md5(body).hexdigest()} - {total} - " if version == 2 else ""
-                    yield {"piece": piece, "seq": seq, "record": f"{uri} 0.0.0.0 {date} text/html {extra}{len(body)}\n".encode() + body}
+                    extra = f"200 {hashlib.md5(body).hexdigest()} - {state[1]} - " if version == 2 else ""
+                    yield {"piece": piece, "seq": state[2], "record": f"{uri} 0.0.0.0 {date} text/html {extra}{len(body)}\n".encode() + body}
 
         yield from _rows(records(), _RECORD, lambda r: len(r["record"]))
 

@@ -37,6 +37,10 @@ def test_archives_hold_payloads_and_both_versions(spark):
     arc, out = folder(spark, "t-arc"), folder(spark, "t-warc")
     warc.write_arc(pages, arc)
     rows = warc.read_arc(spark, arc).collect()
+    one = folder(spark, "t-arc")
+    warc.write_arc(pages.coalesce(1), one)  # a single task writes both versions
+    heads = {bytes(r["content"]) for r in warc._files(spark, one).collect()}
+    assert {warc._plain(h).split(b"\n")[1][:1] for h in heads} == {b"1", b"2"} and sorted(bytes(r["payload"]) for r in warc.read_arc(spark, one).collect()) == sorted(bytes(r["payload"]) for r in rows)
     assert sorted((r["payload"] for r in rows), key=bytes) == sorted((bytearray((h or "").encode()) for *_, h in PAGES), key=bytes)
     warc.convert(spark, arc, out)
     back = warc.read_warc(spark, out).collect()

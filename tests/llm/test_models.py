@@ -1,7 +1,9 @@
 """Learned operators: held-out accuracy, defined results on awkward documents, and parts against plain Python."""
 
 import itertools
+import math
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -91,6 +93,44 @@ def test_toxicity_finds_planted_words(spark):
     assert s[1] > 0.5 > s[2] and s[3] == s[4]
 
 
+def test_toxicity_against_a_plain_loop(spark):
+    """FTRL-proximal one text and one feature at a time, and its scores, in plain Python."""
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{rng.integers(0, 40)}" for _ in range(12)) + (" vile fool" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"))
+    bias = 1 << toxicity.BITS
+
+    def features(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return [*sorted(set(toxicity.buckets(raw, np.array([0, len(raw)]))[1].tolist())), bias]
+
+    z, n = {}, {}
+
+    def weight(i):
+        penalty = 0.0 if i == bias else toxicity.L1
+        if abs(z.get(i, 0.0)) <= penalty:
+            return 0.0
+        return -(z[i] - math.copysign(penalty, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    order = sorted(rows, key=lambda r: (r[0] * 0x9E3779B1 % (1 << 32), r[1]))
+    for _ in range(toxicity.EPOCHS):
+        for _, text, y in order:
+            own = features(text)
+            w = {i: weight(i) for i in own}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in own:
+                step = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA
+                z[i] = z.get(i, 0.0) + g - step * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    want = {i: weight(i) for i in z if weight(i)}
+    assert {int(i) for i in np.flatnonzero(got)} == set(want) and len(want) > 2
+    assert all(got[i] == pytest.approx(w, abs=2e-6) for i, w in want.items())
+    scored = {r["doc_id"]: r["score"] for r in toxicity.score(df, got).collect()}
+    for i, text, _ in rows:
+        assert scored[i] == pytest.approx(1 / (1 + math.exp(-sum(want.get(f, 0.0) for f in features(text)))), abs=1e-5)
+
+
 def test_toxicity_defined_results(docs, empty):
     labels = docs.select("doc_id", F.lit(1).alias("toxic"))
     assert toxicity.fit(docs, labels) is None and toxicity.fit(empty, labels.where("false")) is None  # one class, no rows
@@ -117,6 +157,51 @@ def test_quality_sites_shrink_toward_the_global_share(spark):
     assert abs(out["big"][0] - share) >= abs(out["small400"][0] - share) and min(own, share) - 1e-6 <= out["big"][0] <= max(own, share) + 1e-6
 
 
+def test_quality_against_a_plain_loop(spark):
+    """Ratios by counting, site means by adding up, strengths by the method of moments: all in plain Python."""
+    rng = np.random.default_rng(9)
+    rows = [(i, "spam " * int(rng.integers(30, 60)) if rng.random() < (0.6 if i % 3 == 0 else 0.2) else " ".join(f"Word{rng.integers(0, 500)}." for _ in range(rng.integers(5, 90))), "en" if i % 2 else "de", f"h{i % 3 if i < 110 else i}") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    marks = {i: int("spam" not in rows[i][1]) for i in range(0, 120, 2)}
+    got = {r["doc_id"]: r for r in quality.classify(df, spark.createDataFrame(list(marks.items()), "doc_id long, quality int")).select("row.doc_id", "evidence", "site_prior", "quality").collect()}
+    binned = {}
+    for i, t, *_ in rows:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        binned[i] = quality.bins(raw, np.array([0, len(raw)]))[:, 0].tolist()
+    total = Counter(marks.values())
+    counts = Counter((s, b, marks[i]) for i in marks for s, b in enumerate(binned[i]))
+    share = (total[1] + 1) / (len(marks) + 2)
+    base = math.log(share / (1 - share))
+
+    def ratio(s, b):
+        k = len(list(quality.EDGES.values())[s]) + 1
+        one, zero = ((counts[s, b, y] + quality.SMOOTH / k) / (total[y] + quality.SMOOTH) for y in (1, 0))
+        return quality.WEIGHT * math.log(one / zero)
+
+    evidence = {i: sum(ratio(s, b) for s, b in enumerate(binned[i])) for i in binned}
+    own = {i: 1 / (1 + math.exp(-(e + base))) for i, e in evidence.items()}
+
+    def strength(sites):
+        many = [v for v in sites.values() if len(v) >= 2]
+        n, s, q = sum(map(len, many)), sum(map(sum, many)), sum(x * x for v in many for x in v)
+        ss, nn = sum(sum(v) ** 2 / len(v) for v in many), sum(len(v) ** 2 for v in many)
+        within = max(q - ss, 0.0) / max(n - len(many), 1.0)
+        spread = (ss - s * s / n - (len(many) - 1) * within) / max(n - nn / n, 1e-9)
+        return min(max(within / spread if spread > 0 else quality.STRENGTH[1], quality.STRENGTH[0]), quality.STRENGTH[1])
+
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for i, _, lang, source in rows:
+        hosts[source].append(own[i])
+        paths[source, lang].append(own[i])
+    a, b = strength(hosts), strength(paths)
+    for i, _, lang, source in rows:
+        h, p = hosts[source], paths[source, lang]
+        host = (sum(h) - own[i] + a * share) / (len(h) - 1 + a)
+        prior = (sum(p) - own[i] + b * host) / (len(p) - 1 + b)
+        posterior = 1 / (1 + math.exp(-(evidence[i] + math.log(prior / (1 - prior)))))
+        assert (got[i]["evidence"], got[i]["site_prior"], got[i]["quality"]) == pytest.approx((evidence[i], prior, posterior), abs=2e-5)
+
+
 def test_quality_defined_results(docs, empty, tables):
     labels = tables["labels"]
     out = quality.classify(docs, labels)
