@@ -137,6 +137,8 @@ def _pieces(tests: DataFrame, n: int, max_words: int) -> DataFrame:
             yield pd.DataFrame(out, columns=["i", "t"])
 
     long = F.length("t") > 4 * step  # shorter ones cannot have more words than a piece
+    if tests.where(long).isEmpty():
+        return tests.distinct()
     return tests.where(~long).unionAll(tests.where(long).mapInPandas(cut, "i string, t string")).distinct()
 
 
