@@ -399,7 +399,7 @@ def _within(large: DataFrame, links: DataFrame, roots: DataFrame, copies: DataFr
 
 
 def _connected(docs: DataFrame, text_col: str, id_col: str, used: list[str]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Per row its component (``id, n, node, component_id``); sets, links that span all components, roots, classes of large tiles, exact sets."""
+    """Per class its rows and component (``node, copies, component_id``); sets, links that span all components, roots, classes of large tiles, exact sets."""
     sets = store(_sets(docs, text_col, id_col, _common(docs, text_col, COMMON)), "join-sets")
     tokens = sets.where("prefix is not null").select(F.posexplode("prefix").alias("place", "key"), "n", "node").select("key", "n", "node", F.col("place").cast("long").alias("place"))
     runs, runs_at = store_at(tokens.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_tiles, _RUNS), "join-tiles")
@@ -412,10 +412,18 @@ def _connected(docs: DataFrame, text_col: str, id_col: str, used: list[str]) ->
         extra, held = _links(more, docs, sets, text_col, id_col, used)
         links, arrays = links.unionAll(extra), arrays.unionAll(held)
         roots = components(links)
-    named = sets.select("id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = store(named.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id")), "join-smallest")
-    members = named.join(smallest, "root", "left").select("id", "n", "node", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
-    return members, sets, links, roots, runs.where("big").select(F.col("a").alias("node"), F.col("na").alias("n")), arrays
+    # Classes first: what is known of a class is joined to its rows once.
+    classes = sets.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"))
+    classes = store(classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "join-classes")
+    smallest = store(classes.groupBy("root").agg(F.min("least").alias("component_id")), "join-smallest")
+    classes = store(classes.join(smallest, "root", "left").select("node", "copies", "component_id"), "join-components")
+    return classes, sets, links, roots, runs.where("big").select(F.col("a").alias("node"), F.col("na").alias("n")), arrays
+
+
+def _members(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Every row with the columns of its class; a row without a class is its own component."""
+    joined = sets.select("id", "n", "node").join(classes.drop("copies"), "node", "left")
+    return joined.withColumn("component_id", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")))
 
 
 def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", listed: bool = True) -> tuple[DataFrame, DataFrame | None]:
@@ -429,16 +437,17 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", listed
     result is None. Shingles and sets are 64-bit hashes.
     """
     used: list[str] = []  # folders that nothing returned here reads
-    members, sets, links, roots, large, arrays = _connected(docs, text_col, id_col, used)
-    copies = store(sets.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies")), "join-copies")
+    classes, sets, links, roots, large, arrays = _connected(docs, text_col, id_col, used)
+    copies = classes.select("node", "copies")
     within, whole = _within(large, links, roots, copies, arrays, listed, used)
     flag = lambda c: whole.select(F.col("node").alias(c), F.lit(True).alias(f"in_{c}"))
     rest = links.join(flag("a"), "a", "left").join(flag("b"), "b", "left").where("in_a is null or in_b is null").select("a", "b")
     ends = rest.select(F.col("a").alias("one"), F.col("b").alias("node")).unionAll(rest.select("b", "a")).join(copies, "node")
     linked = ends.select(F.col("one").alias("node"), F.col("copies").alias("linked")).unionAll(within.select("node", "linked")).groupBy("node").agg(F.sum("linked").alias("linked"))
-    total = store(copies.join(linked, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "join-degrees")
+    n_links = F.col("copies") - 1 + F.coalesce("linked", F.lit(0))
+    counted = store(classes.join(linked, "node", "left").select("node", "copies", "component_id", n_links.alias("n_links")), "join-degrees")
     remove(docs.sparkSession, *used)
-    members = members.join(total, "node", "left").select("id", "n", "node", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    members = _members(sets, counted).select("id", "n", "node", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     if not listed:
         return members, None
     pairs = within.select("node", F.explode("others").alias("other")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
@@ -451,8 +460,8 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
     Documents are told apart by id: rows that repeat an id stay or go together.
     """
     used: list[str] = []
-    members = _connected(docs, text_col, id_col, used)[0]
-    gone = store(members.where("id <> component_id").select(F.col("id").alias(id_col)).distinct(), "join-gone")
+    classes, sets, *_ = _connected(docs, text_col, id_col, used)
+    gone = store(_members(sets, classes).where("id <> component_id").select(F.col("id").alias(id_col)).distinct(), "join-gone")
     remove(docs.sparkSession, *used)
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)
 
