@@ -242,7 +242,8 @@ def s1_stats(spark, sf):
 def s2(spark, sf):
     path = scratch(spark) + ".tsv"
     rows = fx_lab(spark, sf).select(F.concat(F.lit(" "), "seq").alias("dna"), F.col("quality").alias("class"))
-    rows.write.option("header", True).option("sep", "\t").option("ignoreLeadingWhiteSpace", False).csv(path)
+    # Cut off at its end, a field of blanks would be written as a broken empty value and read back as text.
+    rows.write.option("header", True).option("sep", "\t").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return readers.read_labelled_csv(spark, path, "dna", "class").select("seq", "label")
 
 

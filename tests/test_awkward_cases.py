@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from respmosaic.catalog import gate_queries
 from respmosaic.functions import names, text, words
 from respmosaic.operators import distance
 from respmosaic.sources import readers, sinks
@@ -116,3 +117,9 @@ def test_fasta_records_are_numbered_across_blocks(spark, tmp_path, head):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert [(r["header"], r["seq"]) for r in sorted(rows, key=lambda r: r["row_idx"])] == records
     assert sorted(r["row_idx"] for r in rows) == list(range(200))
+
+
+def test_rows_without_a_sequence_do_not_come_back_from_the_table(spark, tmp_path):
+    spark.createDataFrame([(1, "acgt", "en", "s"), (2, "xyz", "en", "s"), (3, "", "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in (1, 2, 3)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert [tuple(r) for r in gate_queries.s2(spark, str(tmp_path)).collect()] == [("ACGT", "1")]
