@@ -123,3 +123,10 @@ def test_rows_without_a_sequence_do_not_come_back_from_the_table(spark, tmp_path
     spark.createDataFrame([(1, "acgt", "en", "s"), (2, "xyz", "en", "s"), (3, "", "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, i % 2, 0) for i in (1, 2, 3)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert [tuple(r) for r in gate_queries.s2(spark, str(tmp_path)).collect()] == [("ACGT", "1")]
+
+
+def test_result_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(gate_queries, "scratch", lambda spark: str(tmp_path / "tree"))
+    rows = gate_queries.s6_tree(spark, "/root/testdata/sf0.001").count()
+    files = [p.name.split("-")[1] for p in (tmp_path / "tree").rglob("part-*")]
+    assert len(files) == rows and len(set(files)) > 1
