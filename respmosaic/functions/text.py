@@ -24,13 +24,22 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def computed(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """``df`` with ``name`` worked out once per row.
+
+    The optimiser copies a plain column into every filter and column that reads it, so a costly one is worked out again for each; it does
+    not copy through a generator. The outer form keeps it from adding a test of the array.
+    """
+    return df.withColumn(name, F.explode_outer(F.array(column)))
+
+
 def kmer_names(k: int) -> list[str]:
     """All k-letter words over ACGT in lexicographic order."""
     return ["".join(p) for p in product(BASES, repeat=k)]
 
 
 def keep_letters(c: Column | str, letters: str = BASES) -> Column:
-    return F.regexp_replace(F.upper(_col(c)), f"[^{letters}]", "")
+    return F.regexp_replace(F.upper(_col(c)), f"[^{letters}]+", "")
 
 
 def valid_sequence(c: Column | str) -> Column:

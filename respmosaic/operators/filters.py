@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from respmosaic.functions.text import crop_center, dinuc_vec, gc_fraction, trinuc_vec
+from respmosaic.functions.text import computed, crop_center, dinuc_vec, gc_fraction, trinuc_vec
 from respmosaic.operators.integrity import require_empty
 
 POLICIES = ("positive_only", "keep_label", "keep_all", "multiclass_species")
@@ -105,7 +105,7 @@ def usable_items(df: DataFrame, seq: str = "seq", crop_to: Column | None = None,
     s = F.upper(F.col(seq))
     if crop_to is not None:
         s = F.when(crop_to.isNotNull(), crop_center(s, crop_to)).otherwise(s)
-    out = df.withColumn(seq, s)
+    out = computed(df, seq, s)
     return out.filter(F.length(seq).between(lo, hi) & F.col(seq).rlike("^[ACGT]+$"))
 
 
