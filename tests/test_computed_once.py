@@ -3,14 +3,14 @@
 from conftest import SF
 from pyspark.sql import functions as F
 
-from respmosaic.catalog.base import QUERIES, fx_seq
+from respmosaic.catalog.base import fx_seq
 from respmosaic.functions.text import computed
 
 
 def test_letters_of_a_document_are_kept_once(spark):
-    import __spark_entry__  # noqa: F401 - registers the queries
+    import __spark_entry__
 
-    plan = QUERIES["f5_make_item_rows"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    plan = __spark_entry__.queries()["f5_make_item_rows"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(") == 1
     lengths = fx_seq(spark, SF).select("item", F.length("seq").alias("n"), F.translate("seq", "GC", "").alias("rest")).filter("n > 3")
     assert lengths._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
