@@ -8,41 +8,37 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from respmosaic.operators.integrity import judge_counts
 
 SCORE_SCHEMA = "entity string, item long, value double"
-#: What is kept of an entity: its items in order, how often the latest batch of each had it, and whether the value is there and the item on the panel.
-STATE = "items array<long>, copies array<int>, finite array<boolean>, listed array<boolean>"
+#: What is kept of an entity, packed: its items in order, how often the latest batch of each had it, and whether the value is there and the item on the panel.
+STATE, KINDS = "items binary, copies binary, finite binary, listed binary", (np.int64, np.int32, bool, bool)
 COUNTS = "entity string, n_rows long, n_distinct long, n_extra long, n_on_panel long, n_finite long"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class SeenItems(StatefulProcessor):
-    """Keeps the items an entity has been scored on; a batch replaces what earlier ones said about its items, and gives the new counts."""
+def seen_items(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Keeps the items an entity has been scored on; a batch replaces what earlier ones said about its items, and gives the new counts.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - names of the interface
-        new = pd.concat(rows)
-        new = new.assign(finite=new["value"].notna() & np.isfinite(new["value"].astype(float)))
-        batch = new.groupby("item").agg(copies=("finite", "size"), finite=("finite", "sum"), listed=("listed", "max"))
-        if self.seen.exists():
-            old = pd.DataFrame(dict(zip(("item", "copies", "finite", "listed"), self.seen.get()))).set_index("item")
-            old["finite"] = old["finite"].astype(int)
-            batch = pd.concat([old[~old.index.isin(batch.index)], batch])
-        batch = batch.sort_index()
-        self.seen.update(([int(i) for i in batch.index], [int(c) for c in batch["copies"]], [bool(f) for f in batch["finite"] > 0], [bool(x) for x in batch["listed"]]))
-        listed = batch["listed"].astype(bool)
-        yield pd.DataFrame({
-            "entity": [key[0]], "n_rows": [int(batch["copies"].sum())], "n_distinct": [len(batch)], "n_extra": [int((~listed).sum())],
-            "n_on_panel": [int(listed.sum())], "n_finite": [int((listed & (batch["finite"] > 0)).sum())],
-        })
-
-    def close(self) -> None:
-        pass
+    State and counts are plain arrays, and Spark sends many entities at once with their state: an entity costs no round trip and no grouping of its own.
+    """
+    item, value, on_panel = (np.concatenate(x) for x in zip(*((f["item"].to_numpy(), f["value"].to_numpy(float), f["listed"].to_numpy(bool)) for f in frames)))
+    known = ~pd.isna(item)
+    items, at = np.unique(item[known].astype(np.int64), return_inverse=True)
+    new = [items, np.bincount(at, minlength=len(items)), *(np.bincount(at, x[known], len(items)) > 0 for x in (np.isfinite(value), on_panel))]
+    if state.exists:
+        old = [np.frombuffer(x, kind) for x, kind in zip(state.get, KINDS)]
+        kept = ~np.isin(old[0], items)
+        new = [np.concatenate([o[kept], n]) for o, n in zip(old, new)]
+    order = np.argsort(new[0])
+    items, copies, finite, listed = (x[order].astype(kind) for x, kind in zip(new, KINDS))
+    state.update(tuple(x.tobytes() for x in (items, copies, finite, listed)))
+    yield pd.DataFrame({
+        "entity": [key[0]], "n_rows": [int(copies.sum())], "n_distinct": [len(items)], "n_extra": [int((~listed).sum())],
+        "n_on_panel": [int(listed.sum())], "n_finite": [int((listed & finite).sum())],
+    })
 
 
 def score_stream(spark: SparkSession, path: str, schema: str = SCORE_SCHEMA) -> DataFrame:
@@ -58,7 +54,7 @@ def run_stream_coverage(spark: SparkSession, source: str, store: str, checkpoint
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     panel = items.select("item").distinct().withColumn("listed", F.lit(True))
     marked = score_stream(spark, source, schema).join(panel, "item", "left").select("entity", "item", "value", F.coalesce("listed", F.lit(False)).alias("listed"))
-    changed = marked.groupBy("entity").transformWithStateInPandas(SeenItems(), COUNTS, "Update", "None")
+    changed = marked.groupBy("entity").applyInPandasWithState(seen_items, COUNTS, STATE, "update", GroupStateTimeout.NoTimeout)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
