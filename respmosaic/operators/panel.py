@@ -191,6 +191,7 @@ def parent_tasks(panel: DataFrame, by: Sequence[str], path: str = "task_path", t
 def stratum_profile(panel: DataFrame) -> DataFrame:
     """Per stratum: medians, quartiles and range of length and GC, panel share, species."""
     by = ["stratum"]
+    panel = materialise(panel.select(*by, "length", "gc", "species", "task_path"))  # read ten times
     base = panel.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("length").alias("length_min"), F.max("length").alias("length_max"))
     total = panel.agg(F.count(F.lit(1)).alias("n"))
     base = base.withColumn("panel_pct", 100 * F.col("n") / total.scalar())
@@ -202,6 +203,7 @@ def stratum_profile(panel: DataFrame) -> DataFrame:
 def dataset_profile(panel: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     """Per (stratum, task path): n, medians and species label, strata in listed order."""
     by = ["stratum", "task_path"]
+    panel = materialise(panel.select(*by, "length", "gc", "species"))  # read six times
     base = panel.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     out = base.join(quantile_columns(panel, "length", {"length_median": 0.5}, by), by)
     out = out.join(quantile_columns(panel, "gc", {"gc_median": 0.5}, by), by).join(species_label(panel, by), by)

@@ -1,5 +1,6 @@
 """A costly column that filters and other columns read is worked out once per row."""
 
+import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
@@ -21,3 +22,11 @@ def test_computed_keeps_rows_columns_and_nulls(spark):
     out = computed(rows, "s", F.upper("s"))
     assert out.columns == ["a", "s", "b"]
     assert sorted(tuple(r) for r in out.collect()) == [(1, "AXC", 5), (2, None, 6), (3, "", 7)]
+
+
+@pytest.mark.parametrize("name", ["g3_stratum_profile", "g4_dataset_profile"])
+def test_a_profile_reads_its_rows_from_one_stored_table(spark, name):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "upper(" not in plan
