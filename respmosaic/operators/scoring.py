@@ -112,11 +112,19 @@ def score_ar(model: DataFrame, panel: DataFrame, k: int = 2, length_override: st
 
 
 def ar_positions(model: DataFrame, panel: DataFrame, k: int = 2, pairs: DataFrame | None = None) -> DataFrame:
-    """Per-position log-probabilities in long form: ``entity, item, pos, logp``; with ``pairs`` (entity, item) for these only."""
-    words = panel.select("item", F.posexplode_outer(windows("seq", k + 1)).alias("_i", "w"))
+    """Per-position log-probabilities in long form: ``entity, item, pos, logp``; with ``pairs`` (entity, item) for these only.
+
+    With ``pairs``, an entity's model meets its items' texts as one map before they are taken apart, so no row per position is shuffled or sorted.
+    """
     keyed = model.select("entity", F.concat("ctx", "next").alias("w"), "logp")
-    met = words.join(keyed, "w") if pairs is None else words.join(pairs.select("entity", "item"), "item").join(keyed, ["entity", "w"])
-    return met.select("entity", "item", (F.col("_i") + k).alias("pos"), "logp")
+    if pairs is None:
+        words = panel.select("item", F.posexplode_outer(windows("seq", k + 1)).alias("_i", "w"))
+        return words.join(keyed, "w").select("entity", "item", (F.col("_i") + k).alias("pos"), "logp")
+    whole = keyed.groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("w", "logp"))).alias("_m"))
+    met = panel.select("item", "seq").join(pairs.select("entity", "item"), "item").join(whole, "entity")
+    scored = F.transform(windows("seq", k + 1), lambda w: F.when(F.map_contains_key("_m", w), F.struct(F.element_at("_m", w).alias("logp"))))
+    rows = met.select("entity", "item", F.posexplode_outer(scored).alias("_i", "_p")).filter(F.col("_p").isNotNull())
+    return rows.select("entity", "item", (F.col("_i") + k).alias("pos"), F.col("_p.logp").alias("logp"))
 
 
 def _edged(seq: str) -> Column:
