@@ -430,8 +430,9 @@ def c24(spark, sf):
 def c25(spark, sf):
     from respmosaic.operators.statistics import format_mean_std
     from respmosaic.plans.quantiles import quantile_columns
+    from respmosaic.plans.stable import materialise
 
-    i = fx_items(spark, sf)
+    i = materialise(fx_items(spark, sf).select("dataset", "length", "gc"))
     base = i.groupBy("dataset").agg(F.min("length").alias("lo"), F.max("length").alias("hi"), F.avg("gc").alias("m"), F.stddev_samp("gc").alias("sd"))
     q = quantile_columns(i, "gc", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, ["dataset"])
     return base.join(q, "dataset").select(

@@ -24,9 +24,10 @@ def test_computed_keeps_rows_columns_and_nulls(spark):
     assert sorted(tuple(r) for r in out.collect()) == [(1, "AXC", 5), (2, None, 6), (3, "", 7)]
 
 
-@pytest.mark.parametrize("name", ["g3_stratum_profile", "g4_dataset_profile"])
+@pytest.mark.parametrize("name", ["g3_stratum_profile", "g4_dataset_profile", "c25_formats"])
 def test_a_profile_reads_its_rows_from_one_stored_table(spark, name):
     import __spark_entry__
 
     plan = __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "upper(" not in plan
+
