@@ -11,10 +11,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PART = 1 << 20
+#: Texts whose words are Python objects at a time, and the type of a word with its count.
+TEXTS, WORD = 64, pa.struct([("w", pa.string()), ("n", pa.int64())])
 _DENSE = 1 << 20
 
 
@@ -67,11 +70,23 @@ def count_vector(text: str, k: int, letters: str) -> np.ndarray:
 
 
 def word_counts(c: Column | str, k: int) -> Column:
-    """``array<struct<w, n>>``: every distinct ``k``-letter window of a text with its count; empty for a null or shorter text."""
-
-    @F.pandas_udf("array<struct<w:string,n:bigint>>")
-    def counted(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"w": w, "n": n} for w, n in sorted(count_words(t or "", k).items())] for t in texts])
+    """``array<struct<w, n>>``: every distinct ``k``-letter window of a text with its count; empty for a null or shorter text.
+
+    Words become Arrow columns ``TEXTS`` texts at a time; a batch never holds a Python object per word.
+    """
+
+    @F.arrow_udf("array<struct<w:string,n:bigint>>")
+    def counted(texts: pa.Array) -> pa.Array:
+        ends, parts = [0], [pa.array([], WORD)]
+        for start in range(0, len(texts), TEXTS):
+            words, n = [], []
+            for t in texts.slice(start, TEXTS).to_pylist():
+                found = count_words(t or "", k)
+                words += sorted(found)
+                n += [found[w] for w in words[len(n) :]]
+                ends.append(ends[-1] + len(found))
+            parts.append(pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(n, pa.int64())], fields=list(WORD)))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(parts))
 
     return counted(c)
 

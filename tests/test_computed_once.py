@@ -5,7 +5,8 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from respmosaic.catalog.base import fx_seq
-from respmosaic.functions.text import computed
+from respmosaic.functions import words
+from respmosaic.functions.text import computed, kmer_table
 
 
 def test_letters_of_a_document_are_kept_once(spark):
@@ -31,3 +32,11 @@ def test_a_profile_reads_its_rows_from_one_stored_table(spark, name):
     plan = __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "upper(" not in plan
 
+
+
+def test_words_become_columns_a_few_texts_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(words, "TEXTS", 2)
+    texts = ["ACGT", None, "", "AAAAA", "acNAC", "ACAC", "G"]
+    df = spark.createDataFrame(list(enumerate(texts)), "item long, seq string").coalesce(1)
+    got = sorted(tuple(r) for r in kmer_table(df, ["item"], "seq", 2).collect())
+    assert got == [(0, "AC", 1), (0, "CG", 1), (0, "GT", 1), (3, "AA", 4), (4, "AC", 1), (5, "AC", 2), (5, "CA", 1)]
