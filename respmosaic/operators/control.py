@@ -168,7 +168,7 @@ def shuffle_texts(df: DataFrame, seq: str, key: str, seed: int, out: str = "shuf
 def shuffle_quota(panel: DataFrame, n_total: int, seed: int) -> DataFrame:
     """Rows of each stratum to shuffle: an equal share, repeated draws when it is short.
 
-    ``panel``: item, stratum, seq -> adds ``draw`` (1..share inside the stratum).
+    ``panel``: item, stratum and others -> adds ``draw`` (1..share inside the stratum).
     """
     strata = ordered_rank(panel.groupBy("stratum").agg(F.count(F.lit(1)).alias("_pool")), [], [("stratum", "asc")], "_s")
     count = strata.agg(F.count(F.lit(1)).alias("k"))
@@ -177,15 +177,19 @@ def shuffle_quota(panel: DataFrame, n_total: int, seed: int) -> DataFrame:
     draws = strata.withColumn("_share", share).filter("_share > 0").select("stratum", "_pool", "_s", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_share"))).alias("draw"))
     again = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}again"), F.col("stratum").cast("string"), F.col("draw").cast("string"))), 1, 12), 16, 10).cast("long")
     draws = draws.withColumn("_r", F.when(F.col("draw") <= F.col("_pool"), F.col("draw")).otherwise(F.pmod(again, F.col("_pool")) + 1))
-    ranked = hash_rank(panel.select("item", "stratum", "seq"), ["stratum"], seed, ["item"], "_r")
+    ranked = hash_rank(panel, ["stratum"], seed, ["item"], "_r")
     return draws.join(ranked, ["stratum", "_r"]).drop("_r", "_pool")
 
 
 def dinuc_shuffle(panel: DataFrame, n_total: int, seed: int = 42) -> DataFrame:
-    """Shuffled copies of panel items that keep every 2-letter count."""
-    drawn = shuffle_quota(panel, n_total, seed).withColumn("_key", F.concat_ws("|", F.col("item").cast("string"), F.col("draw").cast("string")))
+    """Shuffled copies of panel items that keep every 2-letter count.
+
+    The texts are stored once and meet their draws by row number after these are counted out, so no rank or sort carries them.
+    """
+    pool = materialise(panel.select("item", "stratum", "seq").withColumn("_row", F.monotonically_increasing_id()))
+    drawn = shuffle_quota(pool.drop("seq"), n_total, seed).withColumn("_key", F.concat_ws("|", F.col("item").cast("string"), F.col("draw").cast("string")))
     numbered = ordered_rank(drawn, [], [("_s", "asc"), ("draw", "asc")], "_n")
-    made = shuffle_texts(numbered, "seq", "_key", seed).select(
+    made = shuffle_texts(numbered.join(pool.select("_row", "seq"), "_row"), "seq", "_key", seed).select(
         _control_id("ctrl_dinuc_shuffled", F.col("_n")).alias("probe_id"),
         F.col("shuffled").alias("sequence"),
         F.concat(F.lit("shuffled_from::"), F.col("item").cast("string")).alias("source"),

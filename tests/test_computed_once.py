@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from respmosaic.catalog.base import fx_seq
 from respmosaic.functions import words
 from respmosaic.functions.text import computed, kmer_table
+from respmosaic.operators import control
 
 
 def test_letters_of_a_document_are_kept_once(spark):
@@ -33,6 +34,24 @@ def test_a_profile_reads_its_rows_from_one_stored_table(spark, name):
     assert "upper(" not in plan
 
 
+def counted(spark, rows, name, kind):
+    """``rows`` with a column that passes through Python, and the number of values that did."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf(kind)
+    def same(x):
+        seen.add(1)
+        return x
+
+    return computed(rows, name, same(name)), seen
+
+
+def test_shuffled_controls_read_the_panel_once(spark):
+    panel, seen = counted(spark, spark.createDataFrame([(i, "ab"[i % 2], "ACGT" * (i + 1)) for i in range(30)], "item long, stratum string, seq string"), "seq", "string")
+    out = control.dinuc_shuffle(panel, 40, 1).select("probe_id", "length_bp", "source").collect()
+    assert len({r["probe_id"] for r in out}) == 40 and seen.value == 30
+    assert all(r["length_bp"] == 4 * (int(r["source"].split("::")[1]) + 1) for r in out)
+
 
 def test_words_become_columns_a_few_texts_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(words, "TEXTS", 2)
