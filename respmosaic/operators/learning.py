@@ -6,7 +6,7 @@ smaller. Feature tables are stored once before the fits.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -61,9 +61,10 @@ def linear_probe(train: DataFrame, test: DataFrame, c_grid: Sequence[float] = C_
     ``train``/``test``: row, features array, label. The scaler is fitted inside each fold. The fits of all folds and strengths and the
     final ones run in shared Newton passes. Returns the result record with the rows left out as not finite, or a skip record when a gate fails.
     """
+    train, test = materialise(train.select("row", "features", "label")), materialise(test.select("features", "label"))
     counts = {n: finite_report(t).first() for n, t in (("train", train), ("test", test))}
     drops = {f"n_{n}_{k}": r["n_raw" if k == "raw" else "n_dropped"] for n, r in counts.items() for k in ("raw", "dropped")}
-    train, test = materialise(finite_rows(train)), finite_rows(test)
+    train, test = finite_rows(train), finite_rows(test)
     both = train.select(F.lit("train").alias("split"), "label").unionByName(test.select(F.lit("test").alias("split"), "label"))
     gate = class_gate(both, n_cv).first()
     if gate is None or gate["reason"] is not None:
@@ -269,15 +270,21 @@ def predict_metric(
     return predicted.select("split", "seed", "feature_set", "fold", "entity", "task", F.col("y").alias("y_true"), "y_pred", "alpha")
 
 
-def _held_out(x: np.ndarray, y: np.ndarray, out: np.ndarray, c: float, kind: str) -> np.ndarray:
-    """Scores of the rows ``out`` under the fit of ``(x, y)``, scaled on ``x``; classes have equal mass. Wide rows are fitted in their own span."""
+def _fitted(x: np.ndarray, y: np.ndarray, c: float, kind: str) -> Callable[[np.ndarray], np.ndarray]:
+    """Scores of further rows under the fit of ``(x, y)``, scaled on ``x``; classes have equal mass. Wide rows are fitted in their own span."""
     mean, scale = newton.moments(len(x), x.sum(0), (x**2).sum(0))
-    z, o = newton.standardised(x, mean, scale), newton.standardised(out, mean, scale)
+    z, turn = newton.standardised(x, mean, scale), None
     if z.shape[1] > len(z):
         u, s, vt = np.linalg.svd(z, full_matrices=False)
-        z, o = u * s, o @ vt.T
+        z, turn = u * s, vt.T
     weight = np.where(y == 1, len(y) / (2.0 * max(1, (y == 1).sum())), len(y) / (2.0 * max(1, (y == 0).sum())))
-    return o @ newton.fit_here(z, y, c, kind, weight)
+    theta = newton.fit_here(z, y, c, kind, weight)
+
+    def score(out: np.ndarray) -> np.ndarray:
+        o = newton.standardised(out, mean, scale)
+        return (o if turn is None else o @ turn) @ theta
+
+    return score
 
 
 def loo_classify(rows: DataFrame, c_grid: Sequence[float] = (0.1, 1.0, 10.0), kind: str = "svc", max_rows: int = 500) -> dict:
@@ -289,7 +296,7 @@ def loo_classify(rows: DataFrame, c_grid: Sequence[float] = (0.1, 1.0, 10.0), ki
     """
     spark = rows.sparkSession
     usable = finite_rows(rows).where("label in (0, 1)").select("row", F.col("features").cast("array<double>").alias("x"), F.col("label").cast("int").alias("y"))
-    data = materialise(hash_rank(usable, [], "loo", ["row"], "_r"))
+    data = materialise(hash_rank(materialise(usable), [], "loo", ["row"], "_r"))  # ranks read their rows twice
     known = data.filter(F.col("_r") <= max_rows).orderBy("_r").collect()  # at most max_rows rows
     if len({r["y"] for r in known}) < 2:
         raise ValueError("leave-one-out needs both classes")
@@ -303,15 +310,16 @@ def loo_classify(rows: DataFrame, c_grid: Sequence[float] = (0.1, 1.0, 10.0), ki
             for i in pdf["id"]:
                 rest = np.arange(len(x)) != i
                 for j, c in enumerate(grid):
-                    yield pd.DataFrame({"c": [j], "y": [int(y[i])], "score": _held_out(x[rest], y[rest], x[i : i + 1], c, name)})
+                    yield pd.DataFrame({"c": [j], "y": [int(y[i])], "score": _fitted(x[rest], y[rest], c, name)(x[i : i + 1])})
 
     def unseen(frames):
-        x, y = shared.value
+        fits = None  # once a task, not once a batch
         for pdf in frames:
             if len(pdf):
+                fits = fits or [_fitted(*shared.value, c, name) for c in grid]
                 other = np.stack(pdf["x"].to_list()).astype(float)
-                for j, c in enumerate(grid):
-                    yield pd.DataFrame({"c": j, "y": pdf["y"].to_numpy(), "score": _held_out(x, y, other, c, name)})
+                for j, fit in enumerate(fits):
+                    yield pd.DataFrame({"c": j, "y": pdf["y"].to_numpy(), "score": fit(other)})
 
     schema = "c int, y int, score double"
     inside = spark.range(0, len(known), 1, min(len(known), spark.sparkContext.defaultParallelism)).mapInPandas(left_out, schema)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from respmosaic.catalog.base import fx_seq
 from respmosaic.functions import words
 from respmosaic.functions.text import computed, kmer_table
-from respmosaic.operators import control
+from respmosaic.operators import control, learning
 
 
 def test_letters_of_a_document_are_kept_once(spark):
@@ -46,6 +46,18 @@ def counted(spark, rows, name, kind):
     return computed(rows, name, same(name)), seen
 
 
+def test_a_probe_reads_its_rows_once(spark):
+    rows, seen = counted(spark, spark.createDataFrame([(i, [float(i % 7), float(i % 2)], i % 2) for i in range(90)], "row long, features array<double>, label int"), "features", "array<double>")
+    rec = learning.linear_probe(rows.filter("row < 60"), rows.filter("row >= 60"), (1.0,), 3, 0)
+    assert (rec["auc_test"], rec["n_train_raw"], rec["n_test_raw"], seen.value) == (1.0, 60, 30, 90)
+
+
+def test_leave_one_out_reads_its_rows_once(spark):
+    rows, seen = counted(spark, spark.createDataFrame([(i, [float(i % 2) + i / 1000], i % 2) for i in range(50)], "row long, features array<double>, label int"), "features", "array<double>")
+    rec = learning.loo_classify(rows, (1.0,), max_rows=20)
+    assert (rec["auc"], rec["n"], rec["n_fitted"], seen.value) == (1.0, 50, 20, 50)
+
+
 def test_shuffled_controls_read_the_panel_once(spark):
     panel, seen = counted(spark, spark.createDataFrame([(i, "ab"[i % 2], "ACGT" * (i + 1)) for i in range(30)], "item long, stratum string, seq string"), "seq", "string")
     out = control.dinuc_shuffle(panel, 40, 1).select("probe_id", "length_bp", "source").collect()
