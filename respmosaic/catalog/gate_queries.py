@@ -289,10 +289,7 @@ def s6_tree(spark, sf):
     rows = fx_results(spark, sf)
     body = F.when(F.col("readable"), F.to_json(F.struct(F.col("auc").alias("auc_test"), "skip_reason", "error_type"))).otherwise(F.lit('{"auc_test": '))
     files = rows.select(F.concat(F.lit("e__"), F.col("entity").cast("string")).alias("entity"), F.concat(F.lit("t__"), "task").alias("task"), body.alias("value"))
-    # A given number of parts: the rows are few bytes, so adaptive execution would let one task write all files. Tasks commit their own files (version 2).
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = files.repartition(parts, "entity", "task")
-    dealt.write.partitionBy("entity", "task").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+    sinks.write_text_tree(files, path, ["entity", "task"])
     return readers.read_results(spark, path, "part-*").select("entity", "task", "readable", "auc", "skip_reason", "error_type")
 
 

@@ -230,3 +230,23 @@ def test_stream_state_only_moves_forward(spark, tmp_path):
     assert spark.read.parquet(args[1]).where("batch = 2").count() == 1  # only what a batch touched is written
     coverage.run_stream_coverage(spark, *args, items).awaitTermination()  # nothing new
     assert {r["entity"]: r["state"] for r in coverage.stream_coverage(spark, args[1], items).collect()} == {"a": "DONE", "b": "PARTIAL"}
+
+
+def test_text_tree_is_the_tree_of_spark_without_its_file_system(spark, tmp_path):
+    from respmosaic.sources import sinks
+
+    ids = ["plain", "a/b", "100%", "ü x", "k=v", "[1]", "", None]
+    cells = [(e, t, f"{i}{j}") for i, e in enumerate(ids) for j, t in enumerate(ids)]
+    rows = spark.createDataFrame([*cells, ("plain", "k=v", "again"), ("plain", "a/b", None)], "entity string, task string, value string")
+    rows.write.partitionBy("entity", "task").text(f"{tmp_path}/spark")
+    sinks.write_text_tree(rows, f"file:{tmp_path}/own", ["entity", "task"])
+    lines = {}
+    for n in ("spark", "own"):
+        lines[n] = sorted((str(p.parent.relative_to(tmp_path / n)), x) for p in (tmp_path / n).rglob("part-*") for x in p.read_text().splitlines())
+    assert lines["own"] == lines["spark"] and len(lines["own"]) == 66
+    # Hadoop's local file system would have left a check sum beside each file.
+    assert not [p for p in (tmp_path / "own").rglob("*") if p.is_file() and not p.name.startswith("part-")]
+    one = rows.filter("entity in ('plain', 'a/b') and task in ('ü x', '100%')")
+    sinks.write_text_tree(one.withColumn("value", F.concat(F.lit('{"auc_test": "'), "value", F.lit('"}'))), f"file:{tmp_path}/some", ["entity", "task"])
+    got = {(r["task"], r["auc"]) for r in readers.read_results(spark, f"{tmp_path}/some", "part-*").collect()}
+    assert {a for _, a in got} == {"02", "03", "12", "13"}
