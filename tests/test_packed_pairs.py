@@ -53,3 +53,18 @@ def test_medians_in_several_passes(spark, cells, monkeypatch):
     for (i, j), d in distances(x).items():
         want["between" if i % 2 != j % 2 else "within_" + "ab"[i % 2]].append(d)
     assert got == pytest.approx({c: np.median(d) for c, d in want.items()})
+
+
+def test_geometry_stores_no_distances_and_sends_few_bytes(cells, monkeypatch):
+    x, v = cells
+    kept = []
+    monkeypatch.setattr(pairs, "materialise", lambda df, real=pairs.materialise: kept.append(real(df)) or kept[-1])
+    both = v.selectExpr("'a' AS side", "1 AS branch", "*").unionByName(v.selectExpr("'b' AS side", "1 AS branch", "entity", "item", "value * 2 AS value"))
+    got = pairs.compare_geometry(both, "side", "a", "b", ["branch"]).first()
+    assert (got["n_pairs"], got["spearman"], got["mean_ratio"], got["median_ratio"]) == pytest.approx((len(distances(x)), 1.0, 4.0, 4.0))
+    assert kept and not any({"x", "y"} <= set(df.columns) for df in kept)
+    rng = np.random.default_rng(1)
+    rising = np.sort(rng.integers(1 << 50, (1 << 50) + (1 << 30), 4000))
+    assert (pairs._unpacked_ints(pairs._packed_ints(rising, rising=True), rising=True) == rising).all() and len(pairs._packed_ints(rising, rising=True)) < 4000 * 3.1
+    for u in (rng.permutation(rising), np.zeros(3, np.int64), np.array([7]), np.array([0, (1 << 51) - 1])):
+        assert (pairs._unpacked_ints(pairs._packed_ints(u)) == u).all()
